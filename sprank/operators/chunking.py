@@ -22,38 +22,47 @@ def _starts(n: Column, step: int) -> Column:
         F.array().cast("array<int>"))
 
 
-def word_chunk_array(text, size: int = 80, overlap: int = 15) -> Column:
-    """Array of word chunks of one text.
+def word_windows(tok: Column, size: int = 80, overlap: int = 15) -> Column:
+    """Word chunks from an already materialised token array column.
 
-    tokens = whitespace split; windows start at 0, step, 2*step ... < n with
-    step = max(1, size - overlap); a window is kept only if it has at least
-    size // 2 tokens; tokens joined by one space.
+    Windows start at 0, step, 2*step ... < n with step = max(1, size -
+    overlap); a window is kept only if it has at least size // 2 tokens;
+    tokens are joined by one space. ``tok`` should be a plain column reference
+    so that it is not recomputed inside each lambda call.
     """
     if size < 1:
         raise ValueError("size must be >= 1")
     step = max(1, size - overlap)
     half = size // 2
-    tok = tokens(text)
     n = F.size(tok)
     starts = F.filter(_starts(n, step), lambda s: F.least(F.lit(size), n - s) >= half)
     return F.transform(starts, lambda s: F.array_join(F.slice(tok, s + 1, size), " "))
 
 
-def char_chunk_array(text, size: int = 500, overlap: int = 50, min_len: int = 30) -> Column:
-    """Array of character chunks of one text.
-
-    Whitespace collapsed and stripped; windows of ``size`` code points every
-    ``size - overlap``; each stripped; kept if longer than ``min_len``.
-    """
+def char_windows(text: Column, size: int = 500, overlap: int = 50, min_len: int = 30) -> Column:
+    """Character chunks from an already collapsed text column: windows of
+    ``size`` code points every ``size - overlap``, each stripped, kept if
+    longer than ``min_len``."""
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
     step = size - overlap
-    t = collapse_ws(text)
-    n = F.length(t)
-    pieces = F.transform(_starts(n, step), lambda s: F.trim(F.substring(t, s + 1, size)))
+    n = F.length(text)
+    pieces = F.transform(_starts(n, step), lambda s: F.trim(F.substring(text, s + 1, size)))
     return F.filter(pieces, lambda c: F.length(c) > min_len)
 
 
+def _prepared(df: DataFrame, id_col: str, text_col: str, keep: list[str],
+              word: bool = True, char: bool = False, lower_clean: bool = True) -> DataFrame:
+    """Materialise token array / collapsed text once per row."""
+    cols = [F.col(c) for c in dict.fromkeys([id_col] + keep)]
+    if word:
+        src = clean(text_col) if lower_clean else F.col(text_col)
+        cols.append(tokens(src).alias("_tok"))
+    if char:
+        cols.append(collapse_ws(text_col).alias("_txt"))
+    return df.select(*cols)
+
+
 def _explode(df: DataFrame, id_col: str, arr: Column, id_style: str,
              chunk_col: str, keep: list[str]) -> DataFrame:
     sep = ID_STYLES[id_style]
@@ -70,11 +79,12 @@ def word_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per word chunk: (id, chunk_idx, chunk, chunk_id).
 
     ``lower_clean`` applies the demo clean step (lower-case, collapse) first,
-    as the demo chunks its ``clean`` column.
+    as the demo chunks its ``clean`` column. Whitespace split as Python's
+    ``str.split()``.
     """
-    src = clean(text_col) if lower_clean else F.col(text_col)
-    return _explode(df, id_col, word_chunk_array(src, size, overlap), id_style,
-                    chunk_col, keep or [])
+    keep = keep or []
+    p = _prepared(df, id_col, text_col, keep, lower_clean=lower_clean)
+    return _explode(p, id_col, word_windows(F.col("_tok"), size, overlap), id_style, chunk_col, keep)
 
 
 def char_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -82,8 +92,16 @@ def char_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 id_style: str = "chunk", chunk_col: str = "chunk",
                 keep: list[str] | None = None) -> DataFrame:
     """One row per character chunk: (id, chunk_idx, chunk, chunk_id)."""
-    return _explode(df, id_col, char_chunk_array(F.col(text_col), size, overlap, min_len),
-                    id_style, chunk_col, keep or [])
+    keep = keep or []
+    p = _prepared(df, id_col, text_col, keep, word=False, char=True)
+    return _explode(p, id_col, char_windows(F.col("_txt"), size, overlap, min_len),
+                    id_style, chunk_col, keep)
+
+
+def _counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    p = _prepared(docs, id_col, text_col, [], word=True, char=True)
+    return p.select(id_col, F.size(word_windows(F.col("_tok"))).alias("nw"),
+                    F.size(char_windows(F.col("_txt"))).alias("nc"))
 
 
 def chunk_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,24 +110,23 @@ def chunk_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Counted with ``size`` of the per-row arrays, so no explode and no join are
     needed (a left join of exploded counts would give the same numbers).
     """
-    nw = F.size(word_chunk_array(clean(text_col)))
-    nc = F.size(char_chunk_array(F.col(text_col)))
-    return docs.select(
+    c = _counts(docs, id_col, text_col)
+    return c.select(
         F.col(id_col),
-        nw.cast("bigint").alias("n_word_chunks"),
-        nc.cast("bigint").alias("n_char_chunks"),
-        F.format_string("Indexed %d chunks from %s", nc, F.col(id_col).cast("string")).alias("message"),
-    )
+        F.col("nw").cast("bigint").alias("n_word_chunks"),
+        F.col("nc").cast("bigint").alias("n_char_chunks"),
+        F.format_string("Indexed %d chunks from %s", F.col("nc"), F.col(id_col).cast("string")).alias("message"))
 
 
 def ingest_rejects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents an ingest would refuse: ``no_text`` if the character chunker
     yields nothing, else ``too_short`` if the word chunker yields nothing."""
-    nc = F.size(char_chunk_array(F.col(text_col)))
-    nw = F.size(word_chunk_array(clean(text_col)))
-    reason = F.when(nc == 0, F.lit("no_text")).when(nw == 0, F.lit("too_short"))
-    return (docs.select(F.col(id_col), reason.alias("reason"))
-                .where(F.col("reason").isNotNull()))
+    c = _counts(docs, id_col, text_col)
+    reason = F.when(F.col("nc") == 0, F.lit("no_text")).when(F.col("nw") == 0, F.lit("too_short"))
+    # explode of a 0/1-element array instead of a Filter: a filter on these
+    # derived sizes would be pushed below the projection and re-run the
+    # regular expressions inside every lambda call.
+    return c.select(F.col(id_col), F.explode(F.array_compact(F.array(reason))).alias("reason"))
 
 
 def accept_by_extension(files: DataFrame, name_col: str = "filename",

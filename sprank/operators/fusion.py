@@ -64,9 +64,9 @@ def fuse(lists: DataFrame, alpha) -> DataFrame:
     wide = lists.groupBy(*keys).agg(
         F.max(F.when(F.col("list") == "dense", F.col("norm"))).alias("dense"),
         F.max(F.when(F.col("list") == "sparse", F.col("norm"))).alias("sparse"))
-    d = F.coalesce(F.col("dense"), F.lit(0.0))
-    s = F.coalesce(F.col("sparse"), F.lit(0.0))
-    return wide.withColumn("score", a * d + (F.lit(1.0) - a) * s)
+    wide = (wide.withColumn("dense", F.coalesce(F.col("dense"), F.lit(0.0)))
+                .withColumn("sparse", F.coalesce(F.col("sparse"), F.lit(0.0))))
+    return wide.withColumn("score", a * F.col("dense") + (F.lit(1.0) - a) * F.col("sparse"))
 
 
 def hybrid_search(index: HybridIndex, queries: DataFrame, top_k: int = DEFAULT_TOP_K,

@@ -145,9 +145,10 @@ cand AS (SELECT *, {overlap('query', 'content')} AS rerank_score FROM cand0)"""
 def reranked() -> str:
     """CTE ``rr`` (qid, rank, doc_id, score, rerank_score, content, query)."""
     return f"""{candidates()},
-rr AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(rerank_score, 9) DESC, rank, doc_id) AS rank,
-              doc_id, score, rerank_score, content, query
-       FROM cand QUALIFY rank <= {TOP_K})"""
+rr0 AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(rerank_score, 9) DESC, rank, doc_id) AS rrank,
+               doc_id, score, rerank_score, content, query
+        FROM cand),
+rr AS (SELECT qid, rrank AS rank, doc_id, score, rerank_score, content, query FROM rr0 WHERE rrank <= {TOP_K})"""
 
 
 def _minute(col: str = "ts") -> str:

@@ -50,3 +50,32 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique location under the shared folder."""
     return os.path.join(shared_dir(spark), "sprank", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sprank`` importable on executors (Pandas UDF / mapInPandas
+    closures refer to its functions): zip the package once per context into
+    the shared folder and register it with ``addPyFile``."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(shared_dir(spark), "sprank-pkg", uuid.uuid4().hex[:12])
+    if out.startswith("file:"):
+        out = out[len("file:"):]
+    os.makedirs(out, exist_ok=True)
+    zpath = os.path.join(out, "sprank.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
