@@ -1,11 +1,106 @@
-"""Registered queries for sources/sinks, embedding and streaming."""
+"""Registered queries for sinks/sources, embedding, generators and streams.
+
+Round trips write into a fresh folder under the shared folder
+(``spark.checkpoint.dir``) and read it back, so the result is the re-read data.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from sprank.operators import chunking, embedding
+from sprank.plans import inputs as I
+from sprank.plans.oracle import CHUNK_CHARS, CHUNK_WORDS
+from sprank.session import scratch_path
+from sprank.sources import files, generators
+from sprank.streaming import jobs
+
+
+def parquet_roundtrip(spark, d):
+    chunks = chunking.word_chunks(I.documents(spark, d)).select(
+        "doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "chunk_id", "chunk")
+    back, _ = files.parquet_roundtrip(chunks, scratch_path(spark, "parquet-roundtrip"))
+    return back
+
+
+def json_roundtrip(spark, d):
+    path = scratch_path(spark, "json-roundtrip")
+    files.write_json(files.as_sample_documents(I.documents(spark, d)), path)
+    return files.flatten_sample(files.read_json(spark, path))
+
+
+def csv_roundtrip(spark, d):
+    path = scratch_path(spark, "csv-roundtrip")
+    files.write_csv(files.as_sample_documents(I.documents(spark, d)), path)
+    return files.flatten_sample(files.read_csv(spark, path))
+
+
+def embed_chunks(spark, d):
+    chunks = chunking.char_chunks(I.documents(spark, d))
+    e = embedding.embed(chunks, "chunk")
+    return e.select("chunk_id", F.size("embedding").cast("bigint").alias("dim"), "embedding")
+
+
+def embed_queries(spark, d):
+    q = I.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text"))
+    e = embedding.embed(q, "text")
+    return e.select("qid", F.size("embedding").cast("bigint").alias("dim"), "embedding")
+
+
+def gen_topic_docs(spark, d):
+    ids = I.documents(spark, d).select(F.col("doc_id").alias("id"))
+    g = generators.topic_documents(ids)
+    return g.select("id", "content", F.array_join("topics", ",").alias("topics"), "length",
+                    F.col("metadata.author").alias("author"))
+
+
+def stream_ingest(spark, d):
+    out = jobs.ingest_chunks(spark, f"{d.rstrip('/')}/documents.parquet")
+    return out.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "chunk_id", "chunk")
+
+
+def stream_requests(spark, d):
+    m = jobs.request_metrics(spark, f"{d.rstrip('/')}/events.parquet")
+    return m.select(F.date_format("w", "yyyy-MM-dd HH:mm:ss").alias("minute"), "endpoint", "requests",
+                    F.round("total", 6).alias("total"), F.round("avg", 6).alias("avg"))
+
+
+def stream_counters(spark, d):
+    return jobs.running_counters(spark, f"{d.rstrip('/')}/events.parquet")
+
 
 def queries():
-    return {}
+    return {
+        "parquet_roundtrip": parquet_roundtrip,
+        "json_roundtrip": json_roundtrip,
+        "csv_roundtrip": csv_roundtrip,
+        "embed_chunks": embed_chunks,
+        "embed_queries": embed_queries,
+        "gen_topic_docs": gen_topic_docs,
+        "stream_ingest": stream_ingest,
+        "stream_requests": stream_requests,
+        "stream_counters": stream_counters,
+    }
+
+
+_SAMPLE_SQL = """
+SELECT doc_id, text, CASE WHEN lang = source THEN lang ELSE concat_ws(',', lang, source) END AS topics,
+       length(text)::BIGINT AS length, source, lang, n_chars
+FROM documents"""
 
 
 def oracle_sql():
-    return {}
+    return {
+        "parquet_roundtrip": CHUNK_WORDS,
+        "json_roundtrip": _SAMPLE_SQL,
+        "csv_roundtrip": _SAMPLE_SQL,
+        "stream_ingest": CHUNK_CHARS,
+        "stream_requests": """
+SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS minute, event_type AS endpoint,
+       count(*)::BIGINT AS requests, round(sum(value), 6) AS total, round(avg(value), 6) AS avg
+FROM events GROUP BY ALL""",
+        "stream_counters": """
+SELECT event_type AS endpoint, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
+       count(*)::BIGINT AS requests
+FROM events GROUP BY ALL""",
+    }
