@@ -3,10 +3,9 @@
 Index layout (all DataFrames):
 
 * ``postings``  (doc_id, term, tf, dl, first) -- one row per distinct term of a
-  document, hash-partitioned by ``doc_id``. Term counts are computed inside the
-  document row (sort the tokens, measure runs), so building postings needs one
-  shuffle (the co-location by ``doc_id``) and no aggregation by term. A
-  document without tokens keeps one row with a NULL term so it still counts.
+  document plus one NULL-term row per document (``first``), hash-partitioned
+  by ``doc_id``. Building them takes one shuffle (documents by ``doc_id``);
+  nothing is ever shuffled by term.
 * ``terms``     (term, df, raw_idf, idf) -- the vocabulary.
 * ``stats``     one row (n, avgdl, avg_idf, eps).
 
@@ -41,9 +40,11 @@ EPSILON = 0.25
 
 @dataclass
 class BM25Index:
+    """Postings plus corpus statistics. ``stats`` holds four numbers computed
+    once at build time (N, avgdl, mean idf, eps), so searches never
+    aggregate the whole vocabulary again."""
     postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
+    stats: dict
     k1: float = K1
     b: float = B
     epsilon: float = EPSILON
@@ -52,60 +53,71 @@ class BM25Index:
     def doc_ids(self) -> DataFrame:
         return self.postings.where(F.col("first")).select("doc_id")
 
-    def persist(self, level=None) -> "BM25Index":
-        for d in (self.postings, self.terms, self.stats):
-            d.persist() if level is None else d.persist(level)
-        return self
+    @property
+    def terms(self) -> DataFrame:
+        """The vocabulary (term, df, raw_idf, idf): one aggregation by term,
+        pre-combined in every task (a hot term is one row per task)."""
+        n = float(self.stats["n"])
+        df_terms = self.postings.where(~F.col("first")).groupBy("term").agg(
+            F.count(F.lit(1)).alias("df"))
+        return idf_columns(df_terms, n, self.stats["eps"])
+
+    def stats_frame(self) -> DataFrame:
+        spark = self.postings.sparkSession
+        return spark.createDataFrame([self.stats])
+
+
+def idf_columns(df_terms: DataFrame, n: float, eps: float | None) -> DataFrame:
+    raw = F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    out = df_terms.withColumn("raw_idf", raw)
+    e = F.lit(eps).cast("double")
+    return out.withColumn("idf", F.when(F.col("raw_idf") < 0, e).otherwise(F.col("raw_idf")))
 
 
 def build_postings(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    colocate: bool = True, num_partitions: int | None = None) -> DataFrame:
-    """Postings of ``corpus``. Term counts are taken inside each row: sort the
-    tokens, mark where a run of equal tokens starts, tf = distance to the next
-    start. Each array is its own column so that it is evaluated once per row,
-    not once per lambda call."""
-    sorted_tok = corpus.select(F.col(id_col).alias("doc_id"),
-                               F.array_sort(tokens(text_col)).alias("s"))
-    with_starts = sorted_tok.select(
-        "doc_id", "s", F.size("s").alias("n"),
-        F.filter(F.sequence(F.lit(0), F.greatest(F.size("s"), F.lit(1)) - 1),
-                 lambda i: (i < F.size("s"))
-                 & ((i == 0) | (F.get(F.col("s"), i) != F.get(F.col("s"), i - 1)))).alias("st"))
-    runs = with_starts.select(
-        "doc_id", F.col("n").cast("int").alias("dl"),
-        F.posexplode_outer(F.transform(
-            "st", lambda x, j: F.struct(
-                F.get(F.col("s"), x).alias("term"),
-                (F.coalesce(F.get(F.col("st"), j + 1), F.col("n")) - x).cast("int").alias("tf")))
-        ).alias("pos", "p"))
-    post = runs.select(
-        "doc_id",
-        F.col("p.term").alias("term"),
-        F.coalesce(F.col("p.tf"), F.lit(0)).alias("tf"),
-        "dl",
-        F.coalesce(F.col("pos") == 0, F.lit(True)).alias("first"))
+    """Postings of ``corpus``: (doc_id, term, tf, dl, first).
+
+    With ``colocate`` the documents are hash-partitioned by ``doc_id`` first
+    (one shuffle of the text); tokenising, exploding and counting per
+    (doc_id, term) then run inside those partitions with no further exchange,
+    and the postings come out clustered by ``doc_id``. Each document also
+    gets one row with a NULL term (``first``), so that documents without
+    tokens still count and corpus statistics need no second pass.
+    """
+    docs = corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if colocate:
-        post = (post.repartition(num_partitions, "doc_id") if num_partitions
-                else post.repartition("doc_id"))
-    return post
+        docs = (docs.repartition(num_partitions, "doc_id") if num_partitions
+                else docs.repartition("doc_id"))
+    tok = docs.select("doc_id", tokens("text").alias("tok"))
+    rows = tok.select("doc_id", F.size("tok").cast("int").alias("dl"),
+                      F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("tok"))).alias("term"))
+    post = rows.groupBy("doc_id", "term").agg(F.count("term").cast("int").alias("tf"),
+                                             F.max("dl").alias("dl"))
+    return post.withColumn("first", F.col("term").isNull())
+
+
+def corpus_stats(postings: DataFrame, epsilon: float = EPSILON) -> dict:
+    """N, avgdl, mean raw idf over all distinct terms, eps = epsilon x mean idf.
+    Two one-row aggregations; the per-term counts are pre-combined in every
+    task before the shuffle by term."""
+    row = postings.where(F.col("first")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    n = int(row["n"])
+    if n == 0:
+        return {"n": 0, "avgdl": 0.0, "avg_idf": 0.0, "eps": 0.0}
+    df_terms = postings.where(~F.col("first")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    avg_idf = idf_columns(df_terms, float(n), 0.0).agg(F.avg("raw_idf")).first()[0]
+    avg_idf = float(avg_idf) if avg_idf is not None else 0.0
+    return {"n": n, "avgdl": float(row["avgdl"]), "avg_idf": avg_idf, "eps": epsilon * avg_idf}
 
 
 def index_from_postings(postings: DataFrame, k1: float = K1, b: float = B,
                         epsilon: float = EPSILON) -> BM25Index:
-    """Derive vocabulary and corpus statistics from postings (also used after
-    an append, where postings of several batches are combined)."""
-    docstats = postings.where(F.col("first")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df_terms = postings.where(F.col("term").isNotNull()).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"))
-    n = docstats.select("n").scalar()
-    raw = df_terms.withColumn(
-        "raw_idf", F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    idfstats = raw.agg(F.avg("raw_idf").alias("avg_idf"))
-    stats = docstats.crossJoin(idfstats).withColumn("eps", F.lit(epsilon) * F.col("avg_idf"))
-    eps = idfstats.select((F.lit(epsilon) * F.col("avg_idf")).alias("eps")).scalar()
-    terms = raw.withColumn("idf", F.when(F.col("raw_idf") < 0, eps).otherwise(F.col("raw_idf")))
-    return BM25Index(postings=postings, terms=terms, stats=stats, k1=k1, b=b, epsilon=epsilon)
+    """Derive corpus statistics from postings (also used after an append,
+    where postings of several batches are combined)."""
+    return BM25Index(postings=postings, stats=corpus_stats(postings, epsilon), k1=k1, b=b,
+                     epsilon=epsilon)
 
 
 def build_bm25(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -124,10 +136,18 @@ def query_terms(queries: DataFrame, qid_col: str = "qid", query_col: str = "quer
 
 
 def _weighted_terms(index: BM25Index, queries: DataFrame, qid_col: str, query_col: str):
+    """(qid, term, qtf, idf, avgdl) for the query terms present in the corpus.
+
+    Document frequencies are counted for the query terms only: the postings
+    are streamed past a broadcast of the distinct query terms and counted per
+    term (partial counts per task, so a term in every document costs one row
+    per task in the shuffle)."""
     qt, small = checked_broadcast(query_terms(queries, qid_col, query_col), what="query terms")
-    wq = index.terms.select("term", "idf").join(qt, "term")
-    avgdl = index.stats.select("avgdl").scalar()
-    return wq.withColumn("avgdl", avgdl), small
+    qterms = qt.select("term").distinct()
+    qterms = F.broadcast(qterms) if small else qterms
+    qdf = index.postings.join(qterms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    wq = idf_columns(qdf, float(index.stats["n"]), index.stats["eps"]).join(qt, "term")
+    return wq.withColumn("avgdl", F.lit(float(index.stats["avgdl"]))), small
 
 
 def _contributions(index: BM25Index, wq: DataFrame, small: bool) -> DataFrame:
@@ -157,9 +177,8 @@ def _pad_ids(index: BM25Index, matched: DataFrame, k: int) -> DataFrame:
     only in tiny corpora) negative scores rank below zero, and the first k
     unmatched ids of a query lie among the first k + m ids, m its match count.
     """
-    eps = index.stats.select("eps").first()
     extra = 0
-    if eps is not None and eps[0] is not None and eps[0] < 0:
+    if index.stats["eps"] < 0:
         mx = matched.groupBy("qid").count().agg(F.max("count")).first()[0]
         extra = int(mx or 0)
     return index.doc_ids.orderBy("doc_id").limit(k + extra)

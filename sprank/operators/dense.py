@@ -139,7 +139,8 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
     spark = vectors.sparkSession
     qids, qmat = query_matrix(queries, qid_col, qvec_col)
     if k == 0 or qids.shape[0] == 0:
-        return spark.createDataFrame([], _OUT.add(rank_col, T.IntegerType()))
+        empty = T.StructType(list(_OUT.fields) + [T.StructField(rank_col, T.IntegerType())])
+        return spark.createDataFrame([], empty)
     src = vectors.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col))
     dim = qmat.shape[1]
     block = max(1, MAX_QUERY_FLOATS // max(dim, 1))
