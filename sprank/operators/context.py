@@ -70,7 +70,10 @@ def prompt_messages(queries: DataFrame, results: DataFrame, conv: DataFrame,
                     n: int = HISTORY_MESSAGES) -> DataFrame:
     """Message rows (qid, msg_idx, role, content): the filtered history of the
     conversation with ``conv_id = qid`` (oldest first), then the final user
-    message carrying context and question. Only queries with results get one."""
+    message carrying context and question. Only queries with results get one.
+    The (bounded) results feed two branches, so they are checkpointed once."""
+    from sprank.session import checkpoint_small
+    results = checkpoint_small(results)
     hist = history(conv, n).select(F.col("conv_id").alias("qid"), "turn", "role",
                                    F.col("text").alias("content"))
     hw = Window.partitionBy("qid").orderBy("turn")

@@ -79,3 +79,11 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(zpath)
     _SHIPPED.add(key)
+
+
+def checkpoint_small(df):
+    """Materialise a small, bounded intermediate (e.g. queries x k hits) once
+    with a reliable checkpoint into the shared folder, so that plans using it
+    twice do not recompute what produced it, and its lineage is cut."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -55,3 +55,17 @@ def test_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == ["qid", "rank", "doc_id", "score"]
+
+
+def test_embedding_paths_agree(spark):
+    import numpy as np
+    from sprank.operators import embedding
+    df = spark.createDataFrame([(1, "Hello world hello"), (2, ""), (3, "ñandú  Über\tstraße")],
+                               "id long, text string")
+    fast = {r.id: np.array(r.embedding) for r in embedding.embed(df, "text").collect()}
+    py = embedding.hashed_bow()
+    for r in df.collect():
+        want = py([r.text])[0]
+        assert np.allclose(fast[r.id], want, atol=1e-6)
+    assert len(fast[1]) == 384 and np.isclose(np.linalg.norm(fast[1]), 1.0)
+    assert not fast[2].any()
