@@ -69,3 +69,26 @@ def test_embedding_paths_agree(spark):
         assert np.allclose(fast[r.id], want, atol=1e-6)
     assert len(fast[1]) == 384 and np.isclose(np.linalg.norm(fast[1]), 1.0)
     assert not fast[2].any()
+
+
+def test_text_source_and_fallback(spark, tmp_path):
+    from sprank.sources import files
+    (tmp_path / "b.txt").write_text("  second\r\nfile \n", encoding="utf-8")
+    (tmp_path / "a.txt").write_text("first", encoding="utf-8")
+    (tmp_path / "skip.md").write_text("no", encoding="utf-8")
+    got = {r.doc_id: r.content for r in files.load_documents(spark, str(tmp_path)).collect()}
+    assert got == {"a": "first", "b": "second\nfile"}
+    fb = files.load_documents(spark, str(tmp_path / "missing"))
+    assert fb.count() == 3
+
+
+def test_json_csv_roundtrip(spark, tmp_path):
+    from sprank.sources import files
+    docs = spark.createDataFrame([(1, 'he said "hi",\nthen left', "en", "src1", 22)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    s = files.as_sample_documents(docs)
+    files.write_json(s, str(tmp_path / "j"))
+    files.write_csv(s, str(tmp_path / "c"))
+    a = files.flatten_sample(files.read_json(spark, str(tmp_path / "j"))).collect()
+    b = files.flatten_sample(files.read_csv(spark, str(tmp_path / "c"))).collect()
+    assert a == b and a[0].text == 'he said "hi",\nthen left' and a[0].topics == "en,src1"
