@@ -6,10 +6,10 @@ all-pairs joins are fine here because the check runs on small data.
 
 from __future__ import annotations
 
-from sprank.functions.text import JAVA_WS, PY_WS_RUN
+from sprank.functions.text import JAVA_WS, PY_WS_EXPLICIT
 from sprank.plans.inputs import ALPHA, LIST_K, TOP_K
 
-WS = PY_WS_RUN
+WS = PY_WS_EXPLICIT + "+"
 JWS = JAVA_WS + "+"
 NL = "chr(10)"
 
