@@ -48,6 +48,9 @@ class BM25Index:
     k1: float = K1
     b: float = B
     epsilon: float = EPSILON
+    # Number of doc_id hash partitions of ``postings`` when it is a bucketed
+    # table (``store.load_index``); None = spark.sql.shuffle.partitions.
+    partitions: int | None = None
 
     @property
     def doc_ids(self) -> DataFrame:
@@ -203,6 +206,7 @@ def bm25_topk(index: BM25Index, queries: DataFrame, k: int, qid_col: str = "qid"
     pad_rows = qids.crossJoin(F.broadcast(pad)).select("qid", "doc_id", F.lit(0.0).alias("c"))
     # Partition the pad rows like the postings so the union stays clustered by
     # doc_id and the sum below needs no exchange of the matched pairs.
-    pad_rows = pad_rows.repartition("doc_id")
+    pad_rows = (pad_rows.repartition(index.partitions, "doc_id") if index.partitions
+                else pad_rows.repartition("doc_id"))
     scored = contrib.unionByName(pad_rows).groupBy("qid", "doc_id").agg(F.sum("c").alias("score"))
     return rank_topk(scored, "qid", "score", "doc_id", k, rank_col)

@@ -31,6 +31,8 @@ from sprank.plans.sizing import checked_broadcast
 NORM_FLOOR = 1e-10
 # Query matrices above this many floats are scored in several passes.
 MAX_QUERY_FLOATS = 8_000_000
+# Largest query batch collected into one broadcast.
+MAX_QUERY_ROWS = 1_000_000
 
 
 def _vec(c) -> Column:
@@ -111,10 +113,10 @@ def query_matrix(queries: DataFrame, qid_col: str = "qid", qvec_col: str = "q_em
     """Collect the (bounded, size-checked) query vectors: ids and a unit-row matrix.
     Queries with a null or near-zero vector are dropped (empty dense list)."""
     q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).alias("qv"))
-    n = q.limit(MAX_QUERY_FLOATS + 1).count()
-    rows = q.collect() if n <= MAX_QUERY_FLOATS else None
-    if rows is None:
-        raise ValueError("query set too large to hold on the driver; split it into blocks")
+    # One bounded fetch: at most MAX_QUERY_ROWS + 1 rows ever reach the driver.
+    rows = q.limit(MAX_QUERY_ROWS + 1).collect()
+    if len(rows) > MAX_QUERY_ROWS:
+        raise ValueError("query set too large for one broadcast; split it into batches")
     ids, vecs = [], []
     for r in rows:
         if r.qv is None:

@@ -92,3 +92,13 @@ def test_json_csv_roundtrip(spark, tmp_path):
     a = files.flatten_sample(files.read_json(spark, str(tmp_path / "j"))).collect()
     b = files.flatten_sample(files.read_csv(spark, str(tmp_path / "c"))).collect()
     assert a == b and a[0].text == 'he said "hi",\nthen left' and a[0].topics == "en,src1"
+
+
+def test_udf_scorer_equals_native(spark):
+    from sprank.operators import rerank
+    df = spark.createDataFrame([(0, 1, 1, "a b c", "b c d e", 1.0), (0, 2, 2, "", "x", 0.5),
+                                (1, 1, 3, "x x y", "y z", 0.2)],
+                               "qid long, rank int, doc_id long, query string, content string, score double")
+    nat = {r.doc_id: r.rerank_score for r in rerank.score_pairs(df).collect()}
+    py = {r.doc_id: r.rerank_score for r in rerank.score_pairs(df, scorer="overlap-py").collect()}
+    assert nat == pytest.approx(py) and nat[1] == pytest.approx(2 / 3) and nat[2] == 0.0

@@ -116,3 +116,20 @@ def test_append_equals_rebuild(spark):
     app = bm25.index_from_postings(append_postings(a, b))
     assert app.stats == pytest.approx(full.stats)
     assert sorted(app.terms.collect()) == sorted(full.terms.collect())
+
+
+def test_saved_index_matches_and_needs_no_exchange(spark, index, tmp_path):
+    from sprank.operators import store
+    path = str(tmp_path / "idx")
+    store.save_index(index, path, buckets=4)
+    loaded = store.load_index(spark, path)
+    assert loaded.stats == pytest.approx(index.stats)
+    q = queries(spark)
+    a = sorted(tuple(r) for r in bm25.bm25_topk(index, q, 5).collect())
+    b = sorted(tuple(r) for r in bm25.bm25_topk(loaded, q, 5).collect())
+    assert a == b
+    plan = bm25.bm25_scores(loaded, q)._jdf.queryExecution().executedPlan().toString()
+    # exchanges only on the small query side; none keyed by doc_id (postings
+    # are read bucketed, and the (qid, doc_id) sum runs inside the buckets)
+    import re
+    assert not re.search(r"hashpartitioning\((qid#\d+L?, )?doc_id", plan)
