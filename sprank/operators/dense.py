@@ -31,8 +31,8 @@ from sprank.plans.sizing import checked_broadcast
 NORM_FLOOR = 1e-10
 # Query matrices above this many floats are scored in several passes.
 MAX_QUERY_FLOATS = 8_000_000
-# Largest query batch collected into one broadcast.
-MAX_QUERY_ROWS = 1_000_000
+# Largest query block fetched to the driver at once (bigger sets are split).
+MAX_QUERY_ROWS = 200_000
 
 
 def _vec(c) -> Column:
@@ -110,13 +110,12 @@ _OUT = T.StructType([T.StructField("qid", T.LongType()), T.StructField("doc_id",
 
 
 def query_matrix(queries: DataFrame, qid_col: str = "qid", qvec_col: str = "q_emb"):
-    """Collect the (bounded, size-checked) query vectors: ids and a unit-row matrix.
+    """Collect one (bounded) block of query vectors: ids and a unit-row matrix.
     Queries with a null or near-zero vector are dropped (empty dense list)."""
     q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).alias("qv"))
-    # One bounded fetch: at most MAX_QUERY_ROWS + 1 rows ever reach the driver.
     rows = q.limit(MAX_QUERY_ROWS + 1).collect()
     if len(rows) > MAX_QUERY_ROWS:
-        raise ValueError("query set too large for one broadcast; split it into batches")
+        raise ValueError("query block larger than MAX_QUERY_ROWS")
     ids, vecs = [], []
     for r in rows:
         if r.qv is None:
@@ -132,6 +131,18 @@ def query_matrix(queries: DataFrame, qid_col: str = "qid", qvec_col: str = "q_em
     return np.asarray(ids, dtype=np.int64), np.vstack(vecs)
 
 
+def _query_blocks(queries: DataFrame, qid_col: str) -> list[DataFrame]:
+    """Split a query set into hash blocks of at most about MAX_QUERY_ROWS rows,
+    so that each block is fetched and broadcast on its own (exact for any size)."""
+    n = queries.limit(MAX_QUERY_ROWS + 1).count()
+    if n <= MAX_QUERY_ROWS:
+        return [queries]
+    n = queries.count()
+    nb = -(-n // (MAX_QUERY_ROWS // 2))
+    h = F.pmod(F.xxhash64(F.col(qid_col)), F.lit(nb))
+    return [queries.where(h == i) for i in range(nb)]
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
                vec_col: str = "embedding", qid_col: str = "qid", qvec_col: str = "q_emb",
                rank_col: str = "rank") -> DataFrame:
@@ -139,21 +150,24 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
     if k < 0:
         raise ValueError("k must be >= 0")
     spark = vectors.sparkSession
-    qids, qmat = query_matrix(queries, qid_col, qvec_col)
-    if k == 0 or qids.shape[0] == 0:
-        empty = T.StructType(list(_OUT.fields) + [T.StructField(rank_col, T.IntegerType())])
-        return spark.createDataFrame([], empty)
     src = vectors.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col))
-    dim = qmat.shape[1]
-    block = max(1, MAX_QUERY_FLOATS // max(dim, 1))
     parts = []
-    for lo in range(0, qids.shape[0], block):
-        bq = spark.sparkContext.broadcast((qids[lo:lo + block], qmat[lo:lo + block]))
-
-        def run(batches, bq=bq):
-            ids_, mat_ = bq.value
-            return _score_partitions(ids_, mat_, k, id_col, vec_col)(batches)
-        parts.append(src.mapInPandas(run, _OUT))
+    for qblock in _query_blocks(queries, qid_col):
+        qids, qmat = query_matrix(qblock, qid_col, qvec_col)
+        if k == 0 or qids.shape[0] == 0:
+            continue
+        # Each broadcast holds at most MAX_QUERY_FLOATS values.
+        step = max(1, MAX_QUERY_FLOATS // max(qmat.shape[1], 1))
+        for lo in range(0, qids.shape[0], step):
+            bq = spark.sparkContext.broadcast((qids[lo:lo + step], qmat[lo:lo + step]))
+
+            def run(batches, bq=bq):
+                ids_, mat_ = bq.value
+                return _score_partitions(ids_, mat_, k, id_col, vec_col)(batches)
+            parts.append(src.mapInPandas(run, _OUT))
+    if not parts:
+        empty = T.StructType(list(_OUT.fields) + [T.StructField(rank_col, T.IntegerType())])
+        return spark.createDataFrame([], empty)
     local = parts[0]
     for p in parts[1:]:
         local = local.unionByName(p)

@@ -133,3 +133,20 @@ def test_saved_index_matches_and_needs_no_exchange(spark, index, tmp_path):
     # are read bucketed, and the (qid, doc_id) sum runs inside the buckets)
     import re
     assert not re.search(r"hashpartitioning\((qid#\d+L?, )?doc_id", plan)
+
+
+def test_dense_query_blocks_exact(spark, monkeypatch):
+    from sprank.operators import dense as dmod
+    import random
+    rnd = random.Random(5)
+    vecs = spark.createDataFrame([(i, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(100)],
+                                 "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(j, "", [rnd.uniform(-1, 1) for _ in range(4)]) for j in range(30)],
+                              "qid long, query string, q_emb array<float>")
+    def rows():
+        return sorted((r.qid, r.doc_id, round(r.score, 12), r.rank) for r in dmod.dense_topk(vecs, q, 3).collect())
+    whole = rows()
+    monkeypatch.setattr(dmod, "MAX_QUERY_ROWS", 8)      # forces 8 hash blocks
+    monkeypatch.setattr(dmod, "MAX_QUERY_FLOATS", 12)   # and 3 queries per broadcast
+    blocked = rows()
+    assert whole == blocked and len(whole) == 90
