@@ -202,8 +202,11 @@ def bm25_topk(index: BM25Index, queries: DataFrame, k: int, qid_col: str = "qid"
     contrib = _contributions(index, wq, small)
     qids = queries.select(F.col(qid_col).alias("qid")).distinct()
     pad = _pad_ids(index, contrib.select("qid", "doc_id").distinct(), k)
-    # Q x k rows at most: the pad ids are a bounded (limit) table.
-    pad_rows = qids.crossJoin(F.broadcast(pad)).select("qid", "doc_id", F.lit(0.0).alias("c"))
+    # Q x k rows in the normal case: the pad ids are a limit-k table. (With a
+    # negative eps, only possible in tiny corpora, the limit grows by the
+    # largest match count; the broadcast is still behind a size check.)
+    pad, _ = checked_broadcast(pad, what="pad ids")
+    pad_rows = qids.crossJoin(pad).select("qid", "doc_id", F.lit(0.0).alias("c"))
     # Partition the pad rows like the postings so the union stays clustered by
     # doc_id and the sum below needs no exchange of the matched pairs.
     pad_rows = (pad_rows.repartition(index.partitions, "doc_id") if index.partitions

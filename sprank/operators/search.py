@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sprank.functions.ranking import OUT_DIGITS
 from sprank.operators import rerank as rr
 from sprank.operators.fusion import HybridIndex, hybrid_search
+from sprank.plans.sizing import checked_broadcast
 from sprank.session import checkpoint_small
 
 
@@ -25,9 +26,8 @@ def with_content(hits: DataFrame, content: DataFrame, id_col: str = "doc_id",
     matched rows are joined back to the hits. The hits are used twice, so
     they are checkpointed once (they are bounded by queries x k)."""
     hits = checkpoint_small(hits)
-    ids = hits.select(id_col).distinct()
-    found = content.select(F.col(id_col), F.col(content_col).alias("content")).join(
-        F.broadcast(ids), id_col)
+    ids, _ = checked_broadcast(hits.select(id_col).distinct(), what="hit ids")
+    found = content.select(F.col(id_col), F.col(content_col).alias("content")).join(ids, id_col)
     return (hits.join(found, id_col, "left")
                 .withColumn("content", F.coalesce(F.col("content"), F.lit(""))))
 
@@ -36,8 +36,8 @@ def with_title(hits: DataFrame, titles: DataFrame, id_col: str = "doc_id",
                title_col: str = "title") -> DataFrame:
     """Attach a title by source id; falls back to the id itself."""
     hits = checkpoint_small(hits)
-    ids = hits.select(id_col).distinct()
-    found = titles.select(F.col(id_col), F.col(title_col).alias("title")).join(F.broadcast(ids), id_col)
+    ids, _ = checked_broadcast(hits.select(id_col).distinct(), what="hit ids")
+    found = titles.select(F.col(id_col), F.col(title_col).alias("title")).join(ids, id_col)
     return (hits.join(found, id_col, "left")
                 .withColumn("title", F.coalesce(F.col("title"), F.col(id_col).cast("string"))))
 
