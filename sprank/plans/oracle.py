@@ -53,9 +53,10 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::BIGINT
 FROM k"""
 
 
-def bm25_ctes(doc_filter: str = "") -> str:
+def bm25_ctes(corpus: str = "documents") -> str:
+    """BM25 CTEs over ``corpus`` (a table or subquery with doc_id, text)."""
     return f"""
-docs AS (SELECT doc_id, {tok('text')} AS tk FROM documents {doc_filter}),
+docs AS (SELECT doc_id, {tok('text')} AS tk FROM {corpus}),
 dl AS (SELECT doc_id, len(tk) AS dl FROM docs),
 post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tk) AS term FROM docs) GROUP BY doc_id, term),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
@@ -214,6 +215,9 @@ FROM (SELECT vec_id, embedding, sqrt(list_dot_product(embedding::DOUBLE[], embed
     s["bm25_topk"] = (f"WITH {bm25_ctes()}, {sparse_topk('sp', LIST_K)} "
                       f"SELECT qid, list_rank::BIGINT AS rank, doc_id, {r6('score')} AS score FROM sp")
     s["index_append"] = s["bm25_index"]
+    chunk_corpus = f"(SELECT chunk_id AS doc_id, chunk AS text FROM ({CHUNK_WORDS}))"
+    s["chunk_bm25_topk"] = (f"WITH {bm25_ctes(chunk_corpus)}, {sparse_topk('sp', LIST_K)} "
+                            f"SELECT qid, list_rank::BIGINT AS rank, doc_id AS chunk_id, {r6('score')} AS score FROM sp")
     s["minmax_scores"] = (f"WITH {norm_lists(LIST_K)} SELECT qid, list, list_rank::BIGINT AS list_rank, doc_id, "
                           f"{r6('raw')} AS raw, {r6('norm')} AS norm FROM lists")
     s["hybrid_fuse"] = (f"WITH {norm_lists(LIST_K)}, {fused(ALPHA)} SELECT qid, doc_id, {r6('dense')} AS dense, "
