@@ -184,7 +184,7 @@ def _pad_ids(index: BM25Index, matched: DataFrame, k: int) -> DataFrame:
     if index.stats["eps"] < 0:
         mx = matched.groupBy("qid").count().agg(F.max("count")).first()[0]
         extra = int(mx or 0)
-    return index.doc_ids.orderBy("doc_id").limit(k + extra)
+    return index.doc_ids.orderBy("doc_id").limit(k + extra), extra
 
 
 def bm25_topk(index: BM25Index, queries: DataFrame, k: int, qid_col: str = "qid",
@@ -201,11 +201,11 @@ def bm25_topk(index: BM25Index, queries: DataFrame, k: int, qid_col: str = "qid"
     wq, small = _weighted_terms(index, queries, qid_col, query_col)
     contrib = _contributions(index, wq, small)
     qids = queries.select(F.col(qid_col).alias("qid")).distinct()
-    pad = _pad_ids(index, contrib.select("qid", "doc_id").distinct(), k)
+    pad, extra = _pad_ids(index, contrib.select("qid", "doc_id").distinct(), k)
     # Q x k rows in the normal case: the pad ids are a limit-k table. (With a
     # negative eps, only possible in tiny corpora, the limit grows by the
     # largest match count; the broadcast is still behind a size check.)
-    pad, _ = checked_broadcast(pad, what="pad ids")
+    pad = F.broadcast(pad) if extra == 0 else checked_broadcast(pad, what="pad ids")[0]
     pad_rows = qids.crossJoin(pad).select("qid", "doc_id", F.lit(0.0).alias("c"))
     # Partition the pad rows like the postings so the union stays clustered by
     # doc_id and the sum below needs no exchange of the matched pairs.
