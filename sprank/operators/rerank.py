@@ -55,17 +55,20 @@ def register_scorer(name: str, loader: Callable[[], Callable[[list[str], list[st
 register_scorer("overlap-py", lambda: _overlap_py)
 
 
-def _get_scorer(name: str):
+def _get_scorer(name: str, loader=None):
     if name not in _CACHE:
-        _CACHE[name] = _LOADERS[name]()
+        _CACHE[name] = (loader or _LOADERS[name])()
     return _CACHE[name]
 
 
 def udf_scorer(name: str, batch_size: int = 32):
-    """Iterator Pandas UDF (query, content) -> double for a registered scorer."""
+    """Iterator Pandas UDF (query, content) -> double for a registered scorer.
+    The loader travels in the closure; the model is loaded once per worker."""
+    loader = _LOADERS[name]
+
     @F.pandas_udf("double")
     def score(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        fn = _get_scorer(name)
+        fn = _get_scorer(name, loader)
         for q, c in it:
             ql, cl = q.tolist(), c.tolist()
             parts = [np.asarray(fn(ql[i:i + batch_size], cl[i:i + batch_size]), dtype=float)

@@ -69,6 +69,10 @@ def test_embedding_paths_agree(spark):
         assert np.allclose(fast[r.id], want, atol=1e-6)
     assert len(fast[1]) == 384 and np.isclose(np.linalg.norm(fast[1]), 1.0)
     assert not fast[2].any()
+    # the generic registry path (model UDF) gives the same vectors
+    embedding.register_model("bow-test", lambda: embedding.hashed_bow())
+    slow = {r.id: np.array(r.embedding) for r in embedding.embed(df, "text", model="bow-test").collect()}
+    assert all(np.allclose(slow[k], fast[k], atol=1e-6) for k in fast)
 
 
 def test_text_source_and_fallback(spark, tmp_path):
