@@ -5,7 +5,8 @@ product. Two plans compute the same scores:
 
 * ``dense_topk`` -- the scalable path. The query matrix (q x d, broadcast
   behind a size check, processed in blocks of queries if large) meets each
-  Arrow batch of corpus vectors in ``mapInPandas``: one matrix product per
+  Arrow batch of corpus vectors in ``mapInArrow`` (the flat list values are
+  reshaped to a matrix, no per-row objects): one matrix product per
   batch, then a running per-query top-k under the global order (rounded score
   desc, id asc). Only partitions x queries x k rows leave the tasks, and a
   final ``row_number`` picks the global top-k. No corpus x query pairs are
@@ -82,17 +83,42 @@ def _local_topk(ids: np.ndarray, scores: np.ndarray, k: int):
     return cand
 
 
+def _batch_matrix(batch, id_col: str, vec_col: str):
+    """(ids, unit-row matrix) of an Arrow record batch without per-row objects:
+    the list column's flat values are reshaped to (rows, dim). A NULL vector
+    counts as a zero vector (score 0)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ids = batch.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
+    col = batch.column(vec_col)
+    if col.null_count:
+        col = pc.if_else(pc.is_null(col), pa.scalar([], type=col.type), col)
+    offsets = col.offsets.to_numpy()
+    lens = np.diff(offsets)
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    dim = int(lens.max()) if lens.size else 0
+    if lens.size and (lens.min() != dim):
+        mat = np.zeros((len(lens), dim))
+        for i, (a, n) in enumerate(zip(offsets[:-1] - offsets[0], lens)):
+            mat[i, :n] = flat[a:a + n]
+    else:
+        mat = flat.reshape(len(lens), dim)
+    norms = np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), NORM_FLOOR)
+    return ids, mat / norms
+
+
 def _score_partitions(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec_col: str):
+    import pyarrow as pa
+
     def run(batches):
         keep_ids = [np.empty(0, dtype=np.int64) for _ in range(len(qids))]
         keep_sc = [np.empty(0, dtype=np.float64) for _ in range(len(qids))]
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            mat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            norms = np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), NORM_FLOOR)
-            sc = (mat / norms) @ qmat.T  # (batch, queries)
+            ids, unit = _batch_matrix(batch, id_col, vec_col)
+            sc = unit @ qmat.T  # (batch, queries)
             for j in range(len(qids)):
                 all_ids = np.concatenate([keep_ids[j], ids])
                 all_sc = np.concatenate([keep_sc[j], sc[:, j]])
@@ -100,8 +126,9 @@ def _score_partitions(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, v
                 keep_ids[j], keep_sc[j] = all_ids[sel], all_sc[sel]
         for j, q in enumerate(qids):
             if keep_ids[j].shape[0]:
-                yield pd.DataFrame({"qid": np.full(keep_ids[j].shape[0], q, dtype=np.int64),
-                                    "doc_id": keep_ids[j], "score": keep_sc[j]})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(keep_ids[j].shape[0], q, dtype=np.int64)),
+                     pa.array(keep_ids[j]), pa.array(keep_sc[j])], names=["qid", "doc_id", "score"])
     return run
 
 
@@ -164,7 +191,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
             def run(batches, bq=bq):
                 ids_, mat_ = bq.value
                 return _score_partitions(ids_, mat_, k, id_col, vec_col)(batches)
-            parts.append(src.mapInPandas(run, _OUT))
+            parts.append(src.mapInArrow(run, _OUT))
     if not parts:
         empty = T.StructType(list(_OUT.fields) + [T.StructField(rank_col, T.IntegerType())])
         return spark.createDataFrame([], empty)

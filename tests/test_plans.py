@@ -36,7 +36,7 @@ def test_bm25_no_term_shuffle_and_partial_topk(spark, Q):
 
 def test_dense_is_blockwise(spark, Q):
     p = plan_of(Q["dense_topk"](spark, SF001))
-    assert "MapInPandas" in p and "WindowGroupLimit" in p
+    assert "MapInArrow" in p and "WindowGroupLimit" in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
