@@ -106,3 +106,16 @@ def test_udf_scorer_equals_native(spark):
     nat = {r.doc_id: r.rerank_score for r in rerank.score_pairs(df).collect()}
     py = {r.doc_id: r.rerank_score for r in rerank.score_pairs(df, scorer="overlap-py").collect()}
     assert nat == pytest.approx(py) and nat[1] == pytest.approx(2 / 3) and nat[2] == 0.0
+
+
+def test_stream_index_equals_batch_index(spark):
+    from sprank.operators import bm25, chunking
+    from sprank.streaming import jobs
+    idx = jobs.ingest_index(spark, f"{SF001}/documents.parquet")
+    chunks = chunking.char_chunks(spark.read.parquet(f"{SF001}/documents.parquet"))
+    full = bm25.build_bm25(chunks, "chunk_id", "chunk")
+    assert idx.stats == pytest.approx(full.stats)
+    q = spark.createDataFrame([(0, "the of and zebra")], "qid long, query string")
+    a = sorted((r.qid, r.doc_id, round(r.score, 9), r.rank) for r in bm25.bm25_topk(idx, q, 5).collect())
+    b = sorted((r.qid, r.doc_id, round(r.score, 9), r.rank) for r in bm25.bm25_topk(full, q, 5).collect())
+    assert a == b
