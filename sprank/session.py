@@ -55,29 +55,50 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _SHIPPED: set[int] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make ``sprank`` importable on executors (Pandas UDF / mapInPandas
-    closures refer to its functions): zip the package once per context into
-    the shared folder and register it with ``addPyFile``."""
+def _zip_package() -> bytes:
+    import io
     import zipfile
 
-    sc = spark.sparkContext
-    key = id(sc)
-    if key in _SHIPPED:
-        return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(shared_dir(spark), "sprank-pkg", uuid.uuid4().hex[:12])
-    if out.startswith("file:"):
-        out = out[len("file:"):]
-    os.makedirs(out, exist_ok=True)
-    zpath = os.path.join(out, "sprank.zip")
-    with zipfile.ZipFile(zpath, "w") as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
         for root, _, files in os.walk(pkg):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(zpath)
+    return buf.getvalue()
+
+
+def _write_bytes(spark: SparkSession, uri: str, data: bytes) -> None:
+    """Write a small file into the shared folder, local or distributed."""
+    if "://" not in uri or uri.startswith("file:"):
+        local = uri[len("file:"):] if uri.startswith("file:") else uri
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with open(local, "wb") as fh:
+            fh.write(data)
+        return
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(uri)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sprank`` importable on executors (UDF / mapInArrow closures refer
+    to its functions): zip the package once per context into the shared folder
+    (any Hadoop file system) and register it with ``addPyFile``."""
+    sc = spark.sparkContext
+    key = id(sc)
+    if key in _SHIPPED:
+        return
+    uri = os.path.join(shared_dir(spark), "sprank-pkg", uuid.uuid4().hex[:12], "sprank.zip")
+    _write_bytes(spark, uri, _zip_package())
+    sc.addPyFile(uri)
     _SHIPPED.add(key)
 
 
