@@ -150,3 +150,25 @@ def test_dense_query_blocks_exact(spark, monkeypatch):
     monkeypatch.setattr(dmod, "MAX_QUERY_FLOATS", 12)   # and 3 queries per broadcast
     blocked = rows()
     assert whole == blocked and len(whole) == 90
+
+
+def test_build_or_load_reuses_and_invalidates(spark, tmp_path):
+    import os
+    import time
+    from sprank.operators import store
+    src = tmp_path / "docs"
+    spark.createDataFrame(DOCS, "doc_id long, text string").write.parquet(str(src))
+    calls = []
+
+    def build():
+        calls.append(1)
+        return bm25.build_bm25(spark.read.parquet(str(src)))
+    root = str(tmp_path / "indexes")
+    a = store.build_or_load(spark, root, str(src), build, buckets=2)
+    b = store.build_or_load(spark, root, str(src), build, buckets=2)
+    assert len(calls) == 1 and a.stats == b.stats
+    time.sleep(1.1)  # a changed input (new mtime and size) gets a new index
+    spark.createDataFrame([(9, "extra doc")], "doc_id long, text string").write.mode("append").parquet(str(src))
+    c = store.build_or_load(spark, root, str(src), build, buckets=2)
+    assert len(calls) == 2 and c.stats["n"] == 4
+    assert len(os.listdir(root)) == 2
