@@ -43,7 +43,10 @@ def query_table(spark, sf_dir) -> DataFrame:
     ids, _ = checked_broadcast(q.select(F.col("qid").alias("vec_id")), what="query ids")
     e = (table(spark, sf_dir, "embeddings").join(ids, "vec_id")
          .select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_emb")))
-    return q.join(e, "qid", "left")
+    # Bounded (its ids passed the size check) and read by several branches of
+    # every search plan: materialise it once.
+    from sprank.session import checkpoint_small
+    return checkpoint_small(q.join(e, "qid", "left"))
 
 
 def content_table(spark, sf_dir) -> DataFrame:

@@ -107,4 +107,10 @@ def checkpoint_small(df):
     with a reliable checkpoint into the shared folder, so that plans using it
     twice do not recompute what produced it, and its lineage is cut."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # Without the persist, a reliable checkpoint computes the plan twice: once
+    # for the eager action, once more to write the checkpoint files.
+    df = df.persist()
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
