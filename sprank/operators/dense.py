@@ -136,11 +136,16 @@ _OUT = T.StructType([T.StructField("qid", T.LongType()), T.StructField("doc_id",
                      T.StructField("score", T.DoubleType())])
 
 
-def query_matrix(queries: DataFrame, qid_col: str = "qid", qvec_col: str = "q_emb"):
+def _fetch(queries: DataFrame, qid_col: str, qvec_col: str):
+    """At most MAX_QUERY_ROWS + 1 query rows (one bounded fetch)."""
+    q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).alias("qv"))
+    return q.limit(MAX_QUERY_ROWS + 1).collect()
+
+
+def query_matrix(queries: DataFrame, qid_col: str = "qid", qvec_col: str = "q_emb", rows=None):
     """Collect one (bounded) block of query vectors: ids and a unit-row matrix.
     Queries with a null or near-zero vector are dropped (empty dense list)."""
-    q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).alias("qv"))
-    rows = q.limit(MAX_QUERY_ROWS + 1).collect()
+    rows = _fetch(queries, qid_col, qvec_col) if rows is None else rows
     if len(rows) > MAX_QUERY_ROWS:
         raise ValueError("query block larger than MAX_QUERY_ROWS")
     ids, vecs = [], []
@@ -158,16 +163,17 @@ def query_matrix(queries: DataFrame, qid_col: str = "qid", qvec_col: str = "q_em
     return np.asarray(ids, dtype=np.int64), np.vstack(vecs)
 
 
-def _query_blocks(queries: DataFrame, qid_col: str) -> list[DataFrame]:
-    """Split a query set into hash blocks of at most about MAX_QUERY_ROWS rows,
-    so that each block is fetched and broadcast on its own (exact for any size)."""
-    n = queries.limit(MAX_QUERY_ROWS + 1).count()
-    if n <= MAX_QUERY_ROWS:
-        return [queries]
+def _query_blocks(queries: DataFrame, qid_col: str, qvec_col: str) -> list:
+    """(block, fetched rows or None) pairs: one block when the set fits in a
+    single bounded fetch, else hash blocks of about MAX_QUERY_ROWS / 2 rows,
+    each fetched and broadcast on its own (exact for any size)."""
+    rows = _fetch(queries, qid_col, qvec_col)
+    if len(rows) <= MAX_QUERY_ROWS:
+        return [(queries, rows)]
     n = queries.count()
     nb = -(-n // (MAX_QUERY_ROWS // 2))
     h = F.pmod(F.xxhash64(F.col(qid_col)), F.lit(nb))
-    return [queries.where(h == i) for i in range(nb)]
+    return [(queries.where(h == i), None) for i in range(nb)]
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
@@ -179,8 +185,8 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
     spark = vectors.sparkSession
     src = vectors.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col))
     parts = []
-    for qblock in _query_blocks(queries, qid_col):
-        qids, qmat = query_matrix(qblock, qid_col, qvec_col)
+    for qblock, rows in _query_blocks(queries, qid_col, qvec_col):
+        qids, qmat = query_matrix(qblock, qid_col, qvec_col, rows)
         if k == 0 or qids.shape[0] == 0:
             continue
         # Each broadcast holds at most MAX_QUERY_FLOATS values.
