@@ -64,6 +64,6 @@ def template_articles(ids: DataFrame, domains: dict[str, list[str]], sentences:
     for p in range(paragraphs):
         s = F.element_at(tmpl, (_draw(i, seed, 10 + p, len(sentences)) + 1).cast("int"))
         w = F.element_at(words, (F.pmod(F.xxhash64(i, F.lit(seed), F.lit(100 + p)), F.size(words)) + 1).cast("int"))
-        paras.append(F.format_string(s, w))
+        paras.append(F.replace(s, F.lit("%s"), w))  # the template is per row
     return ids.select(F.format_string("article_%04d", i).alias("doc_id"), dom.alias("domain"),
                       F.concat_ws("\n\n", *paras).alias("content"))

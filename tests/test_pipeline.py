@@ -119,3 +119,23 @@ def test_stream_index_equals_batch_index(spark):
     a = sorted((r.qid, r.doc_id, round(r.score, 9), r.rank) for r in bm25.bm25_topk(idx, q, 5).collect())
     b = sorted((r.qid, r.doc_id, round(r.score, 9), r.rank) for r in bm25.bm25_topk(full, q, 5).collect())
     assert a == b
+
+
+def test_extension_predicate(spark):
+    from sprank.operators import chunking
+    files = spark.createDataFrame([("a.PDF",), ("b.pdf",), ("c.txt",)], "filename string")
+    got = {r.filename: (r.accepted, r.reason) for r in chunking.accept_by_extension(files).collect()}
+    assert got == {"a.PDF": (True, None), "b.pdf": (True, None), "c.txt": (False, "unsupported_type")}
+
+
+def test_generators(spark):
+    from sprank.sources import generators
+    docs = generators.topic_documents(spark.range(200)).collect()
+    assert len(docs) == 200 and docs[0].id == "doc_0000"
+    for d in docs:
+        assert 1 <= len(d.topics) <= 3 and len(set(d.topics)) == len(d.topics)
+        assert set(d.topics) <= set(generators.TOPICS)
+        assert d.length == len(d.content) and 1 <= int(d.metadata.author.split("_")[1]) <= 10
+    arts = generators.template_articles(spark.range(5), {"x": ["alpha", "beta"], "y": ["gamma"]},
+                                        ["About %s.", "More on %s."], paragraphs=3).collect()
+    assert len(arts) == 5 and all(a.content.count("\n\n") == 2 for a in arts)
