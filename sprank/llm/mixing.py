@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sprank.llm.common import written
 
 ATTRIBUTES = ("source", "lang", "topic")
-TEMPER = 0.85      # default target of a value: its token share to this power, normalised
+TEMPER = 0.9      # default target of a value: its token share to this power, normalised
 ROUNDS, TOLERANCE = 25, 1e-10
 SEED = "mix-1"
 
