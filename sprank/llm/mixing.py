@@ -37,7 +37,8 @@ def tokens_of(text: Column) -> Column:
 def tempered(cells: DataFrame, attribute: str, power: float = TEMPER) -> DataFrame:
     """(attribute, target): shares of weight to ``power``, normalised over the values."""
     shares = cells.groupBy(attribute).agg(F.pow(F.sum("w0"), F.lit(power)).alias("p"))
-    return shares.join(shares.agg(F.sum("p").alias("all"))).select(attribute, (F.col("p") / F.col("all")).alias("target"))
+    total = shares.agg(F.sum("p")).first()[0] or 1.0
+    return shares.select(attribute, (F.col("p") / F.lit(total)).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -93,10 +94,11 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataF
     """
     rows = written(_marked(docs), "marked")
     w = rows.where("tokens > 0").groupBy(*ATTRIBUTES).agg(F.sum("tokens").cast("double").alias("n"))
-    cells = written(w.join(w.agg(F.sum("n").alias("all"))).select(*ATTRIBUTES, (F.col("n") / F.col("all")).alias("w0")), "shares")
+    total = rows.agg(F.sum("tokens")).first()[0] or 1
+    cells = written(w.select(*ATTRIBUTES, (F.col("n") / F.lit(float(total))).alias("w0")), "shares")
     fitted = rake(cells, targets or {a: tempered(cells, a) for a in ATTRIBUTES})
-    factor = fitted.withColumn("f", F.col("w") / F.col("w0"))
-    factor = factor.join(factor.agg(F.max("f").alias("most"))).select(*ATTRIBUTES, (F.col("f") / F.col("most")).alias("p"))
+    most = fitted.agg(F.max(F.col("w") / F.col("w0"))).first()[0] or 1.0
+    factor = fitted.select(*ATTRIBUTES, (F.col("w") / F.col("w0") / F.lit(most)).alias("p"))
     out = rows.join(factor, list(ATTRIBUTES), "left")
     p = F.round(F.when(F.col("tokens") == 0, 1.0).otherwise(F.col("p")), 6)
     return out.select("doc_id", "tokens", "topic", p.alias("probability"), (draw(F.col("doc_id")) < p).alias("kept"))
