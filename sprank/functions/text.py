@@ -55,8 +55,9 @@ def sentence_count(clean_text) -> Column:
 
 
 def snippet(text, n: int, ellipsis: str = "...", always: bool = False) -> Column:
-    """Preview: newlines to spaces, trim, first ``n`` chars, ellipsis if longer."""
-    flat = F.trim(F.regexp_replace(_c(text), "\n", " "))
+    """Preview: newlines to spaces, strip Unicode whitespace, first ``n`` chars, ellipsis if longer."""
+    flat = F.regexp_replace(_c(text), "\n", " ")
+    flat = F.regexp_replace(flat, rf"\A{PY_WS_RUN}|{PY_WS_RUN}\z", "")
     head = F.substring(flat, 1, n)
     if always:
         return F.concat(head, F.lit(ellipsis))

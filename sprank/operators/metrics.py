@@ -4,13 +4,12 @@ Counters, cumulative histograms, gauges and per-minute series are plain
 grouped aggregations; each runs with map-side partial aggregation, so a hot
 endpoint holding a third of all rows is pre-combined in every task before the
 shuffle. Histograms use one pass of conditional sums (no join with a bucket
-table); exact percentiles use Spark's ``percentile`` (equal to DuckDB
-``quantile_cont``), whose buffer is a value -> count map per group.
+table); exact percentiles select ranks by counts over value ranges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sprank.functions.text import safe_ratio
@@ -21,6 +20,8 @@ DEFAULT_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0,
 INF_LABEL = "+Inf"
 PERCENTILES = (0.5, 0.95, 0.99)
 TAIL_ROWS = 50
+# Rows per value range of the percentile selection, about.
+VALUES_PER_RANGE = 10_000
 
 
 def minute(ts_col: str = "ts", period: str = "1 minute"):
@@ -65,12 +66,46 @@ def index_size(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def latency_percentiles(events: DataFrame, endpoint: str = "event_type", value: str = "value",
                         ts: str = "ts", period: str = "1 minute", pcts=PERCENTILES) -> DataFrame:
-    """Exact p50/p95/p99 of ``value`` per (window, endpoint)."""
-    p = F.percentile(F.col(value), F.array(*[F.lit(x) for x in pcts]))
-    out = events.groupBy(minute(ts, period).alias("w"), F.col(endpoint).alias("endpoint")).agg(
-        p.alias("p"), F.count(F.lit(1)).alias("n"))
-    return out.select("w", "endpoint", "n", *[F.col("p")[i].alias(f"p{int(round(x * 100))}")
-                                              for i, x in enumerate(pcts)])
+    """Exact interpolated percentiles of ``value`` per (window, endpoint).
+
+    Selection by counting: equal values are counted where they lie and added up
+    per (group, value); running counts inside value ranges of the group, then
+    over its ranges, say which values hold the two ranks that a percentile lies
+    between. No task holds the values of a whole group. NULL values don't count
+    as values (``n`` counts all rows).
+    """
+    keys = ["w", "endpoint"]
+    rows = events.select(minute(ts, period).alias("w"), F.col(endpoint).alias("endpoint"), F.col(value).alias("v"))
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("nv"),
+                                     F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # Ranges of equal width, about VALUES_PER_RANGE rows each if values spread evenly.
+    cells = (rows.where("v is not null").groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+             .join(groups.select(*keys, "lo", "hi", F.ceil(F.col("nv") / VALUES_PER_RANGE).alias("ranges")), keys))
+    place = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    cells = cells.select(*keys, "v", "c", F.least(F.floor(place * F.col("ranges")), F.col("ranges") - 1).alias("range"))
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (cells.groupBy(*keys, "range").agg(F.sum("c").alias("c"))
+              .select(*keys, "range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base")))
+    inside = Window.partitionBy(*keys, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (cells.withColumn("upto", F.sum("c").over(inside)).join(ranges, [*keys, "range"])
+              .select(*keys, "v", (F.col("base") + F.col("upto") - F.col("c")).alias("first"),
+                      (F.col("base") + F.col("upto") - 1).alias("last")))
+    ranked = ranked.join(groups.select(*keys, "nv"), keys)
+
+    def at(rank):
+        return F.min(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("v")))
+    aggs = []
+    for i, x in enumerate(pcts):
+        spot = F.lit(float(x)) * (F.col("nv") - 1)
+        aggs += [at(F.floor(spot)).alias(f"a{i}"), at(F.ceil(spot)).alias(f"b{i}")]
+    found = ranked.groupBy(*keys).agg(*aggs)
+    out = groups.join(found, keys, "left")
+    cols = []
+    for i, x in enumerate(pcts):
+        spot = F.lit(float(x)) * (F.col("nv") - 1)
+        part = spot - F.floor(spot)
+        cols.append((F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * part).alias(f"p{int(round(x * 100))}"))
+    return out.select(*keys, "n", *cols)
 
 
 def per_minute(events: DataFrame, endpoint: str = "event_type", value: str = "value",

@@ -182,7 +182,7 @@ def oracle_sql() -> dict[str, str]:
         "FROM documents")
     s["doc_snippet"] = f"""
 SELECT doc_id, CASE WHEN length(f) > 260 THEN substring(f, 1, 260) || '...' ELSE substring(f, 1, 260) END AS snippet
-FROM (SELECT doc_id, trim(replace(text, {NL}, ' '), ' ') AS f FROM documents)"""
+FROM (SELECT doc_id, regexp_replace(replace(text, {NL}, ' '), '^{WS}|{WS}$', '', 'g') AS f FROM documents)"""
     s["doc_avg_stats"] = """
 SELECT doc_id, avg(len(string_split(text, ' '))) AS avg_words, avg(length(text)) AS avg_chars
 FROM documents GROUP BY doc_id"""

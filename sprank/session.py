@@ -36,10 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     """Root of the shared folder for checkpoints and written tables.
 
     Taken from ``spark.checkpoint.dir`` as configured for the cluster. Only
-    when it is unset (local tests) a private folder is created and recorded.
+    on a local master (tests) an unset one is replaced by a private folder; on
+    a cluster that would lose data, so it raises.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="sprank-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -52,9 +56,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "sprank", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-_SHIPPED: set[int] = set()
-
-
 def _zip_package() -> bytes:
     import io
     import zipfile
@@ -93,13 +94,12 @@ def ship_package(spark: SparkSession) -> None:
     to its functions): zip the package once per context into the shared folder
     (any Hadoop file system) and register it with ``addPyFile``."""
     sc = spark.sparkContext
-    key = id(sc)
-    if key in _SHIPPED:
+    if getattr(sc, "_sprank_shipped", False):
         return
     uri = os.path.join(shared_dir(spark), "sprank-pkg", uuid.uuid4().hex[:12], "sprank.zip")
     _write_bytes(spark, uri, _zip_package())
     sc.addPyFile(uri)
-    _SHIPPED.add(key)
+    sc._sprank_shipped = True
 
 
 def checkpoint_small(df):
