@@ -75,36 +75,32 @@ def latency_percentiles(events: DataFrame, endpoint: str = "event_type", value:
     as values (``n`` counts all rows).
     """
     keys = ["w", "endpoint"]
-    rows = events.select(minute(ts, period).alias("w"), F.col(endpoint).alias("endpoint"), F.col(value).alias("v"))
-    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("nv"),
-                                     F.min("v").alias("lo"), F.max("v").alias("hi"))
-    # Ranges of equal width, about VALUES_PER_RANGE rows each if values spread evenly.
-    cells = (rows.where("v is not null").groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
-             .join(groups.select(*keys, "lo", "hi", F.ceil(F.col("nv") / VALUES_PER_RANGE).alias("ranges")), keys))
+    cells = (events.groupBy(minute(ts, period).alias("w"), F.col(endpoint).alias("endpoint"), F.col(value).alias("v"))
+             .agg(F.count(F.lit(1)).alias("c")))
+    groups = cells.groupBy(*keys).agg(
+        F.sum("c").alias("n"), F.sum(F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)).alias("nv"),
+        F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # Ranges of equal width, about VALUES_PER_RANGE rows each if values spread evenly; NULLs come last.
+    ranges = F.ceil(F.col("nv") / VALUES_PER_RANGE)
     place = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    cells = cells.select(*keys, "v", "c", F.least(F.floor(place * F.col("ranges")), F.col("ranges") - 1).alias("range"))
+    cells = cells.join(groups, keys).withColumn(
+        "range", F.when(F.col("v").isNull(), ranges).otherwise(F.least(F.floor(place * ranges), ranges - 1)))
     before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (cells.groupBy(*keys, "range").agg(F.sum("c").alias("c"))
-              .select(*keys, "range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base")))
+    bases = (cells.groupBy(*keys, "range").agg(F.sum("c").alias("c"))
+             .select(*keys, "range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base")))
+    # Dealt by range, not by group: a group may hold a third of all rows.
     inside = Window.partitionBy(*keys, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (cells.withColumn("upto", F.sum("c").over(inside)).join(ranges, [*keys, "range"])
-              .select(*keys, "v", (F.col("base") + F.col("upto") - F.col("c")).alias("first"),
-                      (F.col("base") + F.col("upto") - 1).alias("last")))
-    ranked = ranked.join(groups.select(*keys, "nv"), keys)
+    cells = (cells.repartition(*keys, "range").withColumn("upto", F.sum("c").over(inside)).join(bases, [*keys, "range"])
+             .withColumn("last", F.col("base") + F.col("upto") - 1).withColumn("first", F.col("last") - F.col("c") + 1))
 
     def at(rank):
         return F.min(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("v")))
-    aggs = []
-    for i, x in enumerate(pcts):
-        spot = F.lit(float(x)) * (F.col("nv") - 1)
-        aggs += [at(F.floor(spot)).alias(f"a{i}"), at(F.ceil(spot)).alias(f"b{i}")]
-    found = ranked.groupBy(*keys).agg(*aggs)
-    out = groups.join(found, keys, "left")
-    cols = []
-    for i, x in enumerate(pcts):
-        spot = F.lit(float(x)) * (F.col("nv") - 1)
-        part = spot - F.floor(spot)
-        cols.append((F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * part).alias(f"p{int(round(x * 100))}"))
+    spots = [F.lit(float(x)) * (F.col("nv") - 1) for x in pcts]
+    aggs = [f(s) for s in spots for f in (lambda s: at(F.floor(s)), lambda s: at(F.ceil(s)))]
+    out = cells.groupBy(*keys).agg(F.max("n").alias("n"), F.max("nv").alias("nv"),
+                                   *[a.alias(f"x{i}") for i, a in enumerate(aggs)])
+    cols = [(F.col(f"x{2 * i}") + (F.col(f"x{2 * i + 1}") - F.col(f"x{2 * i}")) * (s - F.floor(s)))
+            .alias(f"p{int(round(x * 100))}") for i, (x, s) in enumerate(zip(pcts, spots))]
     return out.select(*keys, "n", *cols)
 
 
