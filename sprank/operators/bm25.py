@@ -1,16 +1,14 @@
 """Okapi BM25 keyword index and scoring as DataFrame plans.
 
-Index layout (all DataFrames):
-
-* ``postings``  (doc_id, term, tf, dl, first) -- one row per distinct term of a
-  document plus one NULL-term row per document (``first``), hash-partitioned
-  by ``doc_id``. Building them takes one shuffle (documents by ``doc_id``);
-  nothing is ever shuffled by term.
-* ``terms``     (term, df, raw_idf, idf) -- the vocabulary.
-* ``stats``     one row (n, avgdl, avg_idf, eps).
-
-Scoring joins the small query-term table (broadcast behind a size check) to
-the postings, so no posting list is ever shuffled by term: a term present in
+Postings (doc_id, term, tf, dl, first) hold one row per distinct term of a
+document plus one NULL-term row per document (``first``), hash-partitioned by
+``doc_id``; building them takes one shuffle of the documents and none by term.
+A stored index (``store``) also has its vocabulary (term, df), and its postings
+are laid out by term hash as well, so a search reads only the parts that can
+hold its terms, once.
+
+Scoring joins the query terms (broadcast in blocks of checked size) to the
+postings, so no posting list is ever shuffled by term: a term present in
 every document is just a long scan, not a hot shuffle key. Because the
 postings are partitioned by ``doc_id``, the per-(query, document) sum needs no
 exchange, and the top-k cut runs a partial per-partition limit before the only
@@ -23,20 +21,30 @@ terms); a query term repeated counts again; unknown terms add 0.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sprank.functions.ranking import rank_topk
 from sprank.functions.text import tokens
-from sprank.plans.sizing import checked_broadcast
 
 # The public Okapi defaults of the rank-bm25 package.
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 
+# Query terms broadcast at once, and the number of terms up to which the scan is
+# also filtered by term (beyond, by part only).
+MAX_BLOCK_BYTES = 64 << 20
+MAX_PRUNED_TERMS = 200
+# Documents of one slot when smallest unmatched ids are searched.
+SLOT_DOCS = 200_000
+
 
 @dataclass
 class BM25Index:
@@ -48,26 +56,33 @@ class BM25Index:
     k1: float = K1
     b: float = B
     epsilon: float = EPSILON
-    # Number of doc_id hash partitions of ``postings`` when it is a bucketed
-    # table (``store.load_index``); None = spark.sql.shuffle.partitions.
+    # Of a stored index (``store.load_index``): doc_id buckets, parts by term
+    # hash (column ``tb``; -1 holds the document rows), and the vocabulary.
     partitions: int | None = None
+    term_parts: int | None = None
+    stored_terms: DataFrame | None = None
 
     @property
     def doc_ids(self) -> DataFrame:
+        if self.term_parts:
+            return self.postings.where(F.col("tb") == -1).select("doc_id")
         return self.postings.where(F.col("first")).select("doc_id")
 
+    def narrowed(self, frame: DataFrame, terms: list[str] | None, parts: list[int] | None) -> DataFrame:
+        """Rows of a stored table that can hold the query terms: by part, and for few terms by term."""
+        if self.term_parts and parts is not None:
+            frame = frame.where(F.col("tb").isin(parts))
+        return frame.where(F.col("term").isin(terms)) if terms else frame
+
     @property
     def terms(self) -> DataFrame:
         """The vocabulary (term, df, raw_idf, idf): one aggregation by term,
         pre-combined in every task (a hot term is one row per task)."""
         n = float(self.stats["n"])
-        df_terms = self.postings.where(~F.col("first")).groupBy("term").agg(
-            F.count(F.lit(1)).alias("df"))
-        return idf_columns(df_terms, n, self.stats["eps"])
-
-    def stats_frame(self) -> DataFrame:
-        spark = self.postings.sparkSession
-        return spark.createDataFrame([self.stats])
+        df_terms = self.stored_terms
+        if df_terms is None:
+            df_terms = self.postings.where(~F.col("first")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return idf_columns(df_terms.select("term", "df"), n, self.stats["eps"])
 
 
 def idf_columns(df_terms: DataFrame, n: float, eps: float | None) -> DataFrame:
@@ -104,15 +119,18 @@ def corpus_stats(postings: DataFrame, epsilon: float = EPSILON) -> dict:
     """N, avgdl, mean raw idf over all distinct terms, eps = epsilon x mean idf.
     Two one-row aggregations; the per-term counts are pre-combined in every
     task before the shuffle by term."""
-    row = postings.where(F.col("first")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    n = int(row["n"])
-    if n == 0:
+    n, avgdl = postings.where(F.col("first")).agg(F.count(F.lit(1)), F.avg("dl")).first()
+    terms = postings.where(~F.col("first")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return stats_from_terms(terms, n, avgdl, epsilon)
+
+
+def stats_from_terms(terms: DataFrame, n: int, avgdl: float | None, epsilon: float = EPSILON) -> dict:
+    """The statistics from a vocabulary (term, df), the number of documents and their mean length."""
+    if not n:
         return {"n": 0, "avgdl": 0.0, "avg_idf": 0.0, "eps": 0.0}
-    df_terms = postings.where(~F.col("first")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    avg_idf = idf_columns(df_terms, float(n), 0.0).agg(F.avg("raw_idf")).first()[0]
+    avg_idf = idf_columns(terms, float(n), 0.0).agg(F.avg("raw_idf")).first()[0]
     avg_idf = float(avg_idf) if avg_idf is not None else 0.0
-    return {"n": n, "avgdl": float(row["avgdl"]), "avg_idf": avg_idf, "eps": epsilon * avg_idf}
+    return {"n": int(n), "avgdl": float(avgdl), "avg_idf": avg_idf, "eps": epsilon * avg_idf}
 
 
 def index_from_postings(postings: DataFrame, k1: float = K1, b: float = B,
@@ -138,53 +156,98 @@ def query_terms(queries: DataFrame, qid_col: str = "qid", query_col: str = "quer
                    .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def _weighted_terms(index: BM25Index, queries: DataFrame, qid_col: str, query_col: str):
-    """(qid, term, qtf, idf, avgdl) for the query terms present in the corpus.
-
-    Document frequencies are counted for the query terms only: the postings
-    are streamed past a broadcast of the distinct query terms and counted per
-    term (partial counts per task, so a term in every document costs one row
-    per task in the shuffle)."""
-    qt, small = checked_broadcast(query_terms(queries, qid_col, query_col), what="query terms")
-    qterms = qt.select("term").distinct()
-    qterms = F.broadcast(qterms) if small else qterms
-    qdf = index.postings.join(qterms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def term_part(term, parts: int):
+    """Part of a stored index that holds a term."""
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
+
+
+def _query_blocks(queries: DataFrame, qid_col: str, query_col: str) -> list[DataFrame]:
+    """Query terms (qid, term, qtf) in blocks that may be broadcast: whole
+    queries, dealt by hash, about MAX_BLOCK_BYTES each (one block if they fit)."""
+    qt = query_terms(queries, qid_col, query_col)
+    size = qt.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0
+    if size <= MAX_BLOCK_BYTES:
+        return [qt]
+    n = math.ceil(2 * size / MAX_BLOCK_BYTES)
+    return [qt.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
+
+
+def _weighted_terms(index: BM25Index, qt: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query terms with qtf, idf, avgdl; postings that can hold them).
+
+    Document frequencies come from the stored vocabulary, else the postings are
+    streamed past the distinct query terms and counted (partial counts per
+    task, so a term in every document costs one row per task)."""
+    few = [r[0] for r in qt.select("term").distinct().limit(MAX_PRUNED_TERMS + 1).collect()]
+    terms = few if len(few) <= MAX_PRUNED_TERMS else None
+    parts = None
+    if index.term_parts and index.term_parts > 1:
+        parts = [r[0] for r in qt.select(term_part("term", index.term_parts)).distinct().collect()]
+    postings = index.narrowed(index.postings, terms, parts)
+    distinct = F.broadcast(qt.select("term").distinct())
+    if index.stored_terms is not None:
+        qdf = index.narrowed(index.stored_terms, terms, parts).select("term", "df").join(distinct, "term")
+    else:
+        qdf = postings.join(distinct, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     wq = idf_columns(qdf, float(index.stats["n"]), index.stats["eps"]).join(qt, "term")
-    return wq.withColumn("avgdl", F.lit(float(index.stats["avgdl"]))), small
+    return wq.withColumn("avgdl", F.lit(float(index.stats["avgdl"]))), postings
 
 
-def _contributions(index: BM25Index, wq: DataFrame, small: bool) -> DataFrame:
+def _block_scores(index: BM25Index, qt: DataFrame) -> DataFrame:
+    wq, postings = _weighted_terms(index, qt)
     k1, b = index.k1, index.b
-    side = F.broadcast(wq) if small else wq
     tf = F.col("tf")
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    return (index.postings.join(side, "term")
+    return (postings.join(F.broadcast(wq), "term")
             .select("qid", "doc_id",
-                    (F.col("qtf") * F.col("idf") * tf * F.lit(k1 + 1) / (tf + norm)).alias("c")))
+                    (F.col("qtf") * F.col("idf") * tf * F.lit(k1 + 1) / (tf + norm)).alias("c"))
+            .groupBy("qid", "doc_id").agg(F.sum("c").alias("score")))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def bm25_scores(index: BM25Index, queries: DataFrame, qid_col: str = "qid",
                 query_col: str = "query") -> DataFrame:
     """(qid, doc_id, score) for every document matching at least one query term."""
-    wq, small = _weighted_terms(index, queries, qid_col, query_col)
-    return (_contributions(index, wq, small)
-            .groupBy("qid", "doc_id").agg(F.sum("c").alias("score")))
+    return _union([_block_scores(index, qt) for qt in _query_blocks(queries, qid_col, query_col)])
 
 
-def _pad_ids(index: BM25Index, matched: DataFrame, k: int) -> DataFrame:
-    """Documents that can enter a top-k list with score 0 without matching.
+def _unmatched(index: BM25Index, qids: DataFrame, matched: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id): among others the k smallest ids that a query does not match.
 
-    When no effective idf is negative (eps >= 0), every score is >= 0 and the
-    zero-score members of a top-k list are the smallest ids without a positive
-    score, all among the first k ids of the corpus. Otherwise (mean idf < 0,
-    only in tiny corpora) negative scores rank below zero, and the first k
-    unmatched ids of a query lie among the first k + m ids, m its match count.
+    With no negative idf every score is >= 0, so the members of a top-k list
+    that match nothing are all among the first k ids of the corpus. Otherwise
+    negative scores rank below zero, and each slot of documents gives every
+    query its own k smallest unmatched ids.
     """
-    extra = 0
-    if index.stats["eps"] < 0:
-        mx = matched.groupBy("qid").count().agg(F.max("count")).first()[0]
-        extra = int(mx or 0)
-    return index.doc_ids.orderBy("doc_id").limit(k + extra), extra
+    if index.stats["eps"] >= 0:
+        first = [r[0] for r in index.doc_ids.orderBy("doc_id").limit(k).collect()]
+        kind = index.doc_ids.schema["doc_id"].dataType
+        ids = F.array(*[F.lit(x).cast(kind) for x in first]) if first else F.array().cast(f"array<{kind.simpleString()}>")
+        return qids.select("qid", F.explode(ids).alias("doc_id"))
+    slots = max(1, math.ceil(index.stats["n"] / SLOT_DOCS))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+    asked = qids.select("qid").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    pairs = matched.select("qid", "doc_id", slot.alias("slot")).unionByName(
+        asked.withColumn("doc_id", F.lit(None).cast(index.doc_ids.schema["doc_id"].dataType)))
+    out = T.StructType([qids.schema["qid"], index.doc_ids.schema["doc_id"]])
+
+    def smallest(docs: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        ids = np.sort(docs["id"].to_numpy())
+        found = []
+        for qid, mine in pairs.groupby("qid")["doc_id"]:
+            hit = np.searchsorted(ids, mine.dropna().astype(docs["id"].dtype).to_numpy())
+            near = np.arange(min(len(ids), k + len(hit)))
+            found += [(qid, x) for x in ids[np.setdiff1d(near, hit)[:k]]]
+        return pd.DataFrame(found, columns=["qid", "doc_id"])
+    docs = index.doc_ids.select(F.col("doc_id").alias("id"), slot.alias("at"))
+    return (docs.groupBy("at").cogroup(pairs.groupBy("slot"))
+            .applyInPandas(smallest, out))
 
 
 def bm25_topk(index: BM25Index, queries: DataFrame, k: int, qid_col: str = "qid",
@@ -195,24 +258,22 @@ def bm25_topk(index: BM25Index, queries: DataFrame, k: int, qid_col: str = "qid"
     with the smallest zero-score ids (this moves the minimum used later by
     min-max normalisation). Plan: the matched scores are summed inside the
     doc_id partitions and cut to the top k per query with a partial limit
-    before the only shuffle; the (queries x k) pad candidates then join that
-    small list. Exact: a document of the final top k is either among the
-    matched top k (positive, zero and negative matched scores keep their
-    relative order) or an unmatched pad id (see ``_pad_ids``).
+    before the only shuffle; the pad candidates then join that small list.
+    Exact: a document of the final top k is either among the matched top k
+    (positive, zero and negative matched scores keep their relative order) or
+    a smallest unmatched id (see ``_unmatched``).
     """
     if k < 0:
         raise ValueError("k must be >= 0")
-    wq, small = _weighted_terms(index, queries, qid_col, query_col)
-    scores = (_contributions(index, wq, small)
-              .groupBy("qid", "doc_id").agg(F.sum("c").alias("score")))
-    matched_top = rank_topk(scores, "qid", "score", "doc_id", k, "_r").drop("_r")
     qids = queries.select(F.col(qid_col).alias("qid")).distinct()
-    pad, extra = _pad_ids(index, scores.select("qid", "doc_id"), k)
-    pad = F.broadcast(pad) if extra == 0 else checked_broadcast(pad, what="pad ids")[0]
-    # queries x k rows in the normal case (the pad ids are a limit-k table)
-    pad_rows = qids.crossJoin(pad).select("qid", "doc_id", F.lit(0.0).alias("score"),
-                                          F.lit(False).alias("m"))
-    cand = matched_top.withColumn("m", F.lit(True)).unionByName(pad_rows)
+    tops, matched = [], []
+    for qt in _query_blocks(queries, qid_col, query_col):
+        scores = _block_scores(index, qt)
+        tops.append(rank_topk(scores, "qid", "score", "doc_id", k, "_r").drop("_r"))
+        matched.append(scores.select("qid", "doc_id"))
+    pad = _unmatched(index, qids, _union(matched), k).select(
+        "qid", "doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("m"))
+    cand = _union(tops).withColumn("m", F.lit(True)).unionByName(pad)
     # a pad id that also matched keeps its matched score
     best = cand.groupBy("qid", "doc_id").agg(F.max_by("score", "m").alias("score"))
     return rank_topk(best, "qid", "score", "doc_id", k, rank_col)

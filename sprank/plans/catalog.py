@@ -92,11 +92,7 @@ def vec_normalize(spark, d):
 
 
 def dense_scores(spark, d):
-    # All cosine scores (the operator's full output), by the vectorised block
-    # product with k = N: no join, no pair table.
-    vecs = I.table(spark, d, "embeddings")
-    n = vecs.count()
-    top = dense.dense_topk(vecs, I.query_table(spark, d), max(n, 1))
+    top = dense.dense_scores(I.table(spark, d, "embeddings"), I.query_table(spark, d))
     return top.select("qid", "doc_id", _r("score"))
 
 
@@ -108,7 +104,7 @@ def dense_topk(spark, d):
 # ---------------------------------------------------------------- keyword
 
 def bm25_index(spark, d):
-    idx = I.build_bm25_index(spark, d)
+    idx, _ = I.new_bm25_index(spark, d, I.documents(spark, d))
     return idx.terms.select("term", F.col("df").cast("bigint").alias("df"), _r("idf"))
 
 
@@ -133,18 +129,35 @@ def chunk_bm25_topk(spark, d):
                       F.col("doc_id").alias("chunk_id"), _r("score"))
 
 
+def _batches(rows, key, body, stale):
+    """Two ingest batches with ids in common: the first holds older bodies of every fifth row."""
+    old = F.pmod(F.col(key), F.lit(5)) == 0
+    first = rows.where(old | (F.pmod(F.col(key), F.lit(2)) == 0)).withColumn(body, F.when(old, stale).otherwise(F.col(body)))
+    return first, rows.where(old | (F.pmod(F.col(key), F.lit(2)) != 0))
+
+
 def index_append(spark, d):
-    """Index built from two ingest batches (English documents, then the rest)
-    equals the index of the whole corpus: postings are appended, statistics
-    derived again from per-term sums."""
-    docs = I.documents(spark, d)
-    first = bm25.build_postings(docs.where(F.col("lang") == "en"))
-    second = bm25.build_postings(docs.where(~(F.col("lang") == "en") | F.col("lang").isNull()))
-    from sprank.operators.index import append_postings
-    idx = bm25.index_from_postings(append_postings(first, second))
+    """A stored index of a first batch, to which a second one is appended: a
+    fifth of the ids occur in both, the later text counts. Equals the index of
+    the whole corpus."""
+    from sprank.operators import store
+    first, second = _batches(I.documents(spark, d).select("doc_id", "text"), "doc_id", "text",
+                             F.concat(F.lit("outdated "), F.col("text")))
+    _, path = I.new_bm25_index(spark, d, first)
+    idx = store.append_index(spark, path, second)
     return idx.terms.select("term", F.col("df").cast("bigint").alias("df"), _r("idf"))
 
 
+def vectors_append(spark, d):
+    """Vectors of a first batch, to which a second one with ids in common is
+    appended; top 10 over the result."""
+    from sprank.operators.index import append_vectors
+    vecs = I.table(spark, d, "embeddings").select("vec_id", "embedding")
+    first, second = _batches(vecs, "vec_id", "embedding", F.reverse("embedding"))
+    top = dense.dense_topk(append_vectors(first, second), I.query_table(spark, d), I.LIST_K)
+    return top.select("qid", F.col("rank").cast("bigint").alias("rank"), "doc_id", _r("score"))
+
+
 # ---------------------------------------------------------------- hybrid
 
 def minmax_scores(spark, d):
@@ -350,6 +363,7 @@ def _registry() -> dict[str, Query]:
         "bm25_scores": bm25_scores,
         "bm25_topk": bm25_topk,
         "index_append": index_append,
+        "vectors_append": vectors_append,
         "chunk_bm25_topk": chunk_bm25_topk,
         "minmax_scores": minmax_scores,
         "hybrid_fuse": hybrid_fuse,

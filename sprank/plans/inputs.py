@@ -53,22 +53,26 @@ def content_table(spark, sf_dir) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.col("text").alias("content"))
 
 
-def build_bm25_index(spark, sf_dir) -> bm25.BM25Index:
-    # The postings feed both the statistics and the scoring: keep them once.
-    post = bm25.build_postings(documents(spark, sf_dir), "doc_id", "text").persist()
-    return bm25.index_from_postings(post)
-
-
 def bm25_index(spark, sf_dir) -> bm25.BM25Index:
     """Keyword index of the documents for searching: built once per input
-    (path, size, mtime) and persisted as a table bucketed by doc_id under the
-    shared folder; later searches load it, as a search service keeps its
-    index. Queries that measure building call ``build_bm25_index``."""
+    (path, size, mtime) and parameters, and stored under the shared folder;
+    later searches load it, as a search service keeps its index."""
     from sprank.operators import store
     from sprank.session import shared_dir
     root = os.path.join(shared_dir(spark), "sprank-index")
     src = f"{sf_dir.rstrip('/')}/documents.parquet"
-    return store.build_or_load(spark, root, src, lambda: build_bm25_index(spark, sf_dir))
+    return store.build_or_load(spark, root, src, lambda buckets: bm25.build_postings(
+        documents(spark, sf_dir), "doc_id", "text", num_partitions=buckets))
+
+
+def new_bm25_index(spark, sf_dir, docs: DataFrame) -> tuple[bm25.BM25Index, str]:
+    """An index of ``docs`` stored in a fresh folder, and that folder."""
+    from sprank.operators import store
+    from sprank.session import scratch_path
+    path = scratch_path(spark, "index")
+    buckets, parts = store.layout_for(spark, store.input_size(spark, f"{sf_dir.rstrip('/')}/documents.parquet")[0])
+    store.save_postings(bm25.build_postings(docs, "doc_id", "text", num_partitions=buckets), path, buckets, parts)
+    return store.load_index(spark, path), path
 
 
 def hybrid_index(spark, sf_dir) -> HybridIndex:

@@ -215,6 +215,7 @@ FROM (SELECT vec_id, embedding, sqrt(list_dot_product(embedding::DOUBLE[], embed
     s["bm25_topk"] = (f"WITH {bm25_ctes()}, {sparse_topk('sp', LIST_K)} "
                       f"SELECT qid, list_rank::BIGINT AS rank, doc_id, {r6('score')} AS score FROM sp")
     s["index_append"] = s["bm25_index"]
+    s["vectors_append"] = s["dense_topk"]
     chunk_corpus = f"(SELECT chunk_id AS doc_id, chunk AS text FROM ({CHUNK_WORDS}))"
     s["chunk_bm25_topk"] = (f"WITH {bm25_ctes(chunk_corpus)}, {sparse_topk('sp', LIST_K)} "
                             f"SELECT qid, list_rank::BIGINT AS rank, doc_id AS chunk_id, {r6('score')} AS score FROM sp")

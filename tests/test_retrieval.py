@@ -89,21 +89,37 @@ def test_one_document_corpus(spark):
     assert all(r.norm == 0.0 for r in lists.collect())
 
 
-def test_dense_matches_sql_form(spark):
+def _brute(vecs, qs, k):
+    import numpy as np
+    v = np.array([x for _, x in vecs], np.float32).astype(float)
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
+    out = set()
+    for qid, q in qs:
+        q = np.array(q, np.float32).astype(float)
+        sc = [(-round(float(s), 9), i) for s, (i, _) in zip(v @ (q / np.linalg.norm(q)), vecs)]
+        out |= {(qid, i, r + 1, -s) for r, (s, i) in enumerate(sorted(sc)[:k])}
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("dealt", [False, True])
+def test_dense_topk_exact(spark, monkeypatch, kind, dealt):
+    """Numeric and string ids, with ties, broadcast queries and (forced) dealt-out blocks."""
     import random
     rnd = random.Random(3)
-    vecs = spark.createDataFrame([(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(300)],
-                                 "vec_id long, embedding array<float>")
-    q = spark.createDataFrame([(j, "", [rnd.uniform(-1, 1) for _ in range(8)]) for j in range(5)],
-                              "qid long, query string, q_emb array<float>")
-    fast = {(r.qid, r.doc_id): r.score for r in dense.dense_topk(vecs, q, 7).collect()}
-    allp = dense.dense_scores_sql(vecs, q).collect()
-    want = {}
-    for j in range(5):
-        best = sorted((r for r in allp if r.qid == j), key=lambda r: (-round(r.score, 9), r.doc_id))[:7]
-        want.update({(r.qid, r.doc_id): r.score for r in best})
-    assert fast.keys() == want.keys()
-    assert all(math.isclose(fast[k], want[k], abs_tol=1e-9) for k in want)
+    rows = [(i if kind == "long" else f"d_{i}", [float(rnd.randint(-2, 2)) for _ in range(4)]) for i in range(300)]
+    qs = [(j, [rnd.uniform(-1, 1) for _ in range(4)]) for j in range(30)]
+    vecs = spark.createDataFrame(rows, f"vec_id {kind}, embedding array<float>")
+    q = spark.createDataFrame([(j, "", v) for j, v in qs] + [(99, "", None), (98, "", [0.0] * 4)], "qid long, query string, q_emb array<float>")
+    if dealt:
+        monkeypatch.setattr(dense, "MAX_QUERY_FLOATS", 12)
+        monkeypatch.setattr(dense, "SLOT_ROWS", 70)
+        monkeypatch.setattr(dense, "GROUP_QUERIES", 8)
+    got = dense.dense_topk(vecs, q, 7)
+    assert dict(got.dtypes)["doc_id"] == dict(vecs.dtypes)["vec_id"]
+    assert "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.qid, r.doc_id, r["rank"], round(r.score, 9)) for r in got.collect()} == _brute(rows, qs, 7)
+    assert dense.dense_scores(vecs, q).count() == 300 * 30
 
 
 def test_append_equals_rebuild(spark):
@@ -135,21 +151,70 @@ def test_saved_index_matches_and_needs_no_exchange(spark, index, tmp_path):
     assert not re.search(r"hashpartitioning\((qid#\d+L?, )?doc_id", plan)
 
 
-def test_dense_query_blocks_exact(spark, monkeypatch):
-    from sprank.operators import dense as dmod
-    import random
-    rnd = random.Random(5)
-    vecs = spark.createDataFrame([(i, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(100)],
-                                 "vec_id long, embedding array<float>")
-    q = spark.createDataFrame([(j, "", [rnd.uniform(-1, 1) for _ in range(4)]) for j in range(30)],
-                              "qid long, query string, q_emb array<float>")
-    def rows():
-        return sorted((r.qid, r.doc_id, round(r.score, 12), r.rank) for r in dmod.dense_topk(vecs, q, 3).collect())
-    whole = rows()
-    monkeypatch.setattr(dmod, "MAX_QUERY_ROWS", 8)      # forces 8 hash blocks
-    monkeypatch.setattr(dmod, "MAX_QUERY_FLOATS", 12)   # and 3 queries per broadcast
-    blocked = rows()
-    assert whole == blocked and len(whole) == 90
+def test_negative_eps_corpus_of_templates(spark, monkeypatch):
+    """Mean idf below zero: unmatched ids rank above negative scores, found slot by slot."""
+    import rank_reference
+    monkeypatch.setattr(bm25, "SLOT_DOCS", 7)
+    docs = [(i, f"This document is about big data topic {'alpha beta gamma'.split()[i % 3]}") for i in range(40)] + [(40, "other words")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    idx = bm25.build_bm25(df)
+    assert idx.stats["eps"] < 0
+    texts = ["big data", "This document", "alpha", "none", "other"]
+    q = spark.createDataFrame(list(enumerate(texts)), "qid long, query string")
+    top = bm25.bm25_topk(idx, q, 6)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    want = rank_reference.topk(docs, {r.qid: r.query for r in q.collect()}, 6)
+    got = {}
+    for r in top.collect():
+        got.setdefault(r.qid, {})[r["rank"]] = (r.doc_id, round(r.score, 9))
+    assert {k: [v[i] for i in sorted(v)] for k, v in got.items()} == want
+
+
+def test_query_blocks_give_the_same_scores(spark, index, monkeypatch):
+    q = queries(spark)
+    whole = sorted(tuple(r) for r in bm25.bm25_topk(index, q, 5).collect())
+    monkeypatch.setattr(bm25, "MAX_BLOCK_BYTES", 40)
+    assert sorted(tuple(r) for r in bm25.bm25_topk(index, q, 5).collect()) == whole
+
+
+def test_stored_index_is_pruned_by_term(spark, tmp_path):
+    from sprank.operators import store
+    docs = spark.createDataFrame([(f"d_{i}", f"word{i} common word{i % 7}") for i in range(60)], "doc_id string, text string")
+    built = bm25.build_bm25(docs)
+    store.save_index(built, str(tmp_path / "i"), buckets=3, term_parts=4)
+    loaded = store.load_index(spark, str(tmp_path / "i"))
+    assert dict(loaded.postings.dtypes)["doc_id"] == "string"
+    q = spark.createDataFrame([(0, "word3"), (1, "nothing")], "qid long, query string")
+    assert sorted(tuple(r) for r in bm25.bm25_topk(loaded, q, 5).collect()) == sorted(tuple(r) for r in bm25.bm25_topk(built, q, 5).collect())
+    plan = bm25.bm25_scores(loaded, q)._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "FileScan" in x and "postings" in x]
+    assert len(scans) == 1 and "PartitionFilters: [" in scans[0] and "tb" in scans[0] and "In(term" in scans[0].replace("EqualTo(term", "In(term")
+
+
+def test_append_to_stored_index(spark, tmp_path):
+    """Ids in both batches are replaced; string ids; the result equals a rebuild."""
+    from sprank.operators import store
+    old = [(f"d_{i}", f"old text {i} shared") for i in range(12)]
+    new = [(f"d_{i}", f"new words {i} shared fresh") for i in range(8, 15)]
+    schema = "doc_id string, text string"
+    path = str(tmp_path / "i")
+    store.save_index(bm25.build_bm25(spark.createDataFrame(old, schema)), path, buckets=2, term_parts=2)
+    got = store.append_index(spark, path, spark.createDataFrame(new, schema))
+    want = bm25.build_bm25(spark.createDataFrame(old[:8] + new, schema))
+    assert got.stats == pytest.approx(want.stats)
+    counts = [sorted(tuple(r) for r in x.terms.select("term", "df").collect()) for x in (got, want)]
+    assert counts[0] == counts[1]
+    assert sorted(r.doc_id for r in got.doc_ids.collect()) == sorted(r.doc_id for r in want.doc_ids.collect())
+
+
+def test_shared_dir_needs_a_setting_on_clusters():
+    from types import SimpleNamespace
+
+    from sprank.session import shared_dir
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(fake)
 
 
 def test_build_or_load_reuses_and_invalidates(spark, tmp_path):
@@ -160,9 +225,9 @@ def test_build_or_load_reuses_and_invalidates(spark, tmp_path):
     spark.createDataFrame(DOCS, "doc_id long, text string").write.parquet(str(src))
     calls = []
 
-    def build():
+    def build(buckets):
         calls.append(1)
-        return bm25.build_bm25(spark.read.parquet(str(src)))
+        return bm25.build_postings(spark.read.parquet(str(src)), num_partitions=buckets)
     root = str(tmp_path / "indexes")
     a = store.build_or_load(spark, root, str(src), build, buckets=2)
     b = store.build_or_load(spark, root, str(src), build, buckets=2)
