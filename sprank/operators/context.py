@@ -19,6 +19,8 @@ SYSTEM_TEXT = "You are a research assistant. Answer concisely from the provided
 HISTORY_MESSAGES = 10
 CLIENT_MESSAGES = 20
 MAX_TOKENS = 512
+SHORT_MAX_TOKENS = 400
+SHORT_SYSTEM_TEXT = "Answer only from the provided context. Be concise."
 CHAT_ROLES = ("user", "assistant")
 
 
@@ -89,17 +91,26 @@ def prompt_messages(queries: DataFrame, results: DataFrame, conv: DataFrame,
     return kept.select("qid", "msg_idx", "role", "content").unionByName(final)
 
 
-def prompt_json(messages: DataFrame, max_tokens: int = MAX_TOKENS,
-                system: str = SYSTEM_TEXT, api_version: str | None = None) -> DataFrame:
-    """(qid, body): the request body as JSON, messages in order."""
+def prompt_json(messages: DataFrame, max_tokens: int = MAX_TOKENS, system: str = SYSTEM_TEXT,
+                version: tuple[str, str] | None = None) -> DataFrame:
+    """(qid, body): the request body as JSON, messages in order. ``version`` is
+    the name and value of the API version field, which comes first."""
     msgs = F.transform(F.sort_array(F.collect_list(F.struct("msg_idx", "role", "content"))),
                        lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    fields = ([F.lit(api_version).alias("version")] if api_version else []) + [
+    fields = ([F.lit(version[1]).alias(version[0])] if version else []) + [
         F.lit(max_tokens).alias("max_tokens"), F.lit(system).alias("system"), F.col("messages")]
     return (messages.groupBy("qid").agg(msgs.alias("messages"))
             .select("qid", F.to_json(F.struct(*fields)).alias("body")))
 
 
+def prompt_json_short(queries: DataFrame, contexts: DataFrame, version: tuple[str, str] | None = None) -> DataFrame:
+    """(qid, body): the short form, one user message with the short context and the question."""
+    content = F.concat(F.lit("Context:\n"), F.col("context"), F.lit("\n\nQuestion: "), F.col("query"))
+    rows = queries.select("qid", "query").join(contexts, "qid").select(
+        "qid", F.lit(0).cast("bigint").alias("msg_idx"), F.lit("user").alias("role"), content.alias("content"))
+    return prompt_json(rows, SHORT_MAX_TOKENS, SHORT_SYSTEM_TEXT, version)
+
+
 def conversation_turns(conv: DataFrame, cap: int = CLIENT_MESSAGES, conv_col: str = "conv_id") -> DataFrame:
     """Client-side cap: keep the last ``cap`` messages; turns = floor(kept / 2)."""
     return (conv.groupBy(conv_col).agg(F.count(F.lit(1)).alias("n_messages"))

@@ -263,9 +263,17 @@ def prompt_messages(spark, d):
     return context.prompt_messages(I.query_table(spark, d), _reranked(spark, d), conv)
 
 
+API_VERSION = ("version", "2023-05-31")
+
+
 def prompt_json(spark, d):
     conv = I.table(spark, d, "conversations")
-    return context.prompt_json(context.prompt_messages(I.query_table(spark, d), _reranked(spark, d), conv))
+    return context.prompt_json(context.prompt_messages(I.query_table(spark, d), _reranked(spark, d), conv), version=API_VERSION)
+
+
+def prompt_json_short(spark, d):
+    q = I.query_table(spark, d)
+    return context.prompt_json_short(q, context.context_short(q, _reranked(spark, d)), version=API_VERSION)
 
 
 def conversation_turns(spark, d):
@@ -383,6 +391,7 @@ def _registry() -> dict[str, Query]:
         "history_filtered": history_filtered,
         "prompt_messages": prompt_messages,
         "prompt_json": prompt_json,
+        "prompt_json_short": prompt_json_short,
         "conversation_turns": conversation_turns,
         "metric_counters": metric_counters,
         "metric_histogram": metric_histogram,

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sprank.operators import chunking, embedding
+from sprank.functions import text as tx
+from sprank.operators import bm25, chunking, context, dense, embedding, fusion, store
+from sprank.operators import search as srch
 from sprank.plans import inputs as I
 from sprank.plans.oracle import CHUNK_CHARS, CHUNK_WORDS
 from sprank.session import scratch_path
-from sprank.sources import files, generators
+from sprank.sources import files
 from sprank.streaming import jobs
 
 
@@ -35,38 +37,103 @@ def csv_roundtrip(spark, d):
     return files.flatten_sample(files.read_csv(spark, path))
 
 
+def _vectors(df, key):
+    return df.select(key, F.size("embedding").cast("bigint").alias("dim"), "embedding")
+
+
 def embed_chunks(spark, d):
-    chunks = chunking.char_chunks(I.documents(spark, d))
-    e = embedding.embed(chunks, "chunk")
-    return e.select("chunk_id", F.size("embedding").cast("bigint").alias("dim"), "embedding")
+    return _vectors(embedding.embed(chunking.char_chunks(I.documents(spark, d)), "chunk"), "chunk_id")
 
 
 def embed_queries(spark, d):
     q = I.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text"))
-    e = embedding.embed(q, "text")
-    return e.select("qid", F.size("embedding").cast("bigint").alias("dim"), "embedding")
+    return _vectors(embedding.embed(q, "text"), "qid")
+
+
+def embed_queries_model(spark, d):
+    """The same vectors through a registered encoder in the iterator UDF."""
+    q = I.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text"))
+    return _vectors(embedding.embed(q, "text", model="hashed-bow-model"), "qid")
+
+
+def zero_fallback(spark, d):
+    """Dense top 10 where every seventh vector is missing and counts as zeros."""
+    v = I.table(spark, d, "embeddings")
+    v = v.select("vec_id", embedding.zero_fallback(F.when(F.col("vec_id") % 7 != 0, F.col("embedding")), 64).alias("embedding"))
+    top = dense.dense_topk(v, I.query_table(spark, d), I.LIST_K)
+    return top.select("qid", F.col("rank").cast("bigint").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+
+
+def chunk_hybrid_search(spark, d):
+    """The whole flow: documents -> word chunks -> vectors -> hybrid search over
+    chunk ids -> content by chunk id -> source document."""
+    hits = _chunk_hits(spark, d)
+    return hits.select("qid", F.col("rank").cast("bigint").alias("rank"), F.col("doc_id").alias("chunk_id"),
+                       F.round("score", 6).alias("score"), "content", "title")
 
 
-def gen_topic_docs(spark, d):
-    ids = I.documents(spark, d).select(F.col("doc_id").alias("id"))
-    g = generators.topic_documents(ids)
-    return g.select("id", "content", F.array_join("topics", ",").alias("topics"), "length",
-                    F.col("metadata.author").alias("author"))
+def _chunk_hits(spark, d):
+    chunks = files.parquet_roundtrip(
+        embedding.embed(chunking.word_chunks(I.documents(spark, d)), "chunk").select("chunk_id", "chunk", "embedding"),
+        scratch_path(spark, "chunk-vectors"))[0]
+    path = scratch_path(spark, "chunk-index")
+    store.save_postings(bm25.build_postings(chunks.select("chunk_id", "chunk"), "chunk_id", "chunk"), path)
+    index = fusion.HybridIndex(store.load_index(spark, path), chunks.select(F.col("chunk_id").alias("vec_id"), "embedding"))
+    q = embedding.embed(I.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), "query", "q_emb")
+    hits = fusion.hybrid_search(index, q, I.TOP_K, I.ALPHA)
+    hits = srch.with_content(hits, chunks.select(F.col("chunk_id").alias("doc_id"), F.col("chunk").alias("content")))
+    titles = I.documents(spark, d).select(F.col("doc_id").cast("string").alias("source_id"),
+                                          F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("title"))
+    hits = hits.withColumn("source_id", tx.source_doc_id("doc_id"))
+    return srch.with_title(hits, titles, "source_id")
+
+
+def chunk_context_block(spark, d):
+    return context.context_block(_chunk_hits(spark, d))
+
+
+def rerank_udf(spark, d):
+    """The rerank of ``rerank_topk`` through the pair-scorer UDF."""
+    r = srch.search(I.hybrid_index(spark, d), I.query_table(spark, d), I.content_table(spark, d), I.TOP_K, I.ALPHA, scorer="overlap-py")
+    return r.select("qid", F.col("rank").cast("bigint").alias("rank"), "doc_id", F.round("score", 6).alias("score"),
+                    F.round("rerank_score", 6).alias("rerank_score"))
+
+
+def _dated_files(frames, path):
+    """One write after the other, so that later parts have later file times."""
+    for f in frames:
+        f.write.mode("append").parquet(path)
+    return path
 
 
 def stream_ingest(spark, d):
-    out = jobs.ingest_chunks(spark, f"{d.rstrip('/')}/documents.parquet")
-    return out.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "chunk_id", "chunk")
+    """Documents arrive in four writes; each but the last also brings older
+    texts of documents that come again in the next. The newest version counts."""
+    docs = I.documents(spark, d).select("doc_id", "text")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    old = F.expr("substring(text, 1, cast(length(text) * 0.6 as int))")
+    frames = [docs.where(part == i).unionByName(docs.where(part == i + 1).withColumn("text", F.concat(F.lit("older "), old))) for i in range(4)]
+    path = _dated_files(frames, scratch_path(spark, "incoming"))
+    out = jobs.ingest(spark, path, scratch_path(spark, "ingested"), scratch_path(spark, "ingest-checkpoint"), max_files=8, index=False)
+    return jobs.ingested_chunks(spark, out).select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "chunk_id", "chunk")
+
+
+def _timed_events(spark, d):
+    """Events in four writes, in order of time."""
+    ev = I.table(spark, d, "events").withColumn("__t", F.col("ts").cast("timestamp").cast("double"))
+    cuts = [float("-inf"), *ev.approxQuantile("__t", [0.25, 0.5, 0.75], 0.01), float("inf")]
+    return _dated_files([ev.where((F.col("__t") >= a) & (F.col("__t") < b)).drop("__t") for a, b in zip(cuts, cuts[1:])],
+                        scratch_path(spark, "events"))
 
 
 def stream_requests(spark, d):
-    m = jobs.request_metrics(spark, f"{d.rstrip('/')}/events.parquet")
+    m = jobs.request_metrics(spark, _timed_events(spark, d), scratch_path(spark, "requests"), scratch_path(spark, "requests-checkpoint"), max_files=64)
     return m.select(F.date_format("w", "yyyy-MM-dd HH:mm:ss").alias("minute"), "endpoint", "requests",
                     F.round("total", 6).alias("total"), F.round("avg", 6).alias("avg"))
 
 
 def stream_counters(spark, d):
-    return jobs.running_counters(spark, f"{d.rstrip('/')}/events.parquet")
+    return jobs.running_counters(spark, _timed_events(spark, d), scratch_path(spark, "counters"), scratch_path(spark, "counters-checkpoint"), max_files=64)
 
 
 def queries():
@@ -76,7 +143,11 @@ def queries():
         "csv_roundtrip": csv_roundtrip,
         "embed_chunks": embed_chunks,
         "embed_queries": embed_queries,
-        "gen_topic_docs": gen_topic_docs,
+        "embed_queries_model": embed_queries_model,
+        "zero_fallback": zero_fallback,
+        "chunk_hybrid_search": chunk_hybrid_search,
+        "chunk_context_block": chunk_context_block,
+        "rerank_udf": rerank_udf,
         "stream_ingest": stream_ingest,
         "stream_requests": stream_requests,
         "stream_counters": stream_counters,

@@ -81,14 +81,30 @@ def sparse_topk(name: str, k: int) -> str:
            FROM {name}_all QUALIFY list_rank <= {k})"""
 
 
-DENSE_CTES = """
-qv AS (SELECT b.item_id AS qid, e.embedding::DOUBLE[] AS qe FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
+def dense_ctes(vectors: str = "embeddings", queries: str = "(SELECT item_id AS qid, vec_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id)") -> str:
+    """Cosine CTEs over ``vectors`` (vec_id, embedding) and ``queries`` (qid, embedding)."""
+    return f"""
+qv AS (SELECT qid, embedding::DOUBLE[] AS qe FROM {queries}),
 qn AS (SELECT qid, qe, sqrt(list_dot_product(qe, qe)) AS nq FROM qv WHERE sqrt(list_dot_product(qe, qe)) >= 1e-10),
 vn AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS ve,
-              greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-10) AS nv FROM embeddings),
+              greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-10) AS nv FROM {vectors}),
 ds AS (SELECT qid, doc_id, list_dot_product(ve, qe) / (nv * nq) AS score FROM qn, vn)"""
 
 
+DENSE_CTES = dense_ctes()
+
+
+def embedded(src: str, key: str, text: str, dim: int = 384) -> str:
+    """Subquery ({key}, embedding): signed md5 cells of the tokens, normalised."""
+    return f"""(WITH s AS MATERIALIZED (SELECT {key} AS k, {tok(f'lower({text})')} AS tk FROM {src}),
+  w AS (SELECT k, md5(w) AS h FROM (SELECT k, unnest(tk) AS w FROM s)),
+  c AS MATERIALIZED (SELECT k, CAST(('0x' || substr(h, 1, 8)) AS UBIGINT) % {dim} AS i, CAST(sum(CASE WHEN substr(h, 9, 1) >= '8' THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM w GROUP BY ALL),
+  n AS (SELECT k, sqrt(sum(v * v)) AS nn FROM c GROUP BY k),
+  z AS (SELECT s.k, r.range AS i FROM s CROSS JOIN range({dim}) r)
+  SELECT z.k AS {key}, list(CAST(coalesce(c.v, 0.0) / greatest(n.nn, 1e-10) AS FLOAT) ORDER BY z.i) AS embedding
+  FROM z LEFT JOIN n ON n.k = z.k LEFT JOIN c ON c.k = z.k AND c.i = z.i GROUP BY z.k)"""
+
+
 def dense_topk(name: str, k: int) -> str:
     return f"""
 {name} AS (SELECT qid, doc_id, score,
@@ -96,11 +112,11 @@ def dense_topk(name: str, k: int) -> str:
            FROM ds QUALIFY list_rank <= {k})"""
 
 
-def norm_lists(k: int) -> str:
+def norm_lists(k: int, corpus: str = "documents", dense: str = DENSE_CTES) -> str:
     """CTE ``lists`` (qid, list, doc_id, raw, norm, list_rank) for lists of k."""
-    return f"""{bm25_ctes()},
+    return f"""{bm25_ctes(corpus)},
 {sparse_topk('sp', k)},
-{DENSE_CTES},
+{dense},
 {dense_topk('dn', k)},
 both_l AS (SELECT qid, 'sparse' AS list, doc_id, score AS raw, list_rank FROM sp
            UNION ALL SELECT qid, 'dense' AS list, doc_id, score AS raw, list_rank FROM dn),
@@ -121,9 +137,9 @@ fz AS (SELECT coalesce(d.qid, s.qid) AS qid, coalesce(d.doc_id, s.doc_id) AS doc
 fused AS (SELECT qid, doc_id, dense, sparse, {a} * dense + (1.0::DOUBLE - {a}) * sparse AS score FROM fz)"""
 
 
-def hybrid(top: int, alpha: float) -> str:
+def hybrid(top: int, alpha: float, corpus: str = "documents", dense: str = DENSE_CTES) -> str:
     """CTE ``hy`` (qid, rank, doc_id, score): lists of 2*top, first top fused."""
-    return f"""{norm_lists(2 * top)},
+    return f"""{norm_lists(2 * top, corpus, dense)},
 {fused(alpha)},
 hy AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank
        FROM fused QUALIFY rank <= {top})"""
@@ -281,6 +297,15 @@ SELECT ctx.qid, coalesce(nh.nh, 0)::BIGINT AS msg_idx, 'user' AS role,
        'CONTEXT:' || {NL} || ctx.context || {NL} || {NL} || 'QUESTION: ' || ctx.query || {NL} || {NL} ||
        'Answer using ONLY the context above. If the answer is not there, say so.' AS content
 FROM ctx LEFT JOIN nh USING (qid)"""
+    def body(max_tokens: int, system: str, messages: str) -> str:
+        return (f"CAST(json_object('version', '2023-05-31', 'max_tokens', {max_tokens}, 'system', '{system}', "
+                f"'messages', {messages}) AS VARCHAR) AS body")
+    s["prompt_json"] = f"""SELECT qid, {body(512, 'You are a research assistant. Answer concisely from the provided context only.',
+       "list(json_object('role', role, 'content', content) ORDER BY msg_idx)")}
+FROM ({s["prompt_messages"]}) GROUP BY qid"""
+    message = "[json_object('role', 'user', 'content', 'Context:' || " + NL + " || c.context || " + NL + " || " + NL + " || 'Question: ' || b.text)]"
+    s["prompt_json_short"] = f"""SELECT c.qid, {body(400, 'Answer only from the provided context. Be concise.', message)}
+FROM ({s["context_short"]}) c JOIN benchmark b ON b.item_id = c.qid"""
     s["conversation_turns"] = """
 SELECT conv_id, count(*)::BIGINT AS n_messages, least(count(*), 20)::BIGINT AS kept,
        floor(least(count(*), 20) / 2)::BIGINT AS turns
@@ -327,6 +352,25 @@ SELECT event_id, length(props)::BIGINT AS query_length, user_id AS doc_count,
        round(value * 0.001, 6) AS duration_seconds,
        round(CASE WHEN value * 0.001 > 0 THEN user_id / (value * 0.001) ELSE 0.0 END, 6) AS throughput
 FROM events"""
+    vec = "len(embedding)::BIGINT AS dim, embedding"
+    s["embed_chunks"] = f"SELECT chunk_id, {vec} FROM {embedded(f'({CHUNK_CHARS})', 'chunk_id', 'chunk')}"
+    s["embed_queries"] = f"SELECT item_id AS qid, {vec} FROM {embedded('benchmark', 'item_id', 'text')}"
+    s["embed_queries_model"] = s["embed_queries"]
+    missing = "(SELECT vec_id, CASE WHEN vec_id % 7 <> 0 THEN embedding ELSE list_transform(range(64), lambda x: 0::FLOAT) END AS embedding FROM embeddings)"
+    s["zero_fallback"] = (f"WITH {dense_ctes(missing)}, {dense_topk('dn', LIST_K)} "
+                          f"SELECT qid, list_rank::BIGINT AS rank, doc_id, {r6('score')} AS score FROM dn")
+    chunk_vecs = f"(SELECT chunk_id AS vec_id, embedding FROM {embedded(f'({CHUNK_WORDS})', 'chunk_id', 'chunk')})"
+    query_vecs = f"(SELECT item_id AS qid, embedding FROM {embedded('benchmark', 'item_id', 'text')})"
+    chunk_hits = f"""WITH {hybrid(TOP_K, ALPHA, chunk_corpus, dense_ctes(chunk_vecs, query_vecs))},
+hits AS (SELECT hy.qid, hy.rank::BIGINT AS rank, hy.doc_id AS chunk_id, {r6('hy.score')} AS score, ck.text AS content,
+                concat_ws('/', d.source, d.lang, d.doc_id::VARCHAR) AS title
+         FROM hy JOIN {chunk_corpus} ck ON ck.doc_id = hy.doc_id
+         JOIN documents d ON d.doc_id::VARCHAR = regexp_replace(hy.doc_id, '_[^_]*$', ''))"""
+    s["chunk_hybrid_search"] = f"{chunk_hits} SELECT qid, rank, chunk_id, score, content, title FROM hits"
+    s["chunk_context_block"] = f"""{chunk_hits}
+SELECT qid, string_agg('[Chunk ' || rank::VARCHAR || ' — ' || chunk_id || ']' || {NL} || content, {NL} || {NL} ORDER BY rank) AS context
+FROM hits GROUP BY qid"""
+    s["rerank_udf"] = s["rerank_topk"]
     from sprank.plans import extra
     s.update(extra.oracle_sql())
     return s

@@ -38,16 +38,49 @@ def test_percentiles_exact(spark):
     assert r.p95 == pytest.approx(np.percentile(vals, 95))
 
 
-def test_stream_equals_batch(spark):
+def _ingest(spark, src, root, **kw):
+    from sprank.streaming import jobs
+    return jobs.ingest(spark, str(src), str(root / "out"), str(root / "checkpoint"), **kw)
+
+
+def test_stream_equals_batch(spark, tmp_path):
     from sprank.operators import chunking
     from sprank.streaming import jobs
-    s = jobs.ingest_chunks(spark, f"{SF001}/documents.parquet")
+    out = _ingest(spark, f"{SF001}/documents.parquet", tmp_path, index=False, embed=False)
+    s = jobs.ingested_chunks(spark, out)
     b = chunking.char_chunks(spark.read.parquet(f"{SF001}/documents.parquet"))
     cols = ["doc_id", "chunk_idx", "chunk_id", "chunk"]
     assert s.select(*cols).exceptAll(b.select(*cols)).count() == 0
     assert s.count() == b.count()
 
 
+def test_stream_resumes_and_replaces_documents(spark, tmp_path):
+    """A second run reads only new files; a document that shrinks loses its old chunks, also its last one."""
+    import os
+
+    from sprank.operators import bm25, chunking
+    from sprank.streaming import jobs
+    src, schema = tmp_path / "in", "doc_id long, text string"
+    long = " ".join(f"word{i}" for i in range(300))
+    first = [(1, long), (2, "second document " * 4), (3, "third document " * 5)]
+    spark.createDataFrame(first, schema).write.parquet(str(src))
+    out = _ingest(spark, src, tmp_path)
+    assert jobs.ingested_chunks(spark, out).where("doc_id = 1").count() > 3
+    before = set(os.listdir(f"{out}/chunks"))
+    second = [(1, "now a short text of the first document"), (3, "gone")]
+    spark.createDataFrame(second, schema).coalesce(1).write.mode("append").parquet(str(src))
+    _ingest(spark, src, tmp_path)
+    new = set(os.listdir(f"{out}/versions")) - before
+    assert len(new) == 1
+    assert spark.read.parquet(f"{out}/versions/{new.pop()}").count() == 2
+    now = chunking.char_chunks(spark.createDataFrame([second[0], first[1], second[1]], schema))
+    got = jobs.ingested_chunks(spark, out)
+    assert sorted(r.chunk_id for r in got.collect()) == sorted(r.chunk_id for r in now.collect())
+    assert all(len(r.embedding) == 384 for r in got.collect())
+    want = bm25.build_bm25(now, "chunk_id", "chunk")
+    assert jobs.ingested_index(spark, out).stats == pytest.approx(want.stats)
+
+
 def test_contract(spark):
     import __spark_entry__ as E
     q, sql = E.queries(), E.oracle_sql()
@@ -108,10 +141,10 @@ def test_udf_scorer_equals_native(spark):
     assert nat == pytest.approx(py) and nat[1] == pytest.approx(2 / 3) and nat[2] == 0.0
 
 
-def test_stream_index_equals_batch_index(spark):
+def test_stream_index_equals_batch_index(spark, tmp_path):
     from sprank.operators import bm25, chunking
     from sprank.streaming import jobs
-    idx = jobs.ingest_index(spark, f"{SF001}/documents.parquet")
+    idx = jobs.ingested_index(spark, _ingest(spark, f"{SF001}/documents.parquet", tmp_path, embed=False))
     chunks = chunking.char_chunks(spark.read.parquet(f"{SF001}/documents.parquet"))
     full = bm25.build_bm25(chunks, "chunk_id", "chunk")
     assert idx.stats == pytest.approx(full.stats)
@@ -121,6 +154,25 @@ def test_stream_index_equals_batch_index(spark):
     assert a == b
 
 
+def test_encoder_failures(spark):
+    """A failing encoder fails the job; zero vectors only on request, and counted."""
+    from sprank.operators import embedding
+
+    def broken():
+        def encode(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("no vector")
+            return embedding.hashed_bow()(texts)
+        return encode
+    embedding.register_model("broken", broken)
+    df = spark.createDataFrame([(1, "good"), (2, "bad")], "id long, text string").coalesce(1)
+    with pytest.raises(Exception, match="no vector"):
+        embedding.embed(df, "text", model="broken").collect()
+    failed = spark.sparkContext.accumulator(0)
+    rows = embedding.embed(df, "text", model="broken", batch_size=1, on_error="zeros", failed=failed).collect()
+    assert failed.value == 1 and [any(r.embedding) for r in sorted(rows)] == [True, False]
+
+
 def test_extension_predicate(spark):
     from sprank.operators import chunking
     files = spark.createDataFrame([("a.PDF",), ("b.pdf",), ("c.txt",)], "filename string")
