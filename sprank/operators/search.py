@@ -17,17 +17,28 @@ from sprank.plans.sizing import checked_broadcast
 from sprank.session import checkpoint_small
 
 
+# Up to so many ids are also pushed into the scan of the large side.
+MAX_PUSHED_IDS = 1000
+
+
+def _rows_of(frame: DataFrame, hits: DataFrame, id_col: str) -> DataFrame:
+    """Rows of a large table whose id occurs in the (bounded) hits: the ids are
+    broadcast behind a size check; few ids also go into the scan, so that row
+    groups without them are not read."""
+    ids = hits.select(id_col).distinct()
+    few = [r[0] for r in ids.limit(MAX_PUSHED_IDS + 1).collect()]
+    if len(few) <= MAX_PUSHED_IDS:
+        frame = frame.where(F.col(id_col).isin(few))
+    return frame.join(checked_broadcast(ids, what="hit ids")[0], id_col)
+
+
 def with_content(hits: DataFrame, content: DataFrame, id_col: str = "doc_id",
                  content_col: str = "content") -> DataFrame:
-    """Attach content by id; unknown ids get ''.
-
-    The corpus side is large and the hits small, so the corpus is streamed
-    through a broadcast of the (queries x k bounded) hit ids, then the few
-    matched rows are joined back to the hits. The hits are used twice, so
-    they are checkpointed once (they are bounded by queries x k)."""
+    """Attach content by id; unknown ids get ''. The corpus streams past the hit
+    ids, and the few matched rows are joined back to the hits; these are used
+    twice, so they are checkpointed once (they are bounded by queries x k)."""
     hits = checkpoint_small(hits)
-    ids, _ = checked_broadcast(hits.select(id_col).distinct(), what="hit ids")
-    found = content.select(F.col(id_col), F.col(content_col).alias("content")).join(ids, id_col)
+    found = _rows_of(content.select(F.col(id_col), F.col(content_col).alias("content")), hits, id_col)
     return (hits.join(found, id_col, "left")
                 .withColumn("content", F.coalesce(F.col("content"), F.lit(""))))
 
@@ -36,15 +47,17 @@ def with_title(hits: DataFrame, titles: DataFrame, id_col: str = "doc_id",
                title_col: str = "title") -> DataFrame:
     """Attach a title by source id; falls back to the id itself."""
     hits = checkpoint_small(hits)
-    ids, _ = checked_broadcast(hits.select(id_col).distinct(), what="hit ids")
-    found = titles.select(F.col(id_col), F.col(title_col).alias("title")).join(ids, id_col)
+    found = _rows_of(titles.select(F.col(id_col), F.col(title_col).alias("title")), hits, id_col)
     return (hits.join(found, id_col, "left")
                 .withColumn("title", F.coalesce(F.col("title"), F.col(id_col).cast("string"))))
 
 
 def in_pool(hits: DataFrame, pool: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Keep hits whose id is in ``pool`` (left semi join)."""
-    return hits.join(pool.select(id_col), id_col, "left_semi")
+    """Keep hits whose id is in ``pool``: the pool, which may be as large as the
+    corpus, streams past the hit ids."""
+    hits = checkpoint_small(hits)
+    found = _rows_of(pool.select(id_col), hits, id_col).distinct()
+    return hits.join(found, id_col, "left_semi")
 
 
 def candidates(index: HybridIndex, queries: DataFrame, content: DataFrame, top_k: int = 5,
