@@ -17,10 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sprank.llm.common import flat_utf8, row_chunks
+from sprank.llm.common import flat_utf8, row_chunks, written
 
 ORDER = 3
 TRAIN_DOCS_PER_LANG = 2000  # bound of the labelled sample, whole texts, least hash of doc_id first
+BROADCAST_ROWS = 200_000    # larger samples (very many labels) are joined by shuffle
 MIN_CONTEXT = 4             # contexts seen less often are left out of the tree
 MAX_SYMBOLS = 128           # rarer bytes share one symbol
 _MODELS: dict[str, "Model"] = {}
@@ -148,8 +149,10 @@ def train(rows: DataFrame, per_label: int = TRAIN_DOCS_PER_LANG) -> tuple[list[s
     """
     rows = rows.where("doc_id is not null and label is not null and text is not null")
     w = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
-    ids = (rows.select("doc_id", "label").distinct().withColumn("__n", F.row_number().over(w))
-           .where(F.col("__n") <= per_label).select("doc_id", "label"))
+    ids = written(rows.select("doc_id", "label").distinct().withColumn("__n", F.row_number().over(w))
+                  .where(F.col("__n") <= per_label).select("doc_id", "label"), "sample")
+    if ids.count() <= BROADCAST_ROWS:  # per_label rows for each of a few labels: the texts then stay where they are
+        ids = F.broadcast(ids)
     got = gram_counts(rows.join(ids, ["doc_id", "label"], "left_semi")).toPandas()
     labels = sorted(got["label"].unique())
     which = got["label"].map({x: i for i, x in enumerate(labels)}).to_numpy(np.int64)
