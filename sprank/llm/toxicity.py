@@ -20,8 +20,8 @@ from sprank.llm.common import (NON_WORD, _GRAM, flat_utf8, lower_ascii, mix, pre
 
 DIM_BITS = 22
 TRAIN_ROWS = 16_000  # bound of the labelled sample, least hash of doc_id first
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.1
 
 
 def features(buf: np.ndarray, offsets: np.ndarray, bits: int = DIM_BITS):
