@@ -70,6 +70,24 @@ def chunk_chars(spark, d):
         "doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "chunk_id", "chunk")
 
 
+def chunk_raw_words(spark, d):
+    """Word windows of the text as it is (neither lower-cased nor collapsed), ids in the `_c` style."""
+    return chunking.word_chunks(I.documents(spark, d), lower_clean=False, id_style="c").select(
+        "doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "chunk_id", "chunk")
+
+
+def clean_counts(spark, d):
+    docs = I.documents(spark, d).withColumn("clean", tx.clean("text"))
+    return docs.select("doc_id", tx.word_count("clean").cast("bigint").alias("word_count"),
+                       tx.char_count("clean").cast("bigint").alias("char_count"))
+
+
+def upload_check(spark, d):
+    """Uploads named by the pages' URLs, accepted by extension."""
+    pages = I.table(spark, d, "pages").select("page_id", F.col("url").alias("filename"))
+    return chunking.accept_by_extension(pages, ext="/").select("page_id", "accepted", "reason")
+
+
 def chunk_summary(spark, d):
     return chunking.chunk_summary(I.documents(spark, d))
 
@@ -361,6 +379,9 @@ def _registry() -> dict[str, Query]:
         "doc_avg_stats": doc_avg_stats,
         "chunk_words": chunk_words,
         "chunk_chars": chunk_chars,
+        "chunk_raw_words": chunk_raw_words,
+        "clean_counts": clean_counts,
+        "upload_check": upload_check,
         "chunk_summary": chunk_summary,
         "chunk_source_id": chunk_source_id,
         "ingest_rejects": ingest_rejects,

@@ -203,6 +203,11 @@ FROM (SELECT doc_id, regexp_replace(replace(text, {NL}, ' '), '^{WS}|{WS}$', '',
 SELECT doc_id, avg(len(string_split(text, ' '))) AS avg_words, avg(length(text)) AS avg_chars
 FROM documents GROUP BY doc_id"""
     s["chunk_words"] = CHUNK_WORDS
+    s["chunk_raw_words"] = CHUNK_WORDS.replace(tok(clean("text")), tok("text")).replace("'_' ||", "'_c' ||")
+    s["clean_counts"] = (f"SELECT doc_id, len(string_split({clean('text')}, ' '))::BIGINT AS word_count, "
+                         f"length({clean('text')})::BIGINT AS char_count FROM documents")
+    s["upload_check"] = ("SELECT page_id, ends_with(lower(url), '/') AS accepted, "
+                         "CASE WHEN ends_with(lower(url), '/') THEN NULL ELSE 'unsupported_type' END AS reason FROM pages")
     s["chunk_chars"] = CHUNK_CHARS
     s["chunk_summary"] = f"""
 WITH w AS (SELECT doc_id, count(*) AS n FROM ({CHUNK_WORDS}) GROUP BY doc_id),

@@ -25,14 +25,14 @@ _STRIP = f"^{PY_WS}+|{PY_WS}+$"
 
 def read_text_documents(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """Every file matching ``pattern`` under ``path`` as one row (doc_id, content):
-    doc_id = file name without extension, content read whole, CRLF -> LF,
-    stripped like Python ``str.strip()``."""
+    doc_id = file name without extension, content read whole, CRLF and
+    lone CR -> LF, stripped like Python ``str.strip()``."""
     # text()'s own wholetext argument (default False) overrides a reader option.
     df = (spark.read.option("pathGlobFilter", pattern)
           .text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name")))
     return df.select(
         F.regexp_replace("name", r"\.[^.]*$", "").alias("doc_id"),
-        F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), _STRIP, "").alias("content"))
+        F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), _STRIP, "").alias("content"))
 
 
 def has_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> bool:
