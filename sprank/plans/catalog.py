@@ -51,11 +51,8 @@ def doc_snippet(spark, d):
 
 
 def doc_avg_stats(spark, d):
-    docs = I.documents(spark, d)
-    return (docs.withColumn("word_count", tx.word_count("text"))
-                .withColumn("char_count", tx.char_count("text"))
-                .groupBy("doc_id").agg(F.avg("word_count").alias("avg_words"),
-                                       F.avg("char_count").alias("avg_chars")))
+    return I.documents(spark, d).groupBy("doc_id").agg(F.avg(tx.word_count("text")).alias("avg_words"),
+                                                       F.avg(tx.char_count("text")).alias("avg_chars"))
 
 
 # ---------------------------------------------------------------- chunking

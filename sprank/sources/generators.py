@@ -11,17 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The twelve topics of the sample-document generator.
-TOPICS = [
-    "machine learning", "artificial intelligence", "deep learning",
-    "natural language processing", "computer vision", "reinforcement learning",
-    "neural networks", "transformers", "large language models",
-    "data science", "big data", "distributed computing",
-]
-# The generated content's sentences.
-INTRO = "This document discusses %s. "
-BODY = ("It covers various aspects including theory, implementation, and practical applications. "
-        "The field has seen significant advancements in recent years.")
+# Subjects and sentences of the sample documents; callers may pass their own.
+TOPICS = ["query planning", "columnar storage", "stream joins", "text indexing", "vector search", "load balancing",
+          "schema changes", "data quality", "cost models", "fault recovery"]
+INTRO = "These notes are about %s. "
+BODY = "They start from a small example, say what breaks at size, and close with open points."
+ORIGIN, MADE_ON, AUTHORS = "sample", "2020-01-01", 10
 
 
 def _draw(id_col: Column, seed: int, salt: int, k: int) -> Column:
@@ -32,7 +27,7 @@ def _draw(id_col: Column, seed: int, salt: int, k: int) -> Column:
 def topic_documents(ids: DataFrame, id_col: str = "id", seed: int = 42,
                     topics: list[str] = TOPICS) -> DataFrame:
     """Sample documents: 1-3 distinct topics, content naming them, its length,
-    metadata (source, created, author_1..10), id ``doc_%04d``."""
+    metadata (source, created, one of AUTHORS writers), id ``doc_%04d``."""
     i = F.col(id_col)
     pool = F.array(*[F.lit(t) for t in topics])
     # Shuffle the pool by a per-row hash of each topic, take the first 1-3.
@@ -45,8 +40,8 @@ def topic_documents(ids: DataFrame, id_col: str = "id", seed: int = 42,
         content.alias("content"),
         chosen.alias("topics"),
         F.length(content).alias("length"),
-        F.struct(F.lit("generated").alias("source"), F.lit("2024-01-01").alias("created"),
-                 F.concat(F.lit("author_"), (_draw(i, seed, 2, 10) + 1).cast("string")).alias("author"))
+        F.struct(F.lit(ORIGIN).alias("source"), F.lit(MADE_ON).alias("created"),
+                 F.concat(F.lit("writer_"), (_draw(i, seed, 2, AUTHORS) + 1).cast("string")).alias("author"))
         .alias("metadata"))
 
 
