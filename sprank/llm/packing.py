@@ -23,11 +23,12 @@ from sprank.llm.common import buckets_for, running_totals, written
 
 WINDOW = 4096
 END_ID = 2
-CACHE_WORDS = 600_000  # words whose ids a worker keeps; all are forgotten when it is full
-_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+CACHE_WORDS = 400_000  # words whose ids a task keeps; all are forgotten when it is full
 _ODD = re.compile("[\x1c-\x1f]|<\\|")  # white space to some and not to others, or a special token's start
-_PLAIN = re.compile("([A-Za-z\xdf-\xf6\xf8-\xff\xc0-\xd6\xd8-\xde]+)([!-&(-/:-@[-`{-~]*)")
-_CACHES: dict[str, "WordIds"] = {}
+_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@[-`{-~]*)")
+# The byte-level alphabet shows these bytes as themselves and the others as 256, 257, ...
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 
 
 class WordIds(dict):
@@ -41,18 +42,26 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        self.model = self.tokenizer.model
+        size = self.tokenizer.get_vocab_size()
+        if size > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
+        self.packed = [i.to_bytes(2, "little") for i in range(size)]
 
     def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+        return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def __missing__(self, word: str) -> bytes:
         m = _PLAIN.fullmatch(word)
-        if m and (m[2] or word != word.lower()):
-            out = self[m[1].lower()] + (self[m[2]] if m[2] else b"")
-        else:
+        if not m:
             out = self.direct(word)
+        elif m[2]:
+            out = self[m[1]] + self[m[2]]  # punctuation is a piece of its own
+        elif (low := word.lower()) != word:
+            out = self[low]
+        else:  # small letters: one piece to the rules, so the model alone decides
+            seen = word if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET)
+            out = b"".join([self.packed[t.id] for t in self.model.tokenize(seen)])
         if len(self) >= CACHE_WORDS:
             self.clear()
         if len(word) <= 64:
@@ -62,7 +71,7 @@ class WordIds(dict):
     def text(self, text: str) -> bytes:
         if _ODD.search(text):
             return self.direct(text)
-        return b"".join(map(self.__getitem__, filter(None, _SPACES.split(text))))
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def tokenized(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
@@ -75,9 +84,7 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
         return zlib.crc32(ids.astype("<u4").tobytes())
 
     def run(batches):
-        if path not in _CACHES:
-            _CACHES[path] = WordIds(path)
-        words = _CACHES[path]
+        words = WordIds(path)  # forgotten with the task: idle workers hold no words
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 out = []
