@@ -63,7 +63,7 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def packed(codes: np.ndarray, empty: np.ndarray) -> list[str]:
     """Hexadecimal strings of the packed codes; '' for a text without shingles."""
-    bits = np.unpackbits(codes[:, :, None], axis=2)[:, :, 8 - BITS:].reshape(len(codes), -1)
+    bits = np.unpackbits(codes[:, :, None], axis=2)[:, :, 8 - BITS:].reshape(len(codes), BINS * BITS)
     return ["" if e else x.tobytes().hex() for x, e in zip(np.packbits(bits, axis=1), empty, strict=True)]
 
 
