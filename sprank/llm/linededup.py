@@ -7,9 +7,11 @@ goes still removes later ones.
 
 Words are ordered by rarity (counts of a fixed-size table over all lines, then
 the word's hash). Two similar lines share a word among the rarest few of each
-(prefix filter); such pairs are tested by their sizes, by the positions of the
-shared word, and by the bits that differ between 64-bit parity signatures of
-the two sets, which are at most their difference in words. The most promising
+(prefix filter). Where that word is still frequent, a prefix one word longer
+holds a second shared word, and the pair of both words is the key. Pairs of
+lines that meet are tested by their sizes, by the positions of the shared word,
+and by the bits that differ between parity signatures of the two sets (64 bits,
+256 for long lines), which are at most their difference in words. The most promising
 earlier line of each line is verified on its words; lines whose first candidate
 fails are searched again with all their candidates, so none is lost. Words are
 compared by 44-bit hashes in the search and as they are in the verification.
@@ -17,9 +19,6 @@ compared by 44-bit hashes in the search and as they are in the verification.
 
 from __future__ import annotations
 
-import hashlib
-import itertools
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -31,10 +30,13 @@ from sprank.llm.common import (SPACE, flat_utf8, lower_ascii, mix, partitions, p
                                word_spans, written)
 
 NUM, DEN = 4, 5
-TABLE_BITS = 20   # entries of the count table: 8 MB at any input size
+TABLE_BITS = 22   # entries of the table of word rarities: 4 MB shipped, 16 MB while counting, at any input size
 BITMAP_BITS = 27  # bits of a line bitmap: 16 MB at any input size
-HOT = 20_000      # lines of one word that meet in one group
-SMALL = 64        # groups up to this size are compared by shifting
+KEY_BITS = 24     # entries of the table of wanted keys: 16 MB
+HOT = 1024        # words that occur more often are joined by pairs of words
+LONG = 80         # lines of more words carry 256 signature bits
+PART = 200_000    # lines of a word that meet in one task, about
+SMALL = 1024      # groups up to this size are compared whole, larger ones until each line has a candidate
 _HASH = np.uint64((1 << 44) - 1)
 
 
@@ -42,15 +44,20 @@ def _ceil(a, b):
     return -(-a // b)
 
 
+def _line_ends(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, row, number in its row) of all lines."""
+    breaks = np.flatnonzero(buf == 10)
+    per_row = np.searchsorted(breaks, offsets[1:]) - np.searchsorted(breaks, offsets[:-1]) + 1
+    ends = np.append(np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable"), offsets[-1])
+    row = np.repeat(np.arange(len(per_row)), per_row)
+    return ends, row, np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+
+
 class Lines:
     """The lines of a chunk of texts and the distinct words of each, the rarest first."""
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None):
-        breaks = np.flatnonzero(buf == 10)
-        per_row = np.searchsorted(breaks, offsets[1:]) - np.searchsorted(breaks, offsets[:-1]) + 1
-        self.offsets = np.append(np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable"), offsets[-1])
-        self.row = np.repeat(np.arange(len(per_row)), per_row)
-        self.number = np.arange(len(self.row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+        self.offsets, self.row, self.number = _line_ends(buf, offsets)
         start, end, bounds = word_spans(buf, self.offsets, SPACE)
         self.hash = span_hash(prefix_hash(lower_ascii(buf)), start, end) >> np.uint64(20)
         self.line = np.repeat(np.arange(len(self.row)), np.diff(bounds))
@@ -74,13 +81,25 @@ class Lines:
             at = (np.cumsum(self.size) - self.size)[some]
             self.signature[some] = np.bitwise_xor.reduceat(np.uint64(1) << (self.hash & np.uint64(63)), at)
 
+    def wide(self) -> np.ndarray:
+        """Three more signature words of the long lines; with the fourth they fold to the short signature."""
+        out = np.zeros((len(self.row), 3), np.uint64)
+        long = self.size > LONG
+        if long.any():
+            use = long[self.line]
+            h, at = self.hash[use], np.concatenate([[0], np.cumsum(self.size[long])[:-1]])
+            bit, word = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(3)
+            for k in range(3):
+                out[long, k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), at)
+        return out
+
     def in_prefix(self) -> np.ndarray:
         size = self.size[self.line]
         return self.position < size - _ceil(NUM * size, DEN) + 1
 
 
-def line_id(doc: np.ndarray, number: np.ndarray, signature: np.ndarray) -> np.ndarray:
-    return mix(mix(doc.astype(np.int64).view(np.uint64)) + number.astype(np.uint64) * np.uint64(_ODD) ^ signature)
+def line_id(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return mix(mix(doc.astype(np.int64).view(np.uint64)) + number.astype(np.uint64) * np.uint64(_ODD))
 
 
 _ODD = 0xA24BAED4963EE407
@@ -89,15 +108,15 @@ _ODD = 0xA24BAED4963EE407
 def _chunks(batches, counts):
     """Yields (doc ids, buffer, offsets, Lines) of about half a megabyte of text."""
     for b in batches:
-        doc = b.column(0).to_numpy(zero_copy_only=False)
         buf, off = flat_utf8(b.column(1))
         for i, j in row_chunks(off, 1 << 19):
             part, po = buf[off[i]:off[j]], off[i:j + 1] - off[i]
-            yield doc[i:j], part, po, Lines(part, po, counts)
+            doc = b.column(0).slice(i, j - i)
+            yield doc if doc.null_count else doc.to_numpy(), part, po, Lines(part, po, counts)
 
 
-def _table_sum(df: DataFrame, run, size: int, dtype=np.int64) -> np.ndarray:
-    """Sum of one fixed-size table per task; slices of it are added up in the cluster."""
+def _table_sum(df: DataFrame, run, size: int, dtype=np.int64, op=np.add) -> np.ndarray:
+    """Sum (or ``op``) of one fixed-size table per task; slices of it are put together in the cluster."""
     n, step = size, 1 << 13
 
     def emit(batches):
@@ -109,7 +128,7 @@ def _table_sum(df: DataFrame, run, size: int, dtype=np.int64) -> np.ndarray:
     def add(part: pa.Table) -> pa.Table:
         total = np.zeros(step, dtype)
         for x in part["t"].to_pylist():
-            total += np.frombuffer(zstandard.decompress(x), dtype)
+            op(total, np.frombuffer(zstandard.decompress(x), dtype), out=total)
         return pa.table({"at": part["at"][:1].combine_chunks(), "t": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
     out = np.zeros(n, dtype)
     for r in df.mapInArrow(emit, "at int, t binary").groupBy("at").applyInArrow(add, "at int, t binary").collect():
@@ -117,26 +136,47 @@ def _table_sum(df: DataFrame, run, size: int, dtype=np.int64) -> np.ndarray:
     return out
 
 
-def _counts(docs: DataFrame, rarity) -> np.ndarray:
-    """Occurrences per table entry, of all words or (with ``rarity``) of those in the prefixes of lines."""
+def _selected(batches, bitmap, rarity):
+    """Yields (doc ids, numbers, texts as bytes, Lines with a line a row) of the lines in a bitmap; only these are split into words."""
+    for b in batches:
+        buf, off = flat_utf8(b.column(1))
+        for i, j in row_chunks(off, 1 << 20):
+            part, po = buf[off[i]:off[j]], off[i:j + 1] - off[i]
+            ends, row, number = _line_ends(part, po)
+            doc = b.column(0).slice(i, j - i).to_numpy()[row]
+            use = np.flatnonzero(_has(bitmap, line_id(doc, number)))
+            if len(use):
+                raw = part.tobytes()
+                texts = [raw[ends[k]:ends[k + 1]].rstrip(b"\n") for k in use.tolist()]
+                joined = np.frombuffer(b"".join(texts), np.uint8)
+                x = Lines(joined, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), rarity)
+                yield doc[use], number[use], texts, x
+
+
+def _rarities(docs: DataFrame) -> np.ndarray:
+    """Occurrences of words per table entry, in half octaves (under 64)."""
     def run(batches):
-        total = np.zeros(1 << TABLE_BITS, np.int64)
-        for _, _, _, lines in _chunks(batches, rarity.value if rarity else None):
-            h = lines.hash[lines.in_prefix()] if rarity else lines.hash
-            at = (h >> np.uint64(44 - TABLE_BITS)).astype(np.int64)
-            if len(at) * 8 < len(total):
-                np.add.at(total, at, 1)
-            else:
-                total += np.bincount(at, minlength=len(total))
+        total = np.zeros(1 << TABLE_BITS, np.uint32)
+        for _, _, _, lines in _chunks(batches, None):
+            np.add.at(total, (lines.hash >> np.uint64(44 - TABLE_BITS)).astype(np.int64), np.uint32(1))
         return total
-    return _table_sum(docs, run, 1 << TABLE_BITS)
+
+    def add(a, b, out):
+        out[:] = np.minimum(a.astype(np.uint64) + b, np.iinfo(np.uint32).max)
+    total = _table_sum(docs, run, 1 << TABLE_BITS, np.uint32, add)
+    return np.floor(2 * np.log2(total + 1.0)).astype(np.uint8)
+
+
+def _occurrences(steps: np.ndarray) -> np.ndarray:
+    """At least the occurrences that a rarity stands for; exactly 1 for words that occur once."""
+    return np.where(steps <= 2, 1, np.exp2((steps + 1.0) / 2).astype(np.int64))
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
-    """(doc_id, number, signature) -> bits of the lines' ids; a set bit may belong to other lines too."""
+    """(doc_id, number) -> bits of the lines' ids; a set bit may belong to other lines too."""
     def emit(batches):
         for b in batches:
-            h = line_id(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)) >> np.uint64(64 - BITMAP_BITS)
+            h = line_id(b.column(0).to_numpy(), b.column(1).to_numpy()) >> np.uint64(64 - BITMAP_BITS)
             yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(17)).astype(np.int32)), pa.array((h & np.uint64((1 << 17) - 1)).astype(np.int32))], ["at", "bit"])
 
     def fill(part: pa.Table) -> pa.Table:
@@ -144,7 +184,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
         bits[part["bit"].to_numpy()] = 1
         return pa.table({"at": part["at"][:1].combine_chunks(), "t": pa.array([np.packbits(bits).tobytes()], pa.binary())})
     out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    cells = ids.select("doc_id", "number", "signature").mapInArrow(emit, "at int, bit int").distinct()
+    cells = ids.select("doc_id", "number").mapInArrow(emit, "at int, bit int").distinct()
     for r in cells.groupBy("at").applyInArrow(fill, "at int, t binary").collect():
         out[r["at"] << 14:(r["at"] + 1) << 14] = np.frombuffer(r["t"], np.uint8)
     return out
@@ -160,31 +200,58 @@ _FIELDS = (("word", np.uint32), ("part", np.uint32), ("doc", np.int64), ("number
 
 
 def _pack(cols: list[np.ndarray]) -> bytes:
-    cols = [np.diff(c, prepend=c.dtype.type(0)) if i == 2 else c for i, c in enumerate(cols)]
-    return zstandard.compress(b"".join(c.astype(d).tobytes() for c, (_, d) in zip(cols, _FIELDS, strict=True)), 1)
+    """Columns of _FIELDS and the wide signatures, of which those of short lines are left out."""
+    wide = cols[-1][cols[4] > LONG]
+    cols = [np.diff(c, prepend=c.dtype.type(0)) if i == 2 else c for i, c in enumerate(cols[:-1])]
+    raw = [np.int64(len(cols[0])).tobytes(), *(c.astype(d).tobytes() for c, (_, d) in zip(cols, _FIELDS, strict=True)), wide.tobytes()]
+    return zstandard.compress(b"".join(raw), 1)
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
     raw = zstandard.decompress(data)
-    n, at, out = len(raw) // sum(np.dtype(d).itemsize for _, d in _FIELDS), 0, []
+    n, at, out = int(np.frombuffer(raw[:8], np.int64)[0]), 8, []
     for i, (_, d) in enumerate(_FIELDS):
         size = n * np.dtype(d).itemsize
         c = np.frombuffer(raw[at:at + size], d)
         out.append(np.cumsum(c) if i == 2 else c)
         at += size
-    return out
-
-
-def _postings(docs: DataFrame, rarity, prefix, buckets: int) -> DataFrame:
-    """(bucket, data): blocks of prefix postings. Equal lines of a chunk are one; the later ones point to the first.
-
-    Those pointers are the rows of bucket -1. A word with many postings is dealt
-    into parts, any two of its lines sharing one.
+    wide = np.zeros((n, 3), np.uint64)
+    wide[out[4] > LONG] = np.frombuffer(raw[at:], np.uint64).reshape(-1, 3)
+    return [*out, wide]
+
+
+def _key_at(key: np.ndarray) -> np.ndarray:
+    return (mix(key) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+
+
+def _prefix_keys(x: Lines, use: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word number, join key, occurrences of the word) for the prefix words ``use``."""
+    n = _occurrences(rarity[(x.hash[use] >> np.uint64(44 - TABLE_BITS)).astype(np.int64)])
+    use, n = use[n > 1], n[n > 1]  # a word that occurs once is shared by no other line
+    # A frequent word goes with each later word of the prefix that is one word longer;
+    # a line of one word, which only its equals match, stays alone.
+    size = x.size[x.line[use]]
+    later = np.minimum(size, size - _ceil(NUM * size, DEN) + 2) - 1 - x.position[use]
+    hot = (n > HOT) & (size > 1)
+    times = np.where(hot, later, 1)
+    i = np.repeat(np.arange(len(use)), times)
+    nth = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+    key = x.hash[use][i]
+    two = hot[i]
+    key[two] = mix(key[two] * np.uint64(_ODD) + x.hash[use[i[two]] + 1 + nth[two]])
+    return use[i], key, n[i]
+
+
+def _postings(docs: DataFrame, rarity, buckets: int, wanted=None) -> DataFrame:
+    """(bucket, copies, data): blocks of prefix postings, of ``wanted`` keys only if given.
+
+    Lines of a chunk of equal word sets are one; the later ones come as copies.
+    A word with very many postings is dealt into parts, any two of its lines
+    sharing one.
     """
     def run(batches):
-        cells = prefix.value
         for doc, _, _, x in _chunks(batches, rarity.value):
-            did, number, sig = doc[x.row], x.number, x.signature
+            did, number, sig, wide = doc[x.row], x.number, x.signature, x.wide()
             # Lines of equal word sets: hashes added up are the same.
             total = np.zeros(len(x.row), np.uint64)
             np.add.at(total, x.line, mix(x.hash))
@@ -193,115 +260,198 @@ def _postings(docs: DataFrame, rarity, prefix, buckets: int) -> DataFrame:
             same[1:] = (total[order[1:]] == total[order[:-1]]) & (x.size[order[1:]] == x.size[order[:-1]]) & (x.size[order[1:]] > 0)
             first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
             # A row of the same doc_id, number and words is the same line again.
-            copy = same & ((did[order] != did[first]) | (number[order] != number[first]))
-            if copy.any():
-                a, b = order[copy], first[copy]
-                yield _rows(-1, _pack([np.zeros(len(a), np.uint32), np.zeros(len(a), np.uint32), did[a], number[a], number[b], np.zeros(len(a), np.int32), sig[a]]))
+            copy = order[same & ((did[order] != did[first]) | (number[order] != number[first]))]
+            if len(copy) and wanted is None:
+                copy = copy[np.lexsort((number[copy], did[copy]))]
+                none = np.zeros(len(copy), np.int64)
+                yield _rows(int(sig[copy[0]] % np.uint64(buckets)), True, [none, none, did[copy], number[copy], none, none, sig[copy], wide[copy]])
             single = np.ones(len(order), bool)
             single[order[same]] = False
-            use = np.flatnonzero(x.in_prefix() & single[x.line])
-            n = cells[(x.hash[use] >> np.uint64(44 - TABLE_BITS)).astype(np.int64)]
-            use, n = use[n > 1], n[n > 1]  # a word of one prefix is shared by no other
+            use, key, n = _prefix_keys(x, np.flatnonzero(x.in_prefix() & single[x.line]), rarity.value)
+            if wanted is not None:
+                ok = wanted.value[_key_at(key)]
+                use, key, n = use[ok], key[ok], n[ok]
             line = x.line[use]
-            share = np.where(n > HOT, _ceil(2 * n, HOT), 1)
-            own = (line_id(did, number, sig)[line] % share.astype(np.uint64)).astype(np.int64)
+            share = np.where(n > PART, _ceil(2 * n, PART), 1)
+            own = (line_id(did, number)[line] % share.astype(np.uint64)).astype(np.int64)
             rep = np.repeat(np.arange(len(use)), share)
             other = np.arange(len(rep)) - np.repeat(np.cumsum(share) - share, share)
             own, c = own[rep], share[rep]
             part = np.minimum(own, other) * c + np.maximum(own, other)
-            use, line = use[rep], line[rep]
-            bucket = ((mix(x.hash[use] + part.astype(np.uint64) * np.uint64(_ODD)) >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+            use, line, key = use[rep], line[rep], key[rep]
+            bucket = ((mix(key + part.astype(np.uint64) * np.uint64(_ODD)) >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
             at = np.lexsort((number[line], did[line], bucket))
             cut = np.searchsorted(bucket[at], np.arange(buckets + 1))
             for k in range(buckets):
                 if cut[k] < cut[k + 1]:
                     i = at[cut[k]:cut[k + 1]]
                     u, ln = use[i], line[i]
-                    yield _rows(k, _pack([x.hash[u], part[i], did[ln], number[ln], x.size[ln], x.position[u], sig[ln]]))
-    return docs.mapInArrow(run, "bucket int, data binary")
+                    yield _rows(k, False, [key[i], part[i], did[ln], number[ln], x.size[ln], x.position[u], sig[ln], wide[ln]])
+    return docs.mapInArrow(run, "bucket int, copies boolean, data binary")
+
+
+def _rows(bucket: int, copies: bool, cols: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([copies]), pa.array([_pack(cols)], pa.binary())], ["bucket", "copies", "data"])
 
 
-def _rows(bucket: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], ["bucket", "data"])
+def _differ(a, b, size, sig, wide):
+    """Bits that differ between the signatures of rows a and b."""
+    x = sig[a] ^ sig[b]
+    out = np.bitwise_count(x).astype(np.int16)
+    both = np.flatnonzero((size[a] > LONG) & (size[b] > LONG))
+    if len(both):
+        rest = wide[a[both] if np.ndim(a) else a] ^ wide[b[both] if np.ndim(b) else b]
+        last = x[both] ^ rest[:, 0] ^ rest[:, 1] ^ rest[:, 2]
+        out[both] = np.bitwise_count(last).astype(np.int16) + np.bitwise_count(rest).sum(1, dtype=np.int16)
+    return out
 
 
-def _may_match(size_a, pos_a, sig_a, size_b, pos_b, sig_b):
-    """(can the sets be similar, bits that differ between the signatures)."""
-    both = size_a + size_b
+def _may_match(a, b, size, pos, sig, wide):
+    """(can the sets of rows a and b be similar, bits that differ between the signatures)."""
+    both = size[a] + size[b]
     need = _ceil(NUM * both, NUM + DEN)
-    differ = np.bitwise_count(sig_a ^ sig_b)
-    ok = (1 + np.minimum(size_a - pos_a, size_b - pos_b) - 1 >= need) & (differ <= both - 2 * need)
-    return ok & (np.minimum(size_a, size_b) * DEN >= NUM * np.maximum(size_a, size_b)), differ
+    ok = (np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need) & (np.minimum(size[a], size[b]) * DEN >= NUM * np.maximum(size[a], size[b]))
+    differ = np.full(ok.shape, 999, np.int16)
+    i = np.flatnonzero(ok)
+    differ[i] = _differ(a[i] if np.ndim(a) else np.full(len(i), a), b[i] if np.ndim(b) else np.full(len(i), b), size, sig, wide)
+    return ok & (differ <= both - 2 * need), differ
+
+
+def _least_shared(size_a, size_b):
+    """Words that the prefixes of two similar lines share at least."""
+    return _ceil(NUM * (size_a + size_b), NUM + DEN) - _ceil(NUM * np.maximum(size_a, size_b), DEN) + 1
 
 
 def _search(cols: list[np.ndarray], only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(later, earlier) row numbers of candidates of one bucket.
 
-    Without ``only`` one earlier row for each row that has any; with ``only``
-    (a bitmap of lines) all earlier rows of the lines in it.
+    Without ``only`` one earlier row for each line that has any; with ``only``
+    (a bitmap of lines) all earlier rows of the lines in it, as often as they
+    meet.
     """
-    word, part, doc, number, size, pos, sig = cols
+    word, part, doc, number, size, pos, sig, wide = cols
+    size, pos = size.astype(np.int64), pos.astype(np.int64)
     order = np.lexsort((sig, number, doc, part, word))
     w = word[order].astype(np.uint64) << np.uint64(32) | part[order]
-    doc, number, size, pos, sig = (c[order] for c in (doc, number, size, pos, sig))
-    asks = np.ones(len(w), bool) if only is None else _has(only, line_id(doc, number, sig))
-    cut = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-    length = np.diff(np.append(cut, len(w)))
-    best, found = np.full(len(w), 255, np.uint8), np.full(len(w), -1)
-    late, early = [], []
-
-    def keep(a, b, ok, differ):
-        ok &= ~((doc[a] == doc[b]) & (number[a] == number[b]))
-        a, b, differ = a[ok], b[ok], differ[ok]
-        if only is not None:
-            late.append(a)
-            early.append(b)
-        else:
-            better = differ < best[a]
-            best[a[better]], found[a[better]] = differ[better], b[better]
-
-    group = np.repeat(length, length)
-    rows = np.flatnonzero(group <= SMALL)
-    for s in range(1, int(length[length <= SMALL].max(initial=1))):
-        rows = rows[rows >= s]
-        rows = rows[w[rows] == w[rows - s]]
-        if not len(rows):
-            break
-        a = rows[asks[rows]]
-        b = a - s
-        keep(a, b, *_may_match(size[a], pos[a], sig[a], size[b], pos[b], sig[b]))
-    for lo, n in zip(cut[length > SMALL], length[length > SMALL], strict=True):
-        open_ = lo + np.flatnonzero(asks[lo:lo + n])
-        for p in range(lo, lo + n, 32):  # the earliest 32 rows against all later rows without a candidate
-            open_ = open_[open_ > p]
-            if only is None:
-                open_ = open_[found[open_] < 0]
-            if not len(open_):
+    doc, number, size, pos, sig, wide = (c[order] for c in (doc, number, size, pos, sig, wide))
+    new = np.concatenate([[True], w[1:] != w[:-1]])[:len(w)]
+    if only is not None:
+        return _all_earlier(order, np.flatnonzero(new), _has(only, line_id(doc, number)), doc, number, size, sig, wide)
+    group = np.cumsum(new) - 1
+    best, found = np.full(len(w), 999, np.int16), np.full(len(w), -1)
+
+    def keep(a, b):
+        """Offer row b to the later row a."""
+        ok, differ = _may_match(a, b, size, pos, sig, wide)
+        ok &= ((doc[a] != doc[b]) | (number[a] != number[b])) & (differ < best[a])
+        best[a[ok]], found[a[ok]] = differ[ok], b[ok]
+
+    # Lines alike in size and signature: the first of a group is the candidate of the others, if it may be.
+    by = np.lexsort((size, sig, group))
+    same = np.zeros(len(by), bool)
+    same[1:] = (group[by[1:]] == group[by[:-1]]) & (sig[by[1:]] == sig[by[:-1]]) & (size[by[1:]] == size[by[:-1]])
+    lead = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
+    keep(by[same], lead[same])
+    rows = np.flatnonzero(found < 0)
+    count = np.bincount(group[rows], minlength=group[-1] + 1 if len(group) else 0)
+    few = rows[count[group[rows]] <= SMALL]
+    few = few[np.lexsort((size[few], group[few]))]
+    g, big = group[few], size[few]
+    act, s = np.arange(len(few)), 0
+    while len(act):  # every row against the row s places on, while sizes allow it
+        s += 1
+        act = act[act < len(few) - s]
+        act = act[(g[act] == g[act + s]) & (big[act + s] * NUM <= big[act] * DEN)]
+        x, y = few[act], few[act + s]
+        keep(np.maximum(x, y), np.minimum(x, y))
+    many = rows[count[group[rows]] > SMALL]
+    for mine in np.split(many, np.flatnonzero(np.diff(group[many])) + 1) if len(many) else ():
+        wait = mine
+        for b in mine:  # the earliest first, against all later rows without a candidate
+            wait = wait[(wait > b) & (found[wait] < 0)]
+            if not len(wait):
                 break
-            for b in range(p, min(p + 32, lo + n)):
-                a = open_[open_ > b]
-                if len(a):
-                    keep(a, np.full(len(a), b), *_may_match(size[a], pos[a], sig[a], size[b], pos[b], sig[b]))
-    if only is None:
-        a = np.flatnonzero(found >= 0)
-        late, early = order[a], order[found[a]]
-    else:
-        none = np.zeros(0, np.int64)
-        late, early = order[np.concatenate([none, *late])], order[np.concatenate([none, *early])]
-    return late, early
+            keep(wait, np.full(len(wait), b))
+    a = np.flatnonzero(found >= 0)
+    by = a[np.lexsort((best[a], sig[a], number[a], doc[a]))]  # the best of each line
+    first = np.ones(len(by), bool)
+    first[1:] = (doc[by[1:]] != doc[by[:-1]]) | (number[by[1:]] != number[by[:-1]]) | (sig[by[1:]] != sig[by[:-1]])
+    a = by[first]
+    return order[a], order[found[a]]
 
 
-_PAIR = "doc_id long, number int, signature long, e_doc long, e_number int, e_signature long, differ int"
+def _all_earlier(order, cut, asks, doc, number, size, sig, wide) -> tuple[np.ndarray, np.ndarray]:
+    """All candidates of the rows that ``asks`` marks, among the earlier rows of their groups (from ``cut`` on).
+
+    Positions are not looked at: meetings are counted, and only the rarest
+    shared word of two similar lines need stand early in both.
+    """
+    late, early = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rows = np.flatnonzero(asks)
+    begin = np.zeros(len(order), np.int64)
+    for a, lo in zip(rows, cut[np.searchsorted(cut, rows, side="right") - 1], strict=True):
+        b = np.arange(lo, a)
+        ok, _ = _may_match(np.full(len(b), a), b, size, begin, sig, wide)
+        b = b[ok & ((doc[lo:a] != doc[a]) | (number[lo:a] != number[a]))]
+        late.append(np.full(len(b), a))
+        early.append(b)
+    return order[np.concatenate(late)], order[np.concatenate(early)]
+
+
+_KEY = ["doc_id", "number", "signature"]
+_PAIR = "doc_id long, number int, signature long, e_doc long, e_number int, e_signature long, differ int, least int"
+
+
+def _pairs(cols, a, b) -> pa.Table:
+    _, _, doc, number, size, _, sig, wide = cols
+    return pa.table({"doc_id": doc[a], "number": number[a].astype(np.int32), "signature": sig[a].view(np.int64), "e_doc": doc[b], "e_number": number[b].astype(np.int32),
+                     "e_signature": sig[b].view(np.int64), "differ": _differ(a, b, size, sig, wide).astype(np.int32),
+                     "least": _least_shared(size[a].astype(np.int64), size[b].astype(np.int64)).astype(np.int32)})
 
 
-def _candidates(postings: DataFrame, only=None) -> DataFrame:
+def _enough(met: DataFrame) -> DataFrame:
+    """Pairs that met as often as similar lines do; a frequent word may count once less than it is shared."""
+    pairs = met.groupBy(*_KEY, "e_doc", "e_number", "e_signature", "least").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.where(F.col("n") >= F.greatest(F.lit(1), F.col("least") - 1)).drop("n", "least")
+
+
+def _candidates(postings: DataFrame) -> DataFrame:
+    """(line, its best earlier line, differ), written; differ is -1 for copies, which need no verification."""
+    def run(part: pa.Table) -> pa.Table:
+        out = []
+        for copies in (True, False):
+            data = [x for x, c in zip(part["data"].to_pylist(), part["copies"].to_pylist(), strict=True) if c == copies]
+            if data:
+                cols = [np.concatenate(c) for c in zip(*map(_unpack, data), strict=True)]
+                rows = np.arange(len(cols[0]))
+                t = _pairs(cols, *((rows, rows) if copies else _search(cols, None)))
+                out.append(t.set_column(6, "differ", pa.array(np.full(len(t), -1, np.int32))) if copies else t)
+        return pa.concat_tables(out)
+    found = postings.groupBy("bucket").applyInArrow(run, _PAIR)
+    best = found.groupBy(*_KEY).agg(F.min(F.struct("differ", "e_doc", "e_number", "e_signature")).alias("m"))
+    return written(best.select(*_KEY, "m.e_doc", "m.e_number", "m.e_signature", "m.differ"), "candidates")
+
+
+def _all_candidates(docs: DataFrame, failed: DataFrame, rarity) -> DataFrame:
+    """All pairs of a line of ``failed`` and an earlier line that share as many prefix words as similar lines do, written.
+
+    Only keys that those lines have are searched.
+    """
+    spark = docs.sparkSession
+    lines = spark.sparkContext.broadcast(_bitmap(failed))
+
+    def keys(batches):
+        total = np.zeros(1 << KEY_BITS, np.uint8)
+        for _, _, _, x in _selected(batches, lines.value, rarity.value):
+            total[_key_at(_prefix_keys(x, np.flatnonzero(x.in_prefix()), rarity.value)[1])] = 1
+        return total
+    wanted = spark.sparkContext.broadcast(_table_sum(docs, keys, 1 << KEY_BITS, np.uint8, np.maximum) > 0)
+
     def run(part: pa.Table) -> pa.Table:
         cols = [np.concatenate(c) for c in zip(*map(_unpack, part["data"].to_pylist()), strict=True)]
-        a, b = _search(cols, only.value if only else None)
-        _, _, doc, number, _, _, sig = cols
-        return pa.table({"doc_id": doc[a], "number": number[a], "signature": sig[a].view(np.int64), "e_doc": doc[b], "e_number": number[b],
-                         "e_signature": sig[b].view(np.int64), "differ": np.bitwise_count(sig[a] ^ sig[b]).astype(np.int32)})
-    return postings.where("bucket >= 0").groupBy("bucket").applyInArrow(run, _PAIR)
+        return _pairs(cols, *_search(cols, lines.value))
+    met = _postings(docs, rarity, partitions(docs), wanted).groupBy("bucket").applyInArrow(run, _PAIR)
+    return written(_enough(met.drop("differ")).join(failed, _KEY, "left_semi"), "candidates")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, rarity) -> DataFrame:
@@ -311,11 +461,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, rarity) -> DataFrame:
     wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(ends))
 
     def fetch(batches):
-        for doc, buf, _, x in _chunks(batches, rarity.value):
-            use = np.flatnonzero(_has(wanted.value, line_id(doc[x.row], x.number, x.signature)) & (x.size > 0))
-            raw = buf.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(doc[x.row[use]]), pa.array(x.number[use].astype(np.int32)), pa.array(x.signature[use].view(np.int64)),
-                                              pa.array([raw[x.offsets[i]:x.offsets[i + 1]] for i in use], pa.binary())], ["doc_id", "number", "signature", "line"])
+        for doc, number, lines, x in _selected(batches, wanted.value, rarity.value):
+            use = np.flatnonzero(x.size > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[use]), pa.array(number[use].astype(np.int32)), pa.array(x.signature[use].view(np.int64)),
+                                              pa.array([lines[i] for i in use], pa.binary())], ["doc_id", "number", "signature", "line"])
 
     def verify(batches):
         for b in batches:
@@ -325,11 +474,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, rarity) -> DataFrame:
                 both = len(x & y)
                 ok.append(both * DEN >= NUM * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(b.columns[:3], ["doc_id", "number", "signature"]).filter(pa.array(ok, pa.bool_()))
-    key = ["doc_id", "number", "signature"]
     texts = docs.mapInArrow(fetch, "doc_id long, number int, signature long, line binary")
-    first = pairs.drop("differ").join(texts, key)
-    second = texts.select(F.col("doc_id").alias("e_doc"), F.col("number").alias("e_number"), F.col("signature").alias("e_signature"), F.col("line").alias("e_line"))
-    both = first.join(second, ["e_doc", "e_number", "e_signature"]).select(*key, "line", "e_line")
+    # Both joins name the same columns, so the lines are fetched and shuffled once.
+    first = pairs.select(*_KEY, "e_doc", "e_number", "e_signature").join(texts, _KEY).select(*[F.col(c).alias(f"o_{c}") for c in (*_KEY, "line")], F.col("e_doc").alias("doc_id"),
+                                          F.col("e_number").alias("number"), F.col("e_signature").alias("signature"))
+    both = first.join(texts, _KEY).select(*[F.col(f"o_{c}").alias(c) for c in (*_KEY, "line")], F.col("line").alias("e_line"))
     return both.mapInArrow(verify, "doc_id long, number int, signature long")
 
 
@@ -337,30 +486,14 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, Broadcast]:
     """(doc_id, number, signature) of the lines that an earlier line matches, and the table of rarities."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text <> ''")
     spark = docs.sparkSession
-    words = _counts(docs, None)
-    steps = np.floor(2 * np.log2(words + 1.0)).astype(np.uint8)  # rarity in half octaves: under 64
-    rarity = spark.sparkContext.broadcast(np.minimum(steps, 63))
-    prefix = spark.sparkContext.broadcast(_counts(docs, rarity))
-    postings = written(_postings(docs, rarity, prefix, partitions(docs)), "postings")
-
-    def copies(batches):
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                _, _, doc, number, _, _, sig = _unpack(data)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number), pa.array(sig.view(np.int64))], ["doc_id", "number", "signature"])
-    key = ["doc_id", "number", "signature"]
-    found = postings.where("bucket < 0").select("data").mapInArrow(copies, "doc_id long, number int, signature long")
-    best = (_candidates(postings).groupBy(*key).agg(F.min(F.struct("differ", "e_doc", "e_number", "e_signature")).alias("m"))
-            .select(*key, "m.e_doc", "m.e_number", "m.e_signature", "m.differ"))
-    best = written(best, "candidates")
-    sure = written(_verified(docs, best, rarity).distinct(), "matches")
-    failed = written(best.select(*key).join(sure, key, "left_anti"), "unresolved")
-    found = found.unionByName(sure)
+    rarity = spark.sparkContext.broadcast(_rarities(docs))
+    best = _candidates(_postings(docs, rarity, partitions(docs)))
+    found = written(best.where("differ < 0").select(*_KEY).unionByName(_verified(docs, best.where("differ >= 0"), rarity).distinct()), "matches")
+    failed = written(best.select(*_KEY).join(found, _KEY, "left_anti"), "unresolved")
     if not failed.isEmpty():
-        again = spark.sparkContext.broadcast(_bitmap(failed))
-        rest = written(_candidates(postings, again).dropDuplicates([*key, "e_doc", "e_number", "e_signature"]).join(failed, key, "left_semi"), "candidates")
+        rest = _all_candidates(docs, failed, rarity)
         found = found.unionByName(written(_verified(docs, rest, rarity).distinct(), "matches"))
-    return found.distinct(), rarity
+    return found, rarity
 
 
 def _stripped(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -395,19 +528,34 @@ def _stripped(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def line_counts(docs: DataFrame) -> DataFrame:
-    """documents -> (doc_id, n_lines, n_removed, kept_sha256), one row per input row.
+    """documents -> (doc_id, n_lines, n_removed, removed_lines), one row per input row.
 
-    Lines end at line feeds. Lines without words, null and empty texts and rows
-    of a null doc_id stay as they are and match nothing; null and empty texts
-    have no lines. Rows that repeat a doc_id and a text are one document; rows
-    that share only the doc_id are told apart by their lines' words.
+    removed_lines: the numbers (from 0, ascending) of the lines that go. Lines
+    end at line feeds. Lines without words, null and empty texts and rows of a
+    null doc_id stay as they are and match nothing; null and empty texts have
+    no lines. Rows that repeat a doc_id and a text are one document; rows that
+    share only the doc_id are told apart by their lines' words.
     """
-    def digest(batches):
-        for b in batches:
-            out = [hashlib.sha256((t or "").encode()).hexdigest() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(out, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_sha256"])
-    return (_stripped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
-            .select("doc_id", "__kept", "__lines", "__went").mapInArrow(digest, "doc_id long, n_lines long, n_removed long, kept_sha256 string"))
+    found, rarity = duplicate_lines(docs)
+
+    def run(batches):
+        for doc, _, po, x in _chunks(batches, rarity.value):
+            first = np.append(np.searchsorted(x.row, np.arange(len(doc))), len(x.row)).astype(np.int32)
+            n = np.where(np.diff(po) > 0, np.diff(first), 0)
+            marks = pa.ListArray.from_arrays(pa.array(first), pa.array(x.signature.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), marks], ["doc_id", "n_lines", "marks"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    gone = found.groupBy("doc_id").agg(F.collect_list(F.struct("number", "signature")).alias("gone"))
+    if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1
+        rows = rows.select("doc_id", F.when(F.col("text") != "", lines).otherwise(0).cast("long").alias("n_lines"))
+        mine = F.col("gone")
+    else:
+        rows = rows.mapInArrow(run, "doc_id long, n_lines long, marks array<long>")
+        mine = F.filter("gone", lambda g: (g["number"] < F.col("n_lines")) & (F.get("marks", g["number"]) == g["signature"]))
+    went = F.coalesce(F.array_sort(F.transform(mine, lambda g: g["number"])), F.array().cast("array<int>"))
+    return (rows.join(gone, "doc_id", "left").withColumn("removed_lines", went)
+            .select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines"))
 
 
 def strip_lines(docs: DataFrame) -> DataFrame:
