@@ -78,7 +78,7 @@ _pows: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i < n (kept between calls)."""
     if len(_pows[0]) < n:
-        m = max(n, 1 << 20)
+        m = max(n, 1 << 19)
         for k, b in enumerate((_BASE, _BASE_INV)):
             x = np.full(m, b, np.uint64)
             x[0] = 1
@@ -201,5 +201,5 @@ def split_hot(df: DataFrame, key: str, spread: str, chunk: int) -> DataFrame:
             .drop("__c"))
 
 
-def buckets_for(rows: int, per_bucket: int = 50_000) -> int:
+def buckets_for(rows: int, per_bucket: int = 10_000) -> int:
     return max(1, math.ceil(rows / per_bucket))
