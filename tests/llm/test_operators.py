@@ -35,7 +35,8 @@ def test_line_dedup(spark, texts):
 
 
 def test_line_search_finds_all_pairs(monkeypatch):
-    """Frequent words by pairs, words in parts, and both searches, on lines of few distinct words."""
+    """Frequent words by pairs and both searches, on lines of few distinct words, some of them long."""
+    monkeypatch.setattr(linededup, "LONG", 8)
     rng = np.random.default_rng(1)
     lines = [" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(1, 14)) % 30) for _ in range(1500)]
     buf = "\n".join(lines).encode()
@@ -43,20 +44,19 @@ def test_line_search_finds_all_pairs(monkeypatch):
     off = np.array([0, len(buf)])
     x = linededup.Lines(np.frombuffer(buf, np.uint8), off, None)
     np.add.at(counts, (x.hash >> np.uint64(44 - linededup.TABLE_BITS)).astype(int), 1)
-    x = linededup.Lines(np.frombuffer(buf, np.uint8), off, np.minimum(2 * np.log2(counts + 1), 63).astype(np.uint8))
-    cells = np.zeros(1 << linededup.TABLE_BITS, np.int32)
-    np.add.at(cells, (x.hash[x.in_prefix()] >> np.uint64(44 - linededup.TABLE_BITS)).astype(int), 1)
+    rarity = np.floor(2 * np.log2(counts + 1.0)).astype(np.uint8)
+    x = linededup.Lines(np.frombuffer(buf, np.uint8), off, rarity)
     sets = [frozenset(s.lower().split()) for s in lines]
     want = {(i, j) for i in range(1500) for j in range(i) if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     for hot, small in ((10 ** 9, 10 ** 9), (20, 10 ** 9), (20, 3)):
         monkeypatch.setattr(linededup, "HOT", hot)
         monkeypatch.setattr(linededup, "SMALL", small)
-        use, key, _ = linededup._prefix_keys(x, np.flatnonzero(x.in_prefix()), cells)
+        use, key, _ = linededup._prefix_keys(x, np.flatnonzero(x.in_prefix()), rarity)
         ln = x.line[use]
         order = np.lexsort((ln, key))
         use, key, ln = use[order], key[order], ln[order]
         cols = [key.astype(np.uint32), np.zeros(len(key), np.uint32), np.zeros(len(key), np.int64), ln.astype(np.int32),
-                x.size[ln].astype(np.int32), x.position[use].astype(np.int32), x.signature[ln]]
+                x.size[ln].astype(np.int32), x.position[use].astype(np.int32), x.signature[ln], x.wide()[ln]]
         everyone = np.full(1 << (linededup.BITMAP_BITS - 3), 255, np.uint8)
         a, b = linededup._search(cols, everyone)
         met = Counter(zip(ln[a].tolist(), ln[b].tolist()))
