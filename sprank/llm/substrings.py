@@ -81,11 +81,14 @@ def _group(table: pa.Table):
     return ids.fill_null(0).to_numpy(zero_copy_only=False), known, *flat_utf8(table["text"])
 
 
-def _chunks(group, window: int, gram: int):
+def _chunks(group, window: int, gram: int) -> list[tuple]:
+    """(first row, end row, bytes, offsets, runs) of the chunks of a group."""
     ids, known, buf, off = group
+    out = []
     for i, j in row_chunks(off, 1 << 19):
         part, po = buf[off[i]:off[j]], off[i:j + 1] - off[i]
-        yield i, j, part, po, Runs(part, po, known[i:j], window, gram)
+        out.append((i, j, part, po, Runs(part, po, known[i:j], window, gram)))
+    return out
 
 
 def _bucket(digit: np.ndarray, buckets: int) -> np.ndarray:
@@ -186,37 +189,34 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     groups, buckets = max(1, math.ceil(total / GROUP_BYTES)), max(1, math.ceil(total / BUCKET_BYTES))
     docs = docs.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).select("g", "doc_id", "text")
 
-    def runs_of(group):
-        """Runs of a whole group: digit and stretch as one key, documents, buckets."""
-        keys, who, bucket = [], [], []
+    def ask(table: pa.Table) -> pa.Table:
+        group = _group(table)
+        keys, who, bucket = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for i, _, _, _, r in _chunks(group, window, gram):
             keys.append((r.digit << np.uint64(32)) | (r.stretch & np.uint64(0xFFFFFFFF)))
             who.append(group[0][i + r.row])
             bucket.append(_bucket(r.digit, buckets))
-        return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, who, bucket))
-
-    def ask(table: pa.Table) -> pa.Table:
-        keys, who, bucket = runs_of(_group(table))
-        return _send(table["g"][0].as_py(), 1, bucket, buckets, keys, who)
+        return _send(table["g"][0].as_py(), 1, np.concatenate(bucket), buckets, np.concatenate(keys), np.concatenate(who))
 
-    def opened(group, codes):
+    def opened(group, answers: pa.Table) -> list[tuple]:
         """For each chunk: its place, runs, codes, and the windows of the open runs with their buckets."""
-        at = 0
-        for i, j, part, po, r in _chunks(group, window, gram):
+        chunks, out, at = _chunks(group, window, gram), [], 0
+        codes = _codes(answers, 1, np.concatenate([np.zeros(0, np.uint64), *(_bucket(c[-1].digit, buckets) for c in chunks)]))
+        for i, j, part, po, r in chunks:
             mine = codes[at:at + len(r.first)]
             at += len(r.first)
             o = np.flatnonzero(mine == OPEN)
             count = r.last[o] - r.first[o] + 1
             start = _each(r.first[o], count)
-            yield i, j, part, po, r, mine, start, np.repeat(_bucket(r.digit[o], buckets), count), np.repeat(r.row[o], count)
+            out.append((i, j, part, po, r, mine, start, np.repeat(_bucket(r.digit[o], buckets), count), np.repeat(r.row[o], count)))
+        return out
 
     def ask_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _send(0, 2, np.zeros(0, np.int64), buckets, np.zeros(0, np.uint64), np.zeros(0, np.int64))
         group = _group(table)
-        codes = _codes(answers, 1, np.concatenate([_bucket(r.digit, buckets) for *_, r in _chunks(group, window, gram)] or [np.zeros(0, np.uint64)]))
         keys, who, bucket = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for i, _, _, _, r, _, start, b, row in opened(group, codes):
+        for i, _, _, _, r, _, start, b, row in opened(group, answers):
             keys.append(span_hash(r.hashes, start, start + window))
             who.append(group[0][i + row])
             bucket.append(b)
@@ -227,10 +227,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         if table.num_rows:
             group = _group(table)
             ids, known = group[0].tolist(), group[1].tolist()
-            codes = _codes(answers, 1, np.concatenate([_bucket(r.digit, buckets) for *_, r in _chunks(group, window, gram)] or [np.zeros(0, np.uint64)]))
-            last = _codes(answers, 2, np.concatenate([b for *_, b, _ in opened(group, codes)] or [np.zeros(0, np.uint64)]))
-            at = 0
-            for i, j, part, po, r, mine, start, _, _ in opened(group, codes):
+            chunks, at = opened(group, answers), 0
+            last = _codes(answers, 2, np.concatenate([np.zeros(0, np.uint64), *(c[-2] for c in chunks)]))
+            for i, j, part, po, r, mine, start, _, _ in chunks:
                 hit = start[last[at:at + len(start)] == 1]
                 at += len(start)
                 done = mine == SETTLED
