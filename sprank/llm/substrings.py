@@ -13,8 +13,9 @@ leaves it as soon as its group holds no other document:
 * Runs that share the first digit only (at the edges of repeats) go to the last
   pass, suffix by suffix, with the rest of the window as digit.
 
-Digits travel as hashes: 32 bits of each of the first two besides the bucket
-that they share, 64 bits of the whole window in the last. Answers return to the
+Digits travel as hashes: 32 bits of the first besides the bucket that it picks,
+64 bits of the stretch (a run is settled on all of them), 64 bits of the whole
+window in the last. Answers return to the
 group of documents that asked, a byte per run and a bit per suffix.
 """
 
@@ -95,15 +96,15 @@ def _bucket(digit: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(digit) >> np.uint64(32)) % np.uint64(buckets)
 
 
-def _send(g: int, kind: int, bucket: np.ndarray, buckets: int, keys: np.ndarray, docs: np.ndarray) -> pa.Table:
-    """Rows (g, bucket, data): keys and documents of each bucket, in their order."""
+def _send(g: int, kind: int, bucket: np.ndarray, buckets: int, keys: list[np.ndarray], docs: np.ndarray) -> pa.Table:
+    """Rows (g, bucket, data): key columns and documents of each bucket, in their order."""
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(bucket.dtype))
     to, data = [], []
     for b in np.flatnonzero(np.diff(cut)):
         i = order[cut[b]:cut[b + 1]]
         to.append(b)
-        data.append(zstandard.compress(keys[i].tobytes() + np.diff(docs[i], prepend=0).tobytes(), 1))
+        data.append(zstandard.compress(b"".join([*(k[i].tobytes() for k in keys), np.diff(docs[i], prepend=0).tobytes()]), 1))
     return pa.table({"g": pa.array([g] * len(to), pa.int32()), "kind": pa.array([kind] * len(to), pa.int32()),
                      "bucket": pa.array(to, pa.int32()), "data": pa.array(data, pa.binary())})
 
@@ -111,14 +112,18 @@ def _send(g: int, kind: int, bucket: np.ndarray, buckets: int, keys: np.ndarray,
 _SENT = "g int, kind int, bucket int, data binary"
 
 
-def _received(part: pa.Table):
-    """(keys, documents, bounds of each row) of all rows of one bucket."""
-    keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+def _received(part: pa.Table, *types):
+    """(key columns of ``types``, documents, bounds of each row) of all rows of one bucket."""
+    types = [np.dtype(t) for t in (*types, np.int64)]
+    cols, width = [[np.zeros(0, t)] for t in types], sum(t.itemsize for t in types)
     for x in part["data"].to_pylist():
         raw = zstandard.decompress(x)
-        keys.append(np.frombuffer(raw[:len(raw) // 2], np.uint64))
-        docs.append(np.cumsum(np.frombuffer(raw[len(raw) // 2:], np.int64)))
-    return np.concatenate(keys), np.concatenate(docs), np.cumsum([len(k) for k in keys])
+        n, at = len(raw) // width, 0
+        for col, t in zip(cols, types, strict=True):
+            col.append(np.frombuffer(raw, t, n, at))
+            at += n * t.itemsize
+        cols[-1][-1] = np.cumsum(cols[-1][-1])
+    return *map(np.concatenate, cols), np.cumsum([len(k) for k in cols[-1]])
 
 
 def _answer(part: pa.Table, bounds: np.ndarray, codes: np.ndarray) -> pa.Table:
@@ -138,13 +143,13 @@ SETTLED, OPEN = 1, 2
 
 def _settle(part: pa.Table) -> pa.Table:
     """First two digits: 0 alone, SETTLED equal to an earlier document's run, OPEN shares the first digit only."""
-    keys, docs, bounds = _received(part)
-    codes = np.zeros(len(keys), np.uint8)
-    if len(keys):
-        order = np.lexsort((docs, keys))
-        k, d = keys[order], docs[order]
+    first, stretch, docs, bounds = _received(part, np.uint32, np.uint64)
+    codes = np.zeros(len(first), np.uint8)
+    if len(first):
+        order = np.lexsort((docs, stretch, first))
+        first, stretch, d = first[order], stretch[order], docs[order]
+        k = np.cumsum(np.concatenate([[False], (first[1:] != first[:-1]) | (stretch[1:] != stretch[:-1])]))
         settled = d > _least(k, d)
-        first = k >> np.uint64(32)
         other = (_least(first, k) != _least(first, k, False)) & (_least(first, d) != _least(first, d, False))
         codes[order] = np.where(settled, SETTLED, np.where(other, OPEN, 0))
     return _answer(part, bounds, codes)
@@ -152,7 +157,7 @@ def _settle(part: pa.Table) -> pa.Table:
 
 def _repeated(part: pa.Table) -> pa.Table:
     """Whole windows: 1 if an earlier document holds it."""
-    keys, docs, bounds = _received(part)
+    keys, docs, bounds = _received(part, np.uint64)
     codes = np.zeros(len(keys), np.uint8)
     if len(keys):
         order = np.lexsort((docs, keys))
@@ -191,12 +196,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
     def ask(table: pa.Table) -> pa.Table:
         group = _group(table)
-        keys, who, bucket = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        first, stretch, who, bucket = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for i, _, _, _, r in _chunks(group, window, gram):
-            keys.append((r.digit << np.uint64(32)) | (r.stretch & np.uint64(0xFFFFFFFF)))
+            first.append(r.digit.astype(np.uint32))
+            stretch.append(r.stretch)
             who.append(group[0][i + r.row])
             bucket.append(_bucket(r.digit, buckets))
-        return _send(table["g"][0].as_py(), 1, np.concatenate(bucket), buckets, np.concatenate(keys), np.concatenate(who))
+        return _send(table["g"][0].as_py(), 1, np.concatenate(bucket), buckets, [np.concatenate(first), np.concatenate(stretch)], np.concatenate(who))
 
     def opened(group, answers: pa.Table) -> list[tuple]:
         """For each chunk: its place, runs, codes, and the windows of the open runs with their buckets."""
@@ -213,14 +219,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
     def ask_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _send(0, 2, np.zeros(0, np.int64), buckets, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return _send(0, 2, np.zeros(0, np.int64), buckets, [np.zeros(0, np.uint64)], np.zeros(0, np.int64))
         group = _group(table)
         keys, who, bucket = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for i, _, _, _, r, _, start, b, row in opened(group, answers):
             keys.append(span_hash(r.hashes, start, start + window))
             who.append(group[0][i + row])
             bucket.append(b)
-        return _send(table["g"][0].as_py(), 2, np.concatenate(bucket), buckets, np.concatenate(keys), np.concatenate(who))
+        return _send(table["g"][0].as_py(), 2, np.concatenate(bucket), buckets, [np.concatenate(keys)], np.concatenate(who))
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         out = [], [], [], [], []

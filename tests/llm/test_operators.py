@@ -227,6 +227,19 @@ def test_substrings_at_edges(spark):
     assert got == {i: v[:3] for i, v in want.items()}
 
 
+def test_substrings_of_half_equal_hashes(spark):
+    """Stretches whose hashes share their lower 32 bits are different stretches."""
+    same = "on a quiet hill above the river stands an old stone tower; below it"
+    rows = [(i, head + same) for i, head in enumerate(["dfkaypkv", "jljmkpkf", "vmnttiin", "osvzdmis", "jhsnsvda", "jblyxnpq"])]
+    from sprank.llm.substrings import Runs, remove_repeats
+    runs = [Runs(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), np.ones(1, bool), 50, 24) for _, t in rows[:2]]
+    a, b = ({(d, h & 0xFFFFFFFF): h for d, h in zip(r.digit.tolist(), r.stretch.tolist(), strict=True)} for r in runs)
+    assert any(a[k] != b[k] for k in a.keys() & b.keys())
+    want = brute.repeats(rows)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: v[:3] for i, v in want.items()}
+
+
 def test_warc_against_sql_and_round_trip(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{SF001}/pages.parquet')")
