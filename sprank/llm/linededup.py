@@ -346,10 +346,12 @@ def _search(cols: list[np.ndarray], only: np.ndarray | None) -> tuple[np.ndarray
         ok &= ((doc[a] != doc[b]) | (number[a] != number[b])) & (differ < best[a])
         best[a[ok]], found[a[ok]] = differ[ok], b[ok]
 
-    # Lines alike in size and signature: the first of a group is the candidate of the others, if it may be.
-    by = np.lexsort((size, sig, group))
+    # Lines alike in size, position and whole signature, so in all that the tests look at: the first
+    # of a group is the candidate of the others, if it may be, and stands for them before later lines.
+    by = np.lexsort((pos, size, sig, group))
+    x, y = by[1:], by[:-1]
     same = np.zeros(len(by), bool)
-    same[1:] = (group[by[1:]] == group[by[:-1]]) & (sig[by[1:]] == sig[by[:-1]]) & (size[by[1:]] == size[by[:-1]])
+    same[1:] = (group[x] == group[y]) & (sig[x] == sig[y]) & (size[x] == size[y]) & (pos[x] == pos[y]) & (wide[x] == wide[y]).all(1)
     lead = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
     keep(by[same], lead[same])
     rows = np.flatnonzero(found < 0)

@@ -67,6 +67,20 @@ def test_line_search_finds_all_pairs(monkeypatch):
         assert {i for i, _ in want} <= set(ln[a].tolist())
 
 
+def test_line_search_keeps_alike_rows_as_partners(spark):
+    """A line that resembles only a row that was left to a row of the same size and signature."""
+    rng = np.random.default_rng(8)
+    names = ["".join(chr(c) for c in rng.integers(97, 123, 9)) for _ in range(300)]
+    bit = {x: int(linededup.Lines(np.frombuffer(x.encode(), np.uint8), np.array([0, 9]), None).hash[0]) & 63 for x in names}
+    r, q = next((x, y) for n, x in enumerate(names) for y in names[:n] if bit[x] == bit[y])
+    w, e, c = "word", "end", [f"common{i}" for i in range(8)]
+    rows = [(1, " ".join([r, w, *c])), (2, " ".join([w, q, *c])), (3, " ".join([w, q, *c, e]))]
+    rows += [(10 + n, " ".join([x] * k)) for n, (x, k) in enumerate([(q, 10), *((x, 100) for x in c), (e, 900)])]
+    gone = brute.removed_lines(rows)
+    got = {i.doc_id: i.removed_lines for i in linededup.line_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: gone[i] for i, _ in rows} and got[3] == [0]
+
+
 def test_simhash(spark, texts):
     fps = [brute.simhash(t) for _, t in texts]
     comp = brute.components([i for i, _ in texts], fps)
