@@ -119,10 +119,11 @@ def stream_ingest(spark, d):
 
 
 def _timed_events(spark, d):
-    """Events in four writes, in order of time."""
+    """Events in four writes, in order of time; those without a time come with the first."""
     ev = I.table(spark, d, "events").withColumn("__t", F.col("ts").cast("timestamp").cast("double"))
     cuts = [float("-inf"), *ev.approxQuantile("__t", [0.25, 0.5, 0.75], 0.01), float("inf")]
-    return _dated_files([ev.where((F.col("__t") >= a) & (F.col("__t") < b)).drop("__t") for a, b in zip(cuts, cuts[1:])],
+    t = F.coalesce("__t", F.lit(cuts[0]))
+    return _dated_files([ev.where((t >= a) & (t < b)).drop("__t") for a, b in zip(cuts, cuts[1:])],
                         scratch_path(spark, "events"))
 
 

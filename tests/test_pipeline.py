@@ -54,6 +54,16 @@ def test_stream_equals_batch(spark, tmp_path):
     assert s.count() == b.count()
 
 
+def test_stream_counters_count_events_without_time(spark, monkeypatch):
+    from sprank.plans import extra
+    t = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 600).cast("timestamp_ntz")
+    ev = spark.range(400).repartition(2).select(F.when(F.col("id") % 50 > 0, t).alias("ts"), F.when(F.col("id") % 3 == 0, "error").otherwise("view").alias("event_type"),
+                                                F.col("id").cast("double").alias("value"))
+    monkeypatch.setattr(extra.I, "table", lambda spark, d, name: ev)
+    got = {(r.endpoint, r.status): r.requests for r in extra.stream_counters(spark, "").collect()}
+    assert got == {("error", "error"): 134, ("view", "ok"): 266}
+
+
 def test_stream_resumes_and_replaces_documents(spark, tmp_path):
     """A second run reads only new files; a document that shrinks loses its old chunks, also its last one."""
     import os
