@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sprank.llm import langid, linededup, minhash, mixing, packing, simhash, substrings, topk, toxicity, warc
+from sprank.llm import (alignment, chat, langid, linededup, minhash, mixing, packing, search, simhash, substrings,
+                        topk, toxicity, warc)
 from sprank.llm.common import table
 
 
@@ -50,6 +51,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.windows(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 OP5_SQL = """
 WITH good AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -66,4 +79,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": OP5_SQL, "op8_warc": warc.oracle(), "op9_mixing": mixing.oracle()}
+    return {"op5_topk": OP5_SQL, "op8_warc": warc.oracle(), "op9_mixing": mixing.oracle(),
+            "op11_search": search.oracle(), "op13_chat": chat.oracle()}
