@@ -32,14 +32,15 @@ from pyspark.sql import functions as F
 from sprank.llm.common import flat_utf8, row_chunks, written
 
 LANE = 2048           # A tokens from which a document is cut into lanes, about
-BATCH_BYTES = 1 << 21  # of text whose tokens a worker holds at once, about
-CACHE_WORDS = 400_000  # stretches whose ids a task keeps; all are forgotten when there are more
+BATCH_BYTES = 1 << 20  # of text whose tokens a worker holds at once, about
+CACHE_WORDS = 200_000  # stretches whose ids a task keeps; all are forgotten when there are more
+LAST = 1 << 31         # set in the last token of a group
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 # The byte-level alphabet shows these bytes as themselves and the others as 256, 257, ...
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_OF = {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in _SHOWN)} | {chr(b): b for b in _SHOWN}
 
-ALIGNED = ("n_a long, n_b long, n_groups long, a_ids binary, b_ids binary, a_sizes binary, b_sizes binary")
+ALIGNED = "n_a long, n_b long, n_groups long, a_tokens binary, b_tokens binary"
 DIGESTS = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
@@ -216,23 +217,27 @@ def align_batch(texts: pa.Array, encoder: Encoder) -> tuple[np.ndarray, ...]:
     return a_ids, a_bounds, b_ids, b_bounds, last_a, last_b, np.searchsorted(a_end[last_a], base, side="right")
 
 
-def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Rows of little-endian unsigned 32-bit numbers."""
+def _packed(ids: np.ndarray, last: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Rows of little-endian unsigned 32-bit ids, the last token of each group marked."""
+    ids = ids.astype("<u4")
+    ids[last] |= LAST
     return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1,
-                                 [None, pa.py_buffer((bounds * 4).astype(np.int64)), pa.py_buffer(values.astype("<u4"))])
+                                 [None, pa.py_buffer((bounds * 4).astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
 
 
-def numbers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(values, bounds) of a column of ``_binary``."""
+def unpacked(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, last token of each group, group bounds of the rows) of a column of aligned tokens."""
     raw, off = flat_utf8(col)
-    return np.frombuffer(raw.tobytes(), "<u4").astype(np.int64), off // 4
+    ids = np.frombuffer(raw.tobytes(), "<u4")
+    last = np.flatnonzero(ids & LAST)
+    return (ids & (LAST - 1)).astype(np.int64), last, np.searchsorted(last, off // 4)
 
 
 def align(docs: DataFrame, paths: tuple[str, str], text: str = "text") -> DataFrame:
-    """Adds the alignment of ``text`` to the rows of ``docs``: n_a, n_b, n_groups, and four lists of unsigned 32-bit numbers.
+    """Adds the alignment of ``text`` to the rows of ``docs``: n_a, n_b, n_groups, a_tokens, b_tokens.
 
-    a_ids and b_ids are the ids in turn; a_sizes and b_sizes the A and B tokens
-    of each group, so the last token of a group on either side is its link.
+    The tokens are ids in turn, unsigned 32-bit numbers whose top bit marks the
+    last token of a group; the k-th marked tokens of both sides are linked.
     Texts that are null or empty, or whose A or B tokens do not join to a space
     and the text, have no tokens. One row per input row, in any number; columns
     of the same names are replaced.
@@ -250,40 +255,32 @@ def align(docs: DataFrame, paths: tuple[str, str], text: str = "text") -> DataFr
             _, off = flat_utf8(texts)
             for lo, hi in row_chunks(off, BATCH_BYTES):
                 a_ids, a_bounds, b_ids, b_bounds, last_a, last_b, groups = align_batch(texts.slice(lo, hi - lo), encoder)
-                sizes = [np.diff(np.concatenate([[-1], last])) for last in (last_a, last_b)]
                 yield pa.RecordBatch.from_arrays(
                     [*[c.slice(lo, hi - lo) for c in batch.columns[1:]],
                      *[pa.array(np.diff(x)) for x in (a_bounds, b_bounds, groups)],
-                     _binary(a_ids, a_bounds).cast(pa.binary()), _binary(b_ids, b_bounds).cast(pa.binary()),
-                     *[_binary(s, groups).cast(pa.binary()) for s in sizes]], names=schema.names)
+                     _packed(a_ids, last_a, a_bounds), _packed(b_ids, last_b, b_bounds)], names=schema.names)
     return docs.select(text, *keep).mapInArrow(run, schema)
 
 
 def bounded(batches):
-    """Aligned rows in batches of about a million A tokens."""
+    """Aligned rows in batches of about a quarter of a million A tokens."""
     for batch in batches:
-        for lo, hi in row_chunks(flat_utf8(batch.column("a_ids"))[1], 2 * BATCH_BYTES):
+        for lo, hi in row_chunks(flat_utf8(batch.column("a_tokens"))[1], BATCH_BYTES):
             yield batch.slice(lo, hi - lo)
 
 
-def links(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(A id, B id, row bounds) of the links of aligned rows (a_ids, b_ids, a_sizes, b_sizes)."""
-    (a, _), (b, _), (size_a, groups), (size_b, _) = [numbers(batch.column(c)) for c in ("a_ids", "b_ids", "a_sizes", "b_sizes")]
-    return a[np.cumsum(size_a) - 1], b[np.cumsum(size_b) - 1], groups
-
-
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """(a, b, n): the links of each id pair over all rows. A task sends a pair once."""
     def run(batches):
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in bounded(batches):
-            a, b, _ = links(batch)
-            found, n = np.unique(a << 32 | b, return_counts=True)
+            (a, last_a, _), (b, last_b, _) = [unpacked(batch.column(c)) for c in ("a_tokens", "b_tokens")]
+            found, n = np.unique(a[last_a] << 32 | b[last_b], return_counts=True)
             keys, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
         if len(keys):
             yield pa.RecordBatch.from_arrays([pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF), pa.array(counts)], names=["a", "b", "n"])
-    return (aligned.select("a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(run, "a long, b long, n long")
+    return (aligned.select("a_tokens", "b_tokens").mapInArrow(run, "a long, b long, n long")
             .groupBy("a", "b").agg(F.sum("n").alias("n")))
 
 
@@ -304,15 +301,15 @@ def collected(counts: DataFrame, paths: tuple[str, str]) -> Broadcast:
 _SAID: list[bytes] = []  # at 3 * id + mark: the decimal id and a comma, bar or semicolon
 
 
-def group_text(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, groups: np.ndarray) -> list[bytes]:
+def group_text(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, groups: np.ndarray) -> list[bytes]:
     """`a1,a2|b1;a3|b2,b3` of each row: ids in the order they are said, each with the mark that follows it."""
-    before_b, before_a = np.cumsum(size_b) - size_b, np.cumsum(size_a)
-    at_a = np.arange(len(a)) + np.repeat(before_b, size_a)
-    at_b = np.arange(len(b)) + np.repeat(before_a, size_b)
+    size_a, size_b = [np.diff(last, prepend=-1) for last in (last_a, last_b)]
+    at_a = np.arange(len(a)) + np.repeat(last_b + 1 - size_b, size_a)
+    at_b = np.arange(len(b)) + np.repeat(last_a + 1, size_b)
     said = np.empty(len(a) + len(b), np.int64)
     said[at_a], said[at_b] = 3 * a, 3 * b
-    said[at_a[before_a - 1]] += 1
-    said[at_b[np.cumsum(size_b) - 1]] += 2
+    said[at_a[last_a]] += 1
+    said[at_b[last_b]] += 2
     most = int(said.max()) if len(said) else -1
     while len(_SAID) <= most:
         _SAID.extend([b"%d%c" % (len(_SAID) // 3, m) for m in b",|;"])
@@ -326,16 +323,16 @@ def digests(aligned: DataFrame, shared: Broadcast) -> DataFrame:
     def run(batches):
         keys, counts, best = shared.value
         for batch in bounded(batches):
-            a, b, groups = links(batch)
-            at = np.searchsorted(keys, a << 32 | b)
+            (a, last_a, groups), (b, last_b, _) = [unpacked(batch.column(c)) for c in ("a_tokens", "b_tokens")]
+            at = np.searchsorted(keys, a[last_a] << 32 | b[last_b])
             n, top = np.concatenate([[0], np.cumsum(counts[at])]), np.concatenate([[0], np.cumsum(best[at])])
-            said = group_text(*[numbers(batch.column(c))[0] for c in ("a_ids", "b_ids", "a_sizes", "b_sizes")], groups)
+            said = group_text(a, b, last_a, last_b, groups)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_a"), batch.column("n_b"), batch.column("n_groups"),
-                 *[pa.array(np.diff(x[groups])) for x in (np.arange(len(a) + 1), top, n)],
+                 *[pa.array(np.diff(x[groups])) for x in (np.arange(len(at) + 1), top, n)],
                  pa.array([hashlib.sha256(x).hexdigest() if x else "" for x in said], pa.string())],
                 names=[f.split()[0] for f in DIGESTS.split(",")])
-    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(run, DIGESTS)
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "a_tokens", "b_tokens").mapInArrow(run, DIGESTS)
 
 
 def aligned_digests(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:

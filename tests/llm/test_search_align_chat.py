@@ -133,7 +133,7 @@ def test_alignment(spark):
     texts = [r.text for r in spark.read.parquet(f"{SF001}/documents.parquet").orderBy("doc_id").limit(60).collect()] + TEXTS
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    docs = docs.withColumns({c: F.lit("x") for c in ("a_ids", "n_a", "key", "a", "b", "n")}).repartition(5)
+    docs = docs.withColumns({c: F.lit("x") for c in ("a_tokens", "n_a", "key", "a", "b", "n")}).repartition(5)
     got = {r.doc_id: tuple(r[c] for c in names) for r in alignment.aligned_digests(docs).collect()}
     assert got == dict(enumerate(plain_alignment(texts)))
     assert alignment.aligned_digests(docs.limit(0)).count() == 0
