@@ -33,7 +33,8 @@ from sprank.llm.common import (NON_WORD, flat_utf8, lower_ascii, prefix_hash, ro
 RANGE = 512                  # documents of a range
 SHORT = 64                   # a list is short in a block where it has no more than one in SHORT documents
 MAX_QUERY_BYTES = 64 << 20   # hashed terms of the items that are shipped to all tasks at once
-CHUNK_BYTES = 1 << 21        # of text hashed at once, about
+CHUNK_BYTES = 1 << 19        # of text hashed at once, about
+BLOCK_BYTES, BLOCK_DOCS = 1 << 23, 4096  # of a block of documents, about
 INDEX = "n binary, ids binary, term binary, size binary, docs binary, tf binary, n_docs long, n_terms long"
 
 
@@ -104,10 +105,13 @@ def index_block(doc_ids: pa.Array, texts: pa.Array, terms: np.ndarray) -> pa.Rec
 
 
 def index(docs: DataFrame, shared: Broadcast) -> DataFrame:
-    """documents -> index blocks of the items' terms, written once; a block is what a task reads at a time."""
+    """documents -> index blocks of the items' terms, written once."""
     def run(batches):
         for b in batches:
-            yield index_block(b.column(0), b.column(1), shared.value.terms)
+            for lo, hi in row_chunks(flat_utf8(b.column(1))[1], BLOCK_BYTES):
+                for at in range(lo, hi, BLOCK_DOCS):
+                    n = min(BLOCK_DOCS, hi - at)
+                    yield index_block(b.column(0).slice(at, n), b.column(1).slice(at, n), shared.value.terms)
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, INDEX), "postings")
 
 
@@ -248,8 +252,8 @@ def best_of_blocks(blocks: DataFrame, items: Broadcast, counts: Broadcast, k: in
         its, (weight, n_docs, n_terms) = items.value, counts.value
         best = [Best(k) for _ in its.ids]
         for b in batches:
-            for row in b.to_pylist():
-                block = Block(row, its, weight, n_docs, n_terms)
+            for at in range(b.num_rows):
+                block = Block(b.slice(at, 1).to_pylist()[0], its, weight, n_docs, n_terms)
                 for i, mine in enumerate(best):
                     search_block(block, its.number[its.bounds[i]:its.bounds[i + 1]], mine)
         size = [len(x.ids) for x in best]
