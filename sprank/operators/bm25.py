@@ -68,6 +68,11 @@ class BM25Index:
             return self.postings.where(F.col("tb") == -1).select("doc_id")
         return self.postings.where(F.col("first")).select("doc_id")
 
+    @property
+    def segments(self) -> list[BM25Index]:
+        """Indexes that hold the documents, each document in one of them."""
+        return [self]
+
     def narrowed(self, frame: DataFrame, terms: list[str] | None, parts: list[int] | None) -> DataFrame:
         """Rows of a stored table that can hold the query terms: by part, and for few terms by term."""
         if self.term_parts and parts is not None:
@@ -172,8 +177,8 @@ def _query_blocks(queries: DataFrame, qid_col: str, query_col: str) -> list[Data
     return [qt.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
 
 
-def _weighted_terms(index: BM25Index, qt: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(query terms with qtf, idf, avgdl; postings that can hold them).
+def _weighted_terms(index: BM25Index, qt: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(query terms with qtf, idf, avgdl; postings of each segment that can hold them).
 
     Document frequencies come from the stored vocabulary, else the postings are
     streamed past the distinct query terms and counted (partial counts per
@@ -183,12 +188,12 @@ def _weighted_terms(index: BM25Index, qt: DataFrame) -> tuple[DataFrame, DataFra
     parts = None
     if index.term_parts and index.term_parts > 1:
         parts = [r[0] for r in qt.select(term_part("term", index.term_parts)).distinct().collect()]
-    postings = index.narrowed(index.postings, terms, parts)
+    postings = [x.narrowed(x.postings, terms, parts) for x in index.segments]
     distinct = F.broadcast(qt.select("term").distinct())
     if index.stored_terms is not None:
         qdf = index.narrowed(index.stored_terms, terms, parts).select("term", "df").join(distinct, "term")
     else:
-        qdf = postings.join(distinct, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        qdf = _union(postings).join(distinct, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     wq = idf_columns(qdf, float(index.stats["n"]), index.stats["eps"]).join(qt, "term")
     return wq.withColumn("avgdl", F.lit(float(index.stats["avgdl"]))), postings
 
@@ -198,10 +203,10 @@ def _block_scores(index: BM25Index, qt: DataFrame) -> DataFrame:
     k1, b = index.k1, index.b
     tf = F.col("tf")
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    return (postings.join(F.broadcast(wq), "term")
-            .select("qid", "doc_id",
-                    (F.col("qtf") * F.col("idf") * tf * F.lit(k1 + 1) / (tf + norm)).alias("c"))
-            .groupBy("qid", "doc_id").agg(F.sum("c").alias("score")))
+    return _union([x.join(F.broadcast(wq), "term")
+                   .select("qid", "doc_id",
+                           (F.col("qtf") * F.col("idf") * tf * F.lit(k1 + 1) / (tf + norm)).alias("c"))
+                   .groupBy("qid", "doc_id").agg(F.sum("c").alias("score")) for x in postings])
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -152,17 +152,23 @@ def _batches(rows, key, body, stale):
 
 
 def index_append(spark, d):
-    """A stored index of a first batch, to which a second one is appended: a
+    """A segmented index of a first batch, to which a second one is appended: a
     fifth of the ids occur in both, the later text counts. Equals the index of
     the whole corpus."""
-    from sprank.operators import store
     first, second = _batches(I.documents(spark, d).select("doc_id", "text"), "doc_id", "text",
                              F.concat(F.lit("outdated "), F.col("text")))
-    _, path = I.new_bm25_index(spark, d, first)
-    idx = store.append_index(spark, path, second)
+    idx = I.new_segmented_index(spark, d, [first, second])
     return idx.terms.select("term", F.col("df").cast("bigint").alias("df"), _r("idf"))
 
 
+def append_search(spark, d):
+    """Keyword top 10 over the segments of two batches."""
+    first, second = _batches(I.documents(spark, d).select("doc_id", "text"), "doc_id", "text",
+                             F.concat(F.lit("outdated "), F.col("text")))
+    top = bm25.bm25_topk(I.new_segmented_index(spark, d, [first, second]), I.query_table(spark, d), I.LIST_K)
+    return top.select("qid", F.col("rank").cast("bigint").alias("rank"), "doc_id", _r("score"))
+
+
 def vectors_append(spark, d):
     """Vectors of a first batch, to which a second one with ids in common is
     appended; top 10 over the result."""
@@ -389,6 +395,7 @@ def _registry() -> dict[str, Query]:
         "bm25_scores": bm25_scores,
         "bm25_topk": bm25_topk,
         "index_append": index_append,
+        "append_search": append_search,
         "vectors_append": vectors_append,
         "chunk_bm25_topk": chunk_bm25_topk,
         "minmax_scores": minmax_scores,

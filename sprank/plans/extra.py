@@ -106,18 +106,31 @@ def _dated_files(frames, path):
     return path
 
 
-def stream_ingest(spark, d):
-    """Documents arrive in four writes; each but the last also brings older
-    texts of documents that come again in the next. The newest version counts."""
+def _incoming(spark, d):
+    """Documents in four writes; each but the last also brings older texts of
+    documents that come again in the next. The newest version counts."""
     docs = I.documents(spark, d).select("doc_id", "text")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(4))
     old = F.expr("substring(text, 1, cast(length(text) * 0.6 as int))")
     frames = [docs.where(part == i).unionByName(docs.where(part == i + 1).withColumn("text", F.concat(F.lit("older "), old))) for i in range(4)]
-    path = _dated_files(frames, scratch_path(spark, "incoming"))
-    out = jobs.ingest(spark, path, scratch_path(spark, "ingested"), scratch_path(spark, "ingest-checkpoint"), max_files=8, index=False)
+    return _dated_files(frames, scratch_path(spark, "incoming"))
+
+
+def stream_ingest(spark, d):
+    """The chunks of documents that arrive in four writes."""
+    out = jobs.ingest(spark, _incoming(spark, d), scratch_path(spark, "ingested"), scratch_path(spark, "ingest-checkpoint"), max_files=8, index=False)
     return jobs.ingested_chunks(spark, out).select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "chunk_id", "chunk")
 
 
+def stream_search(spark, d):
+    """Hybrid search over the index that a stream of documents keeps: segments of
+    postings and vectors, one for each micro-batch, replaced documents left out."""
+    out = jobs.ingest(spark, _incoming(spark, d), scratch_path(spark, "ingested"), scratch_path(spark, "ingest-checkpoint"), max_files=8)
+    q = embedding.embed(I.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), "query", "q_emb")
+    hits = fusion.hybrid_search(jobs.ingested_hybrid(spark, out), q, I.TOP_K, I.ALPHA)
+    return hits.select("qid", F.col("rank").cast("bigint").alias("rank"), F.col("doc_id").alias("chunk_id"), F.round("score", 6).alias("score"))
+
+
 def _timed_events(spark, d):
     """Events in four writes, in order of time; those without a time come with the first."""
     ev = I.table(spark, d, "events").withColumn("__t", F.col("ts").cast("timestamp").cast("double"))
@@ -150,6 +163,7 @@ def queries():
         "chunk_context_block": chunk_context_block,
         "rerank_udf": rerank_udf,
         "stream_ingest": stream_ingest,
+        "stream_search": stream_search,
         "stream_requests": stream_requests,
         "stream_counters": stream_counters,
     }

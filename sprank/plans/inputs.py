@@ -75,6 +75,17 @@ def new_bm25_index(spark, sf_dir, docs: DataFrame) -> tuple[bm25.BM25Index, str]
     return store.load_index(spark, path), path
 
 
+def new_segmented_index(spark, sf_dir, batches: list[DataFrame]):
+    """An index to which the batches (doc_id, text) are appended one after the other, in a fresh folder."""
+    from sprank.operators import segments, store
+    from sprank.session import scratch_path
+    path = scratch_path(spark, "segments")
+    buckets, parts = store.layout_for(spark, store.input_size(spark, f"{sf_dir.rstrip('/')}/documents.parquet")[0])
+    for docs in batches:
+        index = segments.append(spark, path, docs, buckets=buckets, term_parts=parts)
+    return index
+
+
 def hybrid_index(spark, sf_dir) -> HybridIndex:
     return HybridIndex(bm25=bm25_index(spark, sf_dir),
                        vectors=table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

@@ -236,6 +236,7 @@ FROM (SELECT vec_id, embedding, sqrt(list_dot_product(embedding::DOUBLE[], embed
     s["bm25_topk"] = (f"WITH {bm25_ctes()}, {sparse_topk('sp', LIST_K)} "
                       f"SELECT qid, list_rank::BIGINT AS rank, doc_id, {r6('score')} AS score FROM sp")
     s["index_append"] = s["bm25_index"]
+    s["append_search"] = s["bm25_topk"]
     s["vectors_append"] = s["dense_topk"]
     chunk_corpus = f"(SELECT chunk_id AS doc_id, chunk AS text FROM ({CHUNK_WORDS}))"
     s["chunk_bm25_topk"] = (f"WITH {bm25_ctes(chunk_corpus)}, {sparse_topk('sp', LIST_K)} "
@@ -376,6 +377,10 @@ hits AS (SELECT hy.qid, hy.rank::BIGINT AS rank, hy.doc_id AS chunk_id, {r6('hy.
 SELECT qid, string_agg('[Chunk ' || rank::VARCHAR || ' — ' || chunk_id || ']' || {NL} || content, {NL} || {NL} ORDER BY rank) AS context
 FROM hits GROUP BY qid"""
     s["rerank_udf"] = s["rerank_topk"]
+    windows = f"(SELECT chunk_id AS doc_id, chunk AS text FROM ({CHUNK_CHARS}))"
+    window_vecs = f"(SELECT chunk_id AS vec_id, embedding FROM {embedded(f'({CHUNK_CHARS})', 'chunk_id', 'chunk')})"
+    s["stream_search"] = (f"WITH {hybrid(TOP_K, ALPHA, windows, dense_ctes(window_vecs, query_vecs))} "
+                          f"SELECT qid, rank::BIGINT AS rank, doc_id AS chunk_id, {r6('score')} AS score FROM hy")
     from sprank.plans import extra
     s.update(extra.oracle_sql())
     return s
