@@ -46,9 +46,12 @@ def char_windows(text: Column, size: int = 500, overlap: int = 50, min_len: int
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
     step = size - overlap
-    n = F.length(text)
-    pieces = F.transform(_starts(n, step), lambda s: F.trim(F.substring(text, s + 1, size)))
-    return F.filter(pieces, lambda c: F.length(c) > min_len)
+    # Cut once, in time linear in the text; a window is its own piece and the beginning of those after it.
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    spans = -(-size // step)
+    windows = F.transform(pieces, lambda p, i: F.trim(F.substring(
+        F.concat(p, F.array_join(F.slice(pieces, i + 2, spans - 1), "")) if spans > 1 else p, 1, size)))
+    return F.filter(windows, lambda c: F.length(c) > min_len)
 
 
 def _prepared(df: DataFrame, id_col: str, text_col: str, keep: list[str],

@@ -4,7 +4,8 @@ Counters, cumulative histograms, gauges and per-minute series are plain
 grouped aggregations; each runs with map-side partial aggregation, so a hot
 endpoint holding a third of all rows is pre-combined in every task before the
 shuffle. Histograms use one pass of conditional sums (no join with a bucket
-table); exact percentiles select ranks by counts over value ranges.
+table); exact percentiles of large groups select ranks by counts over value
+ranges that a quantile sketch chooses.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sprank.functions.text import safe_ratio
+from sprank.plans.sizing import checked_broadcast
 
 # Default latency buckets of the public Prometheus client (seconds).
 DEFAULT_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0,
@@ -20,8 +22,10 @@ DEFAULT_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0,
 INF_LABEL = "+Inf"
 PERCENTILES = (0.5, 0.95, 0.99)
 TAIL_ROWS = 50
-# Rows per value range of the percentile selection, about.
+# Rows of a group that one task may sort, and distinct values of a range, about; ranges of a group at most.
 VALUES_PER_RANGE = 10_000
+MAX_RANGES = 10_000
+STRIDE = 100
 
 
 def minute(ts_col: str = "ts", period: str = "1 minute"):
@@ -64,33 +68,91 @@ def index_size(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.agg(F.count_distinct(id_col).alias("index_size"))
 
 
+def value_counts(events: DataFrame, endpoint: str = "event_type", value: str = "value", ts: str = "ts",
+                 period: str = "1 minute") -> DataFrame:
+    """(w, endpoint, v, c): how often each value occurs, the additive state of exact percentiles."""
+    return (events.groupBy(minute(ts, period).alias("w"), F.col(endpoint).alias("endpoint"), F.col(value).alias("v"))
+            .agg(F.count(F.lit(1)).alias("c")))
+
+
 def latency_percentiles(events: DataFrame, endpoint: str = "event_type", value: str = "value",
                         ts: str = "ts", period: str = "1 minute", pcts=PERCENTILES) -> DataFrame:
-    """Exact interpolated percentiles of ``value`` per (window, endpoint).
+    """Exact interpolated percentiles of ``value`` per (window, endpoint). NULL
+    values don't count as values (``n`` counts all rows)."""
+    return percentiles(events.select(minute(ts, period).alias("w"), F.col(endpoint).alias("endpoint"),
+                                     F.col(value).alias("v"), F.lit(1).cast("long").alias("c")), pcts)
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join in which NULL keys meet; the keys come from the left."""
+    right = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    return left.join(right, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], how).drop(*[f"__{k}" for k in keys])
+
 
-    Selection by counting: equal values are counted where they lie and added up
-    per (group, value); running counts inside value ranges of the group, then
-    over its ranges, say which values hold the two ranks that a percentile lies
-    between. No task holds the values of a whole group. NULL values don't count
-    as values (``n`` counts all rows).
+def _named(pcts) -> list[str]:
+    return [f"p{int(round(x * 100))}" for x in pcts]
+
+
+def percentiles(counts: DataFrame, pcts=PERCENTILES, keys=("w", "endpoint")) -> DataFrame:
+    """Exact interpolated percentiles per group from (keys, v, c), a value and how often it occurs.
+
+    Rows of a value may come in any number, from any number of micro-batches.
+    Groups of up to VALUES_PER_RANGE rows are one aggregation. The values of a
+    larger group are dealt into ranges of about as many distinct values each,
+    whose bounds come from a mergeable quantile sketch of the distinct values,
+    so an outlier is in a range with its neighbours in order; counts of the
+    ranges, then running counts inside those that hold a wanted rank, give the
+    exact values. No task holds the values of a whole group.
+    """
+    keys = list(keys)
+    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    most = sizes.agg(F.max("rows")).first()[0] or 0
+    small = counts
+    if most > VALUES_PER_RANGE:
+        hot, _ = checked_broadcast(sizes.where(F.col("rows") > VALUES_PER_RANGE).select(*keys), what="large groups")
+        small = _null_safe_join(counts, hot, keys, "left_anti")
+        large = _large_percentiles(_null_safe_join(counts, hot, keys, "left_semi"), pcts, keys)
+    agg = F.percentile("v", [float(x) for x in pcts], F.col("c"))
+    out = small.groupBy(*keys).agg(F.sum("c").alias("n"), agg.alias("p")).select(
+        *keys, "n", *[F.get("p", F.lit(i)).alias(name) for i, name in enumerate(_named(pcts))])
+    return out.unionByName(large) if most > VALUES_PER_RANGE else out
+
+
+def value_ranges(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct values with their counts, the totals of their group, and the ``range`` they lie in.
+
+    (keys, v, c, n, nv, range): ranges of a group are numbered in the order of
+    values, of about VALUES_PER_RANGE distinct values each; NULL comes last.
     """
-    keys = ["w", "endpoint"]
-    cells = (events.groupBy(minute(ts, period).alias("w"), F.col(endpoint).alias("endpoint"), F.col(value).alias("v"))
-             .agg(F.count(F.lit(1)).alias("c")))
+    cells = counts.groupBy(*keys, "v").agg(F.sum("c").alias("c"))
+    most = cells.groupBy(*keys).agg(F.count("v").alias("k")).agg(F.max("k")).first()[0] or 0
+    finest = min(MAX_RANGES, max(2, -(-most // VALUES_PER_RANGE)))
+    sketch = F.percentile_approx("v", [i / finest for i in range(1, finest)], 10 * finest)
     groups = cells.groupBy(*keys).agg(
         F.sum("c").alias("n"), F.sum(F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)).alias("nv"),
-        F.min("v").alias("lo"), F.max("v").alias("hi"))
-    # Ranges of equal width, about VALUES_PER_RANGE rows each if values spread evenly; NULLs come last.
-    ranges = F.ceil(F.col("nv") / VALUES_PER_RANGE)
-    place = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    cells = cells.join(groups, keys).withColumn(
-        "range", F.when(F.col("v").isNull(), ranges).otherwise(F.least(F.floor(place * ranges), ranges - 1)))
+        F.count("v").alias("k"), sketch.alias("bounds"))
+    own = F.least(F.ceil(F.col("k") / VALUES_PER_RANGE), F.lit(finest)).cast("int")
+    # As many bounds as the group needs, then in rows of STRIDE, so that a value is compared with few.
+    picked = F.when(own > 1, F.transform(F.sequence(F.lit(1), F.greatest(own, F.lit(2)) - 1), lambda i: F.get(
+        F.col("bounds"), (i * finest / own).cast("int") - 1))).otherwise(F.slice("bounds", 1, 0))
+    groups = groups.withColumn("bounds", F.coalesce(picked, F.array().cast("array<double>")))
+    coarse = F.transform(F.filter("bounds", lambda _, i: i % STRIDE == 0), lambda b: b)
+    groups = groups.withColumn("coarse", coarse)
+    cells = _null_safe_join(cells, groups.drop("k"), keys)
+    row = F.greatest(F.size(F.filter("coarse", lambda b: b < F.col("v"))) - 1, F.lit(0))
+    place = row * STRIDE + F.size(F.filter(F.slice("bounds", row * STRIDE + 1, STRIDE), lambda b: b < F.col("v")))
+    return cells.select(*keys, "v", "c", "n", "nv", F.when(F.col("v").isNull(), F.size("bounds") + 1).otherwise(place).alias("range"))
+
+
+def _large_percentiles(counts: DataFrame, pcts, keys: list[str]) -> DataFrame:
+    cells = value_ranges(counts, keys)
     before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = (cells.groupBy(*keys, "range").agg(F.sum("c").alias("c"))
-             .select(*keys, "range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base")))
+    bases = (cells.groupBy(*keys, "range").agg(F.sum("c").alias("held"))
+             .select(*keys, "range", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base")))
     # Dealt by range, not by group: a group may hold a third of all rows.
     inside = Window.partitionBy(*keys, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cells = (cells.repartition(*keys, "range").withColumn("upto", F.sum("c").over(inside)).join(bases, [*keys, "range"])
+    cells = cells.repartition(*keys, "range").withColumn("upto", F.sum("c").over(inside))
+    cells = (_null_safe_join(cells, bases, [*keys, "range"])
              .withColumn("last", F.col("base") + F.col("upto") - 1).withColumn("first", F.col("last") - F.col("c") + 1))
 
     def at(rank):
@@ -99,8 +161,8 @@ def latency_percentiles(events: DataFrame, endpoint: str = "event_type", value:
     aggs = [f(s) for s in spots for f in (lambda s: at(F.floor(s)), lambda s: at(F.ceil(s)))]
     out = cells.groupBy(*keys).agg(F.max("n").alias("n"), F.max("nv").alias("nv"),
                                    *[a.alias(f"x{i}") for i, a in enumerate(aggs)])
-    cols = [(F.col(f"x{2 * i}") + (F.col(f"x{2 * i + 1}") - F.col(f"x{2 * i}")) * (s - F.floor(s)))
-            .alias(f"p{int(round(x * 100))}") for i, (x, s) in enumerate(zip(pcts, spots))]
+    cols = [(F.col(f"x{2 * i}") + (F.col(f"x{2 * i + 1}") - F.col(f"x{2 * i}")) * (s - F.floor(s))).alias(name)
+            for i, (name, s) in enumerate(zip(_named(pcts), spots))]
     return out.select(*keys, "n", *cols)
 
 

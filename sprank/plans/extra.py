@@ -150,6 +150,11 @@ def stream_counters(spark, d):
     return jobs.running_counters(spark, _timed_events(spark, d), scratch_path(spark, "counters"), scratch_path(spark, "counters-checkpoint"), max_files=64)
 
 
+def stream_percentiles(spark, d):
+    p = jobs.request_percentiles(spark, _timed_events(spark, d), scratch_path(spark, "latency"), scratch_path(spark, "latency-checkpoint"), max_files=64)
+    return p.select(F.date_format("w", "yyyy-MM-dd HH:mm:ss").alias("minute"), "endpoint", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
+
+
 def queries():
     return {
         "parquet_roundtrip": parquet_roundtrip,
@@ -166,6 +171,7 @@ def queries():
         "stream_search": stream_search,
         "stream_requests": stream_requests,
         "stream_counters": stream_counters,
+        "stream_percentiles": stream_percentiles,
     }
 
 

@@ -331,6 +331,7 @@ SELECT {_minute()} AS minute, event_type AS endpoint, count(*)::BIGINT AS n,
        round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95,
        round(quantile_cont(value, 0.99), 6) AS p99
 FROM events GROUP BY ALL"""
+    s["stream_percentiles"] = s["latency_percentiles"]
     s["requests_per_minute"] = f"""
 SELECT {_minute()} AS minute, event_type AS endpoint, count(*)::BIGINT AS requests, round(sum(value), 6) AS total
 FROM events GROUP BY ALL"""
