@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sprank.functions import text as tx
 from sprank.functions.ranking import OUT_DIGITS
-from sprank.operators import bm25, chunking, context, dense, fusion, metrics, rerank
+from sprank.operators import bm25, chunking, context, dense, fusion, metrics, requests, rerank
 from sprank.operators import search as srch
 from sprank.plans import inputs as I
 
@@ -259,6 +259,22 @@ def search_response(spark, d):
                     "top_doc_id", "doc_ids")
 
 
+def request_table(spark, d):
+    """Benchmark texts as requests that differ in top_k, alpha, rerank and filters."""
+    q = I.query_table(spark, d)
+    lang, source = F.lit("lang"), F.lit("source")
+    return q.select("qid", "query", "q_emb", F.when(F.col("qid") % 7 > 0, 2 + F.col("qid") % 4).alias("top_k"),
+                    F.when(F.col("qid") % 5 > 0, F.col("qid") % 5 / 4).alias("alpha"), F.when(F.col("qid") % 11 > 0, F.col("qid") % 2 == 0).alias("rerank"),
+                    F.when(F.col("qid") % 3 == 1, F.create_map(lang, F.lit("en"))).when(
+                        F.col("qid") % 3 == 2, F.create_map(lang, F.lit("fr"), source, F.lit("src3"))).alias("filters"))
+
+
+def search_requests(spark, d):
+    res = requests.search_requests(I.hybrid_index(spark, d), request_table(spark, d), I.content_table(spark, d),
+                                   I.documents(spark, d).select("doc_id", "lang", "source"))
+    return res.select("qid", F.col("rank").cast("bigint").alias("rank"), "doc_id", _r("score"), _r("rerank_score"))
+
+
 # ---------------------------------------------------------------- context
 
 def context_block(spark, d):
@@ -410,6 +426,7 @@ def _registry() -> dict[str, Query]:
         "rerank_threshold": rerank_threshold,
         "score_percent": score_percent,
         "search_response": search_response,
+        "search_requests": search_requests,
         "context_block": context_block,
         "context_short": context_short,
         "history_last10": history_last10,

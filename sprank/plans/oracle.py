@@ -278,6 +278,22 @@ FROM rr"""
 SELECT qid, count(*)::BIGINT AS total_results, arg_min(doc_id, rank) AS top_doc_id,
        string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS doc_ids
 FROM rr GROUP BY qid"""
+    s["search_requests"] = f"""WITH {bm25_ctes()}, {DENSE_CTES},
+rq AS (SELECT qid, query, CASE WHEN qid % 7 > 0 THEN 2 + qid % 4 ELSE {TOP_K} END AS top_k, CASE WHEN qid % 5 > 0 THEN (qid % 5) / 4.0::DOUBLE ELSE {ALPHA}::DOUBLE END AS alpha,
+              CASE WHEN qid % 11 > 0 THEN qid % 2 = 0 ELSE true END AS rerank FROM q),
+ok AS (SELECT rq.qid, d.doc_id FROM rq, documents d WHERE qid % 3 = 0 OR (qid % 3 = 1 AND lang = 'en') OR (qid % 3 = 2 AND lang = 'fr' AND source = 'src3')),
+two AS (SELECT 'sparse' AS list, ok.qid, ok.doc_id, coalesce(sc.score, 0.0) AS raw FROM ok LEFT JOIN sc USING (qid, doc_id)
+        UNION ALL SELECT 'dense' AS list, qid, doc_id, score AS raw FROM ds WHERE qid % 3 = 0 OR (qid, doc_id) IN (SELECT (qid, doc_id) FROM ok)),
+cut AS (SELECT two.*, top_k, row_number() OVER (PARTITION BY list, qid ORDER BY round(raw, 9) DESC, doc_id) AS list_rank
+        FROM two JOIN rq USING (qid) QUALIFY list_rank <= 4 * top_k),
+lists AS (SELECT *, (raw - min(raw) OVER (PARTITION BY qid, list)) / CASE WHEN max(raw) OVER (PARTITION BY qid, list) > min(raw) OVER (PARTITION BY qid, list)
+                 THEN max(raw) OVER (PARTITION BY qid, list) - min(raw) OVER (PARTITION BY qid, list) ELSE 1.0 END AS norm FROM cut),
+{fused(ALPHA).replace(f'{float(ALPHA)!r}::DOUBLE', 'alpha').replace('FROM fz)', 'FROM fz JOIN rq USING (qid))')},
+hy AS (SELECT f.qid, f.doc_id, f.score, top_k, rerank, query, row_number() OVER (PARTITION BY f.qid ORDER BY round(f.score, 9) DESC, f.doc_id) AS rank
+       FROM fused f JOIN rq USING (qid) QUALIFY rank <= 2 * top_k),
+rs AS (SELECT hy.*, CASE WHEN rerank THEN {overlap('query', "coalesce(d.text, '')")} END AS rerank_score FROM hy LEFT JOIN documents d USING (doc_id))
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(rerank_score, 9) DESC, rank, doc_id)::BIGINT AS rank, doc_id, {r6('score')} AS score, {r6('rerank_score')} AS rerank_score
+FROM rs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(rerank_score, 9) DESC, rank, doc_id) <= top_k"""
     s["context_block"] = f"""WITH {reranked()}
 SELECT qid, string_agg('[Chunk ' || rank::VARCHAR || ' — ' || doc_id::VARCHAR || ']' || {NL} || content,
                        {NL} || {NL} ORDER BY rank) AS context
