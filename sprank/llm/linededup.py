@@ -242,8 +242,35 @@ def _prefix_keys(x: Lines, use: np.ndarray, rarity: np.ndarray) -> tuple[np.ndar
     return use[i], key, n[i]
 
 
+def _line_words(x: Lines, ln: np.ndarray) -> bytes:
+    """For postings of the lines ``ln``: which distinct line each is of, and those lines' word hashes of 6 bytes."""
+    lines, which = np.unique(ln, return_inverse=True)
+    size = x.size[lines]
+    start = (np.cumsum(x.size) - x.size)[lines]
+    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    low = x.hash[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return zstandard.compress(np.int64(len(lines)).tobytes() + size.astype(np.int32).tobytes() + which.astype(np.int32).tobytes() + low.tobytes(), 1)
+
+
+def _unpack_words(blocks: list[bytes], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes of all lines laid end to end, where the words of each posting's line begin) of blocks of so many postings."""
+    words, begin, base = [], [], 0
+    for block, n in zip(blocks, counts, strict=True):
+        raw = zstandard.decompress(block)
+        lines = int(np.frombuffer(raw[:8], np.int64)[0])
+        size = np.frombuffer(raw, np.int32, lines, 8).astype(np.int64)
+        which = np.frombuffer(raw, np.int32, n, 8 + 4 * lines)
+        low = np.frombuffer(raw, np.uint8, -1, 8 + 4 * (lines + n)).reshape(-1, 6)
+        wide = np.zeros((len(low), 8), np.uint8)
+        wide[:, :6] = low
+        words.append(wide.reshape(-1).view("<u8"))
+        begin.append((base + np.cumsum(size) - size)[which])
+        base += len(low)
+    return np.concatenate(words), np.concatenate(begin)
+
+
 def _postings(docs: DataFrame, rarity, buckets: int, wanted=None) -> DataFrame:
-    """(bucket, copies, data): blocks of prefix postings, of ``wanted`` keys only if given.
+    """(bucket, copies, data): blocks of prefix postings; of ``wanted`` keys only if given, then with the words of their lines.
 
     Lines of a chunk of equal word sets are one; the later ones come as copies.
     A word with very many postings is dealt into parts, any two of its lines
@@ -286,12 +313,14 @@ def _postings(docs: DataFrame, rarity, buckets: int, wanted=None) -> DataFrame:
                 if cut[k] < cut[k + 1]:
                     i = at[cut[k]:cut[k + 1]]
                     u, ln = use[i], line[i]
-                    yield _rows(k, False, [key[i], part[i], did[ln], number[ln], x.size[ln], x.position[u], sig[ln], wide[ln]])
-    return docs.mapInArrow(run, "bucket int, copies boolean, data binary")
+                    yield _rows(k, False, [key[i], part[i], did[ln], number[ln], x.size[ln], x.position[u], sig[ln], wide[ln]],
+                                None if wanted is None else _line_words(x, ln))
+    return docs.mapInArrow(run, "bucket int, copies boolean, data binary" + (", words binary" if wanted is not None else ""))
 
 
-def _rows(bucket: int, copies: bool, cols: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([copies]), pa.array([_pack(cols)], pa.binary())], ["bucket", "copies", "data"])
+def _rows(bucket: int, copies: bool, cols: list[np.ndarray], words: bytes | None = None) -> pa.RecordBatch:
+    row = {"bucket": pa.array([bucket], pa.int32()), "copies": pa.array([copies]), "data": pa.array([_pack(cols)], pa.binary())}
+    return pa.RecordBatch.from_pydict(row | ({"words": pa.array([words], pa.binary())} if words is not None else {}))
 
 
 def _differ(a, b, size, sig, wide):
@@ -317,28 +346,20 @@ def _may_match(a, b, size, pos, sig, wide):
     return ok & (differ <= both - 2 * need), differ
 
 
-def _least_shared(size_a, size_b):
-    """Words that the prefixes of two similar lines share at least."""
-    return _ceil(NUM * (size_a + size_b), NUM + DEN) - _ceil(NUM * np.maximum(size_a, size_b), DEN) + 1
-
-
-def _search(cols: list[np.ndarray], only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(later, earlier) row numbers of candidates of one bucket.
-
-    Without ``only`` one earlier row for each line that has any; with ``only``
-    (a bitmap of lines) all earlier rows of the lines in it, as often as they
-    meet.
-    """
+def _grouped(cols: list[np.ndarray]) -> tuple:
+    """Rows of a bucket in groups of one key and part, in the order of lines: (order, first row of a group or not, columns)."""
     word, part, doc, number, size, pos, sig, wide = cols
-    size, pos = size.astype(np.int64), pos.astype(np.int64)
     order = np.lexsort((sig, number, doc, part, word))
     w = word[order].astype(np.uint64) << np.uint64(32) | part[order]
-    doc, number, size, pos, sig, wide = (c[order] for c in (doc, number, size, pos, sig, wide))
     new = np.concatenate([[True], w[1:] != w[:-1]])[:len(w)]
-    if only is not None:
-        return _all_earlier(order, np.flatnonzero(new), _has(only, line_id(doc, number)), doc, number, size, sig, wide)
+    return order, new, [c[order] for c in (doc, number, size.astype(np.int64), pos.astype(np.int64), sig, wide)]
+
+
+def _search(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(later, earlier) row numbers of one bucket: the best candidate among the earlier rows for each line that has any."""
+    order, new, (doc, number, size, pos, sig, wide) = _grouped(cols)
     group = np.cumsum(new) - 1
-    best, found = np.full(len(w), 999, np.int16), np.full(len(w), -1)
+    best, found = np.full(len(order), 999, np.int16), np.full(len(order), -1)
 
     def keep(a, b):
         """Offer row b to the later row a."""
@@ -382,39 +403,61 @@ def _search(cols: list[np.ndarray], only: np.ndarray | None) -> tuple[np.ndarray
     return order[a], order[found[a]]
 
 
-def _all_earlier(order, cut, asks, doc, number, size, sig, wide) -> tuple[np.ndarray, np.ndarray]:
-    """All candidates of the rows that ``asks`` marks, among the earlier rows of their groups (from ``cut`` on).
+def _similar(a: int, b: np.ndarray, size: np.ndarray, words: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Whether row a and each row of b have similar word sets, by their words' hashes."""
+    mine = np.sort(words[begin[a]:begin[a] + size[a]])
+    count = size[b]
+    first = np.cumsum(count) - count
+    theirs = words[np.repeat(begin[b] - first, count) + np.arange(int(count.sum()))]
+    at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+    both = np.add.reduceat((mine[at] == theirs).astype(np.int64), first)
+    return both * DEN >= NUM * (size[a] + count - both)
+
+
+def _witnesses(cols: list[np.ndarray], words: np.ndarray, begin: np.ndarray, only: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(later, earlier) row numbers of one bucket: for each line of the bitmap ``only`` an earlier line of similar words, if one meets it here.
 
-    Positions are not looked at: meetings are counted, and only the rarest
-    shared word of two similar lines need stand early in both.
+    Every earlier row of a group that passes the tests of size, position and
+    signature is compared by its words, until one is similar. Similar lines
+    pass the test of positions at their rarest shared word.
     """
-    late, early = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    rows = np.flatnonzero(asks)
-    begin = np.zeros(len(order), np.int64)
-    for a, lo in zip(rows, cut[np.searchsorted(cut, rows, side="right") - 1], strict=True):
+    order, new, (doc, number, size, pos, sig, wide) = _grouped(cols)
+    begin, cut = begin[order], np.flatnonzero(new)
+    rows = np.flatnonzero(_has(only, line_id(doc, number)))
+    late, early, done = [], [], set()
+    for a, lo in zip(rows.tolist(), cut[np.searchsorted(cut, rows, side="right") - 1].tolist(), strict=True):
+        me = (int(doc[a]), int(number[a]), int(sig[a]))
+        if lo == a or me in done:
+            continue
         b = np.arange(lo, a)
-        ok, _ = _may_match(np.full(len(b), a), b, size, begin, sig, wide)
+        ok, differ = _may_match(np.full(len(b), a), b, size, pos, sig, wide)
         b = b[ok & ((doc[lo:a] != doc[a]) | (number[lo:a] != number[a]))]
-        late.append(np.full(len(b), a))
-        early.append(b)
-    return order[np.concatenate(late)], order[np.concatenate(early)]
+        b = b[np.argsort(differ[b - lo], kind="stable")]  # the most alike first
+        for i in range(0, len(b), SMALL):
+            some = b[i:i + SMALL]
+            good = np.flatnonzero(_similar(a, some, size, words, begin))
+            if len(good):
+                late.append(a)
+                early.append(some[good[0]])
+                done.add(me)
+                break
+    return order[np.array(late, np.int64)], order[np.array(early, np.int64)]
 
 
 _KEY = ["doc_id", "number", "signature"]
-_PAIR = "doc_id long, number int, signature long, e_doc long, e_number int, e_signature long, differ int, least int"
+_PAIR = "doc_id long, number int, signature long, e_doc long, e_number int, e_signature long, differ int"
 
 
 def _pairs(cols, a, b) -> pa.Table:
     _, _, doc, number, size, _, sig, wide = cols
     return pa.table({"doc_id": doc[a], "number": number[a].astype(np.int32), "signature": sig[a].view(np.int64), "e_doc": doc[b], "e_number": number[b].astype(np.int32),
-                     "e_signature": sig[b].view(np.int64), "differ": _differ(a, b, size, sig, wide).astype(np.int32),
-                     "least": _least_shared(size[a].astype(np.int64), size[b].astype(np.int64)).astype(np.int32)})
+                     "e_signature": sig[b].view(np.int64), "differ": _differ(a, b, size, sig, wide).astype(np.int32)})
 
 
-def _enough(met: DataFrame) -> DataFrame:
-    """Pairs that met as often as similar lines do; a frequent word may count once less than it is shared."""
-    pairs = met.groupBy(*_KEY, "e_doc", "e_number", "e_signature", "least").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.where(F.col("n") >= F.greatest(F.lit(1), F.col("least") - 1)).drop("n", "least")
+def _best(found: DataFrame) -> DataFrame:
+    """The best earlier line of each line."""
+    best = found.groupBy(*_KEY).agg(F.min(F.struct("differ", "e_doc", "e_number", "e_signature")).alias("m"))
+    return best.select(*_KEY, "m.e_doc", "m.e_number", "m.e_signature", "m.differ")
 
 
 def _candidates(postings: DataFrame) -> DataFrame:
@@ -426,18 +469,17 @@ def _candidates(postings: DataFrame) -> DataFrame:
             if data:
                 cols = [np.concatenate(c) for c in zip(*map(_unpack, data), strict=True)]
                 rows = np.arange(len(cols[0]))
-                t = _pairs(cols, *((rows, rows) if copies else _search(cols, None)))
+                t = _pairs(cols, *((rows, rows) if copies else _search(cols)))
                 out.append(t.set_column(6, "differ", pa.array(np.full(len(t), -1, np.int32))) if copies else t)
         return pa.concat_tables(out)
-    found = postings.groupBy("bucket").applyInArrow(run, _PAIR)
-    best = found.groupBy(*_KEY).agg(F.min(F.struct("differ", "e_doc", "e_number", "e_signature")).alias("m"))
-    return written(best.select(*_KEY, "m.e_doc", "m.e_number", "m.e_signature", "m.differ"), "candidates")
+    return written(_best(postings.groupBy("bucket").applyInArrow(run, _PAIR)), "candidates")
 
 
 def _all_candidates(docs: DataFrame, failed: DataFrame, rarity) -> DataFrame:
-    """All pairs of a line of ``failed`` and an earlier line that share as many prefix words as similar lines do, written.
+    """(line of ``failed``, an earlier line of similar words by their hashes), one row at most per line, written.
 
-    Only keys that those lines have are searched.
+    Only keys that those lines have are searched; lines travel with their
+    words' hashes and are compared where they meet.
     """
     spark = docs.sparkSession
     lines = spark.sparkContext.broadcast(_bitmap(failed))
@@ -450,10 +492,11 @@ def _all_candidates(docs: DataFrame, failed: DataFrame, rarity) -> DataFrame:
     wanted = spark.sparkContext.broadcast(_table_sum(docs, keys, 1 << KEY_BITS, np.uint8, np.maximum) > 0)
 
     def run(part: pa.Table) -> pa.Table:
-        cols = [np.concatenate(c) for c in zip(*map(_unpack, part["data"].to_pylist()), strict=True)]
-        return _pairs(cols, *_search(cols, lines.value))
+        blocks = list(map(_unpack, part["data"].to_pylist()))
+        cols = [np.concatenate(c) for c in zip(*blocks, strict=True)]
+        return _pairs(cols, *_witnesses(cols, *_unpack_words(part["words"].to_pylist(), [len(b[0]) for b in blocks]), lines.value))
     met = _postings(docs, rarity, partitions(docs), wanted).groupBy("bucket").applyInArrow(run, _PAIR)
-    return written(_enough(met.drop("differ")).join(failed, _KEY, "left_semi"), "candidates")
+    return written(_best(met.join(failed, _KEY, "left_semi")), "witnesses")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, rarity) -> DataFrame:

@@ -58,11 +58,14 @@ def test_line_search_finds_all_pairs(monkeypatch):
         cols = [key.astype(np.uint32), np.zeros(len(key), np.uint32), np.zeros(len(key), np.int64), ln.astype(np.int32),
                 x.size[ln].astype(np.int32), x.position[use].astype(np.int32), x.signature[ln], x.wide()[ln]]
         everyone = np.full(1 << (linededup.BITMAP_BITS - 3), 255, np.uint8)
-        a, b = linededup._search(cols, everyone)
-        met = Counter(zip(ln[a].tolist(), ln[b].tolist()))
-        enough = {p for p, n in met.items() if n >= max(1, int(linededup._least_shared(len(sets[p[0]]), len(sets[p[1]]))) - 1)}
-        assert want <= enough, hot
-        a, b = linededup._search(cols, None)
+        begin = (np.cumsum(x.size) - x.size)[ln]
+        block = linededup._line_words(x, ln)
+        words, at = linededup._unpack_words([block, block], [len(ln), len(ln)])
+        assert all((words[at[i]:at[i] + x.size[ln[i]]] == x.hash[begin[i]:begin[i] + x.size[ln[i]]]).all() for i in (0, 7, len(ln) - 1))
+        a, b = linededup._witnesses(cols, words, at[len(ln):], everyone)
+        assert set(zip(ln[a].tolist(), ln[b].tolist())) <= want
+        assert {i for i, _ in want} == set(ln[a].tolist()) and len(a) == len(set(ln[a].tolist()))
+        a, b = linededup._search(cols)
         assert (ln[a] > ln[b]).all()
         assert {i for i, _ in want} <= set(ln[a].tolist())
 
