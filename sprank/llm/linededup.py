@@ -11,10 +11,11 @@ the word's hash). Two similar lines share a word among the rarest few of each
 holds a second shared word, and the pair of both words is the key. Pairs of
 lines that meet are tested by their sizes, by the positions of the shared word,
 and by the bits that differ between parity signatures of the two sets (64 bits,
-256 for long lines), which are at most their difference in words. The most promising
-earlier line of each line is verified on its words; lines whose first candidate
-fails are searched again with all their candidates, so none is lost. Words are
-compared by 44-bit hashes in the search and as they are in the verification.
+256 for long lines), which are at most their difference in words; those that pass
+are compared by 16-bit hashes of their words, which travel with the line. So a
+line gets one earlier line that seems similar, and no other pair leaves its
+task. These pairs are verified on their words; the few lines whose partner
+fails, as 16 bits were alike by chance, are searched again by 44-bit hashes.
 """
 
 from __future__ import annotations
@@ -75,6 +76,8 @@ class Lines:
         self.line, self.hash = line[new], rank[new] & _HASH
         self.size = np.bincount(self.line, minlength=len(self.row))
         self.position = np.arange(len(self.line)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        key = np.sort(self.line.astype(np.uint64) << np.uint64(16) | self.hash >> np.uint64(8) & np.uint64(0xFFFF))
+        self.short = (key & np.uint64(0xFFFF)).astype(np.uint16)  # sorted within each line
         self.signature = np.zeros(len(self.row), np.uint64)
         some = self.size > 0
         if some.any():
@@ -242,35 +245,48 @@ def _prefix_keys(x: Lines, use: np.ndarray, rarity: np.ndarray) -> tuple[np.ndar
     return use[i], key, n[i]
 
 
-def _line_words(x: Lines, ln: np.ndarray) -> bytes:
-    """For postings of the lines ``ln``: which distinct line each is of, and those lines' word hashes of 6 bytes."""
+SHORT = np.dtype("<u2")  # 16 bits of a word's hash: two words of two lines are alike by chance once in 65,536
+
+
+def _line_words(x: Lines, ln: np.ndarray, total: np.ndarray, short: bool) -> bytes:
+    """For postings of the lines ``ln``: which distinct line each is of, those lines' sums of hashes, and their words' hashes.
+
+    Hashes have 6 bytes; with ``short`` 2, sorted within the line.
+    """
     lines, which = np.unique(ln, return_inverse=True)
     size = x.size[lines]
     start = (np.cumsum(x.size) - x.size)[lines]
     at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    low = x.hash[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return zstandard.compress(np.int64(len(lines)).tobytes() + size.astype(np.int32).tobytes() + which.astype(np.int32).tobytes() + low.tobytes(), 1)
+    words = x.short[at].tobytes() if short else x.hash[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return zstandard.compress(b"".join([np.int64(len(lines)).tobytes(), total[lines].tobytes(), size.astype(np.int32).tobytes(),
+                                        which.astype(np.int32).tobytes(), words]), 1)
 
 
-def _unpack_words(blocks: list[bytes], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes of all lines laid end to end, where the words of each posting's line begin) of blocks of so many postings."""
-    words, begin, base = [], [], 0
+def _unpack_words(blocks: list[bytes], counts: list[int], short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes of all lines laid end to end; where the words of each posting's line begin; its sum) of blocks of so many postings."""
+    words, begin, sums, base = [], [], [], 0
     for block, n in zip(blocks, counts, strict=True):
         raw = zstandard.decompress(block)
         lines = int(np.frombuffer(raw[:8], np.int64)[0])
-        size = np.frombuffer(raw, np.int32, lines, 8).astype(np.int64)
-        which = np.frombuffer(raw, np.int32, n, 8 + 4 * lines)
-        low = np.frombuffer(raw, np.uint8, -1, 8 + 4 * (lines + n)).reshape(-1, 6)
-        wide = np.zeros((len(low), 8), np.uint8)
-        wide[:, :6] = low
-        words.append(wide.reshape(-1).view("<u8"))
+        total = np.frombuffer(raw, np.uint64, lines, 8)
+        size = np.frombuffer(raw, np.int32, lines, 8 + 8 * lines).astype(np.int64)
+        which = np.frombuffer(raw, np.int32, n, 8 + 12 * lines)
+        rest = 8 + 12 * lines + 4 * n
+        if short:
+            words.append(np.frombuffer(raw, SHORT, -1, rest))
+        else:
+            low = np.frombuffer(raw, np.uint8, -1, rest).reshape(-1, 6)
+            wide = np.zeros((len(low), 8), np.uint8)
+            wide[:, :6] = low
+            words.append(wide.reshape(-1).view("<u8"))
         begin.append((base + np.cumsum(size) - size)[which])
-        base += len(low)
-    return np.concatenate(words), np.concatenate(begin)
+        sums.append(total[which])
+        base += len(words[-1])
+    return np.concatenate(words), np.concatenate(begin), np.concatenate(sums)
 
 
 def _postings(docs: DataFrame, rarity, buckets: int, wanted=None) -> DataFrame:
-    """(bucket, copies, data): blocks of prefix postings; of ``wanted`` keys only if given, then with the words of their lines.
+    """(bucket, copies, data, words): blocks of prefix postings with the words of their lines, by short hashes; of ``wanted`` keys only if given, then by whole ones.
 
     Lines of a chunk of equal word sets are one; the later ones come as copies.
     A word with very many postings is dealt into parts, any two of its lines
@@ -314,13 +330,13 @@ def _postings(docs: DataFrame, rarity, buckets: int, wanted=None) -> DataFrame:
                     i = at[cut[k]:cut[k + 1]]
                     u, ln = use[i], line[i]
                     yield _rows(k, False, [key[i], part[i], did[ln], number[ln], x.size[ln], x.position[u], sig[ln], wide[ln]],
-                                None if wanted is None else _line_words(x, ln))
-    return docs.mapInArrow(run, "bucket int, copies boolean, data binary" + (", words binary" if wanted is not None else ""))
+                                _line_words(x, ln, total, wanted is None))
+    return docs.mapInArrow(run, "bucket int, copies boolean, data binary, words binary")
 
 
 def _rows(bucket: int, copies: bool, cols: list[np.ndarray], words: bytes | None = None) -> pa.RecordBatch:
-    row = {"bucket": pa.array([bucket], pa.int32()), "copies": pa.array([copies]), "data": pa.array([_pack(cols)], pa.binary())}
-    return pa.RecordBatch.from_pydict(row | ({"words": pa.array([words], pa.binary())} if words is not None else {}))
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([copies]), pa.array([_pack(cols)], pa.binary()), pa.array([words], pa.binary())],
+                                      ["bucket", "copies", "data", "words"])
 
 
 def _differ(a, b, size, sig, wide):
@@ -355,26 +371,48 @@ def _grouped(cols: list[np.ndarray]) -> tuple:
     return order, new, [c[order] for c in (doc, number, size.astype(np.int64), pos.astype(np.int64), sig, wide)]
 
 
-def _search(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(later, earlier) row numbers of one bucket: the best candidate among the earlier rows for each line that has any."""
+def _shared(a: np.ndarray, b: np.ndarray, size: np.ndarray, words: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Words that rows a and b share by their short hashes, pair by pair: as many as they do share, or by chance more."""
+    out = np.zeros(len(a), np.int64)
+    for i in range(0, len(a), 1 << 14):
+        keys = []
+        for side in (a[i:i + (1 << 14)], b[i:i + (1 << 14)]):
+            n = size[side]
+            first = np.cumsum(n) - n
+            at = np.repeat(begin[side] - first, n) + np.arange(int(n.sum()))
+            keys.append(np.repeat(np.arange(len(side)) << 16, n) | words[at])
+        mine, theirs = keys
+        at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+        out[i:i + (1 << 14)] = np.add.reduceat((mine[at] == theirs).astype(np.int64), first)
+    return out
+
+
+def _search(cols: list[np.ndarray], words: np.ndarray, begin: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(later, earlier) row numbers of one bucket: for each line that has one an earlier line of similar words, by their short hashes."""
     order, new, (doc, number, size, pos, sig, wide) = _grouped(cols)
+    begin, total = begin[order], total[order]
     group = np.cumsum(new) - 1
     best, found = np.full(len(order), 999, np.int16), np.full(len(order), -1)
 
     def keep(a, b):
-        """Offer row b to the later row a."""
+        """Offer row b to the later row a, which may have none yet."""
         ok, differ = _may_match(a, b, size, pos, sig, wide)
-        ok &= ((doc[a] != doc[b]) | (number[a] != number[b])) & (differ < best[a])
-        best[a[ok]], found[a[ok]] = differ[ok], b[ok]
-
-    # Lines alike in size, position and whole signature, so in all that the tests look at: the first
-    # of a group is the candidate of the others, if it may be, and stands for them before later lines.
-    by = np.lexsort((pos, size, sig, group))
+        i = np.flatnonzero(ok & ((doc[a] != doc[b]) | (number[a] != number[b])) & (found[a] < 0))
+        if len(i):
+            both = _shared(a[i], b[i], size, words, begin)
+            i = i[both * DEN >= NUM * (size[a[i]] + size[b[i]] - both)]
+            best[a[i]], found[a[i]] = differ[i], b[i]
+
+    # Lines of equal words are one: the first of a group is the candidate of the others, and stands for
+    # them before later lines. A row of the same doc_id and number may be the first line again.
+    by = np.lexsort((pos, total, group))
     x, y = by[1:], by[:-1]
     same = np.zeros(len(by), bool)
-    same[1:] = (group[x] == group[y]) & (sig[x] == sig[y]) & (size[x] == size[y]) & (pos[x] == pos[y]) & (wide[x] == wide[y]).all(1)
+    same[1:] = (group[x] == group[y]) & (total[x] == total[y]) & (size[x] == size[y]) & (pos[x] == pos[y])
     lead = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
-    keep(by[same], lead[same])
+    a, b = by[same], lead[same]
+    other = (doc[a] != doc[b]) | (number[a] != number[b])
+    best[a[other]], found[a[other]] = 0, b[other]
     rows = np.flatnonzero(found < 0)
     count = np.bincount(group[rows], minlength=group[-1] + 1 if len(group) else 0)
     few = rows[count[group[rows]] <= SMALL]
@@ -467,9 +505,14 @@ def _candidates(postings: DataFrame) -> DataFrame:
         for copies in (True, False):
             data = [x for x, c in zip(part["data"].to_pylist(), part["copies"].to_pylist(), strict=True) if c == copies]
             if data:
-                cols = [np.concatenate(c) for c in zip(*map(_unpack, data), strict=True)]
-                rows = np.arange(len(cols[0]))
-                t = _pairs(cols, *((rows, rows) if copies else _search(cols)))
+                blocks = list(map(_unpack, data))
+                cols = [np.concatenate(c) for c in zip(*blocks, strict=True)]
+                if copies:
+                    rows = np.arange(len(cols[0]))
+                    t = _pairs(cols, rows, rows)
+                else:
+                    words = [x for x in part["words"].to_pylist() if x is not None]
+                    t = _pairs(cols, *_search(cols, *_unpack_words(words, [len(b[0]) for b in blocks], True)))
                 out.append(t.set_column(6, "differ", pa.array(np.full(len(t), -1, np.int32))) if copies else t)
         return pa.concat_tables(out)
     return written(_best(postings.groupBy("bucket").applyInArrow(run, _PAIR)), "candidates")
@@ -494,7 +537,8 @@ def _all_candidates(docs: DataFrame, failed: DataFrame, rarity) -> DataFrame:
     def run(part: pa.Table) -> pa.Table:
         blocks = list(map(_unpack, part["data"].to_pylist()))
         cols = [np.concatenate(c) for c in zip(*blocks, strict=True)]
-        return _pairs(cols, *_witnesses(cols, *_unpack_words(part["words"].to_pylist(), [len(b[0]) for b in blocks]), lines.value))
+        words, begin, _ = _unpack_words(part["words"].to_pylist(), [len(b[0]) for b in blocks], False)
+        return _pairs(cols, *_witnesses(cols, words, begin, lines.value))
     met = _postings(docs, rarity, partitions(docs), wanted).groupBy("bucket").applyInArrow(run, _PAIR)
     return written(_best(met.join(failed, _KEY, "left_semi")), "witnesses")
 

@@ -59,17 +59,38 @@ def test_line_search_finds_all_pairs(monkeypatch):
                 x.size[ln].astype(np.int32), x.position[use].astype(np.int32), x.signature[ln], x.wide()[ln]]
         everyone = np.full(1 << (linededup.BITMAP_BITS - 3), 255, np.uint8)
         begin = (np.cumsum(x.size) - x.size)[ln]
-        block = linededup._line_words(x, ln)
-        words, at = linededup._unpack_words([block, block], [len(ln), len(ln)])
+        total = np.zeros(len(x.row), np.uint64)
+        np.add.at(total, x.line, linededup.mix(x.hash))
+        block = linededup._line_words(x, ln, total, False)
+        words, at, sums = linededup._unpack_words([block, block], [len(ln), len(ln)], False)
         assert all((words[at[i]:at[i] + x.size[ln[i]]] == x.hash[begin[i]:begin[i] + x.size[ln[i]]]).all() for i in (0, 7, len(ln) - 1))
+        assert (sums[len(ln):] == total[ln]).all()
         a, b = linededup._witnesses(cols, words, at[len(ln):], everyone)
         assert set(zip(ln[a].tolist(), ln[b].tolist())) <= want
         assert {i for i, _ in want} == set(ln[a].tolist()) and len(a) == len(set(ln[a].tolist()))
-        a, b = linededup._search(cols)
+        a, b = linededup._search(cols, *linededup._unpack_words([linededup._line_words(x, ln, total, True)], [len(ln)], True))
+        assert set(zip(ln[a].tolist(), ln[b].tolist())) <= want  # 30 words, whose short hashes differ
         assert (ln[a] > ln[b]).all()
         assert {i for i, _ in want} <= set(ln[a].tolist())
 
 
+def test_lines_whose_short_hashes_are_alike(spark, monkeypatch):
+    """Short hashes that are all alike make every partner look similar; verification and the second search still give the right lines."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(n, "\n".join(" ".join(rng.choice(words[:12 + n % 9], rng.integers(6, 12), replace=False)) for _ in range(4))) for n in range(60)]
+    rows += [(100 + n, t) for n, (_, t) in enumerate(rows[:5])]
+    monkeypatch.setattr(linededup, "_shared", lambda a, b, size, words, begin: np.minimum(size[a], size[b]))
+    gone = brute.removed_lines(rows)
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(linededup)  # so that the tasks see it too
+    try:
+        got = {r.doc_id: r.removed_lines for r in linededup.line_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(linededup)
+    assert got == {i: gone[i] for i, _ in rows} and sum(map(len, gone.values())) >= 20
+
+
 def test_line_search_keeps_alike_rows_as_partners(spark):
     """A line that resembles only a row that was left to a row of the same size and signature."""
     rng = np.random.default_rng(8)
