@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from sprank.functions import text as tx
 from sprank.functions.ranking import OUT_DIGITS
-from sprank.operators import bm25, chunking, context, dense, fusion, metrics, requests, rerank
+from sprank.operators import blockmax, bm25, chunking, context, dense, fusion, metrics, requests, rerank
 from sprank.operators import search as srch
 from sprank.plans import inputs as I
+from sprank.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 R = OUT_DIGITS
@@ -134,6 +135,13 @@ def bm25_topk(spark, d):
     return top.select("qid", F.col("rank").cast("bigint").alias("rank"), "doc_id", _r("score"))
 
 
+def bm25_topk_blocks(spark, d):
+    """The keyword top 10 from the blocks of documents that can hold it."""
+    blocked = blockmax.build(I.bm25_index(spark, d), scratch_path(spark, "blocks"))
+    top = blockmax.topk(blocked, I.query_table(spark, d), I.LIST_K)
+    return top.select("qid", F.col("rank").cast("bigint").alias("rank"), "doc_id", _r("score"))
+
+
 def chunk_bm25_topk(spark, d):
     """The reference's own unit of retrieval: BM25 over the word chunks of the
     documents (chunk ids as keys), top 10 per benchmark query."""
@@ -410,6 +418,7 @@ def _registry() -> dict[str, Query]:
         "bm25_index": bm25_index,
         "bm25_scores": bm25_scores,
         "bm25_topk": bm25_topk,
+        "bm25_topk_blocks": bm25_topk_blocks,
         "index_append": index_append,
         "append_search": append_search,
         "vectors_append": vectors_append,
