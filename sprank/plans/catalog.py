@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sprank.functions import text as tx
 from sprank.functions.ranking import OUT_DIGITS
-from sprank.operators import blockmax, bm25, chunking, context, dense, fusion, metrics, requests, rerank
+from sprank.operators import blockmax, bm25, cells, chunking, context, dense, fusion, metrics, requests, rerank
 from sprank.operators import search as srch
 from sprank.plans import inputs as I
 from sprank.session import scratch_path
@@ -117,6 +117,15 @@ def dense_topk(spark, d):
     return top.select("qid", F.col("rank").cast("bigint").alias("rank"), "doc_id", _r("score"))
 
 
+def dense_topk_cells(spark, d):
+    """The dense top 10 from a stored index by cells, whose vectors came in two batches with ids in common."""
+    path, vecs = scratch_path(spark, "cells"), I.table(spark, d, "embeddings").select("vec_id", "embedding")
+    for part in _batches(vecs, "vec_id", "embedding", F.reverse("embedding")):
+        cells.append(spark, path, part)
+    top = cells.topk(spark, path, I.query_table(spark, d), I.LIST_K)
+    return top.select("qid", F.col("rank").cast("bigint").alias("rank"), "doc_id", _r("score"))
+
+
 # ---------------------------------------------------------------- keyword
 
 def bm25_index(spark, d):
@@ -415,6 +424,7 @@ def _registry() -> dict[str, Query]:
         "vec_normalize": vec_normalize,
         "dense_scores": dense_scores,
         "dense_topk": dense_topk,
+        "dense_topk_cells": dense_topk_cells,
         "bm25_index": bm25_index,
         "bm25_scores": bm25_scores,
         "bm25_topk": bm25_topk,

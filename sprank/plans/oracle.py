@@ -235,6 +235,7 @@ FROM (SELECT vec_id, embedding, sqrt(list_dot_product(embedding::DOUBLE[], embed
     s["bm25_scores"] = f"WITH {bm25_ctes()} SELECT qid, doc_id, {r6('score')} AS score FROM sc"
     s["bm25_topk"] = (f"WITH {bm25_ctes()}, {sparse_topk('sp', LIST_K)} "
                       f"SELECT qid, list_rank::BIGINT AS rank, doc_id, {r6('score')} AS score FROM sp")
+    s["dense_topk_cells"] = s["dense_topk"]
     s["bm25_topk_blocks"] = s["bm25_topk"]
     s["index_append"] = s["bm25_index"]
     s["append_search"] = s["bm25_topk"]
