@@ -23,12 +23,21 @@ TEXT_RULES = (
     (r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", "\n"),
     (r"</?[a-zA-Z!][^>]*>", ""),
 )
-# Fixed character references that are resolved, & last.
-REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
-              ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+# Fixed named character references that are resolved (HTML's), & last; others stay as they are.
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
+              ("&copy;", "©"), ("&middot;", "·"), ("&reg;", "®"), ("&trade;", "™"), ("&deg;", "°"), ("&sect;", "§"), ("&euro;", "€"),
+              ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
+              ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"), ("&times;", "×"), ("&szlig;", "ß"), ("&ccedil;", "ç"), ("&ntilde;", "ñ"),
+              ("&agrave;", "à"), ("&aacute;", "á"), ("&acirc;", "â"), ("&auml;", "ä"), ("&egrave;", "è"), ("&eacute;", "é"), ("&ecirc;", "ê"),
+              ("&euml;", "ë"), ("&iacute;", "í"), ("&icirc;", "î"), ("&iuml;", "ï"), ("&oacute;", "ó"), ("&ocirc;", "ô"), ("&ouml;", "ö"),
+              ("&uacute;", "ú"), ("&ugrave;", "ù"), ("&ucirc;", "û"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"), ("&Uuml;", "Ü"),
+              ("&Eacute;", "É"), ("&amp;", "&"))
+NUMERIC = "&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 SPACE_RULES = ((r"[ \t\x0B\f\r]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", ""))
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-LINK = r'(?i)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'
+# The value of href as it is written: in double or single quotes, or bare.
+LINK = r"""(?i)<a(?:\s[^>]*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+QUOTES = "^[\"']|[\"']$"
 
 
 def record_id(*parts: Column) -> Column:
@@ -42,7 +51,23 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
 
 
+def _character(code: Column) -> Column:
+    """The character of a numeric reference (233 or xE9); U+FFFD for a number that no character has."""
+    n = F.when(F.lower(F.substring(code, 1, 1)) == "x", F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code).cast("long")
+    good = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(good, n).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+
+
+def numeric_references(text: Column) -> Column:
+    parts = F.split(text, NUMERIC, -1)
+    chars = F.transform(F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(1)), _character)
+    whole = F.array_join(F.zip_with(parts, chars, lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&#")), whole).otherwise(text)
+
+
 def references(text: Column) -> Column:
+    """Numeric references resolved, then the named ones of REFERENCES in their order."""
+    text = numeric_references(text)
     for name, char in REFERENCES:
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
@@ -84,7 +109,7 @@ def derivatives(source: DataFrame) -> DataFrame:
     envelope = F.to_json(F.struct(
         F.struct(F.lit("response").alias("WARC-Type"), F.col("record_id").alias("WARC-Record-ID"), F.col("target_uri").alias("WARC-Target-URI"),
                  F.col("date").alias("WARC-Date"), size.alias("Content-Length"), F.col("payload_digest").alias("WARC-Payload-Digest")).alias("source"),
-        F.col("http_header").alias("http"), title.alias("title"), F.transform("links", references).alias("links")))
+        F.col("http_header").alias("http"), title.alias("title"), F.transform("links", lambda x: references(F.regexp_replace(x, QUOTES, ""))).alias("links")))
     both = F.explode(F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/json").alias("content_type"), envelope.alias("block")),
         F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain").alias("content_type"), plain_text(F.col("payload")).alias("block"))))
@@ -136,6 +161,9 @@ def oracle() -> str:
     nl = "chr(13) || chr(10)"
 
     def refs(x: str) -> str:
+        code = "CASE WHEN lower(c[1]) = 'x' THEN CAST('0x' || substr(c, 2) AS BIGINT) ELSE CAST(c AS BIGINT) END"
+        good = f"list_transform(regexp_extract_all(y, {q(NUMERIC)}, 1), lambda c: chr(CAST(CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN {code} ELSE 65533 END AS INTEGER)))"
+        x = f"(list_transform([{x}], lambda y: list_aggregate(list_transform(list_zip(regexp_split_to_array(y, {q(NUMERIC.replace('(', '(?:'))}), {good}), lambda z: z[1] || coalesce(z[2], '')), 'string_agg', '')))[1]"
         for name, char in REFERENCES:
             x = f"replace({x}, {q(name)}, {q(char)})"
         return x
@@ -152,7 +180,7 @@ s AS (SELECT page_id, target_uri, payload, {u('h')} AS refers_to, 'sha256:' || s
   '{HTTP_STATUS}' || {nl} || 'Content-Type: text/html; charset=utf-8' || {nl} || 'Content-Length: ' || strlen(payload) || {nl} || {nl} AS http_header FROM r),
 b AS (SELECT *, 'metadata' AS warc_type, 'application/json' AS content_type, CAST(json_object('source',
     json_object('WARC-Type', 'response', 'WARC-Record-ID', refers_to, 'WARC-Target-URI', target_uri, 'WARC-Date', '{CAPTURED}', 'Content-Length', CAST(strlen(http_header) + strlen(payload) AS VARCHAR), 'WARC-Payload-Digest', payload_digest),
-    'http', http_header, 'title', {title}, 'links', list_transform(regexp_extract_all(payload, {q(LINK)}, 1), lambda x: {refs('x')})) AS VARCHAR) AS block FROM s
+    'http', http_header, 'title', {title}, 'links', list_transform(regexp_extract_all(payload, {q(LINK)}, 1), lambda x: {refs(f"regexp_replace(x, {q(QUOTES)}, '', 'g')")})) AS VARCHAR) AS block FROM s
   UNION ALL SELECT *, 'conversion', 'text/plain', {text} FROM s)
 SELECT page_id, warc_type, {u("md5(warc_type || chr(10) || refers_to)")} AS record_id, refers_to, target_uri, '{CAPTURED}' AS date, content_type,
   CAST(strlen(block) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest, payload_digest AS source_payload_digest, http_header AS source_header, block FROM b"""

@@ -129,6 +129,19 @@ def test_warc_edges(spark):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_links_and_references(spark):
+    import html
+    import json
+    page = ("<a href='x'>1</a><a class=k href=y id=q>2</a><A HREF = \"z&amp;&#233;\">3</a><a data-href='no' title='t'>4</a><area href='no'>"
+            "<a\nhref=\"it's\">5</a><a href=''>6</a><a href=a/b?c=d&amp;e>7</a><title>T &mdash; &#x1F600;</title>"
+            "<p>&#233;&#xE9; &mdash; &hellip; &amp;#233; &#0; &#55296; &#x110000; &#99999999; &bogus; &eacute;&#39;</p>")
+    got = {r.warc_type: r.block for r in warc.derivatives(warc.responses(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"))).collect()}
+    meta = json.loads(got["metadata"])
+    assert meta["links"] == ["x", "y", "z&é", "it's", "", "a/b?c=d&e"] and meta["title"] == "T — \U0001f600"
+    assert got["conversion"].endswith("éé — … &#233; \ufffd \ufffd \ufffd &#99999999; &bogus; é'")
+    assert all(html.unescape(name) in (char, "\xa0") for name, char in warc.REFERENCES)
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_keep_columns(spark, name, docs, empty, labels, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
