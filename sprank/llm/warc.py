@@ -23,7 +23,7 @@ TEXT_RULES = (
     (r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", "\n"),
     (r"</?[a-zA-Z!][^>]*>", ""),
 )
-# Fixed named character references that are resolved (HTML's), & last; others stay as they are.
+# Fixed named character references that are resolved (HTML's); others stay as they are.
 REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
               ("&copy;", "©"), ("&middot;", "·"), ("&reg;", "®"), ("&trade;", "™"), ("&deg;", "°"), ("&sect;", "§"), ("&euro;", "€"),
               ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
@@ -32,7 +32,7 @@ REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("
               ("&euml;", "ë"), ("&iacute;", "í"), ("&icirc;", "î"), ("&iuml;", "ï"), ("&oacute;", "ó"), ("&ocirc;", "ô"), ("&ouml;", "ö"),
               ("&uacute;", "ú"), ("&ugrave;", "ù"), ("&ucirc;", "û"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"), ("&Uuml;", "Ü"),
               ("&Eacute;", "É"), ("&amp;", "&"))
-NUMERIC = "&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+REFERENCE = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|" + "|".join(name[1:-1] for name, _ in REFERENCES) + ");"
 SPACE_RULES = ((r"[ \t\x0B\f\r]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", ""))
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 # The value of href as it is written: in double or single quotes, or bare.
@@ -52,35 +52,32 @@ def digest(text: Column) -> Column:
 
 
 def _character(code: Column) -> Column:
-    """The character of a numeric reference (233 or xE9); U+FFFD for a number that no character has."""
-    n = F.when(F.lower(F.substring(code, 1, 1)) == "x", F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code).cast("long")
-    good = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
-    return F.decode(F.unhex(F.lpad(F.hex(F.when(good, n).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    """The character of a reference (#233, #xE9 or eacute); U+FFFD for a number that no character has."""
+    number = F.when(F.lower(F.substring(code, 2, 1)) == "x", F.conv(F.substring(code, 3, 8), 16, 10)).otherwise(F.substring(code, 2, 8)).cast("long")
+    good = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    numeric = F.decode(F.unhex(F.lpad(F.hex(F.when(good, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    named = F.create_map(*[F.lit(x) for name, char in REFERENCES for x in (name[1:-1], char)])
+    return F.when(F.startswith(code, F.lit("#")), numeric).otherwise(F.element_at(named, code))
 
 
-def numeric_references(text: Column) -> Column:
-    parts = F.split(text, NUMERIC, -1)
-    chars = F.transform(F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(1)), _character)
+def references(text: Column) -> Column:
+    """Numeric references and the named ones of REFERENCES resolved in one pass. ``text`` should be a plain column, as it is read thrice."""
+    parts = F.split(text, REFERENCE, -1)
+    chars = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), _character)
     whole = F.array_join(F.zip_with(parts, chars, lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
-    return F.when(F.contains(text, F.lit("&#")), whole).otherwise(text)
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
-def references(text: Column) -> Column:
-    """Numeric references resolved, then the named ones of REFERENCES in their order."""
-    text = numeric_references(text)
-    for name, char in REFERENCES:
-        text = F.replace(text, F.lit(name), F.lit(char))
+def _replaced(text: Column, rules) -> Column:
+    for pattern, to in rules:
+        text = F.regexp_replace(text, pattern, to)
     return text
 
 
-def plain_text(html: Column) -> Column:
-    """Text of a page: scripts, styles, comments and tags go, block elements break lines, blank lines go."""
-    for pattern, to in TEXT_RULES:
-        html = F.regexp_replace(html, pattern, to)
-    html = references(html)
-    for pattern, to in SPACE_RULES:
-        html = F.regexp_replace(html, pattern, to)
-    return html
+def plain_text(pages: DataFrame, html: str, out: str) -> DataFrame:
+    """Adds the text of a page: scripts, styles, comments and tags go, block elements break lines, references are resolved, blank lines go."""
+    return pages.withColumn(out, _replaced(F.col(html), TEXT_RULES)).withColumn(out, references(F.col(out))).withColumn(
+        out, _replaced(F.col(out), SPACE_RULES))
 
 
 def responses(pages: DataFrame) -> DataFrame:
@@ -102,9 +99,10 @@ def derivatives(source: DataFrame) -> DataFrame:
     give an empty conversion and a metadata record without title and links.
     Repeated responses give repeated records; other columns are not read.
     """
-    s = source.withColumn("payload_digest", digest(F.col("payload")))
+    s = source.select("page_id", "record_id", "target_uri", "date", "http_header", "payload")
+    s = plain_text(s, "payload", "plain").withColumn("title", F.regexp_extract("payload", TITLE, 1)).withColumn("payload_digest", digest(F.col("payload")))
     s = s.withColumn("links", F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)))
-    title = F.regexp_replace(references(F.regexp_extract("payload", TITLE, 1)), r"[ \t\x0B\f\r\n]+", " ")
+    title = F.regexp_replace(references(F.col("title")), r"[ \t\x0B\f\r\n]+", " ")
     size = (F.octet_length("http_header") + F.octet_length("payload")).cast("string")
     envelope = F.to_json(F.struct(
         F.struct(F.lit("response").alias("WARC-Type"), F.col("record_id").alias("WARC-Record-ID"), F.col("target_uri").alias("WARC-Target-URI"),
@@ -112,7 +110,7 @@ def derivatives(source: DataFrame) -> DataFrame:
         F.col("http_header").alias("http"), title.alias("title"), F.transform("links", lambda x: references(F.regexp_replace(x, QUOTES, ""))).alias("links")))
     both = F.explode(F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/json").alias("content_type"), envelope.alias("block")),
-        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain").alias("content_type"), plain_text(F.col("payload")).alias("block"))))
+        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain").alias("content_type"), F.col("plain").alias("block"))))
     rows = s.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", "http_header", "payload_digest", both.alias("r"))
     return rows.select(
         "page_id", "r.warc_type", record_id(F.col("r.warc_type"), F.col("refers_to")).alias("record_id"), "refers_to", "target_uri", "date", "r.content_type",
@@ -160,13 +158,14 @@ def oracle() -> str:
     u = lambda h: f"('<urn:uuid:' || substr({h},1,8) || '-' || substr({h},9,4) || '-' || substr({h},13,4) || '-' || substr({h},17,4) || '-' || substr({h},21,12) || '>')"
     nl = "chr(13) || chr(10)"
 
+    names = "MAP {" + ", ".join(f"{q(name[1:-1])}: {q(char)}" for name, char in REFERENCES) + "}"
+    code = "CASE WHEN lower(c[2]) = 'x' THEN CAST('0x' || substr(c, 3) AS BIGINT) ELSE CAST(substr(c, 2) AS BIGINT) END"
+    number = f"chr(CAST(CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN {code} ELSE 65533 END AS INTEGER))"
+    chars = f"list_transform(regexp_extract_all(y, {q(REFERENCE)}, 1), lambda c: CASE WHEN c[1] = '#' THEN {number} ELSE map_extract({names}, c)[1] END)"
+    pieces = f"regexp_split_to_array(y, {q(REFERENCE.replace('(', '(?:'))})"
+
     def refs(x: str) -> str:
-        code = "CASE WHEN lower(c[1]) = 'x' THEN CAST('0x' || substr(c, 2) AS BIGINT) ELSE CAST(c AS BIGINT) END"
-        good = f"list_transform(regexp_extract_all(y, {q(NUMERIC)}, 1), lambda c: chr(CAST(CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN {code} ELSE 65533 END AS INTEGER)))"
-        x = f"(list_transform([{x}], lambda y: list_aggregate(list_transform(list_zip(regexp_split_to_array(y, {q(NUMERIC.replace('(', '(?:'))}), {good}), lambda z: z[1] || coalesce(z[2], '')), 'string_agg', '')))[1]"
-        for name, char in REFERENCES:
-            x = f"replace({x}, {q(name)}, {q(char)})"
-        return x
+        return f"list_transform([{x}], lambda y: list_aggregate(list_transform(list_zip({pieces}, {chars}), lambda z: z[1] || coalesce(z[2], '')), 'string_agg', ''))[1]"
     text = "payload"
     for pattern, to in TEXT_RULES:
         text = f"regexp_replace({text}, {q(pattern)}, {'chr(10)' if to == chr(10) else q(to)}, 'g')"
