@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sprank.functions import text as tx
 from sprank.functions.ranking import OUT_DIGITS
-from sprank.operators import blockmax, bm25, cells, chunking, context, dense, fusion, metrics, requests, rerank
+from sprank.operators import blockmax, bm25, cells, chunking, context, dense, fusion, metrics, requests, rerank, store
 from sprank.operators import search as srch
 from sprank.plans import inputs as I
 from sprank.session import scratch_path
@@ -86,6 +86,13 @@ def upload_check(spark, d):
     return chunking.accept_by_extension(pages, ext="/").select("page_id", "accepted", "reason")
 
 
+def upload_check_pdf(spark, d):
+    """Uploads of documents by the service's own rule: files named .pdf, in any case."""
+    ext = F.when(F.col("lang") == "en", ".pdf").when(F.col("lang") == "fr", ".PDF").otherwise(".txt")
+    files = I.documents(spark, d).select("doc_id", F.concat_ws("", "source", F.lit("-"), F.col("doc_id").cast("string"), ext).alias("filename"))
+    return chunking.accept_by_extension(files).select("doc_id", "filename", "accepted", "reason")
+
+
 def chunk_summary(spark, d):
     return chunking.chunk_summary(I.documents(spark, d))
 
@@ -155,8 +162,9 @@ def chunk_bm25_topk(spark, d):
     """The reference's own unit of retrieval: BM25 over the word chunks of the
     documents (chunk ids as keys), top 10 per benchmark query."""
     chunks = chunking.word_chunks(I.documents(spark, d)).select("chunk_id", "chunk")
-    post = bm25.build_postings(chunks, "chunk_id", "chunk").persist()
-    top = bm25.bm25_topk(bm25.index_from_postings(post), I.query_table(spark, d), I.LIST_K)
+    path = scratch_path(spark, "chunk-index")
+    store.save_postings(bm25.build_postings(chunks, "chunk_id", "chunk"), path)
+    top = bm25.bm25_topk(store.load_index(spark, path), I.query_table(spark, d), I.LIST_K)
     return top.select("qid", F.col("rank").cast("bigint").alias("rank"),
                       F.col("doc_id").alias("chunk_id"), _r("score"))
 
@@ -418,6 +426,7 @@ def _registry() -> dict[str, Query]:
         "chunk_raw_words": chunk_raw_words,
         "clean_counts": clean_counts,
         "upload_check": upload_check,
+        "upload_check_pdf": upload_check_pdf,
         "chunk_summary": chunk_summary,
         "chunk_source_id": chunk_source_id,
         "ingest_rejects": ingest_rejects,

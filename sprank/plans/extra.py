@@ -25,6 +25,13 @@ def parquet_roundtrip(spark, d):
     return back
 
 
+def parquet_schema(spark, d):
+    """The columns of the written chunks as their schema says on reading back, and their values."""
+    chunks = chunking.word_chunks(I.documents(spark, d)).select(
+        "doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "chunk_id", "chunk")
+    return files.column_counts(*files.parquet_roundtrip(chunks, scratch_path(spark, "parquet-schema")))
+
+
 def json_roundtrip(spark, d):
     path = scratch_path(spark, "json-roundtrip")
     files.write_json(files.as_sample_documents(I.documents(spark, d)), path)
@@ -158,6 +165,7 @@ def stream_percentiles(spark, d):
 def queries():
     return {
         "parquet_roundtrip": parquet_roundtrip,
+        "parquet_schema": parquet_schema,
         "json_roundtrip": json_roundtrip,
         "csv_roundtrip": csv_roundtrip,
         "embed_chunks": embed_chunks,
@@ -184,6 +192,9 @@ FROM documents"""
 def oracle_sql():
     return {
         "parquet_roundtrip": CHUNK_WORDS,
+        "parquet_schema": " UNION ALL ".join(
+            f"SELECT '{c}' AS name, '{t}' AS type, count({c})::BIGINT AS n FROM ({CHUNK_WORDS})"
+            for c, t in (("doc_id", "bigint"), ("chunk_idx", "bigint"), ("chunk_id", "string"), ("chunk", "string"))),
         "json_roundtrip": _SAMPLE_SQL,
         "csv_roundtrip": _SAMPLE_SQL,
         "stream_ingest": CHUNK_CHARS,

@@ -208,6 +208,9 @@ FROM documents GROUP BY doc_id"""
                          f"length({clean('text')})::BIGINT AS char_count FROM documents")
     s["upload_check"] = ("SELECT page_id, ends_with(lower(url), '/') AS accepted, "
                          "CASE WHEN ends_with(lower(url), '/') THEN NULL ELSE 'unsupported_type' END AS reason FROM pages")
+    pdf = "concat_ws('', source, '-', doc_id::VARCHAR, CASE lang WHEN 'en' THEN '.pdf' WHEN 'fr' THEN '.PDF' ELSE '.txt' END)"
+    s["upload_check_pdf"] = (f"SELECT doc_id, {pdf} AS filename, coalesce(lang, '') IN ('en', 'fr') AS accepted, "
+                             "CASE WHEN coalesce(lang, '') IN ('en', 'fr') THEN NULL ELSE 'unsupported_type' END AS reason FROM documents")
     s["chunk_chars"] = CHUNK_CHARS
     s["chunk_summary"] = f"""
 WITH w AS (SELECT doc_id, count(*) AS n FROM ({CHUNK_WORDS}) GROUP BY doc_id),

@@ -65,6 +65,15 @@ def parquet_roundtrip(df: DataFrame, path: str) -> tuple[DataFrame, str]:
     return back, back.schema.simpleString()
 
 
+def column_counts(df: DataFrame, schema: str) -> DataFrame:
+    """(name, type, n): the columns of a schema string and how many rows of the frame have a value in each."""
+    fields = T._parse_datatype_string(schema).fields
+    counts = df.agg(*[F.count(F.col(f.name)).alias(f"c{i}") for i, f in enumerate(fields)])
+    rows = [F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f"c{i}").alias("n"))
+            for i, f in enumerate(fields)]
+    return counts.select(F.inline(F.array(*rows)))
+
+
 # Nested sample-document layout (id, content, topics, length, metadata).
 SAMPLE_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -89,9 +98,13 @@ def as_sample_documents(docs: DataFrame) -> DataFrame:
         F.struct("source", "lang", "n_chars").alias("metadata"))
 
 
-def write_json(df: DataFrame, path: str) -> None:
+# Documents of a JSON or CSV file: a CSV file with line breaks in its texts is read by one task.
+ROWS_PER_FILE = 20_000
+
+
+def write_json(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
     """JSON lines, one nested document per line (read back without multiLine)."""
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).json(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType = SAMPLE_SCHEMA,
@@ -106,10 +119,10 @@ def to_csv_layout(df: DataFrame) -> DataFrame:
                      F.to_json("metadata").alias("metadata"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
     # Double quotes are escaped by doubling (the csv-module convention), not by
     # backslash, so files exchange cleanly with Python's csv writer.
-    (to_csv_layout(df).write.mode("overwrite").option("header", True)
+    (to_csv_layout(df).write.mode("overwrite").option("header", True).option("maxRecordsPerFile", rows_per_file)
      .option("quote", '"').option("escape", '"').csv(path))
 
 

@@ -141,6 +141,17 @@ def test_json_csv_roundtrip(spark, tmp_path):
     assert a == b and a[0].text == 'he said "hi",\nthen left' and a[0].topics == "en,src1"
 
 
+def test_bounded_files(spark, tmp_path):
+    from sprank.sources import files
+    docs = spark.createDataFrame([(i, f"line\n{i}", "en", "s", 6) for i in range(25)], "doc_id long, text string, lang string, source string, n_chars long")
+    s = files.as_sample_documents(docs.coalesce(1))
+    for write, read in ((files.write_json, files.read_json), (files.write_csv, files.read_csv)):
+        path = str(tmp_path / write.__name__)
+        write(s, path, rows_per_file=10)
+        per_file = read(spark, path).groupBy(F.input_file_name()).count().collect()
+        assert sorted(r["count"] for r in per_file) == [5, 10, 10]
+
+
 def test_udf_scorer_equals_native(spark):
     from sprank.operators import rerank
     df = spark.createDataFrame([(0, 1, 1, "a b c", "b c d e", 1.0), (0, 2, 2, "", "x", 0.5),
