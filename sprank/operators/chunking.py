@@ -39,30 +39,42 @@ def word_windows(tok: Column, size: int = 80, overlap: int = 15) -> Column:
     return F.transform(starts, lambda s: F.array_join(F.slice(tok, s + 1, size), " "))
 
 
-def char_windows(text: Column, size: int = 500, overlap: int = 50, min_len: int = 30) -> Column:
-    """Character chunks from an already collapsed text column: windows of
-    ``size`` code points every ``size - overlap``, each stripped, kept if
-    longer than ``min_len``."""
+def char_pieces(text: Column, size: int = 500, overlap: int = 50) -> Column:
+    """A collapsed text cut once into pieces of ``size - overlap`` code points, in time linear in its length."""
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
-    step = size - overlap
-    # Cut once, in time linear in the text; a window is its own piece and the beginning of those after it.
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
-    spans = -(-size // step)
-    windows = F.transform(pieces, lambda p, i: F.trim(F.substring(
-        F.concat(p, F.array_join(F.slice(pieces, i + 2, spans - 1), "")) if spans > 1 else p, 1, size)))
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size - overlap}}}"), F.lit(0))
+
+
+def char_windows(pieces: Column, size: int = 500, overlap: int = 50, min_len: int = 30) -> Column:
+    """Character chunks from an already materialised ``char_pieces`` column:
+    windows of ``size`` code points every ``size - overlap``, each stripped,
+    kept if longer than ``min_len``. A window is its own piece and the beginning
+    of those after it. ``pieces`` should be a plain column reference so that it
+    is not cut again inside each lambda call."""
+    if overlap >= size:
+        raise ValueError("overlap must be smaller than size")
+    spans = -(-size // (size - overlap))
+    if spans == 1:
+        windows = F.transform(pieces, lambda p: F.trim(p))
+    elif spans == 2:
+        after = F.concat(F.slice(pieces, 2, F.size(pieces)), F.array(F.lit("")))
+        windows = F.zip_with(pieces, after, lambda p, q: F.trim(F.concat(p, F.substring(q, 1, overlap))))
+    else:
+        windows = F.transform(pieces, lambda p, i: F.trim(F.substring(
+            F.concat(p, F.array_join(F.slice(pieces, i + 2, spans - 1), "")), 1, size)))
     return F.filter(windows, lambda c: F.length(c) > min_len)
 
 
 def _prepared(df: DataFrame, id_col: str, text_col: str, keep: list[str],
-              word: bool = True, char: bool = False, lower_clean: bool = True) -> DataFrame:
-    """Materialise token array / collapsed text once per row."""
+              word: bool = True, char: tuple[int, int] | None = None, lower_clean: bool = True) -> DataFrame:
+    """Materialise token array / pieces of the collapsed text (``char`` = size, overlap) once per row."""
     cols = [F.col(c) for c in dict.fromkeys([id_col] + keep)]
     if word:
         src = clean(text_col) if lower_clean else F.col(text_col)
         cols.append(tokens(src).alias("_tok"))
     if char:
-        cols.append(collapse_ws(text_col).alias("_txt"))
+        cols.append(char_pieces(collapse_ws(text_col), *char).alias("_pieces"))
     return df.select(*cols)
 
 
@@ -96,15 +108,15 @@ def char_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 keep: list[str] | None = None) -> DataFrame:
     """One row per character chunk: (id, chunk_idx, chunk, chunk_id)."""
     keep = keep or []
-    p = _prepared(df, id_col, text_col, keep, word=False, char=True)
-    return _explode(p, id_col, char_windows(F.col("_txt"), size, overlap, min_len),
+    p = _prepared(df, id_col, text_col, keep, word=False, char=(size, overlap))
+    return _explode(p, id_col, char_windows(F.col("_pieces"), size, overlap, min_len),
                     id_style, chunk_col, keep)
 
 
 def _counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    p = _prepared(docs, id_col, text_col, [], word=True, char=True)
+    p = _prepared(docs, id_col, text_col, [], word=True, char=(500, 50))
     return p.select(id_col, F.size(word_windows(F.col("_tok"))).alias("nw"),
-                    F.size(char_windows(F.col("_txt"))).alias("nc"))
+                    F.size(char_windows(F.col("_pieces"))).alias("nc"))
 
 
 def chunk_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
