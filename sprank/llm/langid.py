@@ -3,7 +3,9 @@
 Per language a variable-order byte context tree (orders 0 to 3) gives each next
 byte a probability: in a context seen n times with d distinct successors, a
 seen byte of count c has c / (n + d), and the escape to the next shorter
-context d / (n + d); below order 0 all 256 bytes are alike. The counts are
+context d / (n + d); a context not seen costs nothing to leave, and below order
+0 all 256 bytes are alike. A text starts as if three zero bytes stood before it.
+No context or byte value is left out. The counts are
 frozen after training, so a byte's code length depends only on the three bytes
 before it, and whole texts are scored by table lookups. The language with the
 shortest exact code length is predicted.
@@ -22,8 +24,10 @@ from sprank.llm.common import flat_utf8, row_chunks, written
 ORDER = 3
 TRAIN_DOCS_PER_LANG = 2000  # bound of the labelled sample, whole texts, least hash of doc_id first
 BROADCAST_ROWS = 200_000    # larger samples (very many labels) are joined by shuffle
-MIN_CONTEXT = 4             # contexts seen less often are left out of the tree
-MAX_SYMBOLS = 128           # rarer bytes share one symbol
+TRAIN_BYTES_PER_LANG = 64 << 20  # and of its bytes; the first text of a label always counts
+UNSEEN = 8.0                # bits of a byte below order 0: all 256 are alike
+CHUNK_BYTES = 1 << 18
+HASH_CELLS = 16             # bits of the hash of doc_id by which the sample is cut before it is ranked
 _MODELS: dict[str, "Model"] = {}
 
 
@@ -56,101 +60,95 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Lookup tables of the frozen trees: row of the longest known context, code lengths per row, byte, language."""
+    """Lookup tables of the frozen trees.
+
+    Of each order: the sorted grams (context and byte) that any language has
+    seen with their code lengths by language, and the sorted contexts with the
+    lengths of their escapes. Every byte value and every context counts.
+    """
 
     def __init__(self, labels: list[str], which: np.ndarray, gram: np.ndarray, n: np.ndarray):
-        self.labels = labels
-        k = len(labels)
-        total = np.bincount((gram & 255).astype(int), weights=n, minlength=256)
-        kept = np.sort(np.argsort(-total, kind="stable")[:MAX_SYMBOLS - 1])
-        kept = kept[total[kept] > 0]
-        self.symbol = np.full(256, len(kept), np.int64)
-        self.symbol[kept] = np.arange(len(kept))
-        a = self.a = len(kept) + 1
-        sym = self.symbol[gram & 255]
-        # Order -1: a byte costs 8 bits; a byte of the shared symbol is named among all 256 too.
-        cost = np.full((1, k, a), 8.0, np.float32)
-        where = {0: 0}  # context number -> row
-        levels = [np.zeros(len(gram), np.int64)]
-        c = np.zeros(len(gram), np.int64)
-        for back in (1, 2, 3):
-            c = c + self.symbol[(gram >> (8 * back)) & 255] * (a + 1) ** (back - 1) + (a + 1) ** (back - 1)
-            levels.append(c.copy())
-        for depth, ctx in enumerate(levels):
-            ids, inv = np.unique(ctx, return_inverse=True)
-            seen = np.bincount(inv, weights=n)
-            if depth:
-                good = seen >= MIN_CONTEXT
-                num = np.cumsum(good) - 1
-                parent = np.zeros(len(ids), np.int64)
-                short = levels[depth - 1][np.unique(inv, return_index=True)[1]]
-                for i in np.flatnonzero(good):
-                    parent[i] = where.get(int(short[i]), -1)
-                    if parent[i] < 0:  # the shorter context holds every longer one, so it is known
-                        raise AssertionError("context without its suffix")
-                fresh = cost[parent[good]].copy()
-                ids, use = ids[good], good[inv]
-                row_of = num[inv[use]]
-            else:
-                fresh, use, row_of = cost.copy(), np.ones(len(gram), bool), np.zeros(len(gram), np.int64)
-            cell = np.zeros(fresh.shape, np.float64)
-            np.add.at(cell, (row_of, which[use], sym[use]), n[use])
-            size, kinds = cell.sum(2, keepdims=True), (cell > 0).sum(2, keepdims=True)
+        self.labels, k = labels, len(labels)
+        self.orders = []
+        shorter = None
+        for order in range(ORDER + 1):
+            part = gram & ((1 << 8 * (order + 1)) - 1)
+            keys, inv = np.unique(part, return_inverse=True)
+            cell = np.bincount(inv * k + which, weights=n, minlength=len(keys) * k).reshape(len(keys), k)
+            first = np.flatnonzero(np.diff(keys >> 8, prepend=-1))
+            size = np.add.reduceat(cell, first)
+            kinds = np.add.reduceat((cell > 0).astype(np.float64), first)
             with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(size > 0, -np.log2(kinds / (size + kinds)), 0.0)
-                fresh = np.where(cell > 0, -np.log2(cell / (size + kinds)), fresh + escape).astype(np.float32)
-            if depth:
-                base = len(cost)
-                cost = np.concatenate([cost, fresh])
-                where.update((int(x), base + i) for i, x in enumerate(ids))
-            else:
-                cost = fresh
-        self.cost = np.ascontiguousarray(cost.transpose(0, 2, 1)).reshape(-1, k)  # (row * a + symbol, language)
-        # Row of the longest known suffix of any three symbols.
-        one = np.array([where.get(x + 1, 0) for x in range(a)])
-        two = np.empty(a * a, np.int64)
-        for y in range(a):
-            for x in range(a):
-                two[y * a + x] = where.get(x + 1 + (y + 1) * (a + 1), one[x])
-        self.context = np.tile(two, a).astype(np.int32)
-        for ctx, row in where.items():
-            x, r = ctx % (a + 1), ctx // (a + 1)
-            y, z = r % (a + 1), r // (a + 1)
-            if z:
-                self.context[((z - 1) * a + y - 1) * a + x - 1] = row
+                escape = np.where(size > 0, np.log2((size + kinds) / kinds), 0.0)
+                of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+                below = UNSEEN if order == 0 else shorter[1][np.searchsorted(shorter[0], keys & ((1 << 8 * order) - 1))]
+                cost = np.where(cell > 0, np.log2((size + kinds)[of] / cell), escape[of] + below)
+            shorter = keys, cost
+            self.orders.append((keys.astype(np.uint32), cost.astype(np.float32), (keys[first] >> 8).astype(np.uint32), escape.astype(np.float32)))
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """Code length in bits of the last byte of each gram under each language."""
+        out = np.zeros((len(grams), len(self.labels)), np.float32)
+        left = np.arange(len(grams))
+        for order in range(ORDER, -1, -1):
+            keys, cost, contexts, escape = self.orders[order]
+            g = grams[left] & np.uint32((1 << 8 * (order + 1)) - 1)
+            at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+            known = keys[at] == g
+            if order == ORDER and known.all():
+                return cost[at]
+            out[left[known]] += cost[at[known]]
+            left, context = left[~known], g[~known] >> np.uint32(8)
+            at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+            out[left] += np.where((contexts[at] == context)[:, None], escape[at], np.float32(0))
+        out[left] += np.float32(UNSEEN)
+        return out
 
     def lengths(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Code length in bits of each row under each language."""
+        """Code length in bits of each row under each language; long rows go piece by piece."""
         out = np.zeros((len(offsets) - 1, len(self.labels)))
-        for i, j in row_chunks(offsets, 1 << 19):
-            lo, hi = offsets[i], offsets[j]
-            part, off = self.symbol[buf[lo:hi]], offsets[i:j + 1] - lo
-            zero, a, at = self.symbol[0], self.a, np.arange(hi - lo) - np.repeat(off[:-1], np.diff(off))
-            prev = []
-            for back in (1, 2, 3):
-                p = np.full(len(part), zero)
-                p[back:] = part[:-back]
-                p[at < back] = zero
-                prev.append(p)
-            row = self.context[(prev[2] * a + prev[1]) * a + prev[0]]
-            bits = self.cost[row * a + part]
-            full = np.diff(off) > 0
-            if full.any():
-                out[i:j][full] = np.add.reduceat(bits, off[:-1][full], axis=0, dtype=np.float64)
+        for i, j in row_chunks(offsets, CHUNK_BYTES):
+            off = offsets[i:j + 1] - offsets[i]
+            grams = _grams(buf[offsets[i]:offsets[j]], off)
+            for lo in range(0, len(grams), 2 * CHUNK_BYTES):
+                bits = self.costs(grams[lo:lo + 2 * CHUNK_BYTES])
+                cut = np.clip(off - lo, 0, len(bits))
+                full = np.diff(cut) > 0
+                out[i:j][full] += np.add.reduceat(bits, cut[:-1][full], axis=0, dtype=np.float64)
         return out
 
 
-def train(rows: DataFrame, per_label: int = TRAIN_DOCS_PER_LANG) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def sample_ids(rows: DataFrame, per_label: int, per_label_bytes: int) -> DataFrame:
+    """(doc_id, label) of the sample that ``train`` describes.
+
+    Counts by label and cell of the hash say up to which cell a label's rows
+    can be wanted, so that only those few are ranked and no task sorts a label.
+    """
+    at = F.xxhash64("doc_id", F.lit(3))
+    rows = rows.select("doc_id", "label", F.octet_length("text").cast("long").alias("size"), at.alias("at"),
+                       F.shiftright(at, 64 - HASH_CELLS).cast("int").alias("cell"))
+    before = Window.partitionBy("label").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = (rows.groupBy("label", "cell").agg(F.countDistinct("doc_id").alias("n"))
+             .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    last = cells.where(F.col("before") < per_label).groupBy("label").agg(F.max("cell").alias("last"))
+    near = rows.join(last, "label").where("cell <= last").groupBy("label", "doc_id", "at").agg(F.max("size").alias("size"))
+    w = Window.partitionBy("label").orderBy("at", "doc_id")
+    near = near.withColumn("n", F.row_number().over(w)).withColumn("bytes", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return near.where((F.col("n") <= per_label) & ((F.col("bytes") <= per_label_bytes) | (F.col("n") == 1))).select("doc_id", "label")
+
+
+def train(rows: DataFrame, per_label: int = TRAIN_DOCS_PER_LANG,
+          per_label_bytes: int = TRAIN_BYTES_PER_LANG) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """(doc_id, label, text) -> labels and counts of the grams of a bounded sample.
 
-    The sample is, for each label, the whole texts of the ``per_label`` rows of
-    least hash of doc_id; the counts the driver gets are bounded by it. Rows
-    with a null in any of the three columns are left out.
+    The sample is, for each label, the whole texts of the ``per_label`` doc_ids
+    of least hash, as far as they hold ``per_label_bytes`` bytes (the first
+    always counts); the counts the driver gets are bounded by it. Rows with a
+    null in any of the three columns are left out; rows that repeat a sampled
+    doc_id and label all teach. An empty table teaches nothing.
     """
     rows = rows.where("doc_id is not null and label is not null and text is not null")
-    w = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
-    ids = written(rows.select("doc_id", "label").distinct().withColumn("__n", F.row_number().over(w))
-                  .where(F.col("__n") <= per_label).select("doc_id", "label"), "sample")
+    ids = written(sample_ids(rows, per_label, per_label_bytes), "sample")
     if ids.count() <= BROADCAST_ROWS:  # per_label rows for each of a few labels: the texts then stay where they are
         ids = F.broadcast(ids)
     got = gram_counts(rows.join(ids, ["doc_id", "label"], "left_semi")).toPandas()
@@ -198,7 +196,8 @@ def identify(docs: DataFrame, per_label: int = TRAIN_DOCS_PER_LANG) -> DataFrame
     """documents -> (doc_id, held_out, lang_pred, score), one row per input row.
 
     held_out: crc32 of doc_id as text leaves 2 modulo 4; such rows and rows of
-    null doc_id, lang or text teach nothing. A null doc_id is not held out.
+    null doc_id, lang or text teach nothing. A null doc_id is not held out. An
+    empty table gives an empty result; other columns than the three are not read.
     """
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     docs = docs.select("doc_id", "text", F.col("lang").alias("label"), F.coalesce(part == 2, F.lit(False)).alias("held_out"))

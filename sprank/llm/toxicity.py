@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sprank.llm.common import (NON_WORD, _GRAM, flat_utf8, lower_ascii, mix, prefix_hash, row_chunks, span_hash,
@@ -20,6 +20,7 @@ from sprank.llm.common import (NON_WORD, _GRAM, flat_utf8, lower_ascii, mix, pre
 
 DIM_BITS = 22
 TRAIN_ROWS = 16_000  # bound of the labelled sample, least hash of doc_id first
+HASH_CELLS = 16      # bits of that hash by which the sample is cut before it is sorted
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.1
 
@@ -64,6 +65,21 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = DIM_BITS, epoch
     return hit, w[hit], float(w[-1])
 
 
+def sample_ids(rows: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id of the ``limit`` rows of least hash.
+
+    Counts by cell of the hash say up to which cell rows can be wanted, so that
+    about ``limit`` rows are sorted, not ``limit`` of every partition.
+    """
+    at = F.xxhash64("doc_id", F.lit(5))
+    cell = F.shiftright(at, 64 - HASH_CELLS).cast("int")
+    w = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # 2^HASH_CELLS rows at most
+    cells = rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    last = cells.where(F.col("before") < limit).agg(F.max("cell")).first()[0]
+    return (rows.where(cell <= F.lit(last)).select(at.alias("at"), "doc_id", "label")
+            .orderBy("at", "doc_id").limit(limit).select("doc_id"))
+
+
 def train(rows: DataFrame, limit: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """(doc_id, text, label) -> weights, from a bounded sample of at most ``limit`` labelled rows.
 
@@ -86,7 +102,7 @@ def train(rows: DataFrame, limit: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndar
         return pd.DataFrame({"f": np.append(f, -1), "w": np.append(w, bias)})
 
     at = F.xxhash64("doc_id", F.lit(5))
-    ids = rows.select(at.alias("at"), "doc_id", "label").orderBy("at", "doc_id").limit(limit).select("doc_id")
+    ids = sample_ids(rows, limit)
     chosen = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select(at.alias("at"), "text", "label")
     model = (chosen.mapInArrow(extract, "at long, label int, f binary").groupBy(F.lit(0).alias("one"))
              .applyInPandas(learn, "f long, w double").toPandas())
@@ -132,7 +148,10 @@ def learn_labels(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) ->
 def classify(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
     """documents -> (doc_id, held_out, score, predicted), one row per input row.
 
-    Null and empty texts are scored by the bias alone. A null doc_id is not held out.
+    Null and empty texts are scored by the bias alone. A null doc_id is not held
+    out. Rows that repeat a labelled doc_id each teach, and count towards
+    ``limit``. An empty table gives an empty result; without labels every score
+    is 0. Columns other than doc_id and text are not read.
     """
     model = learn_labels(docs, labels, limit)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))

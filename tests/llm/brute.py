@@ -84,3 +84,51 @@ def tempered(weights, place, power):
         total[key[place]] += x
     p = {v: x ** power for v, x in total.items()}
     return {v: x / math.fsum(p.values()) for v, x in p.items()}
+
+
+def code_lengths(taught, texts, order=3):
+    """Bits of each text under each label, by walking down from the longest context, a byte at a time."""
+    trees = {}
+    for label, text in taught:
+        b = bytes(order) + text.encode()
+        for i in range(order, len(b)):
+            for n in range(order + 1):
+                trees.setdefault(label, defaultdict(Counter))[b[i - n:i]][b[i]] += 1
+    out = []
+    for text in texts:
+        b, bits = bytes(order) + text.encode(), {}
+        for label in sorted(trees):
+            tree, total = trees[label], 0.0
+            for i in range(order, len(b)):
+                for n in range(order, -2, -1):
+                    if n < 0:
+                        total += 8
+                        break
+                    seen = tree.get(b[i - n:i])
+                    if seen:
+                        size, kinds = sum(seen.values()), len(seen)
+                        total -= math.log2((seen[b[i]] or kinds) / (size + kinds))
+                        if seen[b[i]]:
+                            break
+            bits[label] = total
+        out.append(bits)
+    return out
+
+
+def ftrl(rows, labels, epochs, alpha, beta, l1, l2):
+    """rows: sets of feature names. (weights, bias) of FTRL-proximal, coordinate by coordinate."""
+    z, n = Counter(), Counter()
+
+    def weight(x):
+        limit = 0 if x is None else l1
+        if abs(z[x]) <= limit:
+            return 0.0
+        return -(z[x] - math.copysign(limit, z[x])) / ((beta + math.sqrt(n[x])) / alpha + l2)
+    for _ in range(epochs):
+        for f, y in zip(rows, labels):
+            w = {x: weight(x) for x in [*f, None]}
+            g = 1 / (1 + math.exp(-max(-35, min(35, math.fsum(w.values()))))) - y
+            for x, old in w.items():
+                z[x] += g - (math.sqrt(n[x] + g * g) - math.sqrt(n[x])) / alpha * old
+                n[x] += g * g
+    return {x: weight(x) for x in z if x is not None and weight(x)}, weight(None)

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF001
 from pyspark.sql import functions as F
 from tests_llm_tokens import ids_of
 
 import corpus_pipeline
-from sprank.llm import linededup, minhash, mixing, packing, queries, simhash, topk, toxicity, warc
+from sprank.llm import langid, linededup, minhash, mixing, packing, queries, simhash, topk, toxicity, warc
+from sprank.llm.common import flat_utf8
 from sprank.llm.components import connected_components
 
 Q = queries.queries()
@@ -159,6 +162,72 @@ def test_toxicity_held_out(spark):
     assert hit[0, 0] / (hit[0, 0] + hit[0, 1]) > 0.99
 
 
+def test_language_models_equal_a_plain_walk(monkeypatch):
+    rng = np.random.default_rng(1)
+    scripts = ["abc de", "наш мир", "日本語 です", "مرحبا ب", "\x00\x7fßéñ"]
+    draw = lambda k, n: "".join(rng.choice(list(scripts[k] + "ab "), n))
+    taught = [(str(k), draw(k, 40)) for k in range(5) for _ in range(4)] + [("5", "".join(map(chr, range(1, 2500))))]
+    assert len(set("".join(t for _, t in taught).encode())) > 127
+    texts = [draw(k, int(rng.integers(0, 60))) for k in range(5) for _ in range(5)] + ["", "a", "zq", "\u07ff\U0001f600"]
+    labels = sorted({x for x, _ in taught})
+    which = np.concatenate([np.full(len(t.encode()), labels.index(x)) for x, t in taught])
+    grams = np.concatenate([langid._grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for _, t in taught]).astype(np.int64)
+    model, want = langid.Model(labels, which, grams, np.ones(len(grams))), brute.code_lengths(taught, texts)
+    for size in (1 << 18, 7):  # whole texts at once, and in pieces
+        monkeypatch.setattr(langid, "CHUNK_BYTES", size)
+        got = model.lengths(*flat_utf8(pa.array(texts)))
+        assert [[got[i][j] for j in range(len(labels))] for i in range(len(texts))] == [
+            pytest.approx([want[i][x] for x in labels], abs=1e-3) for i in range(len(texts))]
+
+
+def test_language_query_equals_a_plain_walk(spark):
+    rows = [(i, " ".join(f"{a}{(i * 7 + k) % 11}" for k in range(6)) + (" я" if i % 5 == 0 else ""), a)
+            for i in range(60) for a in ["ab", "ba", "cé"][i % 3:i % 3 + 1]]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    taught = [(a, t) for i, t, a in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    for (i, _, _), bits in zip(rows, brute.code_lengths(taught, [t for _, t, _ in rows])):
+        best = min(sorted(bits), key=bits.get)
+        assert got[i].lang_pred == best
+        assert got[i].score == pytest.approx(1 / sum(2 ** (bits[best] - b) for b in bits.values()), abs=1e-4)
+
+
+@pytest.mark.parametrize("cells", [4, 16])
+def test_samples_are_the_least_hashes(spark, monkeypatch, cells):
+    monkeypatch.setattr(langid, "HASH_CELLS", cells)
+    monkeypatch.setattr(toxicity, "HASH_CELLS", cells)
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("label"), F.lit("four").alias("text"))
+    rows = rows.unionByName(rows.where("doc_id < 900").limit(300))
+    at = {s: {r.doc_id: r.h for r in rows.select("doc_id", F.xxhash64("doc_id", F.lit(s)).alias("h")).collect()} for s in (3, 5)}
+    least = lambda ids, s, n: sorted(ids, key=lambda i: (at[s][i], i))[:n]
+    want = {(i, x) for x, rest in (("a", {0}), ("b", {1, 2})) for i in least([i for i in range(4000) if i % 3 in rest], 3, 70)}
+    assert {tuple(r) for r in langid.sample_ids(rows, 70, 1000).collect()} == want
+    assert langid.sample_ids(rows, 70, 41).groupBy("label").count().collect() == langid.sample_ids(rows, 10, 1000).groupBy("label").count().collect()
+    assert langid.sample_ids(rows, 70, 1).count() == 2
+    once = rows.distinct().withColumn("label", F.lit(1))
+    assert sorted(r.doc_id for r in toxicity.sample_ids(once, 70).collect()) == sorted(least(range(4000), 5, 70))
+
+
+def test_toxicity_equals_plain_ftrl(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(12)] + ["Ärger", "x1"]
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(0, 14)))) + (" bad thing" if i % 3 == 0 else "")) for i in range(400)]
+    labels = [(i, int(i % 3 == 0)) for i in range(400)]
+    model = toxicity.learn_labels(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.s for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model, ["doc_id"], "s").collect()}
+    at = {r.doc_id: r.h for r in spark.range(400).select(F.col("id").alias("doc_id"), F.xxhash64("id", F.lit(5)).alias("h")).collect()}
+
+    def grams(text):
+        w = re.findall("[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in text))
+        return {(x,) for x in w} | {(1, *p) for p in zip(w, w[1:])} | {(2, *p) for p in zip(w, w[2:])}
+    learned = sorted((i for i, _ in rows if zlib.crc32(str(i).encode()) % 5), key=at.get)
+    weights, bias = brute.ftrl([grams(rows[i][1]) for i in learned], [labels[i][1] for i in learned],
+                               toxicity.EPOCHS, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2)
+    for i, text in rows:
+        p = 1 / (1 + np.exp(-(bias + sum(weights.get(g, 0) for g in grams(text)))))
+        assert got[i] == pytest.approx(p, abs=1e-4)
+    assert len(weights) == len(model[0])
+
+
 def test_ftrl_leaves_noise_at_zero():
     rng = np.random.default_rng(0)
     y = (rng.random(600) < 0.3).astype(float)
