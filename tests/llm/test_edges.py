@@ -118,6 +118,8 @@ def test_topk_edges(spark):
     a, b = 256 * 256 + 128 * 128, -256 * 256 + 128 * 64
     assert got == [(0, 1, 1, a), (0, 2, 2, a), (0, 3, 7, 0), (0, 4, 50, b), (50, 1, 7, 0), (50, 2, 0, b), (50, 3, 0, b), (50, 4, 1, b), (50, 5, 2, b), (100, 1, 8, 65536)]
     assert topk.nearest(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(0, [1.0]), (0, [-1.0]), (0, [0.5]), (1, [2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.nearest(twice.repartition(4)).collect()] == [(0, 1, 1, -256 * 512)]  # the least vector asks
 
 
 def test_warc_edges(spark):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import brute
 import duckdb
@@ -24,6 +26,16 @@ from sprank.llm.components import connected_components
 Q = queries.queries()
 
 
+def plain_top(rows, every=50, k=5):
+    """Rows of distinct ids -> exact top-k in Python's integers."""
+    exact = {i: [int(Fraction(x) * 256 // 1) for x in v] for i, v in rows if v is not None and all(map(math.isfinite, v))}
+    out = []
+    for q in sorted(i for i in exact if i % every == 0):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], v)), i) for i, v in exact.items() if i != q and len(v) == len(exact[q]))[:k]
+        out += [(q, n + 1, i, max(-2 ** 63, min(2 ** 63 - 1, -s))) for n, (s, i) in enumerate(best)]
+    return out
+
+
 @pytest.fixture(scope="module")
 def texts(spark):
     rows = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
@@ -244,6 +256,28 @@ def test_topk(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in Q["op5_topk"](spark, SF001).collect()) == want
 
 
+def test_topk_of_components_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=3) * 10.0 ** int(rng.choice([0, 2, 7, 8, 12, 17, 25, 300]))).tolist()) for i in range(240)]
+    rows += [(300, [1e7, 1.0, 0.0]), (301, [-1.7976931348623157e308, 5e-324, -0.001]), (302, [2.0 ** 45, -2.0 ** 45, 0.5]), (303, [8388608.0, -8388608.0, 0.0]),
+             (304, [float("inf"), 0.0, 0.0]), (350, [0.0, 0.0, 0.0]), (400, [2.0 ** 22, 2.0 ** 53, -2.0 ** 53]), (450, [0.25, -0.5, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in topk.nearest(df).collect())
+    assert got == plain_top(rows)
+    assert any(abs(r[3]) > 2 ** 62 for r in got) and any(abs(r[3]) < 2 ** 40 for r in got)
+
+
+def test_order_keys_sort_as_integers():
+    v = sorted({s * (1 << e) + d for s in (-1, 1) for e in (0, 7, 8, 15, 16, 63, 64, 300, 2100) for d in (-1, 0, 1)})
+    assert sorted(v, key=topk.order_key) == v
+
+
+def test_query_groups_copy_the_index_rarely():
+    assert topk.query_groups(1000, 1, 16) == 8         # small index: enough tasks
+    assert topk.query_groups(10 ** 6, 800, 400) == 245  # large one: a copy per 4,096 queries
+    assert topk.query_groups(0, 1, 16) == 1
+
+
 def test_bit_sliced_scores_are_exact():
     rng = np.random.default_rng(4)
     x = np.sort(rng.integers(-900, 900, (333, 7)), axis=0)
