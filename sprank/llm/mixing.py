@@ -9,6 +9,8 @@ kept tokens meet the targets in expectation. DataFrame functions only.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +43,34 @@ def tempered(cells: DataFrame, attribute: str, power: float = TEMPER) -> DataFra
     return shares.select(attribute, (F.col("p") / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def residuals(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """Fitted cells -> (attribute, value, target, share, gap): every target against what the cells weigh.
+
+    gap is the difference relative to the target. A value that no cell has gets
+    share 0 and gap 1; a target of 0 counts its share as gap.
+    """
+    out = None
+    for a, goal in targets.items():
+        sums = cells.groupBy(a).agg(F.sum("w").alias("share"))
+        share, target = F.coalesce("share", F.lit(0.0)), F.col("target")
+        one = goal.join(sums, a, "left").select(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value"), "target", share.alias("share"),
+                                                F.when(target == 0, share).otherwise(F.abs(share / target - 1)).alias("gap"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+class Unmet(ValueError):
+    """Targets that raking did not reach."""
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE, strict: bool = False) -> DataFrame:
     """cells (attributes, w0 > 0) -> the same with w, fitted to ``targets`` (attribute value, target).
 
     Stops when every marginal is within ``tolerance`` of its target, relatively,
-    or after ``rounds`` rounds: targets that the cells cannot meet (a value
-    whose cells are empty) leave it as near as raking gets. Values without a
-    target keep their weight.
+    or after ``rounds`` rounds. Targets that the cells cannot meet (a value that
+    no cell has, marginals that contradict each other) leave it as near as
+    raking gets: a warning, or Unmet if ``strict``, then names the worst value,
+    and ``residuals`` lists all. Values without a target keep their weight.
     """
     now = written(cells.withColumn("w", F.col("w0")), "cells")
     names = list(targets)
@@ -59,15 +82,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
             factor = sums.select(a, (F.col("target") / F.col("__s")).alias("__f"))
             step = step.join(factor, a, "left").withColumn("w", F.col("w") * F.coalesce("__f", F.lit(1.0))).drop("__f")
         now = written(step, "cells")
-        gaps = [now.groupBy(a).agg(F.sum("w").alias("__s")).join(goal[a], a).select(F.abs(F.col("__s") / F.col("target") - 1).alias("gap")) for a in names[:-1]]
-        worst = 0.0
-        if gaps:
-            every = gaps[0]
-            for g in gaps[1:]:
-                every = every.unionByName(g)
-            worst = every.agg(F.max("gap")).first()[0] or 0.0
-        if worst <= tolerance:
-            break
+        worst = residuals(now, goal).agg(F.max(F.struct("gap", "attribute", "value", "target", "share")).alias("r")).first()["r"] if goal else None
+        if worst is None or worst["gap"] <= tolerance:
+            return now
+    text = f"raking left {worst['attribute']} {worst['value']!r} at {worst['share']:.6g} against a target of {worst['target']:.6g} after {rounds} rounds"
+    if strict:
+        raise Unmet(text)
+    warnings.warn(text, RuntimeWarning, stacklevel=2)
     return now
 
 
@@ -84,19 +105,20 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, strict: bool = False) -> DataFrame:
     """documents -> (doc_id, tokens, topic, probability, kept), one row per input row.
 
     Without ``targets`` each attribute's target is its tempered token shares.
     Null attributes are a value of their own; documents without tokens (null or
     empty texts) weigh nothing and are kept with probability 1; repeated rows
-    of a doc_id share their fate. An empty table gives an empty result.
+    of a doc_id share their fate. An empty table gives an empty result. Targets
+    that are not reached give a warning, or Unmet if ``strict`` (see ``rake``).
     """
     rows = written(_marked(docs), "marked")
     w = rows.where("tokens > 0").groupBy(*ATTRIBUTES).agg(F.sum("tokens").cast("double").alias("n"))
     total = rows.agg(F.sum("tokens")).first()[0] or 1
     cells = written(w.select(*ATTRIBUTES, (F.col("n") / F.lit(float(total))).alias("w0")), "shares")
-    fitted = rake(cells, targets or {a: tempered(cells, a) for a in ATTRIBUTES})
+    fitted = rake(cells, targets or {a: tempered(cells, a) for a in ATTRIBUTES}, strict=strict)
     most = fitted.agg(F.max(F.col("w") / F.col("w0"))).first()[0] or 1.0
     factor = fitted.select(*ATTRIBUTES, (F.col("w") / F.col("w0") / F.lit(most)).alias("p"))
     out = rows.join(factor, list(ATTRIBUTES), "left")

@@ -110,6 +110,24 @@ def test_mixing_probabilities(docs):
     assert all(r.probability == 1 and r.kept for r in got if r.doc_id in (2, 3, 4))
 
 
+def test_mixing_tells_of_unmet_targets(spark):
+    cells = spark.createDataFrame([("a", "x", 0.5), ("b", "y", 0.5)], "source string, lang string, w0 double")
+    source = spark.createDataFrame([("a", 0.9), ("b", 0.1)], "source string, target double")
+    lang = spark.createDataFrame([("x", 0.5), ("y", 0.5)], "lang string, target double")
+    with pytest.warns(RuntimeWarning, match="raking left source 'b' at 0.5 against a target of 0.1"):
+        fitted = mixing.rake(cells, {"source": source, "lang": lang}, rounds=3)
+    gaps = {(r.attribute, r.value): r.gap for r in mixing.residuals(fitted, {"source": source, "lang": lang}).collect()}
+    assert gaps["source", "b"] == pytest.approx(4) and gaps["lang", "x"] == pytest.approx(0)
+    with pytest.raises(mixing.Unmet):
+        mixing.rake(cells, {"source": source, "lang": lang}, rounds=3, strict=True)
+    more = source.unionByName(spark.createDataFrame([("none", 0.2)], source.schema))
+    with pytest.raises(mixing.Unmet, match="'none' at 0 "):
+        mixing.rake(cells, {"source": more}, rounds=2, strict=True)
+    met = mixing.rake(cells, {"source": source}, strict=True).collect()
+    assert {r.source: r.w for r in met} == pytest.approx({"a": 0.9, "b": 0.1})
+    assert mixing.rake(cells.limit(0), {"source": source.limit(0)}, strict=True).count() == 0
+
+
 def test_topk_edges(spark):
     rows = [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]),
             (50, [-1.0, 0.25]), (7, [0.0, 0.0]), (None, [1.0, 1.0]), (100, [1.0]), (8, [1.0])]
