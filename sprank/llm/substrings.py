@@ -1,22 +1,23 @@
-"""Removal of repeated byte windows by a depth-limited radix sort of suffixes.
+"""Removal of repeated byte windows, a stand-in for a depth-limited radix sort of suffixes.
 
 Only the first WINDOW bytes of suffixes count, and equal groups at that depth
-are exactly the repeated windows. The sort goes digit by digit, and a suffix
-leaves it as soon as its group holds no other document:
-
-* The most significant digit of a suffix is the GRAM bytes of least hash in its
-  window (the same in equal windows, wherever they stand). Neighbouring
-  suffixes share that digit, so the first pass moves one record per run of
-  suffixes, about a fourteenth of the positions, with a second digit: the whole
-  stretch of text that the run covers. A run equal to one of an earlier document
-  in both digits is settled; a run alone in its first digit is, too.
-* Runs that share the first digit only (at the edges of repeats) go to the last
-  pass, suffix by suffix, with the rest of the window as digit.
-
-Digits travel as hashes: 32 bits of the first besides the bucket that it picks,
-64 bits of the stretch (a run is settled on all of them), 64 bits of the whole
-window in the last. Answers return to the
-group of documents that asked, a byte per run and a bit per suffix.
+are exactly the repeated windows. Sorting every suffix digit by digit would send
+every position of every text through several shuffles; here no suffix is
+ordered. Windows are grouped by hashes instead, and most leave in runs:
+
+* The key of a window is the GRAM bytes of least hash in it (the same in equal
+  windows, wherever they stand). Neighbouring windows share it, so the first
+  pass moves one record per run of windows, about a fourteenth of the positions,
+  with a hash of the whole stretch of text that the run covers. A run equal to
+  one of an earlier document in key and stretch is settled; a run alone in its
+  key is, too.
+* Runs that share the key only (at the edges of repeats) go to the last pass,
+  window by window, by a hash of the whole window.
+
+Hashes: 32 bits of the key besides the bucket that it picks, 64 bits of the
+stretch (a run is settled on all of them), 64 bits of the whole window in the
+last pass. Answers return to the group of documents that asked, a byte per run
+and a bit per window.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from sprank.llm.common import flat_utf8, mix, prefix_hash, row_chunks, span_hash
 WINDOW, GRAM = 50, 24
 GROUP_BYTES = 4 << 20    # text of the documents that travel together, about
 BUCKET_BYTES = 16 << 20  # text whose runs meet in one bucket, about
+PIECE = 1 << 21          # windows of a long text that are looked at together
 _AT = np.uint64((1 << 28) - 1)
 
 
@@ -45,12 +47,10 @@ class Runs:
         none = np.zeros(0, np.int64)
         self.first = self.last = self.row = none
         self.digit, self.stretch = none.view(np.uint64), none.view(np.uint64)
-        self.hashes = s = prefix_hash(buf)
         n = len(buf) - window + 1
         if n <= 0:
             return
-        if len(buf) > int(_AT):
-            raise ValueError("texts are limited to 2^28 bytes")
+        s = prefix_hash(buf)
         at = np.arange(len(buf) - gram + 1)
         h = span_hash(s, at, at + gram)
         least = (h & ~_AT) | at.astype(np.uint64)
@@ -83,12 +83,24 @@ def _group(table: pa.Table):
 
 
 def _chunks(group, window: int, gram: int) -> list[tuple]:
-    """(first row, end row, bytes, offsets, runs) of the chunks of a group."""
+    """(first row, end row, first byte of the row, bytes, offsets, runs) of the chunks of a group.
+
+    A text of more than PIECE bytes is a chunk for every PIECE of its windows;
+    its pieces overlap by all but one byte of a window, so each window lies in
+    one of them.
+    """
     ids, known, buf, off = group
     out = []
     for i, j in row_chunks(off, 1 << 19):
-        part, po = buf[off[i]:off[j]], off[i:j + 1] - off[i]
-        out.append((i, j, part, po, Runs(part, po, known[i:j], window, gram)))
+        size = int(off[j] - off[i])
+        if j > i + 1 or size <= PIECE:
+            part, po = buf[off[i]:off[j]], off[i:j + 1] - off[i]
+            out.append((i, j, 0, part, po, Runs(part, po, known[i:j], window, gram)))
+            continue
+        for at in range(0, size - window + 1, PIECE):
+            part = buf[off[i] + at:off[i] + min(size, at + PIECE + window - 1)]
+            po = np.array([0, len(part)])
+            out.append((i, j, at, part, po, Runs(part, po, known[i:j], window, gram)))
     return out
 
 
@@ -188,6 +200,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     document of smaller doc_id, judged on the input. Null texts count as empty;
     texts shorter than the window stay. Rows of a null doc_id stay whole and
     remove nothing. Rows that repeat a doc_id don't remove each other's bytes.
+    Long texts go piece by piece, with the same result. An empty table gives an
+    empty result; columns other than doc_id and text are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -197,7 +211,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     def ask(table: pa.Table) -> pa.Table:
         group = _group(table)
         first, stretch, who, bucket = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for i, _, _, _, r in _chunks(group, window, gram):
+        for i, *_, r in _chunks(group, window, gram):
             first.append(r.digit.astype(np.uint32))
             stretch.append(r.stretch)
             who.append(group[0][i + r.row])
@@ -208,13 +222,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         """For each chunk: its place, runs, codes, and the windows of the open runs with their buckets."""
         chunks, out, at = _chunks(group, window, gram), [], 0
         codes = _codes(answers, 1, np.concatenate([np.zeros(0, np.uint64), *(_bucket(c[-1].digit, buckets) for c in chunks)]))
-        for i, j, part, po, r in chunks:
+        for i, j, begin, part, po, r in chunks:
             mine = codes[at:at + len(r.first)]
             at += len(r.first)
             o = np.flatnonzero(mine == OPEN)
             count = r.last[o] - r.first[o] + 1
             start = _each(r.first[o], count)
-            out.append((i, j, part, po, r, mine, start, np.repeat(_bucket(r.digit[o], buckets), count), np.repeat(r.row[o], count)))
+            out.append((i, j, begin, part, po, r, mine, start, np.repeat(_bucket(r.digit[o], buckets), count), np.repeat(r.row[o], count)))
         return out
 
     def ask_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -222,8 +236,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             return _send(0, 2, np.zeros(0, np.int64), buckets, [np.zeros(0, np.uint64)], np.zeros(0, np.int64))
         group = _group(table)
         keys, who, bucket = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for i, _, _, _, r, _, start, b, row in opened(group, answers):
-            keys.append(span_hash(r.hashes, start, start + window))
+        for i, _, _, part, _, _, _, start, b, row in opened(group, answers):
+            if len(start):
+                keys.append(span_hash(prefix_hash(part), start, start + window))
             who.append(group[0][i + row])
             bucket.append(b)
         return _send(table["g"][0].as_py(), 2, np.concatenate(bucket), buckets, [np.concatenate(keys)], np.concatenate(who))
@@ -233,9 +248,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         if table.num_rows:
             group = _group(table)
             ids, known = group[0].tolist(), group[1].tolist()
+
+            def emit(k: int, text: np.ndarray, gone: np.ndarray, n: int, spans: int) -> None:
+                kept = text[~gone] if n else text
+                for col, v in zip(out, (ids[k] if known[k] else None, len(text), n, spans, hashlib.sha256(kept.tobytes()).hexdigest()), strict=True):
+                    col.append(v)
+
             chunks, at = opened(group, answers), 0
             last = _codes(answers, 2, np.concatenate([np.zeros(0, np.uint64), *(c[-2] for c in chunks)]))
-            for i, j, part, po, r, mine, start, _, _ in chunks:
+            for i, j, begin, part, po, r, mine, start, _, _ in chunks:
                 hit = start[last[at:at + len(start)] == 1]
                 at += len(start)
                 done = mine == SETTLED
@@ -243,17 +264,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 np.add.at(step, np.concatenate([r.first[done], hit]), 1)
                 np.add.at(step, np.concatenate([r.last[done], hit]) + window * np.ones(done.sum() + len(hit), np.int64), -1)
                 gone = np.cumsum(step[:-1]) > 0
+                if j == i + 1 and group[3][j] - group[3][i] > PIECE:  # a long text: its pieces are put together first
+                    text = group[2][group[3][i]:group[3][j]]
+                    whole = np.zeros(len(text), bool) if begin == 0 else whole
+                    whole[begin:begin + len(part)] |= gone
+                    if begin + len(part) == len(text):
+                        spans = int(whole[0]) + int(np.count_nonzero(whole[1:] & ~whole[:-1]))
+                        emit(i, text, whole, int(np.count_nonzero(whole)), spans)
+                    continue
                 begins = gone.copy()
                 begins[1:] &= ~gone[:-1]
                 begins[po[:-1][po[:-1] < len(part)]] |= gone[po[:-1][po[:-1] < len(part)]]
                 less, spans = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(begins)])
                 for k in range(j - i):
                     lo, hi = po[k], po[k + 1]
-                    text = part[lo:hi]
-                    n = int(less[hi] - less[lo])
-                    kept = text[~gone[lo:hi]] if n else text
-                    for col, v in zip(out, (ids[i + k] if known[i + k] else None, int(hi - lo), n, int(spans[hi] - spans[lo]), hashlib.sha256(kept.tobytes()).hexdigest()), strict=True):
-                        col.append(v)
+                    emit(i + k, part[lo:hi], gone[lo:hi], int(less[hi] - less[lo]), int(spans[hi] - spans[lo]))
         return pa.table({"doc_id": pa.array(out[0], pa.int64()), "n_bytes": pa.array(out[1], pa.int64()), "n_removed": pa.array(out[2], pa.int64()),
                          "n_spans": pa.array(out[3], pa.int64()), "kept_sha256": pa.array(out[4], pa.string())})
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tests_llm_tokens import ids_of
 
 import corpus_pipeline
-from sprank.llm import langid, linededup, minhash, mixing, packing, queries, simhash, topk, toxicity, warc
+from sprank.llm import langid, linededup, minhash, mixing, packing, queries, simhash, substrings, topk, toxicity, warc
 from sprank.llm.common import flat_utf8
 from sprank.llm.components import connected_components
 
@@ -344,6 +344,25 @@ def test_substrings_at_edges(spark):
     assert got == {i: v[:3] for i, v in want.items()}
 
 
+def test_substrings_of_long_texts_in_pieces(spark):
+    rng = np.random.default_rng(9)
+    # Over two million windows a piece: repeats over the ends of pieces, found in a short and in a long text.
+    long = rng.integers(97, 123, 5 << 20).astype(np.uint8).tobytes()
+    cut = substrings.PIECE
+    first = long[cut - 300:cut + 200] + b"|" + long[2 * cut + 10:2 * cut + 100] + b"|" + long[:70] + b"|" + long[-64:]
+    other = long[cut - 20:cut + 29] + b"#" + long[100:149]  # 49 bytes: too short
+    later = b"x" * 7 + long[cut - 100_000:2 * cut + 100_000] + b"y"
+    docs = [(1, first), (2, other), (3, long), (4, later)]
+    rows = spark.createDataFrame([(i, b.decode()) for i, b in docs], "doc_id long, text string")
+    got = {r.doc_id: r for r in substrings.remove_repeats(rows).collect()}
+    spans = sorted([(0, 70), (cut - 300, cut + 200), (2 * cut + 10, 2 * cut + 100), (len(long) - 64, len(long))])
+    kept = b"".join(long[a:b] for a, b in zip([0] + [e for _, e in spans], [s for s, _ in spans] + [len(long)]))
+    assert (got[3].n_bytes, got[3].n_removed, got[3].n_spans) == (len(long), sum(e - s for s, e in spans), 4)
+    assert got[3].kept_sha256 == hashlib.sha256(kept).hexdigest()
+    assert (got[4].n_removed, got[4].n_spans) == (len(later) - 8, 1) and got[4].kept_sha256 == hashlib.sha256(b"x" * 7 + b"y").hexdigest()
+    assert got[1].n_removed == got[2].n_removed == 0
+
+
 def test_substrings_of_half_equal_hashes(spark):
     """Stretches whose hashes share their lower 32 bits are different stretches."""
     same = "on a quiet hill above the river stands an old stone tower; below it"
