@@ -130,7 +130,9 @@ def sample_ids(rows: DataFrame, per_label: int, per_label_bytes: int) -> DataFra
     before = Window.partitionBy("label").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = (rows.groupBy("label", "cell").agg(F.countDistinct("doc_id").alias("n"))
              .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
-    last = cells.where(F.col("before") < per_label).groupBy("label").agg(F.max("cell").alias("last"))
+    last = written(cells.where(F.col("before") < per_label).groupBy("label").agg(F.max("cell").alias("last")), "last")
+    if last.count() <= BROADCAST_ROWS:  # a row per label; the rows of a common label then stay where they are
+        last = F.broadcast(last)
     near = rows.join(last, "label").where("cell <= last").groupBy("label", "doc_id", "at").agg(F.max("size").alias("size"))
     w = Window.partitionBy("label").orderBy("at", "doc_id")
     near = near.withColumn("n", F.row_number().over(w)).withColumn("bytes", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
