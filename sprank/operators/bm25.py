@@ -11,8 +11,10 @@ Scoring joins the query terms (broadcast in blocks of checked size) to the
 postings, so no posting list is ever shuffled by term: a term present in
 every document is just a long scan, not a hot shuffle key. Because the
 postings are partitioned by ``doc_id``, the per-(query, document) sum needs no
-exchange, and the top-k cut runs a partial per-partition limit before the only
-shuffle (by query id), which therefore moves partitions x queries x k rows.
+exchange. A top-k search joins each posting to its term once, whatever number
+of queries asks for it, adds up the scores of a block of documents in one
+array of bounded size and keeps the k best of each query, so the only shuffle
+(by query id) moves partitions x queries x k rows.
 
 Semantics follow the ``rank-bm25`` Okapi defaults: idf = ln(N-df+0.5) -
 ln(df+0.5); a negative idf is replaced by epsilon x (mean idf over all distinct
@@ -26,11 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sprank.functions.ranking import rank_topk
+from sprank.functions.ranking import RANK_DIGITS, rank_topk
 from sprank.functions.text import tokens
 
 # The public Okapi defaults of the rank-bm25 package.
@@ -44,6 +47,8 @@ MAX_BLOCK_BYTES = 64 << 20
 MAX_PRUNED_TERMS = 200
 # Documents of one slot when smallest unmatched ids are searched.
 SLOT_DOCS = 200_000
+# Scores, and shares that add up to them, of one block of documents in a search: 16 MB an array, about.
+MAX_CELLS = 2_000_000
 
 
 @dataclass
@@ -198,8 +203,7 @@ def _weighted_terms(index: BM25Index, qt: DataFrame) -> tuple[DataFrame, list[Da
     return wq.withColumn("avgdl", F.lit(float(index.stats["avgdl"]))), postings
 
 
-def _block_scores(index: BM25Index, qt: DataFrame) -> DataFrame:
-    wq, postings = _weighted_terms(index, qt)
+def _block_scores(index: BM25Index, wq: DataFrame, postings: list[DataFrame]) -> DataFrame:
     k1, b = index.k1, index.b
     tf = F.col("tf")
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
@@ -219,10 +223,119 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def bm25_scores(index: BM25Index, queries: DataFrame, qid_col: str = "qid",
                 query_col: str = "query") -> DataFrame:
     """(qid, doc_id, score) for every document matching at least one query term."""
-    return _union([_block_scores(index, qt) for qt in _query_blocks(queries, qid_col, query_col)])
+    return _union([_block_scores(index, *_weighted_terms(index, qt)) for qt in _query_blocks(queries, qid_col, query_col)])
 
 
-def _unmatched(index: BM25Index, qids: DataFrame, matched: DataFrame, k: int) -> DataFrame:
+class _Best:
+    """The k best (id, score) of every query so far; a NULL id comes before all others."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.limit = k, max(MAX_CELLS // 4, 4 * queries * k)
+        self.parts, self.held = [], 0
+
+    def add(self, ids: np.ndarray, known: np.ndarray, query: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((ids, known, query, score))
+        self.held += len(ids)
+        if self.held > self.limit:
+            self.cut()
+
+    def cut(self) -> None:
+        if not self.parts:
+            return
+        ids, known, query, score = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        place = np.unique(ids, return_inverse=True)[1]  # order of ids of any type
+        order = np.lexsort((place, known, -np.round(score, RANK_DIGITS), query))
+        q = query[order]
+        keep = order[np.arange(len(q)) - np.searchsorted(q, q) < self.k]
+        self.parts, self.held = [(ids[keep], known[keep], query[keep], score[keep])], len(keep)
+
+
+def _doc_blocks(cost: np.ndarray, queries: int):
+    """Ranges of documents whose scores, and whose shares (``cost`` of each document), stay within MAX_CELLS."""
+    rows = max(1, MAX_CELLS // max(queries, 1))
+    upto, i = np.cumsum(cost), 0
+    while i < len(cost):
+        j = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + MAX_CELLS, side="right"))
+        yield i, (i := min(max(j, i + 1), i + rows))
+
+
+def _shared_terms(wq: DataFrame):
+    """(for the tasks: first query of every term, their numbers and weights, their qids; (term, t) and (qid, q) as frames)."""
+    spark = wq.sparkSession
+    asked = wq.select("term", "qid", (F.col("qtf") * F.col("idf")).alias("weight")).toArrow()  # a block of checked size
+    term, qid = asked["term"].combine_chunks().dictionary_encode(), asked["qid"].combine_chunks().dictionary_encode(null_encoding="encode")
+    of = term.indices.to_numpy()
+    order = np.argsort(of, kind="stable")
+    first = np.searchsorted(of[order], np.arange(len(term.dictionary) + 1))
+    shared = spark.sparkContext.broadcast((first, qid.indices.to_numpy()[order], asked["weight"].to_numpy()[order], qid.dictionary))
+
+    def numbered(values, name, number):
+        at = pa.array(np.arange(len(values)), pa.int32())
+        return spark.createDataFrame(pa.table({name: values, number: at}), T.StructType([T.StructField(name, wq.schema[name].dataType), T.StructField(number, T.IntegerType())]))
+    return shared, numbered(term.dictionary, "term", "t"), numbered(qid.dictionary, "qid", "q")
+
+
+def _hits():
+    return F.collect_list(F.struct("t", "tf", "dl")).alias("hits")
+
+
+def _best_documents(docs: DataFrame, index: BM25Index, shared, qid_field: T.StructField, k: int) -> DataFrame:
+    """(qid, doc_id, score): of every partition the ``k`` best documents of each query among those that match it.
+
+    ``docs``: doc_id and hits, an array of (t, tf, dl), and where a document
+    counts for some queries only, ``asked``, their numbers.
+    """
+    schema = T.StructType([qid_field, docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    k1, b, avgdl = index.k1, index.b, float(index.stats["avgdl"])
+
+    def run(batches):
+        first, query, weight, qids = shared.value
+        best, n = _Best(len(qids), k), len(qids)
+        kind = None
+        for batch in batches:
+            ids, hits = batch.column(0), batch.column(1)
+            kind = ids.type
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            names = ids.fill_null(0 if pa.types.is_integer(kind) else "").to_numpy(zero_copy_only=False)
+            at = hits.offsets.to_numpy()
+            t, tf, dl = (x.to_numpy()[at[0]:at[-1]] for x in hits.values.flatten())
+            at = at - at[0]
+            worth = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+            times = first[t + 1] - first[t]
+            doc = np.repeat(np.arange(len(names)), np.diff(at))
+            only = batch.column(2) if batch.num_columns > 2 else None
+            for i, j in _doc_blocks(np.bincount(doc, times, len(names)).astype(np.int64), n):
+                s = slice(at[i], at[j])
+                p = np.repeat(np.arange(at[i], at[j]), times[s])  # the posting of every share
+                of = first[t[p]] + np.arange(len(p)) - np.repeat(np.cumsum(times[s]) - times[s], times[s])
+                cell = (doc[p] - i) * n + query[of]
+                score = np.bincount(cell, weight[of] * worth[p], (j - i) * n)
+                match = np.bincount(cell, minlength=(j - i) * n) > 0
+                if only is not None:
+                    cut = only.offsets.to_numpy()[i:j + 1]
+                    counts = np.zeros((j - i) * n, bool)
+                    counts[np.repeat(np.arange(j - i), np.diff(cut)) * n + only.values.to_numpy()[cut[0]:cut[-1]]] = True
+                    match &= counts
+                score[~match] = -np.inf
+                score = score.reshape(j - i, n)
+                r = np.round(score, RANK_DIGITS)
+                least = np.partition(r, j - i - k, axis=0)[j - i - k] if j - i > k else -np.inf
+                row, q = np.nonzero((r >= least) & (r > -np.inf))
+                best.add(names[i + row], known[i + row], q, score[row, q])
+        best.cut()
+        for ids, known, q, score in best.parts:
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), pa.array(ids, kind, mask=~known), pa.array(score, pa.float64())], schema.names)
+    return docs.mapInArrow(run, schema)
+
+
+def _block_best(index: BM25Index, wq: DataFrame, postings: list[DataFrame], k: int) -> DataFrame:
+    """(qid, doc_id, score): in every partition of the postings the ``k`` best documents of each query that match it."""
+    shared, terms, _ = _shared_terms(wq)
+    return _union([_best_documents(x.join(F.broadcast(terms), "term").groupBy("doc_id").agg(_hits()), index, shared, wq.schema["qid"], k)
+                   for x in postings])
+
+
+def _unmatched(index: BM25Index, qids: DataFrame, matched: DataFrame | None, k: int) -> DataFrame:
     """(qid, doc_id): among others the k smallest ids that a query does not match.
 
     With no negative idf every score is >= 0, so the members of a top-k list
@@ -262,7 +375,7 @@ def bm25_topk(index: BM25Index, queries: DataFrame, k: int, qid_col: str = "qid"
     Unmatched documents score 0 and are eligible, so a short list is padded
     with the smallest zero-score ids (this moves the minimum used later by
     min-max normalisation). Plan: the matched scores are summed inside the
-    doc_id partitions and cut to the top k per query with a partial limit
+    doc_id partitions and cut to the top k per query there (``_block_best``)
     before the only shuffle; the pad candidates then join that small list.
     Exact: a document of the final top k is either among the matched top k
     (positive, zero and negative matched scores keep their relative order) or
@@ -273,10 +386,11 @@ def bm25_topk(index: BM25Index, queries: DataFrame, k: int, qid_col: str = "qid"
     qids = queries.select(F.col(qid_col).alias("qid")).distinct()
     tops, matched = [], []
     for qt in _query_blocks(queries, qid_col, query_col):
-        scores = _block_scores(index, qt)
-        tops.append(rank_topk(scores, "qid", "score", "doc_id", k, "_r").drop("_r"))
-        matched.append(scores.select("qid", "doc_id"))
-    pad = _unmatched(index, qids, _union(matched), k).select(
+        weighted = _weighted_terms(index, qt)
+        tops.append(rank_topk(_block_best(index, *weighted, max(k, 1)), "qid", "score", "doc_id", k, "_r").drop("_r"))
+        if index.stats["eps"] < 0:
+            matched.append(_block_scores(index, *weighted).select("qid", "doc_id"))
+    pad = _unmatched(index, qids, _union(matched) if matched else None, k).select(
         "qid", "doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("m"))
     cand = _union(tops).withColumn("m", F.lit(True)).unionByName(pad)
     # a pad id that also matched keeps its matched score

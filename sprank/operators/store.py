@@ -6,7 +6,8 @@ by term. A search reads only the parts and row groups that can hold its terms,
 and the known hash partitioning by ``doc_id`` saves the exchange of the per
 (query, document) sum. The vocabulary (term, df) is stored beside it, and the
 corpus statistics with the layout in a small JSON file that is written last.
-The number of buckets and parts follows the size of the input.
+The number of buckets and parts follows the measured size of the texts, so what a
+task holds does not grow with the corpus.
 
 Every save goes to a folder of its own, so builders never overwrite each other
 and readers of an older state keep their files; the JSON file names the folder
@@ -28,7 +29,8 @@ from sprank.operators import bm25
 from sprank.operators.bm25 import BM25Index
 
 LAYOUT = 2                    # of the files; another layout is another index
-BYTES_PER_BUCKET = 64 << 20   # of input text, about
+BYTES_PER_BUCKET = 8 << 20    # of input text, about; a task builds, sorts and searches one bucket
+BYTES_PER_DOC = 512           # that a document counts beside its text, for its rows and scores
 BYTES_PER_PART = 1 << 30
 MAX_BUCKETS, MAX_PARTS = 100_000, 64
 
@@ -38,11 +40,17 @@ def _table_name(path: str) -> str:
 
 
 def layout_for(spark: SparkSession, size: int) -> tuple[int, int]:
-    """(doc_id buckets, term parts) for so many bytes of input; a bucket per core at least."""
+    """(doc_id buckets, term parts) for texts of so many bytes; a bucket per core at least."""
     buckets = max(spark.sparkContext.defaultParallelism, math.ceil(size / BYTES_PER_BUCKET))
     return min(buckets, MAX_BUCKETS), min(max(1, math.ceil(size / BYTES_PER_PART)), MAX_PARTS)
 
 
+def text_size(docs: DataFrame, text_col: str = "text") -> int:
+    """What the texts of ``docs`` count for ``layout_for``: measured, as files say little about texts that compress well."""
+    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + BYTES_PER_DOC
+    return docs.agg(F.sum(size)).first()[0] or 0
+
+
 def save_index(index: BM25Index, path: str, buckets: int | None = None, term_parts: int | None = None) -> None:
     save_postings(index.postings, path, buckets, term_parts, index.k1, index.b, index.epsilon)
 
@@ -142,14 +150,15 @@ def input_key(spark: SparkSession, path: str, **params) -> str:
 
 
 def build_or_load(spark: SparkSession, root: str, source_path: str, build, buckets: int | None = None,
-                  tag: str = "bm25") -> BM25Index:
+                  tag: str = "bm25", texts: DataFrame | None = None) -> BM25Index:
     """The index of ``source_path``: loaded from ``root`` when a complete one
     for the same input exists, else its postings are made by ``build(buckets)``
     and saved there (the metadata is written last and checked by its success
-    marker, so a partial save is never loaded)."""
+    marker, so a partial save is never loaded). The layout follows the size of
+    ``texts`` (column text), or of the input files."""
     key = input_key(spark, source_path, k1=bm25.K1, b=bm25.B, epsilon=bm25.EPSILON)
     loc = os.path.join(root, f"{tag}-{key}")
     if not exists(spark, os.path.join(loc, "meta", "_SUCCESS")):
-        auto, parts = layout_for(spark, input_size(spark, source_path)[0])
+        auto, parts = layout_for(spark, input_size(spark, source_path)[0] if texts is None else text_size(texts))
         save_postings(build(buckets or auto), loc, buckets or auto, parts)
     return load_index(spark, loc)

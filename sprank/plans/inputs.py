@@ -62,7 +62,17 @@ def bm25_index(spark, sf_dir) -> bm25.BM25Index:
     root = os.path.join(shared_dir(spark), "sprank-index")
     src = f"{sf_dir.rstrip('/')}/documents.parquet"
     return store.build_or_load(spark, root, src, lambda buckets: bm25.build_postings(
-        documents(spark, sf_dir), "doc_id", "text", num_partitions=buckets))
+        documents(spark, sf_dir), "doc_id", "text", num_partitions=buckets), texts=documents(spark, sf_dir))
+
+
+def new_chunk_index(spark, chunks: DataFrame, size: int) -> bm25.BM25Index:
+    """An index of ``chunks`` (chunk_id, chunk), whose texts have about ``size`` bytes, stored in a fresh folder."""
+    from sprank.operators import store
+    from sprank.session import scratch_path
+    path = scratch_path(spark, "chunk-index")
+    buckets, parts = store.layout_for(spark, size)
+    store.save_postings(bm25.build_postings(chunks.select("chunk_id", "chunk"), "chunk_id", "chunk", num_partitions=buckets), path, buckets, parts)
+    return store.load_index(spark, path)
 
 
 def new_bm25_index(spark, sf_dir, docs: DataFrame) -> tuple[bm25.BM25Index, str]:
@@ -70,7 +80,7 @@ def new_bm25_index(spark, sf_dir, docs: DataFrame) -> tuple[bm25.BM25Index, str]
     from sprank.operators import store
     from sprank.session import scratch_path
     path = scratch_path(spark, "index")
-    buckets, parts = store.layout_for(spark, store.input_size(spark, f"{sf_dir.rstrip('/')}/documents.parquet")[0])
+    buckets, parts = store.layout_for(spark, store.text_size(docs))
     store.save_postings(bm25.build_postings(docs, "doc_id", "text", num_partitions=buckets), path, buckets, parts)
     return store.load_index(spark, path), path
 
@@ -80,9 +90,10 @@ def new_segmented_index(spark, sf_dir, batches: list[DataFrame]):
     from sprank.operators import segments, store
     from sprank.session import scratch_path
     path = scratch_path(spark, "segments")
-    buckets, parts = store.layout_for(spark, store.input_size(spark, f"{sf_dir.rstrip('/')}/documents.parquet")[0])
+    # Parts are the same for all segments; buckets follow the size of each batch.
+    _, parts = store.layout_for(spark, store.text_size(documents(spark, sf_dir)))
     for docs in batches:
-        index = segments.append(spark, path, docs, buckets=buckets, term_parts=parts)
+        index = segments.append(spark, path, docs, term_parts=parts)
     return index
 
 
