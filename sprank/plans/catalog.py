@@ -19,6 +19,7 @@ from sprank.operators import blockmax, bm25, cells, chunking, context, dense, fu
 from sprank.operators import search as srch
 from sprank.plans import inputs as I
 from sprank.session import scratch_path
+from sprank.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 R = OUT_DIGITS
@@ -161,10 +162,8 @@ def bm25_topk_blocks(spark, d):
 def chunk_bm25_topk(spark, d):
     """The reference's own unit of retrieval: BM25 over the word chunks of the
     documents (chunk ids as keys), top 10 per benchmark query."""
-    chunks = chunking.word_chunks(I.documents(spark, d)).select("chunk_id", "chunk")
-    path = scratch_path(spark, "chunk-index")
-    store.save_postings(bm25.build_postings(chunks, "chunk_id", "chunk"), path)
-    top = bm25.bm25_topk(store.load_index(spark, path), I.query_table(spark, d), I.LIST_K)
+    chunks = files.parquet_roundtrip(chunking.word_chunks(I.documents(spark, d)).select("chunk_id", "chunk"), scratch_path(spark, "chunks"))[0]
+    top = bm25.bm25_topk(I.new_chunk_index(spark, chunks, store.text_size(chunks, "chunk")), I.query_table(spark, d), I.LIST_K)
     return top.select("qid", F.col("rank").cast("bigint").alias("rank"),
                       F.col("doc_id").alias("chunk_id"), _r("score"))
 

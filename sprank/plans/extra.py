@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sprank.functions import text as tx
-from sprank.operators import bm25, chunking, context, dense, embedding, fusion, store
+from sprank.operators import chunking, context, dense, embedding, fusion, store
 from sprank.operators import search as srch
 from sprank.plans import inputs as I
 from sprank.plans.oracle import CHUNK_CHARS, CHUNK_WORDS
@@ -83,9 +83,7 @@ def _chunk_hits(spark, d):
     chunks = files.parquet_roundtrip(
         embedding.embed(chunking.word_chunks(I.documents(spark, d)), "chunk").select("chunk_id", "chunk", "embedding"),
         scratch_path(spark, "chunk-vectors"))[0]
-    path = scratch_path(spark, "chunk-index")
-    store.save_postings(bm25.build_postings(chunks.select("chunk_id", "chunk"), "chunk_id", "chunk"), path)
-    index = fusion.HybridIndex(store.load_index(spark, path), chunks.select(F.col("chunk_id").alias("vec_id"), "embedding"))
+    index = fusion.HybridIndex(I.new_chunk_index(spark, chunks, store.text_size(chunks, "chunk")), chunks.select(F.col("chunk_id").alias("vec_id"), "embedding"))
     q = embedding.embed(I.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), "query", "q_emb")
     hits = fusion.hybrid_search(index, q, I.TOP_K, I.ALPHA)
     hits = srch.with_content(hits, chunks.select(F.col("chunk_id").alias("doc_id"), F.col("chunk").alias("content")))

@@ -52,3 +52,13 @@ def test_layout_follows_the_texts(spark, tmp_path, monkeypatch):
     index = store.build_or_load(spark, str(tmp_path / "root"), path, lambda n: bm25.build_postings(docs, num_partitions=n), texts=docs)
     assert index.partitions > least
     assert store.text_size(spark.createDataFrame([(1, None), (2, "é")], "doc_id long, text string")) == 2 * store.BYTES_PER_DOC + 2
+
+
+def test_chunk_index_follows_the_chunks(spark, monkeypatch):
+    from sprank.plans import inputs
+    monkeypatch.setattr(store, "BYTES_PER_BUCKET", 20_000)
+    chunks = spark.createDataFrame([(f"{i}_0", f"word w{i % 7}") for i in range(800)], "chunk_id string, chunk string")
+    index = inputs.new_chunk_index(spark, chunks, store.text_size(chunks, "chunk"))
+    assert index.partitions >= 800 * 512 // 20_000
+    top = bm25.bm25_topk(index, spark.createDataFrame([(1, "w3")], "qid long, query string"), 2).orderBy("rank").collect()
+    assert [r.doc_id for r in top] == ["101_0", "10_0"]
