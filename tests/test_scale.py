@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from sprank.functions.ranking import rank_topk
-from sprank.operators import bm25, store
+from sprank.operators import bm25, segments, store
 
 
 def rows(df):
@@ -42,7 +42,7 @@ def test_top_search_joins_a_posting_once(spark):
 
 
 def test_layout_follows_the_texts(spark, tmp_path, monkeypatch):
-    """Texts that compress to next to nothing count in full."""
+    """Texts that compress to next to nothing count in full, in a stored index and in every appended batch."""
     monkeypatch.setattr(store, "BYTES_PER_BUCKET", 40_000)
     docs = spark.createDataFrame([(i, "word " * 200) for i in range(500)], "doc_id long, text string")
     path = str(tmp_path / "docs")
@@ -51,6 +51,7 @@ def test_layout_follows_the_texts(spark, tmp_path, monkeypatch):
     least = 500 * 1000 // 40_000
     index = store.build_or_load(spark, str(tmp_path / "root"), path, lambda n: bm25.build_postings(docs, num_partitions=n), texts=docs)
     assert index.partitions > least
+    assert segments.append(spark, str(tmp_path / "s"), docs).segments[0].partitions > least
     assert store.text_size(spark.createDataFrame([(1, None), (2, "é")], "doc_id long, text string")) == 2 * store.BYTES_PER_DOC + 2
 
 
