@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sprank.functions.ranking import rank_topk
-from sprank.operators import bm25
+from sprank.operators import bm25, store
 from sprank.operators.bm25 import BM25Index
 from sprank.plans.sizing import checked_broadcast
 from sprank.session import scratch_path
 
 BLOCK_DOCS = 128   # documents of a block; divides 2^33, so blocks don't cross partitions
+WORD_BYTES = 8     # of a word of text, about
 FIRST_BLOCKS = 8   # blocks of a query that are scored for its threshold
 ROUNDING = 1e-8    # of sums of bounds and of scores ranked by nine places
 
@@ -36,12 +37,14 @@ class BlockIndex:
     index: BM25Index
     postings: DataFrame  # block, term, doc_id, tf, dl
     bounds: DataFrame    # term, block, most, least, n
+    parts: int           # of the work over all postings, by their number
 
 
 def build(index: BM25Index, path: str, block_docs: int = BLOCK_DOCS) -> BlockIndex:
     """Lay the postings of an index out by document block under ``path``."""
     spark = index.postings.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = index.stats["n"] * (WORD_BYTES * index.stats["avgdl"] + store.BYTES_PER_DOC)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), store.layout_for(spark, int(size))[0])
     first = index.postings.where(F.col("first")).select("doc_id")
     (first.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
      .withColumn("block", F.floor(F.monotonically_increasing_id() / block_docs).cast("long")).write.parquet(os.path.join(path, "blocks")))
@@ -49,9 +52,11 @@ def build(index: BM25Index, path: str, block_docs: int = BLOCK_DOCS) -> BlockInd
     rows = index.postings.where(~F.col("first")).select("doc_id", "term", "tf", "dl").join(blocks, "doc_id")
     rows.repartition(parts, "block").sortWithinPartitions("term", "block").write.parquet(os.path.join(path, "postings"))
     postings = spark.read.parquet(os.path.join(path, "postings"))
-    bounds = postings.groupBy("term", "block").agg(F.max("tf").alias("most"), F.min("dl").alias("least"), F.count(F.lit(1)).alias("n"))
+    # Dealt by hand: the number of partitions that Spark would choose does not follow the corpus.
+    dealt = postings.select("term", "block", "tf", "dl").repartition(parts, "term", "block")
+    bounds = dealt.groupBy("term", "block").agg(F.max("tf").alias("most"), F.min("dl").alias("least"), F.count(F.lit(1)).alias("n"))
     bounds.sortWithinPartitions("term").write.parquet(os.path.join(path, "bounds"))
-    return BlockIndex(index, postings, spark.read.parquet(os.path.join(path, "bounds")))
+    return BlockIndex(index, postings, spark.read.parquet(os.path.join(path, "bounds")), parts)
 
 
 def _share(index: BM25Index, tf: str, dl: str):
@@ -69,6 +74,20 @@ def _scored(blocked: BlockIndex, terms: DataFrame, chosen: DataFrame) -> DataFra
         .groupBy("qid", "doc_id").agg(F.sum("c").alias("score"))
 
 
+def _best(blocked: BlockIndex, terms: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, score): the ``k`` best documents of each query in its chosen (qid, block).
+
+    A posting is dealt by its block, once, whatever number of queries chose that block.
+    """
+    shared, words, queries = bm25._shared_terms(terms)
+    asked = chosen.join(F.broadcast(queries), "qid").groupBy("block").agg(F.collect_list("q").alias("asked"))
+    hits = blocked.postings.join(F.broadcast(words), "term").select("block", "doc_id", "t", "tf", "dl")
+    docs = hits.repartition(blocked.parts, "block").groupBy("block", "doc_id").agg(bm25._hits())
+    docs = docs.join(asked.repartition(blocked.parts, "block"), "block").select("doc_id", "hits", "asked")
+    best = bm25._best_documents(docs, blocked.index, shared, terms.schema["qid"], max(k, 1))
+    return rank_topk(best, "qid", "score", "doc_id", k, "_r").drop("_r")
+
+
 def chosen_blocks(blocked: BlockIndex, terms: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """((qid, block, bound, n) of all blocks with a term of the query, those that can hold one of its k best)."""
     spark = blocked.postings.sparkSession
@@ -80,7 +99,7 @@ def chosen_blocks(blocked: BlockIndex, terms: DataFrame, k: int) -> tuple[DataFr
     found = spark.read.schema(found.schema).parquet(path)
     w = Window.partitionBy("qid").orderBy(F.desc("bound"), "block")
     first = found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= FIRST_BLOCKS)
-    best = rank_topk(_scored(blocked, terms, first).where("score > 0"), "qid", "score", "doc_id", k)
+    best = _best(blocked, terms, first, k).where("score > 0")
     least = best.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
     least, _ = checked_broadcast(least, what="thresholds")
     chosen = found.join(least, "qid", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - ROUNDING))
@@ -96,10 +115,11 @@ def topk(blocked: BlockIndex, queries: DataFrame, k: int, qid_col: str = "qid",
     tops, matched = [], []
     for qt in bm25._query_blocks(queries, qid_col, query_col):
         terms = bm25._weighted_terms(index, qt)[0].select("qid", "term", "qtf", "idf", "avgdl")
-        scores = _scored(blocked, terms, chosen_blocks(blocked, terms, max(k, 1))[1])
-        tops.append(rank_topk(scores, "qid", "score", "doc_id", k, "_r").drop("_r"))
-        matched.append(scores.select("qid", "doc_id"))
+        chosen = chosen_blocks(blocked, terms, max(k, 1))[1]
+        tops.append(_best(blocked, terms, chosen, k))
+        if index.stats["eps"] < 0:
+            matched.append(_scored(blocked, terms, chosen).select("qid", "doc_id"))
     # A query with a threshold has k documents above 0, which what fills the list can't displace.
-    fill = bm25._unmatched(index, qids, bm25._union(matched), k).select("qid", "doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("m"))
+    fill = bm25._unmatched(index, qids, bm25._union(matched) if matched else None, k).select("qid", "doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("m"))
     best = bm25._union(tops).withColumn("m", F.lit(True)).unionByName(fill).groupBy("qid", "doc_id").agg(F.max_by("score", "m").alias("score"))
     return rank_topk(best, "qid", "score", "doc_id", k, rank_col)

@@ -63,3 +63,16 @@ def test_chunk_index_follows_the_chunks(spark, monkeypatch):
     assert index.partitions >= 800 * 512 // 20_000
     top = bm25.bm25_topk(index, spark.createDataFrame([(1, "w3")], "qid long, query string"), 2).orderBy("rank").collect()
     assert [r.doc_id for r in top] == ["101_0", "10_0"]
+
+
+def test_blocks_are_dealt_by_size(spark, tmp_path, monkeypatch):
+    """Postings of blocks lie in as many files as the corpus asks for, whatever the session's shuffle partitions are."""
+    from sprank.operators import blockmax
+    monkeypatch.setattr(store, "BYTES_PER_BUCKET", 20_000)
+    docs = spark.createDataFrame([(i, f"word w{i % 7} w{i % 11}") for i in range(700)], "doc_id long, text string")
+    index = bm25.build_bm25(docs)
+    blocked = blockmax.build(index, str(tmp_path / "b"), block_docs=4)
+    assert blocked.parts >= 700 * 512 // 20_000 > 8
+    assert len(blocked.postings.inputFiles()) > 8
+    q = spark.createDataFrame([(1, "w1 w2 word"), (2, "w3"), (3, "none")], "qid long, query string")
+    assert rows(blockmax.topk(blocked, q, 9)) == rows(bm25.bm25_topk(index, q, 9))
