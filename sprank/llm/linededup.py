@@ -8,8 +8,10 @@ goes still removes later ones.
 Words are ordered by rarity (counts of a fixed-size table over all lines, then
 the word's hash). Two similar lines share a word among the rarest few of each
 (prefix filter). Where that word is still frequent, a prefix one word longer
-holds a second shared word, and the pair of both words is the key. Pairs of
-lines that meet are tested by their sizes, by the positions of the shared word,
+holds a second shared word, and the pair of both words is the key. Lines of
+equal word sets are brought together first, by a 64-bit sum over their words:
+all but the first go, and only the first is searched. Pairs of lines that meet
+are tested by their sizes, by the positions of the shared word,
 and by the bits that differ between parity signatures of the two sets (64 bits,
 256 for long lines), which are at most their difference in words. The most promising
 earlier line of each line is verified on its words; lines whose first candidate
@@ -19,6 +21,8 @@ compared by 44-bit hashes in the search and as they are in the verification.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -36,6 +40,8 @@ KEY_BITS = 24     # entries of the table of wanted keys: 16 MB
 HOT = 1024        # words that occur more often are joined by pairs of words
 LONG = 80         # lines of more words carry 256 signature bits
 PART = 200_000    # lines of a word that meet in one task, about
+TOGETHER = 20_000  # occurrences of a word whose pairs with other words are dealt to one bucket, about
+SLICE = 50_000    # lines whose postings are dealt out at once
 SMALL = 1024      # groups up to this size are compared whole, larger ones until each line has a candidate
 _HASH = np.uint64((1 << 44) - 1)
 
@@ -94,8 +100,7 @@ class Lines:
         return out
 
     def in_prefix(self) -> np.ndarray:
-        size = self.size[self.line]
-        return self.position < size - _ceil(NUM * size, DEN) + 1
+        return self.position < _prefix(self.size)[self.line]
 
 
 def line_id(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -242,12 +247,57 @@ def _prefix_keys(x: Lines, use: np.ndarray, rarity: np.ndarray) -> tuple[np.ndar
     return use[i], key, n[i]
 
 
-def _postings(docs: DataFrame, rarity, buckets: int, wanted=None) -> DataFrame:
-    """(bucket, copies, data): blocks of prefix postings, of ``wanted`` keys only if given.
+def _prefix(size: np.ndarray) -> np.ndarray:
+    return size - _ceil(NUM * size, DEN) + 1
+
+
+class Heads(Lines):
+    """Lines of which the words of the prefix and one more are known, but for the leading ones that occur once."""
+
+    def __init__(self, size: np.ndarray, first: np.ndarray, words: np.ndarray, hashes: np.ndarray):
+        self.size, self.hash = size, hashes
+        self.line = np.repeat(np.arange(len(size)), words)
+        self.position = np.arange(len(hashes)) - np.repeat(np.cumsum(words) - words - first, words)
+
+
+# A block of lines: columns of equal length, the wide signatures of long lines, then the words of all.
+_HEAD = (("total", np.uint64), ("doc", np.int64), ("number", np.int32), ("size", np.int32), ("first", np.int32), ("words", np.int32), ("signature", np.uint64))
+
+
+def _pack_heads(cols: list[np.ndarray], wide: np.ndarray, hashes: np.ndarray) -> bytes:
+    raw = [np.int64(len(cols[0])).tobytes(), *(c.astype(d).tobytes() for c, (_, d) in zip(cols, _HEAD, strict=True)), wide[cols[3] > LONG].tobytes(), hashes.tobytes()]
+    return zstandard.compress(b"".join(raw), 1)
+
+
+def _unpack_heads(data: bytes) -> list[np.ndarray]:
+    """Columns of _HEAD, the wide signatures and the words."""
+    raw = zstandard.decompress(data)
+    n, at, out = int(np.frombuffer(raw[:8], np.int64)[0]), 8, []
+    for _, d in _HEAD:
+        out.append(np.frombuffer(raw, d, n, at))
+        at += n * np.dtype(d).itemsize
+    long = out[3] > LONG
+    wide = np.zeros((n, 3), np.uint64)
+    wide[long] = np.frombuffer(raw, np.uint64, 3 * int(long.sum()), at).reshape(-1, 3)
+    return [*out, wide, np.frombuffer(raw, np.uint64, -1, at + 24 * int(long.sum()))]
+
+
+def _firsts(size, total, doc, number, sig) -> tuple[np.ndarray, np.ndarray]:
+    """(the first line of every word set, the later lines of each but repeats of the first)."""
+    order = np.lexsort((sig, number, doc, total, size))
+    same = np.zeros(len(order), bool)
+    same[1:] = (total[order[1:]] == total[order[:-1]]) & (size[order[1:]] == size[order[:-1]])
+    first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    # A row of the same doc_id, number and words is the same line again.
+    copy = order[same & ((doc[order] != doc[first]) | (number[order] != number[first]))]
+    return order[~same], copy
+
+
+def _heads(docs: DataFrame, rarity, buckets: int, wanted=None) -> DataFrame:
+    """(bucket, copies, data): blocks of lines dealt by their word sets, those with ``wanted`` keys only if given.
 
     Lines of a chunk of equal word sets are one; the later ones come as copies.
-    A word with very many postings is dealt into parts, any two of its lines
-    sharing one.
+    Lines whose prefix shares no word with any line are left out.
     """
     def run(batches):
         for doc, _, _, x in _chunks(batches, rarity.value):
@@ -255,43 +305,113 @@ def _postings(docs: DataFrame, rarity, buckets: int, wanted=None) -> DataFrame:
             # Lines of equal word sets: hashes added up are the same.
             total = np.zeros(len(x.row), np.uint64)
             np.add.at(total, x.line, mix(x.hash))
-            order = np.lexsort((sig, number, did, total, x.size))
-            same = np.zeros(len(order), bool)
-            same[1:] = (total[order[1:]] == total[order[:-1]]) & (x.size[order[1:]] == x.size[order[:-1]]) & (x.size[order[1:]] > 0)
-            first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-            # A row of the same doc_id, number and words is the same line again.
-            copy = order[same & ((did[order] != did[first]) | (number[order] != number[first]))]
+            some = np.flatnonzero(x.size > 0)
+            first, copy = (some[i] for i in _firsts(x.size[some], total[some], did[some], number[some], sig[some]))
             if len(copy) and wanted is None:
-                copy = copy[np.lexsort((number[copy], did[copy]))]
-                none = np.zeros(len(copy), np.int64)
-                yield _rows(int(sig[copy[0]] % np.uint64(buckets)), True, [none, none, did[copy], number[copy], none, none, sig[copy], wide[copy]])
-            single = np.ones(len(order), bool)
-            single[order[same]] = False
-            use, key, n = _prefix_keys(x, np.flatnonzero(x.in_prefix() & single[x.line]), rarity.value)
+                yield _copies(int(sig[copy[0]] % np.uint64(buckets)), did[copy], number[copy], sig[copy], wide[copy])
+            single = np.zeros(len(x.row), bool)
+            single[first] = True
+            prefix, size = _prefix(x.size), x.size
+            head = single[x.line] & (x.position < np.minimum(size, prefix + 1)[x.line])
+            head &= _occurrences(rarity.value[(x.hash >> np.uint64(44 - TABLE_BITS)).astype(np.int64)]) > 1
+            use = np.flatnonzero(head & x.in_prefix())
             if wanted is not None:
-                ok = wanted.value[_key_at(key)]
-                use, key, n = use[ok], key[ok], n[ok]
-            line = x.line[use]
-            share = np.where(n > PART, _ceil(2 * n, PART), 1)
-            own = (line_id(did, number)[line] % share.astype(np.uint64)).astype(np.int64)
-            rep = np.repeat(np.arange(len(use)), share)
-            other = np.arange(len(rep)) - np.repeat(np.cumsum(share) - share, share)
-            own, c = own[rep], share[rep]
-            part = np.minimum(own, other) * c + np.maximum(own, other)
-            use, line, key = use[rep], line[rep], key[rep]
-            bucket = ((mix(key + part.astype(np.uint64) * np.uint64(_ODD)) >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
-            at = np.lexsort((number[line], did[line], bucket))
-            cut = np.searchsorted(bucket[at], np.arange(buckets + 1))
+                use, key, _ = _prefix_keys(x, use, rarity.value)
+                use = use[wanted.value[_key_at(key)]]
+            keyed = np.zeros(len(x.row), bool)
+            keyed[x.line[use]] = True
+            head = np.flatnonzero(head & keyed[x.line])
+            words = np.bincount(x.line[head], minlength=len(x.row))
+            begin = np.cumsum(words) - words
+            line = np.flatnonzero(keyed)
+            skip = x.position[head[begin[line]]]  # words that occur once come first
+            to = (mix(total[line]) % np.uint64(buckets)).astype(np.int64)
+            at = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[at], np.arange(buckets + 1))
             for k in range(buckets):
                 if cut[k] < cut[k + 1]:
                     i = at[cut[k]:cut[k + 1]]
-                    u, ln = use[i], line[i]
-                    yield _rows(k, False, [key[i], part[i], did[ln], number[ln], x.size[ln], x.position[u], sig[ln], wide[ln]])
-    return docs.mapInArrow(run, "bucket int, copies boolean, data binary")
+                    ln, n = line[i], words[line[i]]
+                    w = np.repeat(begin[ln] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    data = _pack_heads([total[ln], did[ln], number[ln], size[ln], skip[i], n, sig[ln]], wide[ln], x.hash[head[w]])
+                    yield _block(k, False, data)
+    return docs.mapInArrow(run, _BLOCK)
+
+
+def _postings(docs: DataFrame, rarity, buckets: int, wanted=None) -> DataFrame:
+    """(bucket, copies, data): blocks of prefix postings, of ``wanted`` keys only if given.
+
+    Lines of equal word sets are one; the later ones come as copies. The keys
+    of one word go to one bucket, those of a very frequent word by their second
+    word to several. A word with very many postings is dealt into parts, any
+    two of its lines sharing one.
+    """
+    def run(block: pa.Table) -> pa.Table:
+        out, heads = [], []
+        for copies, data in zip(block["copies"].to_pylist(), block["data"].to_pylist(), strict=True):
+            if copies:
+                out.append(_block(int(zlib.crc32(data) % buckets), True, data))
+            else:
+                heads.append(_unpack_heads(data))
+        if heads:
+            total, did, number, size, skip, words, sig, wide, hashes = (np.concatenate(c) for c in zip(*heads, strict=True))
+            size = size.astype(np.int64)
+            first, copy = _firsts(size, total, did, number, sig)
+            if len(copy) and wanted is None:
+                out.append(_copies(int(sig[copy[0]] % np.uint64(buckets)), did[copy], number[copy], sig[copy], wide[copy]))
+            begin = np.cumsum(words, dtype=np.int64) - words
+            for i in range(0, len(first), SLICE):
+                ln = first[i:i + SLICE]
+                n = words[ln].astype(np.int64)
+                x = Heads(size[ln], skip[ln], n, hashes[np.repeat(begin[ln] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+                out += _dealt(x, did[ln], number[ln], sig[ln], wide[ln], rarity, buckets, wanted)
+        return pa.Table.from_batches(out, schema=_EMPTY)
+    return _heads(docs, rarity, buckets, wanted).groupBy("bucket").applyInArrow(run, _BLOCK)
+
+
+def _dealt(x: Heads, did, number, sig, wide, rarity, buckets: int, wanted) -> list[pa.RecordBatch]:
+    """Blocks of the prefix postings of lines, one or none a bucket."""
+    use, key, n = _prefix_keys(x, np.flatnonzero(x.in_prefix()), rarity.value)
+    if wanted is not None:
+        ok = wanted.value[_key_at(key)]
+        use, key, n = use[ok], key[ok], n[ok]
+    line = x.line[use]
+    share = np.where(n > PART, _ceil(2 * n, PART), 1)
+    own = (line_id(did, number)[line] % share.astype(np.uint64)).astype(np.int64)
+    rep = np.repeat(np.arange(len(use)), share)
+    other = np.arange(len(rep)) - np.repeat(np.cumsum(share) - share, share)
+    own, c = own[rep], share[rep]
+    part = np.minimum(own, other) * c + np.maximum(own, other)
+    use, line, key, n = use[rep], line[rep], key[rep], n[rep]
+    home = x.hash[use] + (mix(key) % _ceil(n, TOGETHER).astype(np.uint64)) * np.uint64(_ODD)
+    bucket = ((mix(mix(home) + part.astype(np.uint64) * np.uint64(_ODD)) >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+    at = np.lexsort((number[line], did[line], bucket))
+    cut = np.searchsorted(bucket[at], np.arange(buckets + 1))
+    out = []
+    for k in range(buckets):
+        if cut[k] < cut[k + 1]:
+            i = at[cut[k]:cut[k + 1]]
+            u, ln = use[i], line[i]
+            out.append(_rows(k, False, [key[i], part[i], did[ln], number[ln], x.size[ln], x.position[u], sig[ln], wide[ln]]))
+    return out
+
+
+_BLOCK = "bucket int, copies boolean, data binary"
+_EMPTY = pa.schema([("bucket", pa.int32()), ("copies", pa.bool_()), ("data", pa.binary())])
+
+
+def _block(bucket: int, copies: bool, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([copies]), pa.array([data], pa.binary())], schema=_EMPTY)
+
+
+def _copies(bucket: int, did, number, sig, wide) -> pa.RecordBatch:
+    i = np.lexsort((number, did))
+    none = np.zeros(len(i), np.int64)
+    return _rows(bucket, True, [none, none, did[i], number[i], none, none, sig[i], wide[i]])
 
 
 def _rows(bucket: int, copies: bool, cols: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([copies]), pa.array([_pack(cols)], pa.binary())], ["bucket", "copies", "data"])
+    return _block(bucket, copies, _pack(cols))
 
 
 def _differ(a, b, size, sig, wide):

@@ -82,6 +82,22 @@ def test_line_search_finds_all_pairs(monkeypatch):
         assert {i for i, _ in want} <= set(ln[a].tolist())
 
 
+def test_equal_lines_meet_before_the_search(spark):
+    """Lines of equal word sets in different tasks: one is searched, the others are copies; long lines among them."""
+    line = " ".join(f"word{i}" for i in range(100))
+    rows = [(i, f"{line.upper() if i % 2 else line}\nown{i} line{i}\n{line} more{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    rarity = spark.sparkContext.broadcast(linededup._rarities(docs))
+    found = [(r.copies, linededup._unpack(bytes(r.data))) for r in linededup._postings(docs, rarity, 3).collect()]
+    copies = sorted(zip(*(np.concatenate([c[i] for is_copy, c in found if is_copy]).tolist() for i in (2, 3)), strict=True))
+    assert copies == [(i, 0) for i in range(1, 60)]
+    searched = {x for is_copy, c in found if not is_copy for x in zip(c[2].tolist(), c[3].tolist(), c[4].tolist(), strict=True)}
+    assert searched == {(0, 0, 100)} | {(i, 2, 101) for i in range(60)}
+    gone = brute.removed_lines(rows)
+    got = {r.doc_id: r.removed_lines for r in linededup.line_counts(docs).collect()}
+    assert got == {i: sorted(gone.get(i, [])) for i, _ in rows}
+
+
 def test_line_search_keeps_alike_rows_as_partners(spark):
     """A line that resembles only a row that was left to a row of the same size and signature."""
     rng = np.random.default_rng(8)
