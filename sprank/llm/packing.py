@@ -24,11 +24,13 @@ from sprank.llm.common import buckets_for, running_totals, written
 WINDOW = 4096
 END_ID = 2
 CACHE_WORDS = 400_000  # words whose ids a task keeps; all are forgotten when it is full
-_ODD = re.compile("[\x1c-\x1f]|<\\|")  # white space to some and not to others, or a special token's start
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")  # white space to some and not to others, or a special token's start
 _PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@[-`{-~]*)")
+_CASED = re.compile("[^\x00-\xff]")  # beyond Latin-1 the case of a letter may depend on its neighbours or change its length
 # The byte-level alphabet shows these bytes as themselves and the others as 256, 257, ...
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_ALPHABET = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+_HIDDEN = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+_ALPHABET = [chr(_HIDDEN.get(b, b)) for b in range(256)]
 
 
 class WordIds(dict):
@@ -60,7 +62,7 @@ class WordIds(dict):
         elif (low := word.lower()) != word:
             out = self[low]
         else:  # small letters: one piece to the rules, so the model alone decides
-            seen = word if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET)
+            seen = word if word.isascii() else "".join([_ALPHABET[b] for b in word.encode()])
             out = b"".join([self.packed[t.id] for t in self.model.tokenize(seen)])
         if len(self) >= CACHE_WORDS:
             self.clear()
@@ -69,8 +71,11 @@ class WordIds(dict):
         return out
 
     def text(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self.direct(text)
+        for odd in _ODD:
+            if odd in text:
+                return self.direct(text)
+        if text.isascii() or not _CASED.search(text):
+            text = text.lower()  # as the tokenizer does, but at once: one entry for a word at all its places
         return b"".join(map(self.__getitem__, text.split()))
 
 

@@ -455,6 +455,15 @@ def check_packing(pieces, texts):
     assert sorted(seqs) == list(range(len(seqs)))
 
 
+def test_words_are_looked_up_once_in_all_their_cases():
+    """Words of Latin-1 texts are kept lower-cased; ids are those of the whole text, of other texts too."""
+    words = packing.WordIds(packing.default_tokenizer())
+    for text in ("Straße STRASSE straße Straße", "ÀÉÎ àéî ÿß µª º x²", "DON'T don't 'S 's", "A\xa0B\x85c", "ΟΔΟΣ οδος Σ", "İstanbul I", "A\x1cB", "<|endoftext|> A"):
+        assert words.text(text) == words.direct(text)
+    words.clear()
+    assert words.text("Mañana mañana MAÑANA") == words.direct("mañana") * 3 and len(words) == 1
+
+
 def test_packing(spark, texts):
     check_packing(Q["op10_packing"](spark, SF001).collect(), texts)
 
