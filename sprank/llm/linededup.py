@@ -11,10 +11,10 @@ the word's hash). Two similar lines share a word among the rarest few of each
 holds a second shared word, and the pair of both words is the key. Lines of
 equal word sets are brought together first, by a 64-bit sum over their words:
 all but the first go, and only the first is searched. Pairs of lines that meet
-are tested by their sizes, by the positions of the shared word,
-and by the bits that differ between parity signatures of the two sets (64 bits,
-256 for long lines), which are at most their difference in words. The most promising
-earlier line of each line is verified on its words; lines whose first candidate
+are tested by their sizes, by the positions of the shared word, and by the bits
+that differ between parity signatures of the two sets (64 bits, 256 for long
+lines), which are at most their difference in words. The most promising earlier
+line of each line is verified on its words; lines whose first candidate
 fails are searched again with all their candidates, so none is lost. Words are
 compared by 44-bit hashes in the search and as they are in the verification.
 """
