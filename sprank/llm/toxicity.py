@@ -10,7 +10,6 @@ more than 2^DIM_BITS entries).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,9 +59,8 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = DIM_BITS, epoch
             s = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / ALPHA
             z[x] += g - s * w
             n[x] += g * g
-    w = weights(np.arange(bias + 1))
-    hit = np.flatnonzero(w[:-1])
-    return hit, w[hit], float(w[-1])
+    hit = np.flatnonzero((z[:-1] > L1) | (z[:-1] < -L1))  # all others are zero
+    return hit, weights(hit), float(weights(np.array([bias]))[0])
 
 
 def sample_ids(rows: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
@@ -96,16 +94,21 @@ def train(rows: DataFrame, limit: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndar
                     out[first + r] = np.unique(f[bounds[r]:bounds[r + 1]]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.tobytes() for x in out], pa.binary())], ["at", "label", "f"])
 
-    def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at", "label"])
-        f, w, bias = ftrl([np.frombuffer(x, np.int32) for x in frame["f"]], frame["label"].to_numpy(float))
-        return pd.DataFrame({"f": np.append(f, -1), "w": np.append(w, bias)})
+    def learn(part: pa.Table) -> pa.Table:
+        rows = []  # views of the features as they came
+        for chunk in part["f"].chunks:
+            buf, off = flat_utf8(chunk)
+            rows += [buf[i:j].view(np.int32) for i, j in zip(off[:-1], off[1:], strict=True)]
+        label = part["label"].to_numpy()
+        order = np.lexsort((label, part["at"].to_numpy()))
+        f, w, bias = ftrl([rows[i] for i in order], label[order].astype(float))
+        return pa.table({"f": np.append(f, -1), "w": np.append(w, bias)})
 
     at = F.xxhash64("doc_id", F.lit(5))
     ids = sample_ids(rows, limit)
     chosen = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select(at.alias("at"), "text", "label")
     model = (chosen.mapInArrow(extract, "at long, label int, f binary").groupBy(F.lit(0).alias("one"))
-             .applyInPandas(learn, "f long, w double").toPandas())
+             .applyInArrow(learn, "f long, w double").toPandas())
     if not len(model):
         return np.zeros(0, np.int64), np.zeros(0), -35.0
     bias = model["f"] < 0
@@ -122,7 +125,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
         dense = np.zeros(1 << DIM_BITS, np.float32)
         dense[f] = w
         for b in batches:
-            buf, off = flat_utf8(b.column(0))
+            buf, off = flat_utf8(b.column("text"))
             total = np.full(b.num_rows, bias)
             for first, x, bounds in features(buf, off):
                 hit = np.flatnonzero(dense[x])
@@ -130,8 +133,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
                 pair = np.unique(row << DIM_BITS | x[hit])  # a feature counts once in a document
                 np.add.at(total, first + (pair >> DIM_BITS), dense[pair & ((1 << DIM_BITS) - 1)])
             p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(p)], names=schema.names)
-    return docs.select("text", *keep).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(p)], names=schema.names)
+    return docs.select(*keep, *({"text"} - set(keep))).mapInArrow(run, schema)
 
 
 def learn_labels(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
