@@ -14,9 +14,11 @@ all but the first go, and only the first is searched. Pairs of lines that meet
 are tested by their sizes, by the positions of the shared word, and by the bits
 that differ between parity signatures of the two sets (64 bits, 256 for long
 lines), which are at most their difference in words. The most promising earlier
-line of each line is verified on its words; lines whose first candidate
-fails are searched again with all their candidates, so none is lost. Words are
-compared by 44-bit hashes in the search and as they are in the verification.
+line of each line is verified on its words. Lines whose first candidate fails
+are searched again, with all their candidates: these meet with their texts by
+the keys that they share, and each line is verified there until one earlier line
+is similar, so none is lost and no pairs are returned. Words are compared by 44-bit hashes in the search
+and as they are in the verification.
 """
 
 from __future__ import annotations
@@ -36,12 +38,14 @@ from sprank.llm.common import (SPACE, flat_utf8, lower_ascii, mix, partitions, p
 NUM, DEN = 4, 5
 TABLE_BITS = 22   # entries of the table of word rarities: 4 MB shipped, 16 MB while counting, at any input size
 BITMAP_BITS = 27  # bits of a line bitmap: 16 MB at any input size
-KEY_BITS = 24     # entries of the table of wanted keys: 16 MB
+KEY_BITS = 24     # entries of the table of wanted keys: 16 MB; the fuller it is, the more lines are read again
 HOT = 1024        # words that occur more often are joined by pairs of words
 LONG = 80         # lines of more words carry 256 signature bits
 PART = 200_000    # lines of a word that meet in one task, about
 TOGETHER = 20_000  # occurrences of a word whose pairs with other words are dealt to one bucket, about
 SLICE = 50_000    # lines whose postings are dealt out at once
+HEADS = 1 << 17   # bytes of packed lines that are unpacked at once
+AT_ONCE = 4096    # earlier lines that a line is verified with at once
 SMALL = 1024      # groups up to this size are compared whole, larger ones until each line has a candidate
 _HASH = np.uint64((1 << 44) - 1)
 
@@ -225,10 +229,6 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return [*out, wide]
 
 
-def _key_at(key: np.ndarray) -> np.ndarray:
-    return (mix(key) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
-
-
 def _prefix_keys(x: Lines, use: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word number, join key, occurrences of the word) for the prefix words ``use``."""
     n = _occurrences(rarity[(x.hash[use] >> np.uint64(44 - TABLE_BITS)).astype(np.int64)])
@@ -293,8 +293,8 @@ def _firsts(size, total, doc, number, sig) -> tuple[np.ndarray, np.ndarray]:
     return order[~same], copy
 
 
-def _heads(docs: DataFrame, rarity, buckets: int, wanted=None) -> DataFrame:
-    """(bucket, copies, data): blocks of lines dealt by their word sets, those with ``wanted`` keys only if given.
+def _heads(docs: DataFrame, rarity, buckets: int) -> DataFrame:
+    """(bucket, copies, data): blocks of lines dealt by their word sets.
 
     Lines of a chunk of equal word sets are one; the later ones come as copies.
     Lines whose prefix shares no word with any line are left out.
@@ -307,19 +307,15 @@ def _heads(docs: DataFrame, rarity, buckets: int, wanted=None) -> DataFrame:
             np.add.at(total, x.line, mix(x.hash))
             some = np.flatnonzero(x.size > 0)
             first, copy = (some[i] for i in _firsts(x.size[some], total[some], did[some], number[some], sig[some]))
-            if len(copy) and wanted is None:
+            if len(copy):
                 yield _copies(int(sig[copy[0]] % np.uint64(buckets)), did[copy], number[copy], sig[copy], wide[copy])
             single = np.zeros(len(x.row), bool)
             single[first] = True
             prefix, size = _prefix(x.size), x.size
             head = single[x.line] & (x.position < np.minimum(size, prefix + 1)[x.line])
             head &= _occurrences(rarity.value[(x.hash >> np.uint64(44 - TABLE_BITS)).astype(np.int64)]) > 1
-            use = np.flatnonzero(head & x.in_prefix())
-            if wanted is not None:
-                use, key, _ = _prefix_keys(x, use, rarity.value)
-                use = use[wanted.value[_key_at(key)]]
             keyed = np.zeros(len(x.row), bool)
-            keyed[x.line[use]] = True
+            keyed[x.line[head & x.in_prefix()]] = True
             head = np.flatnonzero(head & keyed[x.line])
             words = np.bincount(x.line[head], minlength=len(x.row))
             begin = np.cumsum(words) - words
@@ -338,8 +334,13 @@ def _heads(docs: DataFrame, rarity, buckets: int, wanted=None) -> DataFrame:
     return docs.mapInArrow(run, _BLOCK)
 
 
-def _postings(docs: DataFrame, rarity, buckets: int, wanted=None) -> DataFrame:
-    """(bucket, copies, data): blocks of prefix postings, of ``wanted`` keys only if given.
+def _postings(docs: DataFrame, rarity, buckets: int) -> DataFrame:
+    """Blocks of prefix postings of the lines of documents."""
+    return _posted(_heads(docs, rarity, buckets), rarity, buckets)
+
+
+def _posted(heads: DataFrame, rarity, buckets: int) -> DataFrame:
+    """(bucket, copies, data): blocks of prefix postings.
 
     Lines of equal word sets are one; the later ones come as copies. The keys
     of one word go to one bucket, those of a very frequent word by their second
@@ -357,24 +358,21 @@ def _postings(docs: DataFrame, rarity, buckets: int, wanted=None) -> DataFrame:
             total, did, number, size, skip, words, sig, wide, hashes = (np.concatenate(c) for c in zip(*heads, strict=True))
             size = size.astype(np.int64)
             first, copy = _firsts(size, total, did, number, sig)
-            if len(copy) and wanted is None:
+            if len(copy):
                 out.append(_copies(int(sig[copy[0]] % np.uint64(buckets)), did[copy], number[copy], sig[copy], wide[copy]))
             begin = np.cumsum(words, dtype=np.int64) - words
             for i in range(0, len(first), SLICE):
                 ln = first[i:i + SLICE]
                 n = words[ln].astype(np.int64)
                 x = Heads(size[ln], skip[ln], n, hashes[np.repeat(begin[ln] - np.cumsum(n) + n, n) + np.arange(n.sum())])
-                out += _dealt(x, did[ln], number[ln], sig[ln], wide[ln], rarity, buckets, wanted)
+                postings = _prefix_keys(x, np.flatnonzero(x.in_prefix()), rarity.value)
+                out += [_rows(k, False, cols) for k, _, cols in _dealt(x, *postings, did[ln], number[ln], sig[ln], wide[ln], buckets)]
         return pa.Table.from_batches(out, schema=_EMPTY)
-    return _heads(docs, rarity, buckets, wanted).groupBy("bucket").applyInArrow(run, _BLOCK)
+    return heads.groupBy("bucket").applyInArrow(run, _BLOCK)
 
 
-def _dealt(x: Heads, did, number, sig, wide, rarity, buckets: int, wanted) -> list[pa.RecordBatch]:
-    """Blocks of the prefix postings of lines, one or none a bucket."""
-    use, key, n = _prefix_keys(x, np.flatnonzero(x.in_prefix()), rarity.value)
-    if wanted is not None:
-        ok = wanted.value[_key_at(key)]
-        use, key, n = use[ok], key[ok], n[ok]
+def _dealt(x: Lines, use, key, n, did, number, sig, wide, buckets: int):
+    """Yields (bucket, lines, columns of a block) of the postings ``use`` of lines, one or none a bucket."""
     line = x.line[use]
     share = np.where(n > PART, _ceil(2 * n, PART), 1)
     own = (line_id(did, number)[line] % share.astype(np.uint64)).astype(np.int64)
@@ -387,13 +385,11 @@ def _dealt(x: Heads, did, number, sig, wide, rarity, buckets: int, wanted) -> li
     bucket = ((mix(mix(home) + part.astype(np.uint64) * np.uint64(_ODD)) >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
     at = np.lexsort((number[line], did[line], bucket))
     cut = np.searchsorted(bucket[at], np.arange(buckets + 1))
-    out = []
     for k in range(buckets):
         if cut[k] < cut[k + 1]:
             i = at[cut[k]:cut[k + 1]]
             u, ln = use[i], line[i]
-            out.append(_rows(k, False, [key[i], part[i], did[ln], number[ln], x.size[ln], x.position[u], sig[ln], wide[ln]]))
-    return out
+            yield k, ln, [key[i], part[i], did[ln], number[ln], x.size[ln], x.position[u], sig[ln], wide[ln]]
 
 
 _BLOCK = "bucket int, copies boolean, data binary"
@@ -449,16 +445,13 @@ def _search(cols: list[np.ndarray], only: np.ndarray | None) -> tuple[np.ndarray
     (a bitmap of lines) all earlier rows of the lines in it, as often as they
     meet.
     """
-    word, part, doc, number, size, pos, sig, wide = cols
-    size, pos = size.astype(np.int64), pos.astype(np.int64)
-    order = np.lexsort((sig, number, doc, part, word))
-    w = word[order].astype(np.uint64) << np.uint64(32) | part[order]
-    doc, number, size, pos, sig, wide = (c[order] for c in (doc, number, size, pos, sig, wide))
-    new = np.concatenate([[True], w[1:] != w[:-1]])[:len(w)]
     if only is not None:
-        return _all_earlier(order, np.flatnonzero(new), _has(only, line_id(doc, number)), doc, number, size, sig, wide)
+        none = np.zeros(0, np.int64)
+        late, early = zip((none, none), *((np.full(len(b), a), b) for a, b in _earlier(cols, only)), strict=True)
+        return np.concatenate(late), np.concatenate(early)
+    order, new, doc, number, size, pos, sig, wide = _grouped(cols)
     group = np.cumsum(new) - 1
-    best, found = np.full(len(w), 999, np.int16), np.full(len(w), -1)
+    best, found = np.full(len(order), 999, np.int16), np.full(len(order), -1)
 
     def keep(a, b):
         """Offer row b to the later row a."""
@@ -468,7 +461,7 @@ def _search(cols: list[np.ndarray], only: np.ndarray | None) -> tuple[np.ndarray
 
     # Lines alike in size, position and whole signature, so in all that the tests look at: the first
     # of a group is the candidate of the others, if it may be, and stands for them before later lines.
-    by = np.lexsort((pos, size, sig, group))
+    by = np.lexsort((size << 32 | pos, sig, group))
     x, y = by[1:], by[:-1]
     same = np.zeros(len(by), bool)
     same[1:] = (group[x] == group[y]) & (sig[x] == sig[y]) & (size[x] == size[y]) & (pos[x] == pos[y]) & (wide[x] == wide[y]).all(1)
@@ -502,39 +495,49 @@ def _search(cols: list[np.ndarray], only: np.ndarray | None) -> tuple[np.ndarray
     return order[a], order[found[a]]
 
 
-def _all_earlier(order, cut, asks, doc, number, size, sig, wide) -> tuple[np.ndarray, np.ndarray]:
-    """All candidates of the rows that ``asks`` marks, among the earlier rows of their groups (from ``cut`` on).
+def _grouped(cols: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(order of rows by group and line, does a group begin, doc, number, size, position, signatures) in that order.
 
-    Positions are not looked at: meetings are counted, and only the rarest
-    shared word of two similar lines need stand early in both.
+    Rows that are alone in their group are left out.
     """
-    late, early = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    rows = np.flatnonzero(asks)
-    begin = np.zeros(len(order), np.int64)
+    word, part, doc, number, size, pos, sig, wide = cols
+    w = word.astype(np.uint64) << np.uint64(32) | part
+    by = np.argsort(w)
+    same = np.diff(w[by]) == 0
+    order = np.sort(by[np.append(same, False)[:len(by)] | np.append(False, same)[:len(by)]])
+    order = order[np.lexsort((sig[order], number[order], doc[order], w[order]))]
+    w = w[order]
+    new = np.concatenate([[True], w[1:] != w[:-1]])[:len(w)]
+    return order, new, *(c[order] for c in (doc, number, size.astype(np.int64), pos.astype(np.int64), sig, wide))
+
+
+def _earlier(cols: list[np.ndarray], only: np.ndarray, skip=lambda a: False):
+    """Yields (row, its candidates among the earlier rows of its group) for the rows of lines in the bitmap ``only``.
+
+    Positions are not looked at: any shared word may bring two similar lines
+    together, and only the rarest one need stand early in both.
+    """
+    order, new, doc, number, size, pos, sig, wide = _grouped(cols)
+    cut, begin = np.flatnonzero(new), np.zeros_like(pos)
+    rows = np.flatnonzero(_has(only, line_id(doc, number)))
     for a, lo in zip(rows, cut[np.searchsorted(cut, rows, side="right") - 1], strict=True):
+        if skip(order[a]):
+            continue
         b = np.arange(lo, a)
         ok, _ = _may_match(np.full(len(b), a), b, size, begin, sig, wide)
         b = b[ok & ((doc[lo:a] != doc[a]) | (number[lo:a] != number[a]))]
-        late.append(np.full(len(b), a))
-        early.append(b)
-    return order[np.concatenate(late)], order[np.concatenate(early)]
+        if len(b):
+            yield order[a], order[b]
 
 
 _KEY = ["doc_id", "number", "signature"]
-_PAIR = "doc_id long, number int, signature long, e_doc long, e_number int, e_signature long, differ int, least int"
+_PAIR = "doc_id long, number int, signature long, e_doc long, e_number int, e_signature long, differ int"
 
 
 def _pairs(cols, a, b) -> pa.Table:
     _, _, doc, number, size, _, sig, wide = cols
     return pa.table({"doc_id": doc[a], "number": number[a].astype(np.int32), "signature": sig[a].view(np.int64), "e_doc": doc[b], "e_number": number[b].astype(np.int32),
-                     "e_signature": sig[b].view(np.int64), "differ": _differ(a, b, size, sig, wide).astype(np.int32),
-                     "least": _least_shared(size[a].astype(np.int64), size[b].astype(np.int64)).astype(np.int32)})
-
-
-def _enough(met: DataFrame) -> DataFrame:
-    """Pairs that met as often as similar lines do; a frequent word may count once less than it is shared."""
-    pairs = met.groupBy(*_KEY, "e_doc", "e_number", "e_signature", "least").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.where(F.col("n") >= F.greatest(F.lit(1), F.col("least") - 1)).drop("n", "least")
+                     "e_signature": sig[b].view(np.int64), "differ": _differ(a, b, size, sig, wide).astype(np.int32)})
 
 
 def _candidates(postings: DataFrame) -> DataFrame:
@@ -554,26 +557,152 @@ def _candidates(postings: DataFrame) -> DataFrame:
     return written(best.select(*_KEY, "m.e_doc", "m.e_number", "m.e_signature", "m.differ"), "candidates")
 
 
-def _all_candidates(docs: DataFrame, failed: DataFrame, rarity) -> DataFrame:
-    """All pairs of a line of ``failed`` and an earlier line that share as many prefix words as similar lines do, written.
+def _size_class(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits shifted out, the three leading bits) of sizes."""
+    shift = np.maximum(np.frexp(size.astype(np.float64))[1] - 3, 0).astype(np.int64)
+    return shift, size >> shift
 
-    Only keys that those lines have are searched.
-    """
-    spark = docs.sparkSession
-    lines = spark.sparkContext.broadcast(_bitmap(failed))
 
+def _key_at(key: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Table entry of a key in lines of a size."""
+    shift, top = _size_class(size)
+    return (mix(key + (8 * shift + top).astype(np.uint64) * np.uint64(_ODD)) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+
+
+def _asked(key: np.ndarray, size: np.ndarray):
+    """Yields (entries, shared keys at least) under which lines similar to lines of ``size`` words have the keys, by class of their sizes."""
+    low, high = _ceil(NUM * size, DEN), DEN * size // NUM
+    while len(key):
+        shift, top = _size_class(low)
+        last = np.minimum(((top + 1) << shift) - 1, high)
+        # Between the two sizes it may be one less; a frequent word may count once less than it is shared.
+        least = np.minimum(_least_shared(size, low), _least_shared(size, last)) - 2
+        yield _key_at(key, low), np.clip(least, 1, 255)
+        more = last < high
+        key, size, low, high = key[more], size[more], last[more] + 1, high[more]
+
+
+def _unpacked(batches):
+    """Yields (doc ids, numbers, signatures, Heads) of some blocks of lines at a time."""
+    for b in batches:
+        data = [x for x, copies in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True) if not copies]
+        sizes = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
+        for i, j in row_chunks(sizes, HEADS):
+            _, did, number, size, skip, words, sig, wide, hashes = (np.concatenate(c) for c in zip(*map(_unpack_heads, data[i:j]), strict=True))
+            yield did, number, sig, wide, Heads(size.astype(np.int64), skip, words, hashes)
+
+
+def _near(heads: DataFrame, asks, rarity, buckets: int) -> tuple[DataFrame, Broadcast]:
+    """(doc_id, number) of the lines in the bitmap ``asks`` and of their candidates, once a bucket; the table of wanted keys.
+
+    An entry of the table holds 256 less the keys to be shared. A line similar
+    to one of ``asks`` finds at least n entries that ask for n or fewer; only
+    such lines meet, by the keys of these entries.
+    """
     def keys(batches):
         total = np.zeros(1 << KEY_BITS, np.uint8)
-        for _, _, _, x in _selected(batches, lines.value, rarity.value):
-            total[_key_at(_prefix_keys(x, np.flatnonzero(x.in_prefix()), rarity.value)[1])] = 1
+        for did, number, _, _, x in _unpacked(batches):
+            mine = _has(asks.value, line_id(did, number))
+            use, key, _ = _prefix_keys(x, np.flatnonzero(mine[x.line] & x.in_prefix()), rarity.value)
+            for at, least in _asked(key, x.size[x.line[use]]):
+                np.maximum.at(total, at, (256 - least).astype(np.uint8))
         return total
-    wanted = spark.sparkContext.broadcast(_table_sum(docs, keys, 1 << KEY_BITS, np.uint8, np.maximum) > 0)
-
-    def run(part: pa.Table) -> pa.Table:
+    wanted = heads.sparkSession.sparkContext.broadcast(_table_sum(heads, keys, 1 << KEY_BITS, np.uint8, np.maximum))
+
+    def deal(batches):
+        for did, number, sig, wide, x in _unpacked(batches):
+            use, key, n = _prefix_keys(x, np.flatnonzero(x.in_prefix()), rarity.value)
+            least = 256 - wanted.value[_key_at(key, x.size[x.line[use]])].astype(np.int64)
+            use, key, n, least = (c[least < 256] for c in (use, key, n, least))
+            at = np.lexsort((least, x.line[use]))
+            line = x.line[use][at]
+            hit = _has(asks.value, line_id(did, number))
+            hit[line[least[at] <= np.arange(1, len(line) + 1) - np.searchsorted(line, line)]] = True
+            ok = hit[x.line[use]]
+            for k, _, cols in _dealt(x, use[ok], key[ok], n[ok], did, number, sig, wide, buckets):
+                yield _rows(k, False, cols)
+
+    def meet(part: pa.Table) -> pa.Table:
+        cols = [np.concatenate(c) for c in zip(*map(_unpack, part["data"].to_pylist()), strict=True)]
+        hit = np.zeros(len(cols[0]), bool)
+        for a, b in _earlier(cols, asks.value):
+            hit[a] = hit[b] = True
+        doc, number = cols[2][hit], cols[3][hit]
+        order = np.lexsort((number, doc))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(doc[order]) != 0) | (np.diff(number[order]) != 0)
+        return pa.table({"doc_id": doc[order[new]], "number": number[order[new]]})
+    return heads.mapInArrow(deal, _BLOCK).groupBy("bucket").applyInArrow(meet, "doc_id long, number int"), wanted
+
+
+class Words:
+    """The words of lines, numbered, and the lines as they are."""
+
+    def __init__(self, lines: list[bytes], rarity: np.ndarray):
+        self.lines = lines
+        x = Lines(np.frombuffer(b"".join(lines), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in lines])]).astype(np.int64), rarity)
+        distinct, self.word = np.unique(x.hash, return_inverse=True)
+        self.size, self.begin = x.size, np.cumsum(x.size) - x.size
+        self.mark = np.zeros(len(distinct), bool)
+
+    def similar(self, a: int, others: np.ndarray) -> bool:
+        """Is line ``a`` similar to one of ``others``, by their numbers?"""
+        mine = self.word[self.begin[a]:self.begin[a] + self.size[a]]
+        self.mark[mine] = True
+        try:
+            for i in range(0, len(others), AT_ONCE):
+                b = others[i:i + AT_ONCE]
+                n = self.size[b]
+                at = np.cumsum(n) - n
+                shared = np.add.reduceat(self.mark[self.word[np.repeat(self.begin[b] - at, n) + np.arange(n.sum())]], at, dtype=np.int64)
+                if any(_similar(self.lines[a], self.lines[k]) for k in b[shared * DEN >= NUM * (self.size[a] + n - shared)]):
+                    return True
+            return False
+        finally:
+            self.mark[mine] = False
+
+
+def _similar(x: bytes, y: bytes) -> bool:
+    x, y = set(x.lower().split()), set(y.lower().split())
+    both = len(x & y)
+    return both * DEN >= NUM * (len(x) + len(y) - both)
+
+
+def _found_again(docs: DataFrame, heads: DataFrame, failed: DataFrame, rarity) -> DataFrame:
+    """Those lines of ``failed`` that any earlier line matches, each once, written.
+
+    The candidates found over the stored lines are dealt with their texts by
+    the wanted keys, and verified where they meet.
+    """
+    sc, buckets = docs.sparkSession.sparkContext, partitions(docs)
+    asks = sc.broadcast(_bitmap(failed))
+    near, wanted = _near(heads, asks, rarity, buckets)
+    near = sc.broadcast(_bitmap(written(near, "near")))  # written, or each task would keep two Python workers
+
+    def deal(batches):
+        for did, number, lines, x in _selected(batches, near.value, rarity.value):
+            use, key, n = _prefix_keys(x, np.flatnonzero(x.in_prefix()), rarity.value)
+            ok = wanted.value[_key_at(key, x.size[x.line[use]])] > 0
+            for k, ln, cols in _dealt(x, use[ok], key[ok], n[ok], did, number, x.signature, x.wide(), buckets):
+                some, at = np.unique(ln, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(cols)], pa.binary()), pa.array([at.astype(np.int32)], pa.list_(pa.int32())),
+                                                  pa.array([[lines[i] for i in some.tolist()]], pa.list_(pa.binary()))], ["bucket", "data", "at", "lines"])
+
+    def verify(part: pa.Table) -> pa.Table:
         cols = [np.concatenate(c) for c in zip(*map(_unpack, part["data"].to_pylist()), strict=True)]
-        return _pairs(cols, *_search(cols, lines.value))
-    met = _postings(docs, rarity, partitions(docs), wanted).groupBy("bucket").applyInArrow(run, _PAIR)
-    return written(_enough(met.drop("differ")).join(failed, _KEY, "left_semi"), "candidates")
+        at, lines = part["at"].combine_chunks(), part["lines"].combine_chunks()
+        n = lines.value_lengths().to_numpy()
+        at = at.flatten().to_numpy() + np.repeat(np.cumsum(n) - n, at.value_lengths().to_numpy())
+        words = Words(lines.flatten().to_pylist(), rarity.value)
+        found = {}
+        for a, b in _earlier(cols, asks.value, lambda a: at[a] in found):
+            if words.similar(at[a], at[b]):
+                found[at[a]] = a
+        a = np.array(list(found.values()), np.int64)
+        return pa.table({"doc_id": cols[2][a], "number": cols[3][a], "signature": cols[6][a].view(np.int64)})
+    met = docs.mapInArrow(deal, "bucket int, data binary, at array<int>, lines array<binary>")
+    found = met.groupBy("bucket").applyInArrow(verify, "doc_id long, number int, signature long")
+    return written(found.distinct().join(failed, _KEY, "left_semi"), "matches")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, rarity) -> DataFrame:
@@ -590,11 +719,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, rarity) -> DataFrame:
 
     def verify(batches):
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                x, y = set(x.lower().split()), set(y.lower().split())
-                both = len(x & y)
-                ok.append(both * DEN >= NUM * (len(x) + len(y) - both))
+            ok = [_similar(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(b.columns[:3], ["doc_id", "number", "signature"]).filter(pa.array(ok, pa.bool_()))
     texts = docs.mapInArrow(fetch, "doc_id long, number int, signature long, line binary")
     # Both joins name the same columns, so the lines are fetched and shuffled once.
@@ -609,12 +734,12 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, Broadcast]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text <> ''")
     spark = docs.sparkSession
     rarity = spark.sparkContext.broadcast(_rarities(docs))
-    best = _candidates(_postings(docs, rarity, partitions(docs)))
+    heads = written(_heads(docs, rarity, partitions(docs)), "lines")
+    best = _candidates(_posted(heads, rarity, partitions(docs)))
     found = written(best.where("differ < 0").select(*_KEY).unionByName(_verified(docs, best.where("differ >= 0"), rarity).distinct()), "matches")
     failed = written(best.select(*_KEY).join(found, _KEY, "left_anti"), "unresolved")
     if not failed.isEmpty():
-        rest = _all_candidates(docs, failed, rarity)
-        found = found.unionByName(written(_verified(docs, rest, rarity).distinct(), "matches"))
+        found = found.unionByName(_found_again(docs, heads, failed, rarity))
     return found, rarity
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -98,6 +99,25 @@ def test_equal_lines_meet_before_the_search(spark):
     assert got == {i: sorted(gone.get(i, [])) for i, _ in rows}
 
 
+def test_second_line_search_returns_no_pairs(spark, monkeypatch):
+    """A large group just under the threshold, some of it over: what is written grows with the lines, not with their pairs."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"word{i}" for i in rng.permutation(80)[14:]) for _ in range(200)]
+    rows = sorted((int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True))
+    sizes, write = [], linededup.written
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes.append((name, out.count()))
+        return out
+    monkeypatch.setattr(linededup, "written", counted)
+    gone = brute.removed_lines(rows)
+    got = {r.doc_id: r.removed_lines for r in linededup.line_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: sorted(gone.get(i, [])) for i, _ in rows} and sum(map(len, got.values())) > 20
+    assert [x for x in sizes if x[0] == "unresolved"][0][1] > 50  # the second search has something to do
+    assert max(n for _, n in sizes) <= len(rows), sizes
+
+
 def test_line_search_keeps_alike_rows_as_partners(spark):
     """A line that resembles only a row that was left to a row of the same size and signature."""
     rng = np.random.default_rng(8)
@@ -235,6 +255,19 @@ def test_samples_are_the_least_hashes(spark, monkeypatch, cells):
     assert sorted(r.doc_id for r in toxicity.sample_ids(once, 70).collect()) == sorted(least(range(4000), 5, 70))
 
 
+def test_toxicity_learner_memory():
+    """Beyond the two tables of the learner nothing of their size is held."""
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 1 << toxicity.DIM_BITS, 50)).astype(np.int32) for _ in range(200)]
+    rows = [np.union1d(x, np.arange(20 * (i % 2), 20 * (i % 2) + 20)).astype(np.int32) for i, x in enumerate(rows)]
+    tracemalloc.start()
+    f, w, _ = toxicity.ftrl(rows, np.arange(200) % 2.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(f) >= 40 and (w != 0).all()
+    assert peak < 2.5 * 8 * (1 << toxicity.DIM_BITS)
+
+
 def test_toxicity_equals_plain_ftrl(spark):
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(12)] + ["Ärger", "x1"]
