@@ -677,7 +677,7 @@ def _found_again(docs: DataFrame, heads: DataFrame, failed: DataFrame, rarity) -
     sc, buckets = docs.sparkSession.sparkContext, partitions(docs)
     asks = sc.broadcast(_bitmap(failed))
     near, wanted = _near(heads, asks, rarity, buckets)
-    near = sc.broadcast(_bitmap(written(near, "near")))  # written, or each task would keep two Python workers
+    near = sc.broadcast(_bitmap(written(near.distinct(), "near")))  # written, or each task would keep two Python workers
 
     def deal(batches):
         for did, number, lines, x in _selected(batches, near.value, rarity.value):
