@@ -12,8 +12,8 @@ holds a second shared word, and the pair of both words is the key. Lines of
 equal word sets are brought together first, by a 64-bit sum over their words:
 all but the first go, and only the first is searched. Pairs of lines that meet
 are tested by their sizes, by the positions of the shared word, and by the bits
-that differ between parity signatures of the two sets (64 bits, 256 for long
-lines), which are at most their difference in words. The most promising earlier
+that differ between parity signatures of the two sets (64 bits, 128 or 256 for
+long lines), which are at most their difference in words. The most promising earlier
 line of each line is verified on its words. Lines whose first candidate fails
 are searched again, with all their candidates: these meet with their texts by
 the keys that they share, and each line is verified there until one earlier line
@@ -40,12 +40,14 @@ TABLE_BITS = 22   # entries of the table of word rarities: 4 MB shipped, 16 MB w
 BITMAP_BITS = 27  # bits of a line bitmap: 16 MB at any input size
 KEY_BITS = 24     # entries of the table of wanted keys: 16 MB; the fuller it is, the more lines are read again
 HOT = 1024        # words that occur more often are joined by pairs of words
-LONG = 80         # lines of more words carry 256 signature bits
+LONG = 80         # lines of more words carry 128 signature bits, those of more than twice as many 256
 PART = 200_000    # lines of a word that meet in one task, about
 TOGETHER = 20_000  # occurrences of a word whose pairs with other words are dealt to one bucket, about
+HELD = 1 << 20    # lines and words of them that are dealt out at once
 SLICE = 50_000    # lines whose postings are dealt out at once
-HEADS = 1 << 17   # bytes of packed lines that are unpacked at once
+HEADS = 1 << 22   # bytes of packed lines that are unpacked at once
 AT_ONCE = 4096    # earlier lines that a line is verified with at once
+PAIRS = 1 << 18   # pairs of lines that are tested at once
 SMALL = 1024      # groups up to this size are compared whole, larger ones until each line has a candidate
 _HASH = np.uint64((1 << 44) - 1)
 
@@ -92,7 +94,7 @@ class Lines:
             self.signature[some] = np.bitwise_xor.reduceat(np.uint64(1) << (self.hash & np.uint64(63)), at)
 
     def wide(self) -> np.ndarray:
-        """Three more signature words of the long lines; with the fourth they fold to the short signature."""
+        """More signature words of the long lines: three, or one (two of the four folded); with the last they fold to the short signature."""
         out = np.zeros((len(self.row), 3), np.uint64)
         long = self.size > LONG
         if long.any():
@@ -101,6 +103,9 @@ class Lines:
             bit, word = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(3)
             for k in range(3):
                 out[long, k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), at)
+            mid = self.size <= 2 * LONG
+            out[mid, 0] ^= out[mid, 2]
+            out[mid, 1:] = 0
         return out
 
     def in_prefix(self) -> np.ndarray:
@@ -115,10 +120,10 @@ _ODD = 0xA24BAED4963EE407
 
 
 def _chunks(batches, counts):
-    """Yields (doc ids, buffer, offsets, Lines) of about half a megabyte of text."""
+    """Yields (doc ids, buffer, offsets, Lines) of a little text at a time, so that its arrays stay in the cache."""
     for b in batches:
         buf, off = flat_utf8(b.column(1))
-        for i, j in row_chunks(off, 1 << 19):
+        for i, j in row_chunks(off, 1 << 17):
             part, po = buf[off[i]:off[j]], off[i:j + 1] - off[i]
             doc = b.column(0).slice(i, j - i)
             yield doc if doc.null_count else doc.to_numpy(), part, po, Lines(part, po, counts)
@@ -126,13 +131,14 @@ def _chunks(batches, counts):
 
 def _table_sum(df: DataFrame, run, size: int, dtype=np.int64, op=np.add) -> np.ndarray:
     """Sum (or ``op``) of one fixed-size table per task; slices of it are put together in the cluster."""
-    n, step = size, 1 << 13
+    n, step = size, (1 << 16) // np.dtype(dtype).itemsize
 
     def emit(batches):
         total = run(batches)
-        for i in range(0, n, step):
-            if total[i:i + step].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // step], pa.int32()), pa.array([zstandard.compress(total[i:i + step].tobytes(), 1)], pa.binary())], ["at", "t"])
+        some = [i for i in range(0, n, step) if total[i:i + step].any()]
+        for k in range(0, len(some), 32):
+            at = some[k:k + 32]
+            yield pa.RecordBatch.from_arrays([pa.array([i // step for i in at], pa.int32()), pa.array([zstandard.compress(total[i:i + step].tobytes(), 1) for i in at], pa.binary())], ["at", "t"])
 
     def add(part: pa.Table) -> pa.Table:
         total = np.zeros(step, dtype)
@@ -146,20 +152,29 @@ def _table_sum(df: DataFrame, run, size: int, dtype=np.int64, op=np.add) -> np.n
 
 
 def _selected(batches, bitmap, rarity):
-    """Yields (doc ids, numbers, texts as bytes, Lines with a line a row) of the lines in a bitmap; only these are split into words."""
+    """Yields (doc ids, numbers, texts as bytes, Lines with a line a row) of the lines in a bitmap, about a megabyte at once; only these are split into words."""
+    held, size = [], 0
+
+    def split():
+        texts = [t for _, _, part in held for t in part]
+        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        return *(np.concatenate(c) for c in zip(*[h[:2] for h in held], strict=True)), texts, Lines(np.frombuffer(b"".join(texts), np.uint8), off, rarity)
     for b in batches:
         buf, off = flat_utf8(b.column(1))
-        for i, j in row_chunks(off, 1 << 20):
+        for i, j in row_chunks(off, 1 << 19):
             part, po = buf[off[i]:off[j]], off[i:j + 1] - off[i]
             ends, row, number = _line_ends(part, po)
             doc = b.column(0).slice(i, j - i).to_numpy()[row]
             use = np.flatnonzero(_has(bitmap, line_id(doc, number)))
             if len(use):
-                raw = part.tobytes()
-                texts = [raw[ends[k]:ends[k + 1]].rstrip(b"\n") for k in use.tolist()]
-                joined = np.frombuffer(b"".join(texts), np.uint8)
-                x = Lines(joined, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), rarity)
-                yield doc[use], number[use], texts, x
+                texts = [part[ends[k]:ends[k + 1]].tobytes().rstrip(b"\n") for k in use.tolist()]
+                held.append((doc[use], number[use], texts))
+                size += sum(map(len, texts))
+                if size >= 1 << 20:
+                    yield split()
+                    held, size = [], 0
+    if held:
+        yield split()
 
 
 def _rarities(docs: DataFrame) -> np.ndarray:
@@ -208,11 +223,25 @@ def _has(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
 _FIELDS = (("word", np.uint32), ("part", np.uint32), ("doc", np.int64), ("number", np.int32), ("size", np.int32), ("position", np.int32), ("signature", np.uint64))
 
 
+def _wide_bytes(wide: np.ndarray, size: np.ndarray) -> bytes:
+    """The wide signatures without the words that lines of these sizes do not have."""
+    return wide[size > LONG, 0].tobytes() + wide[size > 2 * LONG, 1:].tobytes()
+
+
+def _wide_from(raw: bytes, at: int, size: np.ndarray) -> tuple[np.ndarray, int]:
+    """(the wide signatures at a place of ``raw``, the place after them)."""
+    wide, long, longer = np.zeros((len(size), 3), np.uint64), size > LONG, size > 2 * LONG
+    n, m = int(long.sum()), 2 * int(longer.sum())
+    wide[long, 0] = np.frombuffer(raw, np.uint64, n, at)
+    wide[longer, 1:] = np.frombuffer(raw, np.uint64, m, at + 8 * n).reshape(-1, 2)
+    return wide, at + 8 * (n + m)
+
+
 def _pack(cols: list[np.ndarray]) -> bytes:
-    """Columns of _FIELDS and the wide signatures, of which those of short lines are left out."""
-    wide = cols[-1][cols[4] > LONG]
+    """Columns of _FIELDS and the wide signatures."""
+    wide = _wide_bytes(cols[-1], cols[4])
     cols = [np.diff(c, prepend=c.dtype.type(0)) if i == 2 else c for i, c in enumerate(cols[:-1])]
-    raw = [np.int64(len(cols[0])).tobytes(), *(c.astype(d).tobytes() for c, (_, d) in zip(cols, _FIELDS, strict=True)), wide.tobytes()]
+    raw = [np.int64(len(cols[0])).tobytes(), *(c.astype(d).tobytes() for c, (_, d) in zip(cols, _FIELDS, strict=True)), wide]
     return zstandard.compress(b"".join(raw), 1)
 
 
@@ -224,9 +253,7 @@ def _unpack(data: bytes) -> list[np.ndarray]:
         c = np.frombuffer(raw[at:at + size], d)
         out.append(np.cumsum(c) if i == 2 else c)
         at += size
-    wide = np.zeros((n, 3), np.uint64)
-    wide[out[4] > LONG] = np.frombuffer(raw[at:], np.uint64).reshape(-1, 3)
-    return [*out, wide]
+    return [*out, _wide_from(raw, at, out[4])[0]]
 
 
 def _prefix_keys(x: Lines, use: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,7 +292,9 @@ _HEAD = (("total", np.uint64), ("doc", np.int64), ("number", np.int32), ("size",
 
 
 def _pack_heads(cols: list[np.ndarray], wide: np.ndarray, hashes: np.ndarray) -> bytes:
-    raw = [np.int64(len(cols[0])).tobytes(), *(c.astype(d).tobytes() for c, (_, d) in zip(cols, _HEAD, strict=True)), wide[cols[3] > LONG].tobytes(), hashes.tobytes()]
+    cols = [np.diff(c, prepend=c.dtype.type(0)) if i == 1 else c for i, c in enumerate(cols)]
+    raw = [np.int64(len(cols[0])).tobytes(), *(c.astype(d).tobytes() for c, (_, d) in zip(cols, _HEAD, strict=True)), _wide_bytes(wide, cols[3]),
+           (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (hashes >> np.uint64(32)).astype(np.uint16).tobytes()]
     return zstandard.compress(b"".join(raw), 1)
 
 
@@ -273,13 +302,13 @@ def _unpack_heads(data: bytes) -> list[np.ndarray]:
     """Columns of _HEAD, the wide signatures and the words."""
     raw = zstandard.decompress(data)
     n, at, out = int(np.frombuffer(raw[:8], np.int64)[0]), 8, []
-    for _, d in _HEAD:
-        out.append(np.frombuffer(raw, d, n, at))
+    for i, (_, d) in enumerate(_HEAD):
+        c = np.frombuffer(raw, d, n, at)
+        out.append(np.cumsum(c) if i == 1 else c)
         at += n * np.dtype(d).itemsize
-    long = out[3] > LONG
-    wide = np.zeros((n, 3), np.uint64)
-    wide[long] = np.frombuffer(raw, np.uint64, 3 * int(long.sum()), at).reshape(-1, 3)
-    return [*out, wide, np.frombuffer(raw, np.uint64, -1, at + 24 * int(long.sum()))]
+    wide, at = _wide_from(raw, at, out[3])
+    n = (len(raw) - at) // 6
+    return [*out, wide, np.frombuffer(raw, np.uint32, n, at) | np.frombuffer(raw, np.uint16, n, at + 4 * n).astype(np.uint64) << np.uint64(32)]
 
 
 def _firsts(size, total, doc, number, sig) -> tuple[np.ndarray, np.ndarray]:
@@ -296,44 +325,55 @@ def _firsts(size, total, doc, number, sig) -> tuple[np.ndarray, np.ndarray]:
 def _heads(docs: DataFrame, rarity, buckets: int) -> DataFrame:
     """(bucket, copies, data): blocks of lines dealt by their word sets.
 
-    Lines of a chunk of equal word sets are one; the later ones come as copies.
+    Lines of equal word sets that are held at once are one; the later ones come as copies.
     Lines whose prefix shares no word with any line are left out.
     """
     def run(batches):
+        held, size = [], 0
         for doc, _, _, x in _chunks(batches, rarity.value):
             did, number, sig, wide = doc[x.row], x.number, x.signature, x.wide()
             # Lines of equal word sets: hashes added up are the same.
             total = np.zeros(len(x.row), np.uint64)
-            np.add.at(total, x.line, mix(x.hash))
             some = np.flatnonzero(x.size > 0)
-            first, copy = (some[i] for i in _firsts(x.size[some], total[some], did[some], number[some], sig[some]))
-            if len(copy):
-                yield _copies(int(sig[copy[0]] % np.uint64(buckets)), did[copy], number[copy], sig[copy], wide[copy])
-            single = np.zeros(len(x.row), bool)
-            single[first] = True
-            prefix, size = _prefix(x.size), x.size
-            head = single[x.line] & (x.position < np.minimum(size, prefix + 1)[x.line])
+            if len(some):
+                total[some] = np.add.reduceat(mix(x.hash), (np.cumsum(x.size) - x.size)[some])
+            head = x.position < np.minimum(x.size, _prefix(x.size) + 1)[x.line]
             head &= _occurrences(rarity.value[(x.hash >> np.uint64(44 - TABLE_BITS)).astype(np.int64)]) > 1
             keyed = np.zeros(len(x.row), bool)
             keyed[x.line[head & x.in_prefix()]] = True
             head = np.flatnonzero(head & keyed[x.line])
             words = np.bincount(x.line[head], minlength=len(x.row))
-            begin = np.cumsum(words) - words
             line = np.flatnonzero(keyed)
-            skip = x.position[head[begin[line]]]  # words that occur once come first
-            to = (mix(total[line]) % np.uint64(buckets)).astype(np.int64)
-            at = np.argsort(to, kind="stable")
-            cut = np.searchsorted(to[at], np.arange(buckets + 1))
-            for k in range(buckets):
-                if cut[k] < cut[k + 1]:
-                    i = at[cut[k]:cut[k + 1]]
-                    ln, n = line[i], words[line[i]]
-                    w = np.repeat(begin[ln] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    data = _pack_heads([total[ln], did[ln], number[ln], size[ln], skip[i], n, sig[ln]], wide[ln], x.hash[head[w]])
-                    yield _block(k, False, data)
+            skip = x.position[head[(np.cumsum(words) - words)[line]]]  # words that occur once come first
+            held.append((total[line], did[line], number[line], x.size[line], skip, words[line], sig[line], wide[line], x.hash[head]))
+            size += len(line) + len(head)
+            if size >= HELD:
+                yield from _headed(held, buckets)
+                held, size = [], 0
+        if size:
+            yield from _headed(held, buckets)
     return docs.mapInArrow(run, _BLOCK)
 
 
+def _headed(held: list, buckets: int):
+    """Yields the blocks of the lines of several chunks: the copies, and for each bucket that has any the first lines."""
+    *cols, wide, hashes = (np.concatenate(c) for c in zip(*held, strict=True))
+    total, did, number, size, _, words, sig = cols
+    first, copy = _firsts(size, total, did, number, sig)
+    if len(copy):
+        yield _copies(int(sig[copy[0]] % np.uint64(buckets)), did[copy], number[copy], sig[copy], wide[copy])
+    to = (mix(total[first]) % np.uint64(buckets)).astype(np.int64)
+    at = np.lexsort((number[first], did[first], to))
+    begin, cut = np.cumsum(words) - words, np.searchsorted(to[at], np.arange(buckets + 1))
+    some, out = np.flatnonzero(np.diff(cut)).tolist(), []
+    for k in some:
+        i = first[at[cut[k]:cut[k + 1]]]
+        n = words[i]
+        w = np.repeat(begin[i] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out.append(_pack_heads([c[i] for c in cols], wide[i], hashes[w]))
+    yield _blocks(some, out)
+
+
 def _postings(docs: DataFrame, rarity, buckets: int) -> DataFrame:
     """Blocks of prefix postings of the lines of documents."""
     return _posted(_heads(docs, rarity, buckets), rarity, buckets)
@@ -363,16 +403,17 @@ def _posted(heads: DataFrame, rarity, buckets: int) -> DataFrame:
             begin = np.cumsum(words, dtype=np.int64) - words
             for i in range(0, len(first), SLICE):
                 ln = first[i:i + SLICE]
+                ln = ln[np.lexsort((number[ln], did[ln]))]
                 n = words[ln].astype(np.int64)
                 x = Heads(size[ln], skip[ln], n, hashes[np.repeat(begin[ln] - np.cumsum(n) + n, n) + np.arange(n.sum())])
                 postings = _prefix_keys(x, np.flatnonzero(x.in_prefix()), rarity.value)
-                out += [_rows(k, False, cols) for k, _, cols in _dealt(x, *postings, did[ln], number[ln], sig[ln], wide[ln], buckets)]
+                out.append(_dealt_blocks(x, *postings, did[ln], number[ln], sig[ln], wide[ln], buckets))
         return pa.Table.from_batches(out, schema=_EMPTY)
     return heads.groupBy("bucket").applyInArrow(run, _BLOCK)
 
 
 def _dealt(x: Lines, use, key, n, did, number, sig, wide, buckets: int):
-    """Yields (bucket, lines, columns of a block) of the postings ``use`` of lines, one or none a bucket."""
+    """Yields (bucket, lines, columns of a block) of the postings ``use`` of lines, one or none a bucket; ``use`` is ascending."""
     line = x.line[use]
     share = np.where(n > PART, _ceil(2 * n, PART), 1)
     own = (line_id(did, number)[line] % share.astype(np.uint64)).astype(np.int64)
@@ -383,13 +424,18 @@ def _dealt(x: Lines, use, key, n, did, number, sig, wide, buckets: int):
     use, line, key, n = use[rep], line[rep], key[rep], n[rep]
     home = x.hash[use] + (mix(key) % _ceil(n, TOGETHER).astype(np.uint64)) * np.uint64(_ODD)
     bucket = ((mix(mix(home) + part.astype(np.uint64) * np.uint64(_ODD)) >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
-    at = np.lexsort((number[line], did[line], bucket))
-    cut = np.searchsorted(bucket[at], np.arange(buckets + 1))
-    for k in range(buckets):
-        if cut[k] < cut[k + 1]:
-            i = at[cut[k]:cut[k + 1]]
-            u, ln = use[i], line[i]
-            yield k, ln, [key[i], part[i], did[ln], number[ln], x.size[ln], x.position[u], sig[ln], wide[ln]]
+    at = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
+    cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        i = at[cut[k]:cut[k + 1]]
+        u, ln = use[i], line[i]
+        yield k, ln, [key[i], part[i], did[ln], number[ln], x.size[ln], x.position[u], sig[ln], wide[ln]]
+
+
+def _dealt_blocks(*args) -> pa.RecordBatch:
+    """The blocks of ``_dealt``."""
+    out = {k: _pack(cols) for k, _, cols in _dealt(*args)}
+    return _blocks([*out], [*out.values()])
 
 
 _BLOCK = "bucket int, copies boolean, data binary"
@@ -400,25 +446,31 @@ def _block(bucket: int, copies: bool, data: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([copies]), pa.array([data], pa.binary())], schema=_EMPTY)
 
 
+def _blocks(buckets: list[int], data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([False] * len(data), pa.bool_()), pa.array(data, pa.binary())], schema=_EMPTY)
+
+
 def _copies(bucket: int, did, number, sig, wide) -> pa.RecordBatch:
     i = np.lexsort((number, did))
     none = np.zeros(len(i), np.int64)
-    return _rows(bucket, True, [none, none, did[i], number[i], none, none, sig[i], wide[i]])
-
-
-def _rows(bucket: int, copies: bool, cols: list[np.ndarray]) -> pa.RecordBatch:
-    return _block(bucket, copies, _pack(cols))
+    return _block(bucket, True, _pack([none, none, did[i], number[i], none, none, sig[i], wide[i]]))
 
 
 def _differ(a, b, size, sig, wide):
     """Bits that differ between the signatures of rows a and b."""
     x = sig[a] ^ sig[b]
     out = np.bitwise_count(x).astype(np.int16)
-    both = np.flatnonzero((size[a] > LONG) & (size[b] > LONG))
+    least = np.minimum(size[a], size[b])
+    both = np.flatnonzero(least > 2 * LONG)
     if len(both):
-        rest = wide[a[both] if np.ndim(a) else a] ^ wide[b[both] if np.ndim(b) else b]
+        rest = wide[a[both]] ^ wide[b[both]]
         last = x[both] ^ rest[:, 0] ^ rest[:, 1] ^ rest[:, 2]
         out[both] = np.bitwise_count(last).astype(np.int16) + np.bitwise_count(rest).sum(1, dtype=np.int16)
+    both = np.flatnonzero((least > LONG) & (least <= 2 * LONG))
+    if len(both):  # the third word of a line that has none is 0
+        p, q = wide[a[both]], wide[b[both]]
+        half = p[:, 0] ^ p[:, 2] ^ q[:, 0] ^ q[:, 2]
+        out[both] = np.bitwise_count(half).astype(np.int16) + np.bitwise_count(x[both] ^ half)
     return out
 
 
@@ -447,7 +499,7 @@ def _search(cols: list[np.ndarray], only: np.ndarray | None) -> tuple[np.ndarray
     """
     if only is not None:
         none = np.zeros(0, np.int64)
-        late, early = zip((none, none), *((np.full(len(b), a), b) for a, b in _earlier(cols, only)), strict=True)
+        late, early = zip((none, none), *_earlier(cols, only), strict=True)
         return np.concatenate(late), np.concatenate(early)
     order, new, doc, number, size, pos, sig, wide = _grouped(cols)
     group = np.cumsum(new) - 1
@@ -511,8 +563,8 @@ def _grouped(cols: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     return order, new, *(c[order] for c in (doc, number, size.astype(np.int64), pos.astype(np.int64), sig, wide))
 
 
-def _earlier(cols: list[np.ndarray], only: np.ndarray, skip=lambda a: False):
-    """Yields (row, its candidates among the earlier rows of its group) for the rows of lines in the bitmap ``only``.
+def _earlier(cols: list[np.ndarray], only: np.ndarray):
+    """Yields (rows of lines in the bitmap ``only``, candidates among the earlier rows of their groups), some pairs at a time.
 
     Positions are not looked at: any shared word may bring two similar lines
     together, and only the rarest one need stand early in both.
@@ -520,14 +572,15 @@ def _earlier(cols: list[np.ndarray], only: np.ndarray, skip=lambda a: False):
     order, new, doc, number, size, pos, sig, wide = _grouped(cols)
     cut, begin = np.flatnonzero(new), np.zeros_like(pos)
     rows = np.flatnonzero(_has(only, line_id(doc, number)))
-    for a, lo in zip(rows, cut[np.searchsorted(cut, rows, side="right") - 1], strict=True):
-        if skip(order[a]):
-            continue
-        b = np.arange(lo, a)
-        ok, _ = _may_match(np.full(len(b), a), b, size, begin, sig, wide)
-        b = b[ok & ((doc[lo:a] != doc[a]) | (number[lo:a] != number[a]))]
-        if len(b):
-            yield order[a], order[b]
+    first = cut[np.searchsorted(cut, rows, side="right") - 1]
+    for i, j in row_chunks(np.concatenate([[0], np.cumsum(rows - first)]), PAIRS):
+        n = rows[i:j] - first[i:j]
+        a = np.repeat(rows[i:j], n)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[i:j], n)
+        ok, _ = _may_match(a, b, size, begin, sig, wide)
+        ok &= (doc[a] != doc[b]) | (number[a] != number[b])
+        if ok.any():
+            yield order[a[ok]], order[b[ok]]
 
 
 _KEY = ["doc_id", "number", "signature"]
@@ -582,6 +635,20 @@ def _asked(key: np.ndarray, size: np.ndarray):
         key, size, low, high = key[more], size[more], last[more] + 1, high[more]
 
 
+def _enough(line: np.ndarray, least: np.ndarray, asks: np.ndarray) -> np.ndarray:
+    """Which wanted keys of lines, in line order, are enough for each line to meet all asking ones similar to it.
+
+    The asking lines keep all. Where no key is asked for with fewer than n to be
+    shared, any n - 1 can go: the last ones, of the most frequent words.
+    """
+    if not len(line):
+        return np.ones(0, bool)
+    begin = np.flatnonzero(np.diff(line, prepend=-1))
+    count = np.diff(begin, append=len(line))
+    after = np.repeat(begin + count, count) - 1 - np.arange(len(line))
+    return asks[line] | (after >= np.repeat(np.minimum.reduceat(least, begin), count) - 1)
+
+
 def _unpacked(batches):
     """Yields (doc ids, numbers, signatures, Heads) of some blocks of lines at a time."""
     for b in batches:
@@ -616,11 +683,12 @@ def _near(heads: DataFrame, asks, rarity, buckets: int) -> tuple[DataFrame, Broa
             use, key, n, least = (c[least < 256] for c in (use, key, n, least))
             at = np.lexsort((least, x.line[use]))
             line = x.line[use][at]
-            hit = _has(asks.value, line_id(did, number))
+            mine = _has(asks.value, line_id(did, number))
+            hit = mine.copy()
             hit[line[least[at] <= np.arange(1, len(line) + 1) - np.searchsorted(line, line)]] = True
-            ok = hit[x.line[use]]
-            for k, _, cols in _dealt(x, use[ok], key[ok], n[ok], did, number, sig, wide, buckets):
-                yield _rows(k, False, cols)
+            ok = hit[x.line[use]] & _enough(x.line[use], least, mine)
+            if ok.any():
+                yield _dealt_blocks(x, use[ok], key[ok], n[ok], did, number, sig, wide, buckets)
 
     def meet(part: pa.Table) -> pa.Table:
         cols = [np.concatenate(c) for c in zip(*map(_unpack, part["data"].to_pylist()), strict=True)]
@@ -682,25 +750,34 @@ def _found_again(docs: DataFrame, heads: DataFrame, failed: DataFrame, rarity) -
     def deal(batches):
         for did, number, lines, x in _selected(batches, near.value, rarity.value):
             use, key, n = _prefix_keys(x, np.flatnonzero(x.in_prefix()), rarity.value)
-            ok = wanted.value[_key_at(key, x.size[x.line[use]])] > 0
+            least = 256 - wanted.value[_key_at(key, x.size[x.line[use]])].astype(np.int64)
+            use, key, n, least = (c[least < 256] for c in (use, key, n, least))
+            ok = _enough(x.line[use], least, _has(asks.value, line_id(did, number)))
+            out = []
             for k, ln, cols in _dealt(x, use[ok], key[ok], n[ok], did, number, x.signature, x.wide(), buckets):
                 some, at = np.unique(ln, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(cols)], pa.binary()), pa.array([at.astype(np.int32)], pa.list_(pa.int32())),
-                                                  pa.array([[lines[i] for i in some.tolist()]], pa.list_(pa.binary()))], ["bucket", "data", "at", "lines"])
+                out.append((k, _pack(cols), at.astype(np.int32), zstandard.compress(b"\n".join(lines[i] for i in some.tolist()), 1)))
+            if out:
+                types = (pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["bucket", "data", "at", "lines"])
 
     def verify(part: pa.Table) -> pa.Table:
         cols = [np.concatenate(c) for c in zip(*map(_unpack, part["data"].to_pylist()), strict=True)]
-        at, lines = part["at"].combine_chunks(), part["lines"].combine_chunks()
-        n = lines.value_lengths().to_numpy()
+        at, lines = part["at"].combine_chunks(), [zstandard.decompress(x).split(b"\n") for x in part["lines"].to_pylist()]
+        n = np.array([len(x) for x in lines])
         at = at.flatten().to_numpy() + np.repeat(np.cumsum(n) - n, at.value_lengths().to_numpy())
-        words = Words(lines.flatten().to_pylist(), rarity.value)
+        words = Words([t for x in lines for t in x], rarity.value)
         found = {}
-        for a, b in _earlier(cols, asks.value, lambda a: at[a] in found):
-            if words.similar(at[a], at[b]):
-                found[at[a]] = a
+        for a, b in _earlier(cols, asks.value):
+            pair, i = np.unique(at[a] * len(words.lines) + at[b], return_index=True)  # two lines may meet by several keys
+            line, other = pair // len(words.lines), pair % len(words.lines)
+            begin = np.flatnonzero(np.diff(line, prepend=-1))
+            for j, k in zip(begin.tolist(), [*begin[1:].tolist(), len(line)], strict=True):
+                if line[j] not in found and words.similar(line[j], other[j:k]):
+                    found[line[j]] = a[i[j]]
         a = np.array(list(found.values()), np.int64)
         return pa.table({"doc_id": cols[2][a], "number": cols[3][a], "signature": cols[6][a].view(np.int64)})
-    met = docs.mapInArrow(deal, "bucket int, data binary, at array<int>, lines array<binary>")
+    met = docs.mapInArrow(deal, "bucket int, data binary, at array<int>, lines binary")
     found = met.groupBy("bucket").applyInArrow(verify, "doc_id long, number int, signature long")
     return written(found.distinct().join(failed, _KEY, "left_semi"), "matches")
 
@@ -736,8 +813,10 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, Broadcast]:
     rarity = spark.sparkContext.broadcast(_rarities(docs))
     heads = written(_heads(docs, rarity, partitions(docs)), "lines")
     best = _candidates(_posted(heads, rarity, partitions(docs)))
-    found = written(best.where("differ < 0").select(*_KEY).unionByName(_verified(docs, best.where("differ >= 0"), rarity).distinct()), "matches")
-    failed = written(best.select(*_KEY).join(found, _KEY, "left_anti"), "unresolved")
+    pairs = best.where("differ >= 0")
+    found = written(_verified(docs, pairs, rarity).distinct(), "matches")
+    failed = written(pairs.select(*_KEY).join(found, _KEY, "left_anti"), "unresolved")
+    found = found.unionByName(best.where("differ < 0").select(*_KEY))
     if not failed.isEmpty():
         found = found.unionByName(_found_again(docs, heads, failed, rarity))
     return found, rarity
@@ -794,7 +873,7 @@ def line_counts(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     gone = found.groupBy("doc_id").agg(F.collect_list(F.struct("number", "signature")).alias("gone"))
     if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1
+        lines = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"))) + 1
         rows = rows.select("doc_id", F.when(F.col("text") != "", lines).otherwise(0).cast("long").alias("n_lines"))
         mine = F.col("gone")
     else:

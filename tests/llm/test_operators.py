@@ -550,3 +550,61 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             check_packing(docs.collect(), rows)
     assert kept["mixing"].columns == kept["toxicity"].columns
     assert corpus_pipeline.run(spark, SF001).count() == kept["packing"].count()
+
+
+def test_long_line_signatures_survive_packing_and_bound_the_difference():
+    """Lines of 64, 128 and 256 signature bits: what is unpacked is what was packed, and no more bits than words differ."""
+    rng = np.random.default_rng(4)
+    sets = [rng.choice(600, n, replace=False) for n in rng.integers(1, 500, 200)]
+    sets += [np.append(s[rng.random(len(s)) < .9], 600 + i) for i, s in enumerate(sets)]
+    text = "\n".join(" ".join(f"w{x}" for x in s) for s in sets).encode()
+    x = linededup.Lines(np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.full(1 << linededup.TABLE_BITS, 9, np.uint8))
+    n, wide = len(sets), x.wide()
+    assert (x.size > 2 * linededup.LONG).any() and ((x.size > linededup.LONG) & (x.size <= 2 * linededup.LONG)).any()
+    doc = rng.integers(-(1 << 62), 1 << 62, n)
+    cols = [np.arange(n, dtype=np.uint32), np.zeros(n, np.uint32), doc, x.number.astype(np.int32), x.size.astype(np.int32), np.zeros(n, np.int32), x.signature, wide]
+    data = linededup._pack(cols)
+    assert all((a == b).all() for a, b in zip(linededup._unpack(data), cols, strict=True))
+    bare = linededup._pack([*cols[:7], np.zeros_like(wide)])
+    assert len(data) - len(bare) < 8 * (x.size > linededup.LONG).sum() + 16 * (x.size > 2 * linededup.LONG).sum() + 200
+    heads = [x.hash[:n], doc, x.number, x.size, np.zeros(n, int), x.size, x.signature]
+    assert all((a == b).all() for a, b in zip(linededup._unpack_heads(linededup._pack_heads(heads, wide, x.hash)), [*heads, wide, x.hash], strict=True))
+    a, b = (i.ravel() for i in np.indices((n, n)))
+    words = [set(s.tolist()) for s in sets]
+    differ = linededup._differ(a, b, x.size, x.signature, wide)
+    assert (differ <= [len(words[i] ^ words[j]) for i, j in zip(a, b, strict=True)]).all()
+    near, far = differ[(b == a + 200) & (x.size[b] > linededup.LONG)], differ[(b == a + 199) & (x.size[b] > linededup.LONG)]
+    assert np.median(near) < np.median(far)
+
+
+def test_line_blocks_do_not_grow_with_the_chunks(spark, monkeypatch):
+    """Lines and their postings are dealt out many chunks at a time: the blocks of a task are as many as the buckets, not chunks times buckets."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "\n".join(" ".join(f"w{x}" for x in rng.integers(0, 3000, 30)) for _ in range(60))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    rarity = spark.sparkContext.broadcast(linededup._rarities(docs))
+    blocks = linededup._heads(docs, rarity, 8).collect()
+    assert sum(len(t) for _, t in rows) > 8 * (1 << 17)
+    assert len([r for r in blocks if not r.copies]) <= 8
+    lines = sorted((d, k) for r in blocks if not r.copies for d, k in zip(*(c.tolist() for c in linededup._unpack_heads(bytes(r.data))[1:3]), strict=True))
+    assert lines == [(i, k) for i in range(120) for k in range(60)]
+    monkeypatch.setattr(linededup, "HELD", 20_000)
+    small = linededup._heads(docs, rarity, 8).collect()
+    assert len(small) > len(blocks)
+    same = sorted((d, k) for r in small if not r.copies for d, k in zip(*(c.tolist() for c in linededup._unpack_heads(bytes(r.data))[1:3]), strict=True))
+    assert same == lines
+
+
+def test_keys_left_out_lose_no_pair():
+    """Lines that share at least n wanted keys with an asking one still share one of those that are kept."""
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        count = rng.integers(1, 9, 6)
+        line, least = np.repeat(np.arange(6), count), rng.integers(1, 6, count.sum())
+        asks = rng.random(6) < .2
+        kept = linededup._enough(line, least, asks)
+        assert kept[asks[line]].all()
+        for k in np.flatnonzero(~asks):
+            mine, use = least[line == k], kept[line == k]
+            for n in range(1, 6):  # any n keys asked for with n or fewer: one of them is kept
+                assert (~use[mine <= n]).sum() < n
